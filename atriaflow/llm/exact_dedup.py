@@ -78,7 +78,8 @@ class Index:
 
     def __init__(self, table: DataFrame, regions: int, per_region: int, carried: list[str]):
         self.regions, self.per_region, self.carried = regions, per_region, carried
-        self.pilots = table.groupBy("region", "bucket").agg(F.first("slots").alias("slots"), F.first("pilot").alias("pilot"))
+        # both sides of a lookup join are plain tables, so that Spark can split the rows of a hot digest
+        self.pilots = stored(table.groupBy("region", "bucket").agg(F.first("slots").alias("slots"), F.first("pilot").alias("pilot")), "pilots")
         self.slots = table.select("region", "slot", F.col("digest").alias("slot_digest"), *carried)
 
     def lookup(self, rows: DataFrame) -> DataFrame:
