@@ -34,9 +34,8 @@ _HTTP = "application/http; msgtype=response"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def base32_sha1(data: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1 of a binary column: 8 groups of 20 bits, 4 letters each."""
-    digest = F.sha1(data)
+def base32(digest: Column) -> Column:
+    """Upper-case base32 of a hex SHA-1: 8 groups of 20 bits, 4 letters each."""
 
     def four(g: Column) -> Column:
         bits = F.conv(F.substring(digest, g * 5 + 1, F.lit(5)), 16, 10).cast("int")
@@ -45,6 +44,11 @@ def base32_sha1(data: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
 
 
+def with_base32(df: DataFrame, name: str, data: Column) -> DataFrame:
+    """df with the base32 SHA-1 of data; the digest is a projection of its own, so that it is made once a row."""
+    return df.withColumn("sha1_hex", F.sha1(data)).withColumn(name, base32(F.col("sha1_hex"))).drop("sha1_hex")
+
+
 def _uuid(of: Column) -> Column:
     h = F.md5(of.cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.substring(h, a, n), F.lit(">" if a == 21 else "-"))])
@@ -69,7 +73,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
     rows = revisits(pages.select(pages["page_id"].cast("long").alias("page_id"), url.alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary").alias("payload")), min_revisit_bytes)
     is_revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(GAP))
-    rows = rows.withColumn("http", http).withColumn("body", F.when(is_revisit, F.lit("")).otherwise(F.col("payload").cast("string")))
+    rows = with_base32(rows, "digest", F.col("payload")).withColumn("http", http).withColumn("body", F.when(is_revisit, F.lit("")).otherwise(F.col("payload").cast("string")))
 
     def field(name: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f"{CRLF}{name}: "), value), F.lit(""))
@@ -81,7 +85,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
         field("WARC-Record-ID", _uuid(F.concat_ws("|", F.lit("page"), page, F.coalesce("url", F.lit(""))))),
         field("WARC-Date", F.lit(date)),
         field("WARC-Target-URI", F.col("url")),
-        field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("payload")))),
+        field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         field("WARC-Profile", F.when(is_revisit, F.lit(_PROFILE))),
         field("Refers-To-Page-Id", F.col("refers_to").cast("string")),
         field("Page-Id", page),
@@ -125,15 +129,18 @@ def _described(pieces: DataFrame) -> DataFrame:
     own = F.substring(F.col("value").cast("binary"), (F.col("head_bytes") + len(GAP) + 1).cast("int"), F.coalesce(F.col("block_bytes"), F.lit(0)).cast("int"))
     whole = F.col("head_bytes") + len(GAP) + F.col("block_bytes") <= size
     kind = _header(F.col("head"), "content-type")
-    payload, http = _payload_of(own, kind)
+    out = out.withColumn("content_type", kind).withColumn("whole", F.coalesce(whole, F.lit(False))).withColumn("own", own)
+    payload, http = _payload_of(F.col("own"), F.col("content_type"))
+    out = out.withColumn("http", http).withColumn("payload", payload)
+    out = with_base32(out, "payload_digest", F.when(F.col("whole"), F.col("payload")))
     return out.select(
         "file", "block", "seq", size.cast("long").alias("bytes"), "head_bytes", "block_bytes",
-        F.coalesce(whole, F.lit(False)).alias("whole"), kind.alias("content_type"),
+        "whole", "content_type",
         _header(F.col("head"), "warc-type").alias("record_type"), _header(F.col("head"), "warc-record-id").alias("record_id"), _header(F.col("head"), "warc-target-uri").alias("url"),
         F.regexp_replace(_header(F.col("head"), "warc-payload-digest"), "^sha1:", "").alias("declared_digest"),
         _header(F.col("head"), "page-id").try_cast("long").alias("page_id"), _header(F.col("head"), "refers-to-page-id").try_cast("long").alias("refers_to"),
-        F.when(whole, F.octet_length(payload).cast("long")).alias("payload_bytes"), F.when(whole, base32_sha1(payload)).alias("payload_digest"),
-        F.regexp_extract(http, r"(?i)\ncontent-length:[ \t]*(\d+)", 1).try_cast("long").alias("http_bytes"),
+        F.when(F.col("whole"), F.octet_length("payload").cast("long")).alias("payload_bytes"), "payload_digest",
+        F.regexp_extract("http", r"(?i)\ncontent-length:[ \t]*(\d+)", 1).try_cast("long").alias("http_bytes"),
     )
 
 
@@ -191,7 +198,7 @@ def _gathered(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
     block = F.substring(F.col("value").cast("binary"), (F.col("head_bytes") + len(GAP) + 1).cast("int"), F.col("block_bytes").cast("int"))
     payload, http = _payload_of(block, F.col("content_type"))
     both = both.withColumn("payload", payload).withColumn("http_bytes", F.regexp_extract(http, r"(?i)\ncontent-length:[ \t]*(\d+)", 1).try_cast("long")).drop("value")
-    return both.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
+    return with_base32(both.withColumn("payload_bytes", F.octet_length("payload").cast("long")), "payload_digest", F.col("payload"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
