@@ -35,8 +35,8 @@ WINDOW = 2048
 LEAST_SHARE = 32
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words that a task remembers with their ids.
-REMEMBERED = 400_000
+#: Words that a Python worker remembers with their ids, over all its tasks.
+REMEMBERED = 1_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -57,12 +57,13 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.kind = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
         alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
         self.table = {c: "".join(p for p, _ in alphabet.pre_tokenize_str(chr(c))) for c in range(0x80, 0x250)}
 
     def _slow(self, word: str) -> bytes:
-        return np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def _plain(self, letters: str) -> bool:
         return letters.isalpha() and (letters.isascii() or (max(letters) < "ɐ" and "İ" not in letters and unicodedata.is_normalized("NFC", letters)))
@@ -74,14 +75,14 @@ class WordTokenizer:
         letters = word[:signs]
         if letters and self._plain(letters):
             low = letters.lower()
-            ids = np.array([t.id for t in self.model.tokenize(low if low.isascii() else low.translate(self.table))], dtype="<u4").tobytes()
+            ids = np.array([t.id for t in self.model.tokenize(low if low.isascii() else low.translate(self.table))], dtype=self.kind).tobytes()
             if signs < len(word):
                 ids += self.known.get(word[signs:]) or self._slow(word[signs:])
             return ids
         return self._slow(word)
 
     def __call__(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit numbers."""
+        """The ids as little-endian numbers of 16 bits, or of 32 where the vocabulary needs them."""
         if any(c in text for c in "\x1c\x1d\x1e\x1f") or "<|" in text:
             return self._slow(text)
         words = (text.lower() if "Σ" not in text and "İ" not in text else text).split()
@@ -99,18 +100,28 @@ class WordTokenizer:
         return b"".join(ids)
 
 
+_workers: dict[str, WordTokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this Python process; what it remembers serves all tasks that the process runs."""
+    if path not in _workers:
+        _workers[path] = WordTokenizer(path)
+    return _workers[path]
+
+
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, source, ids (16-bit), n_tokens with the end id, and task, before: the tokens of the source earlier in its task."""
+    """doc_id, source, ids, n_tokens with the end id, and task, before: the tokens of the source earlier in its task."""
 
     def run(it):
-        encode = WordTokenizer(path)
+        encode = worker_tokenizer(path)
+        width = int(encode.kind[-1])
         task, served = TaskContext.get().partitionId(), {}
         for batch in it:
             ids, sizes, before = [], [], []
             for text, source in zip(batch["text"], batch["source"].to_pylist()):
-                own = np.frombuffer(encode(text.as_py() or ""), dtype="<u4")
-                ids.append(own.astype("<u2").tobytes() if own.size and own.max() < 1 << 16 else own.tobytes())
-                sizes.append(len(own) + 1)
+                ids.append(encode(text.as_py() or ""))
+                sizes.append(len(ids[-1]) // width + 1)
                 before.append(served.get(source, 0))
                 served[source] = before[-1] + sizes[-1]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "source": batch["source"], "ids": pa.array(ids, pa.binary()), "n_tokens": pa.array(sizes, pa.int64()), "task": pa.array([task] * len(ids), pa.int32()), "before": pa.array(before, pa.int64())})
