@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from atriaflow.plans import meshes, tables
+
+MODULES: list = [meshes, tables]
 
 
 def queries() -> dict:
