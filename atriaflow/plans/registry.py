@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from atriaflow.plans import meshes, tables
+from atriaflow.plans import exports, meshes, tables
 
-MODULES: list = [meshes, tables]
+MODULES: list = [meshes, tables, exports]
 
 
 def queries() -> dict:

@@ -51,7 +51,7 @@ def test_nn_join_equals_brute_force(spark):
 
 def test_same_map_has_no_delta(spark):
     v, _ = square(spark, 4)
-    two = v.withColumn("map_id", F.explode(F.array(F.lit(0), F.lit(1))).cast("long"))
+    two = v.drop("map_id").withColumn("map_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
     s = two.withColumn("name", F.lit("f")).withColumn("value", F.col("x") * 2)
     pairs = spark.createDataFrame([(9, 0, 1)], "pair_id long, map_a long, map_b long")
     got = spatial.compare_maps(pairs, two, s, "f").collect()
