@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atriaflow.functions import vocab
-from atriaflow.operators import geodesic, measure, mesh, spatial
+from atriaflow.operators import geodesic, measure, mesh, report, spatial
 from atriaflow.plans import standins as st
 from atriaflow.plans.standins import GRID, SPACE
 
@@ -309,3 +309,14 @@ def m5(spark, d):
     edges = mesh.mesh_edges(st.grid_triangles(spark, d), v)
     b = v.filter("vertex_id % 13 = 4").select("map_id", "vertex_id", (F.col("value") * 0.5).alias("b_value"))
     return rounded(geodesic.geodesic_delta(edges, v.select("map_id", "vertex_id", F.col("value").alias("a_value")), b, 6.0))
+
+
+@query("a12_report_table", f"""WITH {GRID}, i AS (SELECT DISTINCT map_id * 2 AS map_id FROM v), a AS (SELECT map_id, sum(area) / 100 AS area_cm2, coalesce(sum(area) FILTER (face_value >= -1000 AND face_value < 2500), 0) / 100 AS low, coalesce(sum(area) FILTER (face_value BETWEEN 2500 AND 10000), 0) / 100 AS high FROM t GROUP BY map_id),
+s AS (SELECT map_id, avg(value) AS mean_value FROM v GROUP BY map_id)
+SELECT i.map_id, round(area_cm2, 4) AS area_cm2, round(mean_value, 4) AS mean_value, round(low, 4) AS low, round(high, 4) AS high, area_cm2 IS NOT NULL AS found FROM i LEFT JOIN a USING (map_id) LEFT JOIN s USING (map_id)""")
+def a12(spark, d):
+    scalars, triangles = st.grid_scalars(spark, d), st.grid_triangles(spark, d)
+    edges = spark.createDataFrame([("low", -1000.0, 2500.0), ("high", 2500.0, 10000.0)], "label string, lo double, hi double")
+    areas = measure.areas_for_intervals(mesh.face_values(triangles, scalars), edges)
+    ids = scalars.select((F.col("map_id") * 2).alias("map_id"))
+    return report.report_table(ids, measure.surface_area(triangles), measure.mean_value(scalars).select("map_id", "mean_value"), areas, ["low", "high"])

@@ -297,3 +297,43 @@ def w6(spark, d):
 @query("p1_mask_sentinels", "SELECT o_orderkey, CASE WHEN abs(o_totalprice) < 100000 THEN o_totalprice END AS value FROM orders")
 def p1(spark, d):
     return st.table(spark, d, "orders").select("o_orderkey", columns.mask_sentinels(F.col("o_totalprice"), 100000.0).alias("value"))
+
+
+@query("a21_check_rates", "SELECT user_id AS map_id, count(DISTINCT event_id % 3) FILTER (event_id % 3 > 0) AS n_rates, count(DISTINCT event_id % 3) FILTER (event_id % 3 > 0) > 1 AS issue FROM events GROUP BY 1")
+def a21(spark, d):
+    return link.check_rates(st.table(spark, d, "events").select(F.col("user_id").alias("map_id"), ((F.col("event_id") % 3) * 500.0).alias("sample_rate")))
+
+
+@query("a27_ablation_table", "SELECT s_nationkey::BIGINT AS study_id, s_suppkey AS placed_id, s_acctbal AS x, s_acctbal AS duration, NULL::DOUBLE AS force FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 7 <> 0")
+def a27(spark, d):
+    key = F.col("s_suppkey")
+    placed = st.table(spark, d, "supplier").select(
+        F.col("s_nationkey").cast("long").alias("study_id"), key.alias("placed_id"), F.when(key % 3 == 0, "label").otherwise("ablation").alias("type"),
+        F.col("s_acctbal").alias("x"), F.lit(1.0).alias("y"), F.when(key % 7 != 0, F.lit(2.0)).alias("z"),
+        F.create_map(F.lit("duration"), F.col("s_acctbal").cast("string"), F.lit("force"), F.lit("bad")).alias("attributes"),
+    )
+    return link.ablation_table(placed).select("study_id", "placed_id", "x", "duration", "force")
+
+
+@query("w4_beat_window", f"WITH {SIGNALS}, b AS (SELECT data_uri, t FROM s WHERE sample_idx = 5) SELECT s.data_uri, s.sample_idx, s.channel, round((s.t - b.t) * 1000, 3) AS rel_ms FROM s JOIN b ON b.data_uri = s.data_uri WHERE abs((s.t - b.t) * 1000) <= 86400000")
+def w4(spark, d):
+    s = st.samples(spark, d)
+    beats = s.filter("sample_idx = 5").select(F.col("data_uri").alias("point_id"), "data_uri", F.col("t").alias("reference_t"), (F.col("t") + 1).alias("map_t"))
+    return report.beat_window(beats, s, 86400000.0).select("data_uri", "sample_idx", "channel", F.round("rel_ms", 3).alias("rel_ms"))
+
+
+@query("p15_get_attributes", "SELECT a.c_custkey * 2 AS map_id, b.c_mktsegment AS segment FROM customer a LEFT JOIN customer b ON b.c_custkey = a.c_custkey * 2")
+def p15g(spark, d):
+    m = _maps(spark, d)
+    kept = m.select("map_id", F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("name"), F.col("map_name")).alias("attributes"))
+    out = report.get_attributes(kept, m.select((F.col("map_id") * 2).alias("map_id")), ["segment"])
+    return out.select("map_id", F.try_element_at("attributes", F.lit("segment")).alias("segment"))
+
+
+@query("a17_centroid_region", f"""WITH {st.SPACE}, c AS (SELECT map_id % 3 AS study_id, map_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY ALL), r AS (SELECT map_id % 3 AS study_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY ALL),
+d AS (SELECT c.study_id, map_id, c.x - r.x AS dx, c.y - r.y AS dy, c.z - r.z AS dz, greatest(abs(c.x - r.x), abs(c.y - r.y), abs(c.z - r.z)) AS most FROM c JOIN r ON r.study_id = c.study_id)
+SELECT study_id, map_id, CASE WHEN most < 0.5 THEN 'central' WHEN abs(dx) = most THEN CASE WHEN dx > 0 THEN 'left' ELSE 'right' END WHEN abs(dy) = most THEN CASE WHEN dy > 0 THEN 'posterior' ELSE 'anterior' END ELSE CASE WHEN dz > 0 THEN 'superior' ELSE 'inferior' END END AS region FROM d""")
+def a17(spark, d):
+    p = st.space(spark, d).withColumn("study_id", F.col("map_id") % 3)
+    ref = p.groupBy("study_id").agg(*[F.avg(c).alias(f"r{c}") for c in "xyz"])
+    return report.centroid_region(p, ref, 0.5).select("study_id", "map_id", "region")
