@@ -337,3 +337,19 @@ def a17(spark, d):
     p = st.space(spark, d).withColumn("study_id", F.col("map_id") % 3)
     ref = p.groupBy("study_id").agg(*[F.avg(c).alias(f"r{c}") for c in "xyz"])
     return report.centroid_region(p, ref, 0.5).select("study_id", "map_id", "region")
+
+
+@query("p8_point_annotations", """WITH r AS (SELECT o_custkey AS map_id, o_orderkey AS point_index, (o_orderkey % 250 - 100)::DOUBLE AS diff FROM orders), g AS (SELECT map_id, bool_or(diff < 0) AS negative FROM r GROUP BY map_id)
+SELECT r.map_id, point_index, CASE WHEN r.map_id % 2 = 0 THEN 'pacemap_score' ELSE 'activation_time' END AS kind, CASE WHEN r.map_id % 2 = 1 THEN diff WHEN NOT (negative AND diff > 0) AND abs(diff) <= 100 THEN abs(diff) END AS value FROM r JOIN g ON g.map_id = r.map_id""")
+def p8(spark, d):
+    raw = _points(spark, d).select("map_id", "point_index", F.lit(100).alias("reference"), (F.col("point_index") % 250).alias("map_annotation"))
+    verdicts = raw.select("map_id").distinct().withColumn("kind", F.when(F.col("map_id") % 2 == 0, "pacemap_score").otherwise("activation_time"))
+    return vocab.decode_point_annotations(raw, verdicts)
+
+
+@query("p9_annotation_bag", "SELECT o_orderkey AS point_index, CASE WHEN o_custkey % 4 <> 0 THEN (o_orderkey % 250)::VARCHAR END AS reference, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey // 2)::VARCHAR ELSE (o_orderkey / 2.0)::DOUBLE::VARCHAR END AS woi FROM orders")
+def p9(spark, d):
+    key = F.col("point_index")
+    bag = vocab.point_annotations(["reference", "woi"], F.when(F.col("map_id") % 4 == 0, -10000).otherwise(key % 250), key / 2.0)
+    out = _points(spark, d).select("point_index", bag.alias("bag"))
+    return out.select("point_index", *[F.try_element_at("bag", F.lit(k)).alias(k) for k in ("reference", "woi")])
