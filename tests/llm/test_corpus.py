@@ -131,6 +131,24 @@ def test_near_groups_equal_brute_force(spark):
     assert near_dedup.group_near(docs(spark, [])).count() == 0
 
 
+def test_bounds_cut_no_link():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, 150).astype(np.uint64)
+
+    def varied():
+        x = base.copy()
+        x[r.integers(0, 150, r.integers(0, 9))] = r.integers(0, 2**63)
+        return np.delete(x, r.integers(150)) if r.random() < 0.3 else x
+
+    a = [varied() for _ in range(200)] + [base[:3], base[:0], base[:0], base[:5], np.tile(base[:7], 30)]
+    b = [varied() for _ in range(200)] + [base[:3], base[:0], base[:2], base[:6], np.tile(base[:7], 31)]
+    want = [near_dedup.similarity(x, y) >= near_dedup.THRESHOLD for x, y in zip(a, b)]
+    assert near_dedup.linked(a, b, step=1000) == want and 0 < sum(want) < len(want)
+    assert near_dedup.linked([], []) == []
+    for x in a[-8:]:
+        assert (near_dedup.shingle_rows(x, np.array([0, len(x)]))[0] == near_dedup.shingles(x)).all()
+
+
 def test_alignment_runs():
     a = np.arange(30)
     b = np.r_[a[:10], 99, a[11:25], a[26:]]
