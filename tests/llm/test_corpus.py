@@ -131,6 +131,19 @@ def test_near_groups_equal_brute_force(spark):
     assert near_dedup.group_near(docs(spark, [])).count() == 0
 
 
+def near_classes(spark, rows):
+    return {r["doc_id"]: r["class_id"] for r in near_dedup.group_near(docs(spark, rows)).collect()}
+
+
+def test_near_groups_of_short_texts(spark):
+    rows = []
+    for i in range(40):
+        w = words(7000 + i, 12).split()
+        rows += [(10 * i, " ".join(w[:9])), (10 * i + 1, " ".join(w[:8] if i % 2 else w[1:9])), (10 * i + 2, " ".join(w[:6]))]
+    cls = near_classes(spark, rows)
+    assert all(cls[10 * i + 1] == 10 * i and cls[10 * i + 2] == 10 * i + 2 for i in range(40))
+
+
 def test_bounds_cut_no_link():
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, 150).astype(np.uint64)
