@@ -144,6 +144,31 @@ def test_near_groups_of_short_texts(spark):
     assert all(cls[10 * i + 1] == 10 * i and cls[10 * i + 2] == 10 * i + 2 for i in range(40))
 
 
+def test_near_groups_of_moved_and_repeated_passages(spark):
+    rows, long = [], 10_000
+    for i in range(30):
+        w = words(8000 + i, 160).split()
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join([*w[120:], *w[80:120], *w[40:80], *w[:40]])), (10 * i + 2, " ".join(w * 3))]
+    # bags of 0.83 whose sets stay below the threshold, and whose alignment takes more than BAND edits
+    p = words(1, 1).split() + words(2, 1).split()
+    a, b = words(3, 450).split(), words(4, 450).split()
+    rows += [(long, " ".join([*a, *p * 2500])), (long + 1, " ".join([*b, *p * 2500]))]
+    cls = near_classes(spark, rows)
+    assert all(cls[10 * i + j] == 10 * i for i in range(30) for j in (1, 2))
+    assert cls[long + 1] == long
+
+
+def test_wide_alignment_counts_the_runs():
+    r = np.random.default_rng(5)
+    for _ in range(150):
+        a, b = (r.integers(5, 9, r.integers(1, 60)).astype(np.uint64) for _ in range(2))
+        b = b if r.random() < 0.5 else np.delete(a, r.integers(0, len(a), 3))
+        for most in (3, 20, 130):
+            runs = near_dedup.banded_runs(a, b, most)
+            want = None if runs is None else sum(max(0, x[2] - 2) for x in runs)
+            assert near_dedup.matched_windows(a, b, most, 3) == want
+
+
 def test_bounds_cut_no_link():
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, 150).astype(np.uint64)
