@@ -8,8 +8,9 @@ differ from the exact share by less than one token, and every window is full. So
 follow from its position in its queue: no task needs another's state, deficits carry over windows and partitions alike, and
 only the very last sequence of the corpus is short.
 
-A quantum must be at least one token for the closed form to be monotone; sources whose share of a window is below LEAST_SHARE tokens
-share one queue (so there are at most WINDOW / LEAST_SHARE + 1 queues, whatever the number of sources).
+A quantum must be at least one token for the closed form to be monotone; sources whose share of a window is below one token
+share queue 0. What this queue is served is dealt to its sources by the same closed form, over windows GROWTH times as large; sources
+below one token there share the queue 0 of the next level, until none is left. The totals of the sources are on the driver.
 
 Token ids are made once and stored; positions come from running sums per (task, queue) plus a prefix over these sums.
 Nothing is grouped by source, so a hot source is spread as its documents are.
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import documents, stored
 
 WINDOW = 2048
-LEAST_SHARE = 32
+#: How many times as large the windows of a level are as those of the one above.
+GROWTH = 2
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a Python worker remembers with their ids, over all its tasks.
@@ -160,29 +162,48 @@ class Schedule:
             start, n, w = start + take, n - take, w + 1
 
 
-def queues(sizes: DataFrame, window: int = WINDOW, least: int = LEAST_SHARE) -> tuple[DataFrame, list[int]]:
-    """sizes(source, tokens) -> (source, queue), and the tokens of each queue; small sources share queue 0."""
-    total = sizes.agg(F.sum("tokens")).first()[0] or 0
-    large = sizes.filter(F.col("tokens") * window >= total * least).orderBy(F.col("source").isNull(), "source").collect() if total else []
-    rest = total - sum(r["tokens"] for r in large)
-    if large and 0 < rest and rest * window < total:  # the rest alone is owed less than a token a window
-        last = min(range(len(large)), key=lambda i: large[i]["tokens"])
-        rest += large.pop(last)["tokens"]
-    named = [r["source"] for r in large]
-    number = F.lit(0)
-    for i, s in enumerate(named, 1):
-        number = F.when(F.col("source").eqNullSafe(F.lit(s)), i).otherwise(number)
-    return sizes.select("source", number.alias("queue")), [rest, *[r["tokens"] for r in large]]
+class Plan:
+    """Schedules by level for the tokens of each source: queue 0 of a level is what the next level deals out."""
+
+    def __init__(self, sizes: list[int], window: int):
+        self.levels: list[Schedule] = []
+        #: level and queue there, by source
+        self.places: list[tuple[int, int]] = [(0, 0)] * len(sizes)
+        left, size = [i for i, n in enumerate(sizes) if n], window
+        while left:
+            total = sum(sizes[i] for i in left)
+            large = [i for i in left if sizes[i] * size >= total]
+            rest = total - sum(sizes[i] for i in large)
+            if 0 < rest and rest * size < total:  # the rest alone is owed less than a token a window
+                large.remove(least := min(large, key=lambda i: sizes[i]))
+                rest += sizes[least]
+            for k, i in enumerate(large, 1):
+                self.places[i] = len(self.levels), k
+            self.levels.append(Schedule([rest, *(sizes[i] for i in large)], size))
+            gone = set(large)
+            left, size = [i for i in left if i not in gone], size * GROWTH
+
+    def pieces(self, source: int, start: int, n: int):
+        """(window, offset there, tokens) of the n tokens of a source from position start on."""
+        yield from self._served(*self.places[source], start, n)
+
+    def _served(self, level: int, k: int, start: int, n: int):
+        for w, offset, take in self.levels[level].pieces(k, start, n):
+            if level:
+                yield from self._served(level - 1, 0, w * self.levels[level].window + offset, take)
+            else:
+                yield w, offset, take
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, queue."""
     tokens = tokenized(docs, vocabulary or vocabulary_path())
     sums = stored(tokens.groupBy("task", "source").agg(F.sum("n_tokens").alias("tokens")), "task_sums")
-    named, sizes = queues(sums.groupBy("source").agg(F.sum("tokens").alias("tokens")), window)
-    plan = Schedule(sizes, window)
+    totals = sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy(F.col("source").isNull(), "source").collect()
+    plan = Plan([r["tokens"] for r in totals], window)
+    named = docs.sparkSession.createDataFrame([(r["source"], i) for i, r in enumerate(totals)], "source string, queue int")
     keyed = sums.withColumnRenamed("source", "s").join(F.broadcast(named), F.col("s").eqNullSafe(F.col("source"))).drop("s")
-    base = keyed.withColumn("base", F.coalesce(F.sum("tokens").over(Window.partitionBy("queue").orderBy("task", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    base = keyed.withColumn("base", F.coalesce(F.sum("tokens").over(Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     base = stored(base.select(F.col("task").alias("t"), F.col("source").alias("s"), "queue", "base"), "bases")
     placed = tokens.join(base, (F.col("task") == F.col("t")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "queue", "ids", "n_tokens", (F.col("base") + F.col("before")).alias("position"))
 

@@ -279,6 +279,34 @@ def test_schedule_carries_deficits(n_sources):
         assert min(served) >= 0 and sum(served) == min(2048, sum(sizes) - 2048 * w)
 
 
+@pytest.mark.parametrize("sizes", [[5000] * 100, [400_000, *[4000] * 200], [300_000, *[20 + i % 7 for i in range(3000)], 1], [3]])
+def test_every_window_has_the_proportions(sizes):
+    plan, total = packing.Plan(sizes, 2048), sum(sizes)
+    served, taken = np.zeros((-(-total // 2048), len(sizes)), dtype=np.int64), np.zeros(total, dtype=np.int64)
+    for i, n in enumerate(sizes):
+        at = 0
+        for start, length in ((0, n // 3), (n // 3, n - n // 3)):
+            for w, offset, take in plan.pieces(i, start, length):
+                assert offset + take <= 2048 and w * 2048 + offset >= at
+                at = w * 2048 + offset + take
+                taken[at - take : at] += 1
+                served[w, i] += take
+    assert (taken == 1).all()
+    share = np.array(sizes) * 2048 / total
+    own = share >= 1
+    assert (abs(served[:-1, own] - share[own]) < 2).all()
+    # a source below one token a window is spread over the corpus too
+    small = np.flatnonzero(~own & (np.array(sizes) > 15))
+    assert all(np.flatnonzero(served[:, i])[-1] - np.flatnonzero(served[:, i])[0] > 0.7 * len(served) for i in small)
+
+
+def test_packing_mixes_a_hundred_sources(spark):
+    rows = [(i, words(i % 50, 60), "en", f"s{i % 100}") for i in range(1000)]
+    got = packing.pack(docs(spark, rows)).toPandas()
+    full = got[got["sequence_id"] < got["sequence_id"].max()].groupby("sequence_id")["source"].nunique()
+    assert len(full) and (full == 100).all()
+
+
 def test_pipeline_runs(spark, tmp_path):
     import corpus_pipeline
 
