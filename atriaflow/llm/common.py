@@ -40,7 +40,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that `stored` wrote, once all that was read from them is stored itself."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            java = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            java.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(java, True)
+
+
+def unused(df: DataFrame, n: int) -> list[str]:
+    """n column names that df does not have."""
+    taken, out, i = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if (name := f"__own{i}") not in taken:
+            out.append(name)
+        i += 1
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
