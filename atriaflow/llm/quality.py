@@ -4,30 +4,34 @@ From labelled documents, preference pairs (a good one over a bad one) are drawn;
 the difference of the two feature vectors, so only the order of scores is fitted. The cut is then a quantile of the
 training scores: the one that leaves the training share of good documents above it.
 
-Features are shares and lengths of a whole text (numpy over its bytes and words). They are stored once (about 30 numbers a document),
-labels are joined to them, and the fit takes at most TRAIN_ROWS of them, drawn by a hash of the id; the model is a vector, and scoring
-is a column expression.
+Features are shares and lengths of a whole text, and the shares of its words and of its byte triples by hash (numpy over its bytes and
+words). The fit takes the features of at most about TRAIN_ROWS labelled documents, drawn by a hash of the id; the model is a vector, which
+goes to the tasks that score every text. Features of documents are never stored.
 
-Defined cases: null and empty texts have features of their own (all zero, marked) and a score; without labels of both kinds the
-score is 0.5 for all; labels that repeat a doc_id are averaged; rows that repeat get equal scores; other columns are not looked at.
+Defined cases: null and empty texts have features of their own (they are marked) and a score; without labels of both kinds the
+score is 0.5 for all; labels that repeat a doc_id are averaged; of labelled rows that repeat an id the least text is learned from; rows that
+repeat get equal scores; very long texts are taken as one; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, documents, fold, steps, stored, text_arrays
+from .common import Words, documents, fold, mix64, steps, text_arrays
 
 TRAIN_ROWS = 20_000
 PAIRS = 60_000
 ROUNDS = 300
-RIDGE = 1e-4
+RIDGE = 1e-3
+#: Buckets of the hashed words, and of the hashed byte triples.
+HASHED = 96
 
 _CLASSES = ["lower", "upper", "digit", "space", "newline", "stop", "comma", "exclaim", "pipe", "money", "at_slash", "other_sign", "high"]
 FEATURES = [*_CLASSES, "log_words", "log_lines", "word_length", "word_spread", "long_words", "short_words", "distinct_words", "commonest_word", "distinct_lines", "line_words", "upper_words", "sign_words", "same_neighbour", "repeated_triples", "no_text"]
+WIDTH = len(FEATURES) + 2 * HASHED
 
 
 def _class_table() -> np.ndarray:
@@ -59,12 +63,28 @@ def _distinct(values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray,
 
 def features(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """The feature rows of the texts with these bytes."""
-    out = np.zeros((len(offs) - 1, len(FEATURES)), dtype=np.float64)
+    out = np.zeros((len(offs) - 1, WIDTH), dtype=np.float64)
     for lo, hi in steps(offs):
-        out[lo:hi] = _step(Words(raw, offs, lo, hi))
+        w = Words(raw, offs, lo, hi)
+        out[lo:hi, : len(FEATURES)] = _step(w)
+        out[lo:hi, len(FEATURES) :] = hashed_shares(w)
     return out
 
 
+def hashed_shares(w: Words) -> np.ndarray:
+    """For each row the share of its words in each bucket, and of its byte triples; square roots, as they are small."""
+    n = len(w.rows) - 1
+    row = np.repeat(np.arange(n), np.diff(w.bounds))
+    words = np.bincount(row * HASHED + (w.hashes() % np.uint64(HASHED)).astype(np.int64), minlength=n * HASHED).reshape(n, HASHED)
+    d = w.data.astype(np.uint64)
+    triples = (mix64(d[:-2] << np.uint64(16) | d[1:-1] << np.uint64(8) | d[2:]) % np.uint64(HASHED)).astype(np.int64) if len(d) > 2 else np.zeros(0, np.int64)
+    at = np.repeat(np.arange(n), np.diff(w.rows))
+    first, last = at[: len(triples)], at[2:]
+    inside = first == last
+    shares = np.bincount((first * HASHED + triples)[inside], minlength=n * HASHED).reshape(n, HASHED)
+    return np.sqrt(np.concatenate([x / np.maximum(x.sum(axis=1, keepdims=True), 1) for x in (words, shares)], axis=1))
+
+
 def _step(w: Words) -> np.ndarray:
     n = len(w.rows) - 1
     size = np.diff(w.rows).astype(float)
@@ -109,32 +129,16 @@ def _step(w: Words) -> np.ndarray:
     return f
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """doc_id and the features of each row, stored."""
-
-    def run(it):
-        for batch in it:
-            f = features(*text_arrays(batch["text"])).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(f[:, k]) for k in range(f.shape[1])]], names=["doc_id", *FEATURES])
-
-    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return stored(plain.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} float" for c in FEATURES)), "features")
-
-
 class Ranking:
     """Weights on standardised features, the cut and the spread of scores."""
 
     def __init__(self, mean, scale, weights, cut, spread):
         self.mean, self.scale, self.weights, self.cut, self.spread = mean, scale, weights, cut, spread
 
-    def score(self) -> Column:
-        """The score as a column over FEATURES: 0.5 at the cut."""
-        w = self.weights / self.scale
-        constant = float(-(self.mean * w).sum() - self.cut)
-        terms = F.lit(constant)
-        for c, x in zip(FEATURES, w):
-            terms = terms + F.col(c).cast("double") * F.lit(float(x))
-        return 1 / (1 + F.exp(-terms / F.lit(float(self.spread))))
+    def score(self, f: np.ndarray) -> np.ndarray:
+        """Scores of feature rows: 0.5 at the cut."""
+        s = np.clip((f - self.mean) / self.scale, -20, 20) @ self.weights - self.cut
+        return 1 / (1 + np.exp(-np.clip(s / self.spread, -500, 500)))
 
 
 def _bradley_terry(x: np.ndarray, good: np.ndarray, pairs: int, rounds: int) -> np.ndarray:
@@ -151,16 +155,24 @@ def _bradley_terry(x: np.ndarray, good: np.ndarray, pairs: int, rounds: int) ->
     return w
 
 
-def fit(table: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Ranking:
-    """table(doc_id, FEATURES), labels(doc_id, quality); about train_rows rows come to the driver at most."""
-    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Ranking:
+    """docs(doc_id, text), labels(doc_id, quality); the features of about train_rows rows come to the driver at most."""
+    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), "quality").filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     n = known.count()
     drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, train_rows / max(n, 1)) * (1 << 30))
-    rows = table.join(drawn, "doc_id").dropDuplicates(["doc_id"]).select("quality", *FEATURES).toPandas()
-    x, y = rows[FEATURES].to_numpy(dtype=np.float64), rows["quality"].to_numpy() > 0.5
-    order = np.lexsort(np.c_[x, y].T) if len(x) else []
+    texts = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+
+    def run(it):
+        for batch in it:
+            f = features(*text_arrays(batch["text"])).astype(np.float32)
+            yield pa.RecordBatch.from_pydict({"quality": batch["quality"], "f": pa.array(list(f), pa.list_(pa.float32()))})
+
+    rows = texts.mapInArrow(run, "quality double, f array<float>").toPandas()
+    x = np.array(rows["f"].tolist(), dtype=np.float64).reshape(len(rows), WIDTH)
+    y = rows["quality"].to_numpy() > 0.5
+    order = np.lexsort(np.c_[x, y].T) if len(x) else np.zeros(0, np.int64)
     x, y = x[order], y[order]
-    zero = np.zeros(len(FEATURES))
+    zero = np.zeros(WIDTH)
     if not y.any() or y.all():
         return Ranking(zero, zero + 1, zero, 0.0, 1.0)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -173,8 +185,14 @@ def fit(table: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Ra
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score for each row of docs, learned from labels(doc_id, quality)."""
-    table = featured(docs)
-    return table.select("doc_id", fit(table, labels).score().alias("score"))
+    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(fit(plain, labels))
+
+    def run(it):
+        for batch in it:
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "score": pa.array(model.value.score(features(*text_arrays(batch["text"]))))})
+
+    return plain.mapInArrow(run, "doc_id long, score double")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
