@@ -1,13 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams (n of NGRAMS, hashed to BUCKETS) of at most TRAIN_DOCS documents per language, drawn by a hash of
-id and text, so that the model is bounded at every corpus size. The counts are partial sums per task, added up by Spark; the
-smoothed log-probability matrix (BUCKETS x languages, at most MAX_LANGS) is the broadcast. Scoring gathers, for the n-grams of
-a batch of whole texts, matrix rows and adds them up per document (numpy, sparse rows of a batch).
+Training counts n-grams (n of NGRAMS, hashed) of about TRAIN_DOCS documents per language, drawn by a hash of id and text, so
+that the model is bounded at every corpus size. The counts are partial sums per task, added up by Spark; the smoothed
+log-probability matrix (buckets x languages) is the broadcast. It has at most MATRIX_CELLS cells: every language is
+learned, and with very many of them there are fewer buckets for each. Scoring counts the hashed n-grams of a run of whole texts
+(numpy) and multiplies the counts with the matrix.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; an empty training set makes every text ``und``;
-very long texts are scored in pieces that add up; ties go to the language first in code-point order; repeated rows get equal
-results; other columns are not looked at.
+the n-grams of very long texts are counted piece by piece; ties go to the language first in code-point order; repeated rows get equal
+results; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold
+from .common import documents, fold, unused
 
 BUCKETS = 1 << 15
 NGRAMS = (1, 2, 3)
 TRAIN_DOCS = 2000
-MAX_LANGS = 512
-#: Code points that the numpy steps take at once.
-STEP_CHARS = 1 << 18
+#: Cells of the broadcast matrix (4 bytes each).
+MATRIX_CELLS = 1 << 24
+#: Code points that the numpy steps take at once, and texts whose counts they hold.
+STEP_CHARS, STEP_TEXTS = 1 << 17, 32
 #: Evidence of neighbouring n-grams overlaps; a document's log-likelihoods are divided by the root of its n-grams times this.
 TEMPER = 0.25
 UND = "und"
@@ -37,21 +39,21 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), np.cumsum([0, *map(len, framed)])
 
 
-def _hashed(codes: np.ndarray, n: int) -> np.ndarray:
+def _hashed(codes: np.ndarray, n: int, buckets: int) -> np.ndarray:
     h = np.zeros(max(0, len(codes) - n + 1), dtype=np.uint32)
     for j in range(n):
         h *= np.uint32(0x01000193)
         h ^= codes[j : len(codes) - n + 1 + j] * np.uint32(0x9E3779B1)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA6B + 2 * n)
-    return (h >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int32)
+    return (h >> np.uint32(32 - buckets.bit_length() + 1)).astype(np.int64)
 
 
-def _batches(texts: list[str]):
-    """Runs of texts of about STEP_CHARS; a longer text is cut into overlapping pieces of its own."""
+def _runs(texts: list[str]):
+    """Runs of up to STEP_TEXTS texts of about STEP_CHARS, with the number of their first."""
     run, size, first = [], 0, 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > STEP_CHARS:
+        if run and (size + len(t) > STEP_CHARS or len(run) == STEP_TEXTS):
             yield first, run
             run, size, first = [], 0, i
         run.append(t)
@@ -60,39 +62,54 @@ def _batches(texts: list[str]):
         yield first, run
 
 
-def _counts(it):
-    """Per language, the n-gram counts of this task's training documents, as one row."""
-    sums: dict[str, np.ndarray] = {}
-    for batch in it:
-        texts, langs = batch["text"].to_pylist(), batch["lang"].to_pylist()
-        for t, lang in zip(texts, langs):
-            own = sums.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-            codes, _ = _codes([t])
-            for n in NGRAMS:
-                own += np.bincount(_hashed(codes, n), minlength=BUCKETS)
-    for lang, own in sums.items():
-        at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at)), "bucket": pa.array(at, pa.int32()), "n": pa.array(own[at], pa.int64())})
+def count_ngrams(texts: list[str], buckets: int) -> np.ndarray:
+    """Hashed n-gram counts (texts x buckets)."""
+    codes, bounds = _codes(texts)
+    out = np.zeros(len(texts) * buckets, dtype=np.int64)
+    for lo in range(0, len(codes), STEP_CHARS):
+        keys = []
+        for n in NGRAMS:
+            h = _hashed(codes[lo : lo + STEP_CHARS + n - 1], n, buckets)
+            at = lo + np.arange(len(h))
+            row = np.searchsorted(bounds, at, side="right") - 1
+            inside = at + n <= bounds[row + 1]
+            keys.append((row * buckets + h)[inside])
+        out += np.bincount(np.concatenate(keys), minlength=len(out))
+    return out.reshape(len(texts), buckets)
+
+
+def _counter(buckets: int):
+    def run(it):
+        """Per language, the n-gram counts of this task's training documents."""
+        sums: dict[str, np.ndarray] = {}
+        for batch in it:
+            for t, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
+                own = count_ngrams([t], buckets)[0]
+                sums[lang] = sums[lang] + own if lang in sums else own
+        for lang, own in sums.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at)), "bucket": pa.array(at, pa.int32()), "n": pa.array(own[at], pa.int64())})
+
+    return run
 
 
 class Model:
+    """Languages and their log-probabilities (languages x buckets)."""
+
     def __init__(self, langs: list[str], logp: np.ndarray):
-        self.langs, self.logp = langs, logp
+        self.langs, self.logp = langs, np.ascontiguousarray(logp, dtype=np.float32)
+
+    def log_likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood of each text under each language, and its number of n-grams."""
+        counts = count_ngrams(texts, self.logp.shape[1])
+        return counts.astype(np.float64) @ self.logp.T.astype(np.float64), counts.sum(axis=1)
 
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         names, scores = [UND] * len(texts), [0.0] * len(texts)
         if not self.langs:
             return names, scores
-        for first, run in _batches(texts):
-            codes, bounds = _codes(run)
-            total, n_grams = np.zeros((len(run), len(self.langs))), np.zeros(len(run))
-            for n in NGRAMS:
-                h = _hashed(codes, n)
-                lo, hi = bounds[:-1], np.maximum(bounds[1:] - n + 1, bounds[:-1])
-                for k in range(len(self.langs)):
-                    summed = np.concatenate([[0.0], np.cumsum(self.logp[k][h], dtype=np.float64)])
-                    total[:, k] += summed[hi] - summed[lo]
-                n_grams += hi - lo
+        for first, run in _runs(texts):
+            total, n_grams = self.log_likelihoods(run)
             z = total / (TEMPER * np.sqrt(np.maximum(n_grams, 1)))[:, None]
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -106,21 +123,24 @@ class Model:
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """docs(doc_id, text, lang): learn from rows with a text and a language, about train_docs of each language."""
     labelled = docs.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros((0, BUCKETS)))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, train_docs / n))])
-    drawn = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30))
-    counted = drawn.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    buckets = BUCKETS
+    while buckets > 1 and buckets * len(sizes) > MATRIX_CELLS:
+        buckets //= 2
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, train_docs / n)) for lang, n in sizes.items()], "lang string, share double")
+    drawn = labelled.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    counted = drawn.select("lang", "text").mapInArrow(_counter(buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     langs = sorted(sizes)
-    table = np.zeros((len(langs), BUCKETS))
-    rows = counted.toArrow()  # bounded: BUCKETS rows for each of at most MAX_LANGS languages
+    table = np.zeros((len(langs), buckets))
+    rows = counted.toArrow()  # at most MATRIX_CELLS rows
     if rows.num_rows:
         at = {lang: k for k, lang in enumerate(langs)}
         np.add.at(table, (np.array([at[x] for x in rows["lang"].to_pylist()]), rows["bucket"].to_numpy()), rows["n"].to_numpy())
     seen = table.sum(axis=1) > 0
     langs, table = [x for x, s in zip(langs, seen) if s], table[seen]
-    return Model(langs, np.log((table + 0.5) / (table + 0.5).sum(axis=1, keepdims=True)).astype(np.float32))
+    return Model(langs, np.log((table + 0.5) / (table + 0.5).sum(axis=1, keepdims=True)))
 
 
 def predict(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -142,7 +162,8 @@ def predict(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str =
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs whose language is known with a score of at least `least`; learns from the rows of the training folds."""
     model = fit(docs.filter(fold("doc_id", 4) != 2))
-    return predict(docs, model, "__lang", "__score").filter((F.col("__lang") != UND) & (F.col("__score") >= least)).select(*docs.columns)
+    lang, score = unused(docs, 2)
+    return predict(docs, model, lang, score).filter((F.col(lang) != UND) & (F.col(score) >= least)).select(*docs.columns)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
