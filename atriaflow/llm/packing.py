@@ -12,6 +12,10 @@ A quantum must be at least one token for the closed form to be monotone; sources
 share queue 0. What this queue is served is dealt to its sources by the same closed form, over windows GROWTH times as large; sources
 below one token there share the queue 0 of the next level, until none is left. The totals of the sources are on the driver.
 
+A mixture may be asked for by `proportions`; without, it is each source's share of all tokens. Where a source runs dry before the
+others, a phase ends there and the rest go on in their proportions to one another: within a phase the shares are those of its
+tokens, so the same closed form serves it. There are as many phases as sources at most, planned from their totals.
+
 Token ids are made once and stored; positions come from running sums per (task, queue) plus a prefix over these sums.
 Nothing is grouped by source, so a hot source is spread as its documents are.
 
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -195,12 +200,58 @@ class Plan:
                 yield w, offset, take
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW) -> DataFrame:
-    """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, queue."""
+class Mixture:
+    """Plans by phase: in each, the sources that have tokens left are served in their proportions until one runs dry."""
+
+    def __init__(self, sizes: list[int], window: int, proportions: list[float] | None = None):
+        self.window = window
+        #: for each phase: tokens before it, tokens of each source before it, plan
+        self.phases: list[tuple[int, list[int], Plan]] = []
+        shares = [Fraction(p) for p in proportions] if proportions else [Fraction(n) for n in sizes]
+        left, served, total = list(sizes), [0] * len(sizes), 0
+        while any(left):
+            live = [i for i, n in enumerate(left) if n]
+            weighed = [i for i in live if shares[i] > 0]
+            if weighed:
+                # whole tokens up to the moment at which the first is empty; that one gives all it has
+                rounds, first = min((left[i] / shares[i], i) for i in weighed)
+                part = [0] * len(left)
+                for i in weighed:
+                    part[i] = left[i] if i == first else min(left[i], int(rounds * shares[i]))
+            else:
+                part = list(left)
+            self.phases.append((total, list(served), Plan(part, window)))
+            total += sum(part)
+            served = [a + b for a, b in zip(served, part)]
+            left = [a - b for a, b in zip(left, part)]
+
+    def pieces(self, source: int, start: int, n: int):
+        """(window, offset there, tokens) of the n tokens of a source from position start on."""
+        for at, (total, served, plan) in enumerate(self.phases):
+            upto = self.phases[at + 1][1][source] if at + 1 < len(self.phases) else start + n
+            take = min(start + n, upto) - start
+            if take <= 0:
+                continue
+            for w, offset, length in plan.pieces(source, start - served[source], take):
+                place = total + w * self.window + offset
+                while length:
+                    here = min(length, self.window - place % self.window)
+                    yield place // self.window, place % self.window, here
+                    place, length = place + here, length - here
+            start, n = start + take, n - take
+            if not n:
+                return
+
+
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, proportions: dict[str | None, float] | None = None) -> DataFrame:
+    """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, queue.
+
+    proportions: weights of the sources in every window, as long as each has tokens; those not named come after all others.
+    """
     tokens = tokenized(docs, vocabulary or vocabulary_path())
     sums = stored(tokens.groupBy("task", "source").agg(F.sum("n_tokens").alias("tokens")), "task_sums")
     totals = sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy(F.col("source").isNull(), "source").collect()
-    plan = Plan([r["tokens"] for r in totals], window)
+    plan = Mixture([r["tokens"] for r in totals], window, proportions and [proportions.get(r["source"], 0) for r in totals])
     named = docs.sparkSession.createDataFrame([(r["source"], i) for i, r in enumerate(totals)], "source string, queue int")
     keyed = sums.withColumnRenamed("source", "s").join(F.broadcast(named), F.col("s").eqNullSafe(F.col("source"))).drop("s")
     base = keyed.withColumn("base", F.coalesce(F.sum("tokens").over(Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
