@@ -58,10 +58,12 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, payload binary) with refers_to: the page_id that a revisit repeats, else null.
 
     The first page of each payload is found with partial aggregates of (digest, min id), so copies meet only as
-    one row per task; only payloads that occur twice or more are joined back.
+    one row per task; only payloads that occur twice or more are joined back, from a stored table with one row for each, so that
+    Spark can split the pages of a hot payload.
     """
     keyed = pages.withColumn("payload_key", F.sha2("payload", 256))
     again = keyed.filter(F.octet_length("payload") >= min_bytes).groupBy("payload_key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 AND first_id IS NOT NULL").drop("n")
+    again = stored(again, "again")
     return keyed.join(again, "payload_key", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("payload_key", "first_id")
 
 
@@ -191,9 +193,11 @@ def _gathered(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
     """Read again the files of records whose bytes lie in several pieces, and put each record's pieces together."""
     files = records.select("file").distinct()
     pieces = _placed(_pieces(spark, path).join(files, "file", "left_semi"), F.octet_length("value").cast("long")).filter("start >= 0").select("file", F.col("start").alias("piece"), "value")
-    spans = records.select("file", "start", "successor")
-    own = pieces.join(spans, "file").filter("piece >= start AND piece < successor")
-    joined = own.groupBy("file", "start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
+    # a record starts at a piece; its other pieces are those up to the next record's
+    spans = records.select("file", F.col("start").alias("piece"), F.struct(F.col("start").alias("piece"), "successor").alias("span"))
+    upto = Window.partitionBy("file").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
+    own = pieces.join(spans, ["file", "piece"], "left").withColumn("span", F.last("span", ignorenulls=True).over(upto)).filter("piece < span.successor")
+    joined = own.groupBy("file", F.col("span.piece").alias("start")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
     both = records.drop("payload_bytes", "payload_digest", "http_bytes").join(joined, ["file", "start"])
     block = F.substring(F.col("value").cast("binary"), (F.col("head_bytes") + len(GAP) + 1).cast("int"), F.col("block_bytes").cast("int"))
     payload, http = _payload_of(block, F.col("content_type"))
