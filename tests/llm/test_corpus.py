@@ -65,6 +65,18 @@ def test_exact_history(spark):
     assert got == {3: (1, False), 4: (5, False), 5: (5, True)}
 
 
+def test_exact_history_of_one_table(spark):
+    rows = [(i, f"t{i % 7}") for i in range(10)] + [(20, "t1"), (None, "t2"), (None, "new"), (None, "new"), (20, "t1")]
+    got = exact_dedup.group_exact(docs(spark, rows)).toPandas()
+    for r in got.itertuples():
+        own = [i for i, t in rows if hashlib.sha256(t.encode()).hexdigest() == r.text_sha256]
+        ids = [i for i in own if i is not None]
+        assert r.group_size == len(own) and (r.keep_id == max(ids) if ids else r.keep_id != r.keep_id)
+    assert got.groupby("text_sha256")["kept"].sum().eq(1).all()
+    clash = docs(spark, rows).withColumnRenamed("label", "__own0").withColumnRenamed("lang", "digest")
+    assert exact_dedup.keep_exact(clash).columns == clash.columns and exact_dedup.keep_exact(clash).count() == 8
+
+
 def test_perfect_hash_is_minimal(spark):
     rows = [(i, f"t{i}") for i in range(9000)]
     index = exact_dedup.build_index(exact_dedup.winners(exact_dedup.light(docs(spark, rows))), ["winner"])
@@ -73,6 +85,18 @@ def test_perfect_hash_is_minimal(spark):
         assert sorted(g["slot"]) == list(range(len(g)))
 
 
+def test_perfect_hash_takes_another_seed():
+    import pandas as pd
+
+    made = [hashlib.sha256(bytes([i])).hexdigest() for i in range(40)]
+    # two digests that differ, but agree in both hashes of the first seed
+    made[1] = made[1][:21] + made[0][21:35] + made[1][35:]
+    got = exact_dedup._fill(pd.DataFrame({"digest": made, "bucket": [i // 4 for i in range(40)]}))
+    assert (got["seed"] > 0).all() and sorted(got["slot"]) == list(range(40))
+    with pytest.raises(ValueError):
+        exact_dedup._fill(pd.DataFrame({"digest": [made[0]] * 2, "bucket": [0, 0]}))
+
+
 def test_quality_ranks_held_out(spark):
     good = [(i, words(i, 80).capitalize() + ".") for i in range(150)]
     bad = [(i, "$$$ ### " * 40 + words(i, 5).upper()) for i in range(150, 300)]
@@ -84,6 +108,36 @@ def test_quality_ranks_held_out(spark):
     assert {r["score"] for r in quality.score(d, labels.filter("quality = 7")).collect()} == {0.5}
 
 
+def test_pairwise_loss_is_least():
+    """The weights against plain gradient descent on the same loss over the same pairs."""
+    r = np.random.default_rng(4)
+    x, good = r.normal(size=(60, 3)), np.arange(60) < 25
+    x[good, 0] += 1.0
+    got = quality._bradley_terry(x, good, 400, quality.ROUNDS)
+    rng = np.random.default_rng(0)
+    up, down = np.flatnonzero(good), np.flatnonzero(~good)
+    d = x[rng.choice(up, 400)] - x[rng.choice(down, 400)]
+    w = np.zeros(3)
+    for _ in range(20_000):
+        w += 0.05 * ((d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) - quality.RIDGE * w)
+    assert np.allclose(got, w, atol=1e-4)
+
+
+def test_quality_features_and_defined_cases(spark):
+    texts = ["Ab, cd.\nab!", "", "x", "é é $$"]
+    raw = [t.encode() for t in texts]
+    f = quality.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    at = quality.FEATURES.index
+    assert f.shape == (4, quality.WIDTH) and f[0, at("upper")] == 1 / 11 and f[0, at("newline")] == 1 / 11 and list(f[:, at("no_text")]) == [0, 1, 0, 0]
+    assert f[3, at("distinct_words")] == 2 / 3 and np.allclose((f[:, len(quality.FEATURES) : -quality.HASHED] ** 2).sum(axis=1), [1, 0, 1, 1])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    rows = [(i, words(1, 30) if i % 2 else "$$$ ||| " * (20 if i else 20_000)) for i in range(40)]
+    got = quality.score(docs(spark, rows + rows[:3]), labels).toPandas()
+    assert len(got) == 43 and got.groupby("doc_id")["score"].nunique().max() == 1
+    assert ((got["score"] > 0.5) == (got["doc_id"] % 2 == 1)).all()
+    assert quality.score(docs(spark, []), labels).count() == 0
+
+
 def test_syncmers_are_context_free():
     a, b, c = words(1, 300), words(2, 200), words(3, 200)
     at, h = syncmers._syncmers(np.frombuffer((b + a).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
@@ -108,6 +162,61 @@ def test_fingerprints_follow_the_next_document(spark):
     assert one["near_next"] == 1.0
 
 
+def test_fingerprints_hold_all_anchors_below_the_threshold():
+    texts = [words(1, 40), words(2, 3000), "ab" * 4000, "short", ""]
+    for t, f in zip(texts, syncmers.fingerprints(texts)):
+        at, h = syncmers._syncmers(np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
+        brute = [(int(x), int(p)) for x, p in zip(h, at) if x <= f.limit]
+        if len(t) > 12:
+            assert list(zip(f.h.tolist(), f.at.tolist())) == brute
+            assert len({x for x, _ in brute}) >= min(syncmers.LEAST, len(set(h.tolist())))
+    assert len(syncmers.fingerprints([words(2, 3000)])[0].at) > 150  # grows with the text
+    assert [str(f) == "" for f in syncmers.fingerprints(texts)] == [False] * 4 + [True]
+
+
+def test_likeness_is_the_longest_common_chain():
+    r = np.random.default_rng(8)
+
+    def brute(a, b):
+        limit = min(a.limit, b.limit)
+        sides = []
+        for f in (a, b):
+            seen, out = {}, {}
+            for h, p in zip(f.h.tolist(), f.at.tolist()):
+                if h <= limit:
+                    seen[h] = seen.get(h, -1) + 1
+                    out[h, seen[h]] = p
+            sides.append(out)
+        x, y = ([k for k, _ in sorted(s.items(), key=lambda e: e[1]) if k in sides[1 - i]] for i, s in enumerate(sides))
+        table = np.zeros((len(x) + 1, len(y) + 1), dtype=int)
+        for i in range(len(x)):
+            for j in range(len(y)):
+                table[i + 1, j + 1] = table[i, j] + 1 if x[i] == y[j] else max(table[i, j + 1], table[i + 1, j])
+        either = len(sides[0].keys() | sides[1].keys())
+        return table[-1, -1] / either if either else 0.0
+
+    for _ in range(30):
+        a, b = words(int(r.integers(3)), int(r.integers(20, 400))), words(int(r.integers(3)), int(r.integers(20, 400)))
+        cut = int(r.integers(len(a)))
+        f, g = syncmers.fingerprints([a, b[cut // 2 :] + a[cut:] + b[: cut // 2]])
+        assert f.likeness(g) == brute(f, g)
+
+
+def test_ranges_of_the_order():
+    bounds = np.array([[-5, 3], [-5, 9], [0, 0], [7, 1]])
+    at, bound = syncmers.placed_in(bounds, np.array([-5, -5, -5, -4, 0, 7, 8]), np.array([3, 8, 9, 0, 0, 2, 0]))
+    assert list(at) == [0, 0, 1, 1, 2, 3, 3] and list(bound) == [True, False, True, False, True, False, False]
+
+
+def test_fingerprints_of_repeated_rows(spark):
+    rows = [(i % 5, f"{i % 5} text") for i in range(200)] + [(None, "n")] * 3 + [(9, "b"), (9, "a")]
+    got = syncmers.fingerprint_documents(docs(spark, rows).repartition(6)).toPandas()
+    assert len(got) == len(rows) and syncmers.fingerprint_documents(docs(spark, [])).count() == 0
+    inner = got[got["doc_id"] == 3]["edited_sha256"].value_counts()
+    # all but the last of equal rows are followed by one of their own
+    assert sorted(inner) == [1, 39] and inner.idxmax() == hashlib.sha256(syncmers.edited("3 text", "3 text").encode()).hexdigest()
+
+
 def test_near_groups_equal_brute_force(spark):
     base = [words(i, 120).split() for i in range(25)]
     rows, passage = [], words(99, 60).split()
@@ -264,13 +373,78 @@ def test_language_held_out(spark):
     assert langid.keep_identified(d.withColumnRenamed("label", "score")).columns[-1] == "score"
 
 
+def test_language_equals_plain_naive_bayes(spark):
+    rng = np.random.default_rng(1)
+    text = lambda letters, n: " ".join("".join(rng.choice(list(letters), 4)) for _ in range(n))
+    rows = [(i, text("abcdeé" if i % 2 else "éfgh日", 1 + i % 30), "aa" if i % 2 else "bb") for i in range(120)]
+    model = langid.fit(docs(spark, rows))
+
+    def grams(t):
+        codes, bounds = langid._codes([t])
+        return [int(h) for n in langid.NGRAMS for i in range(len(codes) - n + 1) for h in langid._hashed(codes[i : i + n], n, langid.BUCKETS)]
+
+    counts = {lang: np.zeros(langid.BUCKETS) for lang in ("aa", "bb")}
+    for _, t, lang in rows:
+        for h in grams(t):
+            counts[lang][h] += 1
+    tests = [text("abfg日", 7), text("abc", 3), "é", text("aéf", 90_000), ""]  # the fourth takes several steps
+    got, n = model.log_likelihoods(tests)
+    for i, t in enumerate(tests):
+        own = grams(t) if len(t) < 1000 else None
+        if own is not None:
+            want = [sum(np.log((counts[x][h] + 0.5) / (counts[x] + 0.5).sum()) for h in own) for x in ("aa", "bb")]
+            assert n[i] == len(own) and np.allclose(got[i], want, rtol=1e-5)
+    assert n[3] == 3 * (len(tests[3]) + 2) - 3
+
+
+def test_language_defined_cases(spark):
+    many = [(i, f"{words(i % 700, 6)}", f"l{i % 700}") for i in range(2100)]
+    model = langid.fit(docs(spark, many))
+    assert len(model.langs) == 700 and model.logp.size <= langid.MATRIX_CELLS
+    same = langid.fit(docs(spark, [(1, "abc", "b"), (2, "abc", "a")]))
+    got = langid.predict(docs(spark, [(1, "abc"), (1, "abc"), (None, "x" * 300_000), (2, None)]), same).toPandas()
+    assert list(got["lang_pred"]) == ["a", "a", "a", "und"] and list(got["score"])[:2] == [0.5, 0.5]
+    assert langid.predict(docs(spark, []), same).count() == 0 and langid.fit(docs(spark, [])).score(["abc"]) == (["und"], [0.0])
+
+
+TURNS = "conv_id long, turn long, role string, text string, part string, n string"
+
+
 def test_chat_perspectives(spark):
-    rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 300, "ann", "bye"), (2, 0, "system", "only"), (3, None, None, "x")]
-    got = {(r["conv_id"], r["part"], r["perspective"]): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {(1, 0, "ann"), (1, 0, "bob"), (1, 1, "ann"), (1, 1, "bob"), (3, 0, "unknown")}
+    rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 300, "ann", "bye <|im_end|>"), (2, 0, "system", "only"), (3, None, None, "x")]
+    got = {(r["conv_id"], r["part"], r["perspective"]): r for r in chat.rotate(spark.createDataFrame([(*r, "x", "y") for r in rows], TURNS)).collect()}
+    assert set(got) == {(1, 0, "ann"), (1, 0, "bob"), (3, 0, "unknown")}
     r = got[1, 0, "ann"]
-    lo, hi = map(int, r["mask"].split(":"))
-    assert r["rendered"][lo:hi] == "hi<|im_end|>\n" and "user name=bob" in r["rendered"] and r["n_chars"] == len(r["rendered"])
+    spans = [r["rendered"][slice(*map(int, x.split(":")))] for x in r["mask"].split(",")]
+    assert spans == ["hi<|im_end|>\n", "bye <\\|im_end|><|im_end|>\n"]
+    assert "user name=bob" in r["rendered"] and r["n_chars"] == len(r["rendered"]) and r["starts_at"] == 0
+    assert chat.rotate(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_chat_renders_whole_dialogues(spark):
+    """Conversations longer than a row, with equal and null turns, repeated rows and long texts, against a plain rendering."""
+    rng = np.random.default_rng(3)
+    names = ["ann", "bo\nb", "system", None, "assistant"]
+    rows = [(int(rng.integers(2)) or None, [None, 5, int(rng.integers(50))][i % 3], names[int(rng.integers(5))], "t" * int(rng.integers(9))) for i in range(700)]
+    rows += [(7, 0, "ann", "é" * 200_000), (7, 0, "ann", "é"), *[(8, 1, "bob", "same")] * 30]
+    turns = spark.createDataFrame([(*r, "x", "y") for r in rows], TURNS).repartition(5)
+    got = {}
+    for r in sorted(chat.rotate(turns, 16).collect(), key=lambda r: r["part"]):
+        text, mask = got.setdefault((r["conv_id"], r["perspective"]), ("", []))
+        assert r["starts_at"] == len(text) and r["n_chars"] == len(r["rendered"]) and r["n_turns"] <= 16
+        got[r["conv_id"], r["perspective"]] = text + r["rendered"], mask + [tuple(map(int, x.split(":"))) for x in r["mask"].split(",") if x]
+    want = {}
+    for conv in {r[0] for r in rows}:
+        own = sorted((-1 if t is None else t, "unknown" if x is None else x, m) for c, t, x, m in rows if c == conv)
+        for who in {x for _, x, _ in own} - {"system"}:
+            text, mask = "", []
+            for _, x, m in own:
+                name = x.replace("\n", " ")
+                text += "<|im_start|>" + ("assistant" if x == who else "system" if x == "system" else f"user name={name}") + "\n"
+                mask += [(len(text), len(text) + len(m) + 11)] if x == who else []
+                text += m + "<|im_end|>\n"
+            want[conv, who] = text, mask
+    assert got == want
 
 
 def test_substrings_equal_brute_force(spark):
@@ -364,6 +538,32 @@ def test_packing_mixes_a_hundred_sources(spark):
     assert len(full) and (full == 100).all()
 
 
+def test_given_proportions_fill_every_window():
+    sizes, shares = [40_000, 9_000, 30_000, 500, 0, 3_000], [0.5, 0.125, 0.25, 0.125, 1.0, 0.0]
+    plan, total = packing.Mixture(sizes, 2048, shares), sum(sizes)
+    served, taken = np.zeros((-(-total // 2048), len(sizes)), dtype=np.int64), np.zeros(total, dtype=np.int64)
+    for i, n in enumerate(sizes):
+        at = 0
+        for start, length in ((0, n // 3), (n // 3, n - n // 3)):
+            for w, offset, take in plan.pieces(i, start, length):
+                assert offset + take <= 2048 and w * 2048 + offset >= at
+                at = w * 2048 + offset + take
+                taken[at - take : at] += 1
+                served[w, i] += take
+    assert (taken == 1).all() and list(served.sum(axis=0)) == sizes
+    assert (abs(served[0] - [1024, 256, 512, 256, 0, 0]) <= 2).all()
+    # without the fourth the others keep their proportions to one another; the one without a weight comes last
+    assert (abs(served[4, :3] / 2048 - np.array([4, 1, 2]) / 7) < 0.01).all() and served[-2, 5] == 2048
+
+
+def test_packing_takes_proportions(spark):
+    rows = [(i, words(i, 90), "en", "ab"[i % 2]) for i in range(300)]
+    got = packing.pack(docs(spark, rows), proportions={"a": 3, "b": 1}).toPandas()
+    first = got[got["sequence_id"] == 0].groupby("source")["length"].sum()
+    assert first["a"] == 1536 and first["b"] == 512
+    assert got.groupby("doc_id")["length"].sum().eq(got.groupby("doc_id")["doc_tokens"].first()).all()
+
+
 def test_pipeline_runs(spark, tmp_path):
     import corpus_pipeline
 
