@@ -32,18 +32,41 @@ def unipoles(bipole: Column) -> Column:
     return F.when(one != "", F.array(F.concat(lead, one), F.concat(lead, two)))
 
 
+#: Time-series column without prefix and suffix, its unit.
+CHANNEL_UNITS = {
+    "totalforce": "g",
+    "meantotalforce": "g",
+    "lateralforce": "g",
+    "axialforce": "g",
+    "forcetimeintegral": "g*s",
+    "alphaangle": "deg",
+    "thetaangle": "deg",
+    "cavitydistance1": "mm",
+    "cavitydistance2": "mm",
+    "cavitydistance3": "mm",
+    "thermocouple1temp": "degC",
+    "thermocouple2temp": "degC",
+    "thermistortemp": "degC",
+    "ablduration": "s",
+    "tx": "mm",
+    "ty": "mm",
+    "tz": "mm",
+    "anglefrommidline": "deg",
+}
+
+
 def channel_unit(c: Column) -> Column:
-    """The unit of a time-series column, from its name without ``c<n>_`` before and ``_<n>`` after it."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"^c\d+_", ""), r"_\d+$", "")
-    return (
-        F.when(c.rlike(r"_(ds|ps)$"), "unknown")
-        .when(c.rlike(r"^c\d+[xyz]$"), "mm")
-        .when(F.lower(bare).rlike("force"), "g")
-        .when(F.lower(bare).rlike("angle"), "deg")
-        .when(F.lower(bare).rlike("temp"), "degC")
-        .when(F.lower(bare).rlike("distance"), "mm")
-        .otherwise("unknown")
-    )
+    """The unit of a time-series column, from its name without ``c<n>_`` before and ``_<n>`` after it; status columns have none."""
+    name = F.trim(c)
+    bare = F.lower(F.regexp_replace(F.regexp_replace(name, r"(?i)^c\d+_", ""), r"_\d+$", ""))
+    units = F.create_map(*[F.lit(x) for kv in CHANNEL_UNITS.items() for x in kv])
+    known = F.when(name.rlike(r"(?i)^c\d+[xyz]$"), "mm").otherwise(F.coalesce(F.try_element_at(units, bare), F.lit("unknown")))
+    return F.when(name.rlike(r"_(ds|ps)$"), "unknown").otherwise(known)
+
+
+def cloud_unit(c: Column) -> Column:
+    """Registered positions (``trn_``) are in mm, the tracking frame names no scale."""
+    return F.when(F.lower(F.trim(c)).startswith("trn_"), "mm").otherwise("unknown")
 
 
 def wallclock_seconds(df: DataFrame, clock: str, keys: list[str]) -> DataFrame:

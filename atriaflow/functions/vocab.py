@@ -89,36 +89,117 @@ def point_annotations(names: list[str], *cols: Column, markers: tuple = ("refere
     return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*kept)), lambda k, v: v.isNotNull())
 
 
-#: Tokens of a file name, the polarity they mean.
-POLARITY = {"bi": "bipolar", "bip": "bipolar", "bipolar": "bipolar", "bipolr": "bipolar", "uni": "unipolar", "unip": "unipolar", "unipolar": "unipolar", "unipolr": "unipolar"}
+#: A file stem's suffix that names its polarity, with the letters that exports lose.
+BIPOLAR_SUFFIX = r"(?i)[-_ ]?(?:bi?polar|bipol|bi)$"
+UNIPOLAR_SUFFIX = r"(?i)[-_ ]?(?:uni?polar|unipol|uni)$"
+#: Tokens that name the type of a map.
+TYPE_TOKENS = ["voltage", "remap", "premap", "vt", "stim", "lvstim", "rvstim", "deep", "pre"]
+#: Polarity, quantity.
+POLARITY_KINDS = {"bi": "voltage_bipolar", "bipolar": "voltage_bipolar", "omni": "voltage_bipolar", "uni": "voltage_unipolar", "unipolar": "voltage_unipolar"}
+#: Channel of a point export, quantity.
+DXL_CHANNELS = {
+    "lat": "activation_time",
+    "score": "map_score",
+    "cfemean": "cfe_mean",
+    "cfestddev": "cfe_stddev",
+    "fractionation": "fractionation",
+    "pfreq": "peak_frequency",
+    "pneg": "voltage_peak_negative",
+}
+
+
+def lookup(table: dict[str, str], key: Column) -> Column:
+    """The value of a small fixed table, else null."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
+def split_polarity(stem: Column) -> tuple[Column, Column]:
+    """The stem without its polarity suffix, and the polarity (null without a suffix)."""
+    polarity = F.when(stem.rlike(BIPOLAR_SUFFIX), "bipolar").when(stem.rlike(UNIPOLAR_SUFFIX), "unipolar")
+    base = F.when(polarity == "bipolar", F.regexp_replace(stem, BIPOLAR_SUFFIX, "")).when(polarity == "unipolar", F.regexp_replace(stem, UNIPOLAR_SUFFIX, ""))
+    return F.coalesce(base, stem), polarity
 
 
 def describe_files(files: DataFrame, col: str = "stem") -> DataFrame:
-    """Polarity from the last token of a file stem, the stem without it as group key, surface side and kind of quantity."""
-    tokens = F.split(F.lower(F.trim(F.col(col))), r"[\s_\-]+")
-    last = F.element_at(tokens, -1)
-    table = F.create_map(*[F.lit(x) for kv in POLARITY.items() for x in kv])
-    polarity = F.try_element_at(table, last)
-    group = F.when(polarity.isNotNull() & (F.size(tokens) > 1), F.array_join(F.slice(tokens, 1, F.size(tokens) - 1), " ")).otherwise(F.array_join(tokens, " "))
-    side = F.when(F.array_contains(tokens, "epi"), "epi").when(F.array_contains(tokens, "endo"), "endo")
-    kind = F.when(polarity == "unipolar", "voltage_unipolar").otherwise("voltage_bipolar")
-    return files.withColumn("polarity", polarity).withColumn("group_key", group).withColumn("side", side).withColumn("kind", kind)
+    """group_key, polarity, part, type_tokens and kind of file stems.
 
+    The suffix says the polarity; without one the last token that begins with uni or bi does. The group key is the stem without
+    its suffix. The kind is the polarity's voltage, bipolar if nothing is said.
+    """
+    base, suffix = split_polarity(F.col(col))
+    tokens = F.filter(F.split(F.regexp_replace(col, r"(?i)^Contact_Mapping_Model_?", ""), r"[_\-\s]+"), lambda t: t != "")
+    low = F.transform(tokens, F.lower)
+    named = F.element_at(F.filter(low, lambda t: t.startswith("uni") | t.startswith("bi")), -1)
+    polarity = F.coalesce(suffix, F.when(F.size(F.filter(low, lambda t: t.startswith("uni") | t.startswith("bi"))) > 0, F.when(named.startswith("uni"), "unipolar").otherwise("bipolar")))
+    part = F.when(F.array_contains(low, "endo"), "endo").when(F.array_contains(low, "epi"), "epi")
+    typed = F.filter(low, lambda t: F.exists(F.array(*map(F.lit, TYPE_TOKENS)), lambda x: t.contains(x)))
+    out = files.withColumns({"group_key": base, "polarity": polarity, "part": part, "type_tokens": typed})
+    return out.withColumn("kind", F.coalesce(lookup(POLARITY_KINDS, F.col("polarity")), F.lit("voltage_bipolar")))
 
-#: Ordered patterns on an upper-case map name; the first match counts.
-ATRIA = [("RA", r"(^|[^A-Z])RA([^A-Z]|$)|RIGHT ATRI"), ("LA", r"(^|[^A-Z])LA([^A-Z]|$)|LEFT ATRI")]
-PARTS = [("anterior", r"ANT"), ("posterior", r"POST"), ("septal", r"SEPT"), ("lateral", r"LAT(ERAL)?([^A-Z]|$)"), ("appendage", r"LAA|RAA|APPEND")]
-TYPES = [("pacemap", r"PACE|PASO"), ("voltage", r"VOLT|BIP|SUBSTRATE"), ("activation", r"LAT MAP|ACTIV|TACHY")]
 
+def dxl_quantity(map_type: Column, value_column: Column) -> tuple[Column, Column]:
+    """Kind and measurement name of a point export's map type; only pp takes its kind from the polarity.
 
-def _first_match(name: Column, patterns: list[tuple[str, str]]) -> Column:
+    Other channels keep the bare name when bipolar and end in _uni when unipolar; unknown ones keep the export's column name.
+    """
+    base, polarity = split_polarity(map_type)
+    channel = F.lower(F.trim(F.when(base == "", map_type).otherwise(base)))
+    kind = F.coalesce(F.when(channel == "pp", lookup(POLARITY_KINDS, polarity)).otherwise(lookup(DXL_CHANNELS, channel)), F.lit("unknown"))
+    name = F.when(kind == "unknown", value_column).otherwise(kind)
+    return kind, F.when((channel != "pp") & (polarity == "unipolar"), F.concat(name, F.lit("_uni"))).otherwise(name)
+
+
+#: Patterns on the upper-case map and study name, and the chamber they mean; the first match counts.
+ATRIUM_PATTERNS = [
+    (r"\bVT\b", "LV"),
+    (r"\bLA\b|LEFT[\s_-]*ATRI|RE[-]?LA\b", "LA"),
+    (r"\bRA\b|RIGHT[\s_-]*ATRI|RE[-]?RA\b", "RA"),
+    (r"\bVERA\b", "LA"),
+]
+#: Patterns on the upper-case map name and the region they mean; the first match counts, "" is the whole chamber.
+PART_PATTERNS = [
+    (r"\bALLES\b|\bALL\b|\bFULL\b", ""),
+    (r"POST(?:ERIOR)?[\s_-]*INF(?:ERIOR)?|POST[\s_-]*INF", "posterior inferior wall"),
+    (r"POST(?:ERIOR)?[\s_-]*WALL|[\s_-]PW\b", "posterior wall"),
+    (r"ANT(?:ERIOR)?[\s_-]*WALL|[\s_-]AW\b", "anterior wall"),
+    (r"LAT(?:ERAL)?[\s_-]*WALL", "lateral wall"),
+    (r"\bROOF\b|\bDACH\b", "roof"),
+    (r"\bFLOOR\b|\bBODEN\b", "floor"),
+    (r"SEPT(?:AL)?[\s_-]*WALL?|[\s_-]SEP\b", "septal wall"),
+    (r"INF(?:ERIOR)?[\s_-]*WALL", "inferior wall"),
+    (r"\bISTHMUS\b", "isthmus"),
+    (r"[\s_-]POST\b|^POST\b|\bPOSTERIOR\b", "posterior wall"),
+    (r"[\s_-]ANT\b|^ANT\b|\bANTERIOR\b", "anterior wall"),
+    (r"[\s_-]LAT\b|^LAT\b|\bLATERAL\b", "lateral wall"),
+    (r"[\s_-]SEP\b|^SEP\b|\bSEPTAL\b", "septal wall"),
+    (r"\bINFERIOR\b", "inferior wall"),
+]
+#: The right atrium has no anterior wall.
+RA_FRONT, RA_FRONT_PART = r"ANT(?:ERIOR)?", "lateral wall"
+#: Patterns on the upper-case map name and the type of map they mean; the first match counts.
+TYPE_PATTERNS = [
+    (r"\bICPM\b|IC[\s_-]*PM\b|IC[\s_-]*PACE|IC[\s_-]*PATTERN|PATTERN[\s_-]*MATCH|PACE[\s_-]*MAP\b|PACE[\s_-]*PATTERN\b|PACEMAP\b|PACEPM", "pacemapping"),
+    (r"\bAFIB\b|AF\b|ATRIAL\s+FIB", "AFIB"),
+    (r"\bAFL\b|FLUTTER|ATRIAL\s+FLUTTER", "flutter"),
+    (r"\bVT\b|VENTRICULAR\s+TACH", "VT"),
+    (r"\bBIPOLAR\b", "voltage"),
+    (r"\bSR\b|\bSINUS\b", "activation-SR"),
+    (r"\bRPV\b|\bLPV\b|\bPVI\b|PULMONARY\s+VEIN", "PV-isolation"),
+    (r"RE[\s_-]?(LA|RA|IC|PV)\b|REANNOTATION", "reannotation"),
+]
+
+
+def first_match(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    """The value of the first pattern that the text matches, else null."""
     out = F.lit(None).cast("string")
-    for value, pattern in reversed(patterns):
-        out = F.when(F.upper(name).rlike(pattern), F.lit(value)).otherwise(out)
+    for pattern, value in reversed(patterns):
+        out = F.when(text.rlike(pattern), F.lit(value)).otherwise(out)
     return out
 
 
 def tag_by_name(maps: DataFrame) -> DataFrame:
-    """Atrium, region and map type from the map's name; the front of the right atrium counts as lateral."""
-    out = maps.withColumn("atrium", _first_match(F.col("map_name"), ATRIA)).withColumn("region", _first_match(F.col("map_name"), PARTS)).withColumn("map_type", _first_match(F.col("map_name"), TYPES))
-    return out.withColumn("region", F.when((F.col("atrium") == "RA") & (F.col("region") == "anterior"), "lateral").otherwise(F.col("region")))
+    """Atrium, part and map_type of maps(map_name, study_name); part is "" where the name says the whole chamber."""
+    name = F.upper("map_name")
+    out = maps.withColumn("atrium", first_match(F.upper(F.concat_ws(" ", F.coalesce("map_name", F.lit("")), F.coalesce("study_name", F.lit("")))), ATRIUM_PATTERNS))
+    front = (F.col("atrium") == "RA") & name.rlike(RA_FRONT)
+    return out.withColumn("part", F.when(front, RA_FRONT_PART).otherwise(first_match(name, PART_PATTERNS))).withColumn("map_type", first_match(name, TYPE_PATTERNS))

@@ -39,13 +39,19 @@ def signal_header(waveforms: DataFrame) -> DataFrame:
     return c.groupBy("study_id").agg(F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("channels"), F.count_distinct("sample_rate").alias("n_rates"))
 
 
-def report_table(ids: DataFrame, areas: DataFrame, stats: DataFrame, interval_areas: DataFrame, labels: list[str]) -> DataFrame:
-    """One row per requested map: area, statistics and a column per interval, rounded to 4; maps not found keep a row of nulls."""
-    wide = interval_areas.groupBy("map_id").pivot("label", labels).agg(F.first("area_cm2"))
-    out = ids.select("map_id").distinct().join(areas, "map_id", "left").join(stats, "map_id", "left").join(wide, "map_id", "left")
+def report_table(ids: DataFrame, areas: DataFrame, stats: DataFrame, absolute: DataFrame, relative: DataFrame, labels: list[str], relative_labels: list[str], attributes: DataFrame, attribute_names: list[str]) -> DataFrame:
+    """One row per requested map: area, min/max/mean/std of its values, a column "<interval> (abs)" or "(rel)" per interval, and its attributes.
+
+    Numbers are rounded to 4; maps that are not found keep a row of nulls. areas(map_id, area_cm2), stats(map_id, min_value, max_value, mean_value,
+    std_value), absolute and relative(map_id, label, area_cm2), attributes(map_id, attributes map<string,string>).
+    """
+    wide = [df.groupBy("map_id").pivot("label", names).agg(F.first("area_cm2")).withColumnsRenamed({n: f"{n} ({mark})" for n in names}) for df, names, mark in ((absolute, labels, "abs"), (relative, relative_labels, "rel"))]
+    own = attributes.select("map_id", *[F.try_element_at("attributes", F.lit(n)).alias(n) for n in attribute_names])
+    parts = [areas, stats.select("map_id", "min_value", "max_value", "mean_value", "std_value"), *wide, own]
+    out = reduce(lambda a, b: a.join(b, "map_id", "left"), parts, ids.select("map_id").distinct())
     out = out.withColumn("found", F.col("area_cm2").isNotNull())
     numbers = [f.name for f in out.schema if f.dataType.simpleString() == "double"]
-    return out.withColumns({c: F.round(c, 4) for c in numbers})
+    return out.withColumns({c: F.round(F.col(f"`{c}`"), 4) for c in numbers})
 
 
 def filter_by_attributes(maps: DataFrame, filters: dict) -> DataFrame:
@@ -89,35 +95,49 @@ def select_maps(maps: DataFrame, regex: str | None = None, min_points: int = 5,
 
 
 def detect_pacemap(scalars: DataFrame) -> DataFrame:
-    """Is the map a pace map, from its data: valid values (> -9999), flipped if none is positive; least > 9000 says no; else 0..100."""
-    v = F.when(F.col("value") > -9999, F.col("value"))
+    """Is the map a pace map, from its data: valid values (> -9999), flipped if all are negative; least > 9000 says no; else 0..100. Null without data."""
+    v = F.when((F.col("value") > -9999) & ~F.isnan("value"), F.col("value"))
     r = scalars.groupBy("map_id").agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    down = F.col("hi") <= 0
+    down = F.col("hi") < 0
     lo, hi = F.when(down, -F.col("hi")).otherwise(F.col("lo")), F.when(down, -F.col("lo")).otherwise(F.col("hi"))
-    return r.select("map_id", F.when(F.col("lo") > 9000, F.lit(False)).otherwise((lo >= 0) & (hi <= 100)).alias("is_pacemap"))
+    return r.select("map_id", F.when(lo > 9000, F.lit(False)).otherwise((lo >= 0) & (hi <= 100)).alias("is_pacemap"))
+
+
+#: Shifts of a map's centre from its study's reference, in mm, beyond which it lies in a region.
+LATERAL_DX, SEPTAL_DX, FRONT_DY, BACK_DY, FRONT_DZ, BACK_DZ = 15.0, -10.0, 5.0, -5.0, 5.0, -8.0
 
 
-def centroid_region(points: DataFrame, reference: DataFrame, threshold: float = 10.0, zero_is_missing: bool = False) -> DataFrame:
-    """Where a map's centroid lies from its study's reference: the axis of the largest shift beyond the threshold, with its side.
+def centroid_region(points: DataFrame, reference: DataFrame, zero_is_missing: bool = True) -> DataFrame:
+    """The region in which a map's centroid lies, by its shift from the study's reference centroid; null if none fits.
 
-    points(study_id, map_id, x, y, z), reference(study_id, rx, ry, rz).
+    points(study_id, map_id, x, y, z), reference(study_id, rx, ry, rz). Points with a missing coordinate (zero counts as missing) are left out.
     """
-    seen = [F.when(F.col(c) != 0, F.col(c)) if zero_is_missing else F.col(c) for c in "xyz"]
-    centre = points.groupBy("study_id", "map_id").agg(*[F.avg(c).alias(n) for c, n in zip(seen, ("cx", "cy", "cz"))])
+    whole = reduce(lambda a, b: a & b, [finite(F.col(c)).isNotNull() & ((F.col(c) != 0) | F.lit(not zero_is_missing)) for c in "xyz"])
+    centre = points.groupBy("study_id", "map_id").agg(*[F.avg(F.when(whole, F.col(c))).alias(f"c{c}") for c in "xyz"])
     d = centre.join(reference, "study_id", "left").select("study_id", "map_id", *[(F.col(f"c{c}") - F.col(f"r{c}")).alias(f"d{c}") for c in "xyz"])
-    names = {"x": ("left", "right"), "y": ("posterior", "anterior"), "z": ("superior", "inferior")}
-    most = F.greatest(*[F.abs(f"d{c}") for c in "xyz"])
-    label = F.when(most < threshold, "central")
-    for c, (up, down) in names.items():
-        label = label.when(F.abs(f"d{c}") == most, F.when(F.col(f"d{c}") > 0, up).otherwise(down))
+    dx, dy, dz = F.col("dx"), F.col("dy"), F.col("dz")
+    label = F.when(dx > LATERAL_DX, "lateral wall").when((dx < SEPTAL_DX) & (dy > FRONT_DY), "roof").when((dx < SEPTAL_DX) & (dy < 0), "septal wall")
+    label = label.when((dy > FRONT_DY) & (dz > FRONT_DZ), "anterior wall").when((dy < BACK_DY) & (dz < BACK_DZ), "posterior inferior wall")
     return d.withColumn("region", label)
 
 
+#: Types of map that are no pace maps whatever their data say.
+NO_PACEMAP = ["AFIB", "flutter", "VT", "voltage", "activation-SR"]
+
+
 def build_attributes(tagged: DataFrame, verdict: DataFrame, regions: DataFrame) -> DataFrame:
-    """Name rules, then the data's verdict (names of other types win over it; "vera" maps ignore it), region from coordinates as fallback."""
+    """map_id and attributes (atrium, part, type, pacemap), of those that are known.
+
+    tagged: P17 over the maps. The data's verdict (A16) makes a pace map where the name gives no other type; "vera" maps ignore it, and they
+    alone take the region of the coordinates (A17), if their name has none; a name of the whole chamber is "full".
+    """
     met = tagged.join(verdict, "map_id", "left").join(regions.select("map_id", F.col("region").alias("place")), "map_id", "left")
-    by_data = F.when(~F.lower("map_name").contains("vera") & F.col("is_pacemap"), "pacemap")
-    values = {"atrium": F.col("atrium"), "region": F.coalesce("region", "place"), "map_type": F.coalesce("map_type", by_data)}
+    vera = F.coalesce(F.upper("map_name").rlike(r"\bVERA\b"), F.lit(False))
+    kind = F.coalesce(F.col("map_type"), F.lit(""))
+    by_data = ~kind.isin(*NO_PACEMAP) & F.coalesce("is_pacemap", F.lit(False)) & ~vera
+    pace = F.when((kind == "pacemapping") | by_data, F.lit(True)).when(kind.isin(*NO_PACEMAP), F.lit(False))
+    part = F.when(F.col("part") == "", "full").otherwise(F.coalesce("part", F.when(vera, F.col("place"))))
+    values = {"atrium": F.col("atrium"), "part": part, "type": F.when(by_data, "pacemapping").otherwise(F.col("map_type")), "pacemap": pace.cast("string")}
     entries = F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values()))
     return met.select("map_id", F.map_filter(entries, lambda k, v: v.isNotNull()).alias("attributes"))
 
@@ -131,23 +151,31 @@ def decay_profile(df: DataFrame, bin_width: float = 2.0, max_dist: float = 40.0,
     return bins.join(enough, list(keys), "left_semi")
 
 
+#: Bounds of amplitude, width and offset of a decay.
+DECAY_A, DECAY_SIGMA, DECAY_B = (0.0, 100.0), (0.1, 40.0), (0.0, 100.0)
+
+
+def _fit_bounded(g: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Squared error, a and b of the least-squares line a g + b within the bounds: the free one, or one on an edge with the other free."""
+    spread = float(((g - g.mean()) ** 2).sum())
+    a = float(((g - g.mean()) * (y - y.mean())).sum()) / spread if spread > 0 else 0.0
+    tries = [(a, float(y.mean() - a * g.mean()))]
+    tries += [(e, float(y.mean() - e * g.mean())) for e in DECAY_A]
+    tries += [(float((g * (y - e)).sum() / (g * g).sum()) if (g * g).sum() > 0 else 0.0, e) for e in DECAY_B]
+    tries = [(float(np.clip(p, *DECAY_A)), float(np.clip(q, *DECAY_B))) for p, q in tries]
+    return min((float(((p * g + q - y) ** 2).sum()), p, q) for p, q in tries)
+
+
 def _fit_decay(group: pd.DataFrame) -> pd.DataFrame:
-    d, y = group["bin"].to_numpy(), group["mean_score"].to_numpy()
-
-    def best(sigmas: np.ndarray):
-        out = None
-        for s in sigmas:
-            g = np.exp(-(d**2) / (2 * s * s))
-            spread = ((g - g.mean()) ** 2).sum()
-            a = float(np.clip(((g - g.mean()) * (y - y.mean())).sum() / spread if spread > 0 else 0.0, 0, 200))
-            b = float(np.clip(y.mean() - a * g.mean(), -50, 100))
-            sse = float(((a * g + b - y) ** 2).sum())
-            if out is None or sse < out[0]:
-                out = (sse, float(s), a, b)
-        return out
-
-    found = best(np.geomspace(0.5, 100, 80))
-    for width in (0.2, 0.03, 0.005):
+    d, y = group["bin"].to_numpy(dtype=float), group["mean_score"].to_numpy(dtype=float)
+
+    def best(sigmas: np.ndarray) -> tuple[float, float, float, float]:
+        fits = ((*_fit_bounded(np.exp(-(d**2) / (2 * s * s)), y), s) for s in np.clip(sigmas, *DECAY_SIGMA))
+        sse, a, b, s = min(fits)
+        return sse, float(s), a, b
+
+    found = best(np.geomspace(*DECAY_SIGMA, 120))
+    for width in (0.1, 0.01, 0.001, 0.0001):
         found = min(found, best(found[1] * np.linspace(1 - width, 1 + width, 41)))
     sse, s, a, b = found
     total = float(((y - y.mean()) ** 2).sum())
@@ -226,19 +254,45 @@ def with_missing(ids: DataFrame, found: DataFrame, key: str = "map_id") -> DataF
     return ids.select(key).distinct().join(found.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def deidentify(df: DataFrame, studies: DataFrame, text_cols: list[str], redact: list[str], enabled: bool = True) -> DataFrame:
-    """Known study names become ``study/<id>`` in any text, listed columns and path-like texts are redacted; rows carry the mode.
+#: Columns whose value goes whatever it is.
+REDACTED_KEYS = ["operator", "notes", "comment", "comments", "patient", "patient_id", "patient_name", "date_of_birth", "dob", "source_path", "mesh_file", "data_uri", "file", "filename", "path"]
+REDACTED = "[redacted]"
+#: Columns that may hold a slash without being a path.
+NAME_KEYS = ["study_name", "name"]
+
+
+def deidentify(df: DataFrame, studies: DataFrame, key: list[str], text_cols: list[str], enabled: bool = True) -> DataFrame:
+    """Redacted columns go, texts that look like a path (a slash or backslash) too, and known study names become ``study/<id>``; rows carry the mode.
 
-    studies(study_id, name) is a small table: its names come as one array, longest first, so that a name inside another goes last.
+    studies(study_id, name) can be a large table: the parts of a text that are as long as some name are looked up by an equi-join (the
+    lengths of names that occur are on the driver), and a text is rewritten by the names it holds alone, longest first.
+    key: columns that tell the rows of df apart.
     """
-    stamp = F.lit("deidentified" if enabled else "open")
     if not enabled:
-        return df.withColumn("mode", stamp)
-    names = studies.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("n"), "name", "study_id"))).alias("__names"))
-    out = df.crossJoin(F.broadcast(names))  # one row: the list of names
+        return df.withColumn("mode", F.lit("open"))
+    gone = [c for c in df.columns if c.strip().lower() in REDACTED_KEYS]
+    texts = [c for c in text_cols if c not in gone]
+    names = studies.filter("name <> ''").select("name", F.col("study_id").cast("string").alias("study_id")).distinct()
+    lengths = sorted(r[0] for r in names.select(F.length("name")).distinct().collect())
+    each = df.select(*key, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("t")) for c in texts])).alias("x")).select(*key, "x.c", "x.t").filter("t IS NOT NULL")
+    none = F.array().cast("array<string>")
+
+    def parts_of(n: int) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substring("t", i, F.lit(n)))
+        return F.when(F.length("t") >= n, parts).otherwise(none)
+
+    parts = F.concat(*map(parts_of, lengths)) if lengths else none
+    held = each.select(*key, "c", "t", F.explode(F.array_distinct(parts)).alias("name")).join(names, "name")
+    found = held.groupBy(*key, "c", "t").agg(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("n"), "name", "study_id"))).alias("names"))
+    clean = found.select(*key, "c", F.aggregate("names", F.col("t"), lambda text, x: F.replace(text, x["name"], F.concat(F.lit("study/"), x["study_id"]))).alias("clean"))
+    wide = clean.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("c", "clean"))).alias("__clean"))
+    out = df.join(wide, key, "left")
 
     def cleaned(c: str) -> Column:
-        swapped = F.aggregate("__names", F.col(c), lambda acc, s: F.replace(acc, s["name"], F.concat(F.lit("study/"), s["study_id"].cast("string"))))
-        return F.when(F.col(c).rlike(r"^(/|[A-Za-z]:\\|\\\\).*"), F.lit("[redacted]")).otherwise(swapped)
+        named = F.coalesce(F.try_element_at("__clean", F.lit(c)), F.col(c))
+        if c.strip().lower() in NAME_KEYS:
+            return named
+        path = F.col(c).rlike(r"[/\\\\]") & ~F.trim(c).rlike(r"^study/\d+$")
+        return F.when(path, F.lit(REDACTED)).otherwise(named)
 
-    return out.withColumns({c: F.when(F.col(c).isNotNull(), F.lit("[redacted]")) for c in redact} | {c: cleaned(c) for c in text_cols if c not in redact}).drop("__names").withColumn("mode", stamp)
+    return out.withColumns({c: F.when(F.col(c).isNotNull(), F.lit(REDACTED)) for c in gone} | {c: cleaned(c) for c in texts}).drop("__clean").withColumn("mode", F.lit("deidentified"))

@@ -30,17 +30,27 @@ KINDS = {
 #: Order in which a map's primary quantity is looked for.
 PRIMARY_ORDER = ["activation_time", "pacemap_score", "voltage_bipolar", "voltage_unipolar"]
 
-#: Kind, unit as exported, factor to the standard unit.
+#: Kind of quantity, unit as exported, factor to the standard unit.
 UNIT_FACTORS = [
-    ("time", "s", 1000.0),
-    ("time", "ms", 1.0),
-    ("voltage", "V", 1000.0),
-    ("voltage", "mV", 1.0),
-    ("voltage", "uV", 0.001),
-    ("voltage", "µV", 0.001),
-    ("impedance", "kohm", 1000.0),
+    ("activation_time", "ms", 1.0),
+    ("activation_time", "s", 1000.0),
+    ("activation_time", "us", 0.001),
+    ("activation_time", "µs", 0.001),
+    ("voltage_bipolar", "mV", 1.0),
+    ("voltage_bipolar", "V", 1000.0),
+    ("voltage_bipolar", "uV", 0.001),
+    ("voltage_bipolar", "µV", 0.001),
+    ("voltage_unipolar", "mV", 1.0),
+    ("voltage_unipolar", "V", 1000.0),
+    ("voltage_unipolar", "uV", 0.001),
+    ("voltage_unipolar", "µV", 0.001),
+    ("contact_force", "g", 1.0),
     ("impedance", "ohm", 1.0),
-    ("force", "g", 1.0),
+    ("impedance", "Ohm", 1.0),
+    ("impedance", "Ω", 1.0),
+    ("impedance", "kohm", 1000.0),
+    ("impedance", "kΩ", 1000.0),
+    ("pacemap_score", "%", 1.0),
 ]
 
 
