@@ -24,25 +24,33 @@ def force_for_points(points: DataFrame, windows: DataFrame, bucket: float = BUCK
     return points.join(one.select("study_id", "point_id", F.col("w.data_uri").alias("data_uri"), F.col("w.start_time").alias("start_time")), ["study_id", "point_id"], "left")
 
 
-def value_at(points: DataFrame, samples: DataFrame) -> DataFrame:
+def value_at(points: DataFrame, samples: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """Per point and channel, the declared instantaneous value, else that of the nearest sample (the first on a tie).
 
-    points(point_id, data_uri, rel_t), samples(data_uri, sample_idx, t, channel, value).
+    points(point_id, data_uri, rel_t), samples(data_uri, sample_idx, t, channel, value), declared(data_uri, channel, value).
     """
     met = points.join(samples, "data_uri")
-    best = met.groupBy("point_id", "channel").agg(F.min(F.struct(F.abs(F.col("t") - F.col("rel_t")).alias("dt"), "sample_idx", "value")).alias("b"))
-    return best.select("point_id", "channel", F.col("b.value").alias("value"), F.col("b.sample_idx").alias("sample_idx"))
+    best = met.groupBy("point_id", "data_uri", "channel").agg(F.min(F.struct(F.abs(F.col("t") - F.col("rel_t")).alias("dt"), "sample_idx", "value")).alias("b"))
+    if declared is None:
+        return best.select("point_id", "channel", F.col("b.value").alias("value"), F.col("b.sample_idx").alias("sample_idx"))
+    told = points.select("point_id", "data_uri").join(declared.withColumnRenamed("value", "told"), "data_uri")
+    out = best.join(told.drop("data_uri"), ["point_id", "channel"], "full")
+    return out.select("point_id", "channel", F.coalesce("told", "b.value").alias("value"), F.when(F.col("told").isNull(), F.col("b.sample_idx")).alias("sample_idx"))
 
 
 def bind_signals(points: DataFrame, channels: DataFrame) -> DataFrame:
-    """For each point and role the one window channel of its identity; ambiguous ones are left out, with counts in ``n``.
+    """For each point and role the one window channel of its identity; ambiguous ones have none, with the number of candidates in ``n``.
 
-    points(point_id, study_id, role, wanted), channels(data_uri, study_id, point_id, channel). Names are compared trimmed and case-folded.
+    points(point_id, study_id, freeze_group, role, wanted), channels(data_uri, study_id, point_id, freeze_group, channel). A channel that names a point belongs to
+    it; one that names no point belongs to all points of its freeze group, for reference roles. Names are compared trimmed and case-folded.
     """
     key = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
-    a = points.select("study_id", "point_id", "role", key(F.col("wanted")).alias("name"))
-    b = channels.select("study_id", "point_id", "data_uri", "channel", key(F.col("channel")).alias("name")).distinct()
-    return a.join(b, ["study_id", "point_id", "name"]).groupBy("study_id", "point_id", "role").agg(F.count("*").alias("n"), F.min(F.struct("data_uri", "channel")).alias("b")).select("study_id", "point_id", "role", "n", F.when(F.col("n") == 1, F.col("b.data_uri")).alias("data_uri"), F.when(F.col("n") == 1, F.col("b.channel")).alias("channel"))
+    a = points.select("study_id", "point_id", "freeze_group", "role", key(F.col("wanted")).alias("name"))
+    b = channels.select("study_id", "point_id", "freeze_group", "data_uri", "channel", key(F.col("channel")).alias("name")).distinct()
+    own = a.drop("freeze_group").join(b.filter("point_id IS NOT NULL").drop("freeze_group"), ["study_id", "point_id", "name"])
+    group = a.filter(F.col("role").startswith("reference")).join(b.filter("point_id IS NULL").drop("point_id"), ["study_id", "freeze_group", "name"]).drop("freeze_group")
+    met = own.unionByName(group).groupBy("study_id", "point_id", "role").agg(F.count("*").alias("n"), F.min(F.struct("data_uri", "channel")).alias("b"))
+    return met.select("study_id", "point_id", "role", "n", *[F.when(F.col("n") == 1, F.col(f"b.{c}")).alias(c) for c in ("data_uri", "channel")])
 
 
 def signal_arrays(bindings: DataFrame, samples: DataFrame) -> DataFrame:
@@ -56,10 +64,15 @@ def signal_arrays(bindings: DataFrame, samples: DataFrame) -> DataFrame:
     return traces.select("point_id", "role", F.transform("s", lambda x: x["value"]).alias("trace"))
 
 
-def check_rates(windows: DataFrame) -> DataFrame:
-    """Maps with more than one positive sample rate, or with files of differing vertex counts, as issues."""
-    n = windows.groupBy("map_id").agg(F.count_distinct(F.when(F.col("sample_rate") > 0, F.col("sample_rate"))).alias("n_rates"))
-    return n.withColumn("issue", F.col("n_rates") > 1)
+def check_rates(windows: DataFrame, files: DataFrame) -> DataFrame:
+    """Per map the number of positive sample rates and of vertex counts of its files, and what is wrong with them.
+
+    windows(map_id, sample_rate), files(map_id, file, n_vertices).
+    """
+    rates = windows.groupBy("map_id").agg(F.count_distinct(F.when(F.col("sample_rate") > 0, F.col("sample_rate"))).alias("n_rates"))
+    shapes = files.groupBy("map_id").agg(F.count_distinct("n_vertices").alias("n_shapes"))
+    both = rates.join(shapes, "map_id", "full").select("map_id", F.coalesce("n_rates", F.lit(0)).alias("n_rates"), F.coalesce("n_shapes", F.lit(0)).alias("n_shapes"))
+    return both.withColumn("issues", F.concat_ws("; ", F.when(F.col("n_rates") > 1, "several sample rates"), F.when(F.col("n_shapes") > 1, "files of different vertex counts")))
 
 
 def waveforms_for_maps(maps: DataFrame, waveforms: DataFrame) -> DataFrame:
@@ -126,36 +139,64 @@ def operator_map_name(files: DataFrame) -> DataFrame:
 
 
 def signal_properties(points_long: DataFrame, points: DataFrame) -> DataFrame:
-    """For each (name, kind, unit) of a map a vector over all its points, in index order, null where a point lacks it."""
-    kinds = points_long.select("map_id", "name", "kind", "unit").distinct()
-    grid = points.select("map_id", "point_index").join(kinds, "map_id")
-    filled = grid.join(points_long, ["map_id", "point_index", "name", "kind", "unit"], "left")
-    rows = F.array_sort(F.collect_list(F.struct("point_index", "value")))
-    return filled.groupBy("map_id", "name", "kind", "unit").agg(F.transform(rows, lambda r: r["value"]).alias("vector"))
+    """For each (name, kind, unit) of a map a vector over all its points, in index order, null where a point lacks it.
+
+    One group per map: its points in order with what each measured; the vectors are looked up in them.
+    """
+    key = F.struct("name", "kind", "unit")
+    own = points_long.groupBy("map_id", "point_index").agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.col("value").alias("v")))).alias("m"))
+    every = points.select("map_id", "point_index").join(own, ["map_id", "point_index"], "left")
+    before = lambda a, b: F.when(a["point_index"] < b["point_index"], -1).when(a["point_index"] > b["point_index"], 1).otherwise(0)
+    maps = every.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("point_index", "m")), before).alias("rows"))
+    kinds = F.array_distinct(F.flatten(F.transform("rows", lambda r: F.coalesce(F.map_keys(r["m"]), F.array()))))
+    each = maps.select("map_id", "rows", F.explode(kinds).alias("k"))
+    return each.select("map_id", "k.name", "k.kind", "k.unit", F.transform("rows", lambda r: F.try_element_at(r["m"], F.col("k"))).alias("vector"))
 
 
-def surface_slots(scalars: DataFrame) -> DataFrame:
-    """Per vertex the standard slots act, bip, uni, imp, frc by kind (first field of a kind by position), masked; a pace score is -|score|.
+#: Kind, its slot in the standard surface table.
+SLOTS = {"activation_time": "act", "pacemap_score": "act", "voltage_bipolar": "bip", "voltage_unipolar": "uni", "impedance": "imp", "contact_force": "frc"}
 
-    scalars(map_id, vertex_id, name, kind, position, value, valid); other fields stay in the map ``rest``.
+
+def surface_slots(scalars: DataFrame, factors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per vertex the standard slots act, bip, uni, imp, frc in standard units, masked, and the other fields in the map ``rest``; and per map the notes on gaps.
+
+    scalars(map_id, vertex_id, name, kind, unit, position, value, valid), factors(quantity, unit, factor). A slot takes the first field of its kind; a pace score is
+    -|score|; a field whose unit has no factor stays in ``rest`` under its name, with a note.
     """
-    slot = F.create_map(*[F.lit(x) for kv in (("activation_time", "act"), ("pacemap_score", "act"), ("voltage_bipolar", "bip"), ("voltage_unipolar", "uni"), ("impedance", "imp"), ("contact_force", "frc")) for x in kv])
-    value = F.when(F.coalesce("valid", F.lit(True)), F.when(F.col("kind") == "pacemap_score", -F.abs("value")).otherwise(F.col("value")))
-    keyed = scalars.withColumn("slot", F.try_element_at(slot, F.col("kind"))).withColumn("v", value)
-    first = F.row_number().over(Window.partitionBy("map_id", "vertex_id", "slot").orderBy("position"))
-    keyed = keyed.withColumn("slot", F.when(F.col("slot").isNotNull() & (first == 1), F.col("slot")))
-    picked = [F.max(F.when(F.col("slot") == s, F.col("v"))).alias(s) for s in ("act", "bip", "uni", "imp", "frc")]
+    slot = F.try_element_at(F.create_map(*[F.lit(x) for kv in SLOTS.items() for x in kv]), F.col("kind"))
+    fields = scalars.groupBy("map_id", "name", "kind", "unit").agg(F.min("position").alias("position")).withColumn("slot", slot)
+    known = factors.select(F.col("quantity").alias("kind"), "unit", "factor")
+    fields = fields.join(known, ["kind", "unit"], "left").withColumn("nth", F.when(F.col("slot").isNotNull(), F.row_number().over(Window.partitionBy("map_id", "slot").orderBy("position"))))
+    fields = fields.withColumn("slot", F.when((F.col("nth") == 1) & F.col("factor").isNotNull(), F.col("slot")))
+    keyed = scalars.drop("position", "kind", "unit").join(fields.select("map_id", "name", "kind", "slot", "factor"), ["map_id", "name"])
+    value = F.when(F.coalesce("valid", F.lit(True)), F.when(F.col("kind") == "pacemap_score", -F.abs("value")).otherwise(F.col("value")) * F.coalesce("factor", F.lit(1.0)))
+    keyed = keyed.withColumn("v", value)
+    names = list(dict.fromkeys(SLOTS.values()))
+    picked = [F.max(F.when(F.col("slot") == s, F.col("v"))).alias(s) for s in names]
     rest = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("slot").isNull(), F.struct("name", "v")))))
-    return keyed.groupBy("map_id", "vertex_id").agg(*picked, rest.alias("rest"))
+    out = keyed.groupBy("map_id", "vertex_id").agg(*picked, rest.alias("rest"))
+    gaps = fields.groupBy("map_id").agg(
+        F.collect_set("kind").alias("kinds"),
+        F.array_sort(F.collect_list(F.when((F.col("nth") == 1) & F.col("factor").isNull(), F.concat("name", F.lit(": unsupported unit '"), F.coalesce("unit", F.lit("")), F.lit("'"))))).alias("odd"),
+    )
+    wanted = [F.when(~F.arrays_overlap("kinds", F.array(*[F.lit(k) for k, x in SLOTS.items() if x == s])), F.lit("no " + next(k for k, x in SLOTS.items() if x == s))) for s in names]
+    return out, gaps.select("map_id", F.concat("odd", F.filter(F.array(*wanted), lambda x: x.isNotNull())).alias("notes"))
 
 
 def electric_table(points: DataFrame) -> DataFrame:
-    """Per point voltages, annotations and window of interest; on a pace map the map annotation is reference - |score| (reference 0 if missing)."""
+    """Per point voltages, annotations, window of interest, electrode names, and the activation in ms at the declared rate.
+
+    On a pace map the map annotation is reference - |score| (reference 0 if missing), and there is no activation.
+    """
     m = lambda n: F.try_element_at("measurements", F.lit(n))["value"]
     a = lambda n: F.try_element_at("annotations", F.lit(n)).try_cast("double")
-    ref = F.coalesce(a("reference"), F.lit(0.0))
-    mapped = F.when(m("pacemap_score").isNotNull(), ref - F.abs(m("pacemap_score"))).otherwise(a("map"))
-    return points.select("map_id", "point_index", m("voltage_bipolar").alias("bipolar"), m("voltage_unipolar").alias("unipolar"), a("reference").alias("reference"), mapped.alias("map_annotation"), a("woi_from").alias("woi_from"), a("woi_to").alias("woi_to"), F.array_join(F.array_sort(F.map_keys("electrodes")), ",").alias("electrodes"))
+    pace = m("pacemap_score").isNotNull()
+    mapped = F.when(pace, F.coalesce(a("reference"), F.lit(0.0)) - F.abs(m("pacemap_score"))).otherwise(a("map"))
+    lat = F.when(~pace & (F.col("sample_rate") > 0), (a("map") - a("reference")) * 1000 / F.col("sample_rate"))
+    return points.select(
+        "map_id", "point_index", m("voltage_bipolar").alias("bipolar"), m("voltage_unipolar").alias("unipolar"), a("reference").alias("reference"), mapped.alias("map_annotation"),
+        a("woi_from").alias("woi_from"), a("woi_to").alias("woi_to"), F.array_join(F.array_sort(F.map_keys("electrodes")), ",").alias("electrodes"), lat.alias("lat_ms"),
+    )
 
 
 #: Columns of an ablation marker's attributes.

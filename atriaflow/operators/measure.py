@@ -26,28 +26,32 @@ def surface_area(triangles: DataFrame) -> DataFrame:
     return triangles.groupBy("map_id").agg((F.sum("area") / 100).alias("area_cm2"))
 
 
-def areas_for_intervals(faces: DataFrame, intervals: DataFrame, value: str = "face_value", weight: str = "area", keys: tuple = ("map_id",)) -> DataFrame:
+#: An interval: label, lower and upper edge.
+Interval = tuple[str, float, float]
+
+
+def _interval_sums(grouped, intervals: list[Interval], v: Column, weight: str):
+    """One conditional sum per interval, half-open but for intervals that end at the largest edge of all."""
+    top = max((hi for _, _, hi in intervals), default=0.0)
+    inside = lambda lo, hi: (v >= lo) & ((v <= hi) if hi == top else (v < hi))
+    sums = [F.struct(F.lit(label).alias("label"), (F.coalesce(F.sum(F.when(inside(lo, hi), F.col(weight))), F.lit(0.0)) / 100).alias("area_cm2")) for label, lo, hi in intervals]
+    return grouped.agg(F.array(*sums).alias("rows"))
+
+
+def areas_for_intervals(faces: DataFrame, intervals: list[Interval], value: str = "face_value", weight: str = "area", keys: tuple = ("map_id",)) -> DataFrame:
     """A4: area (cm2) of the faces whose value lies in [lo, hi); the upper edge counts too where hi is the largest of all.
 
-    intervals(label, lo, hi) is a short list; every interval is a conditional sum of one pass, combined before the shuffle.
+    Every interval is a conditional sum of one pass, combined before the shuffle.
     """
-    edges = intervals.select("label", "lo", "hi").collect()
-    top = max((e["hi"] for e in edges), default=0.0)
-    v = F.col(value)
-    sums = [F.struct(F.lit(e["label"]).alias("label"), (F.coalesce(F.sum(F.when((v >= e["lo"]) & ((v <= e["hi"]) if e["hi"] == top else (v < e["hi"])), F.col(weight))), F.lit(0.0)) / 100).alias("area_cm2")) for e in edges]
-    return faces.groupBy(*keys).agg(F.array(*sums).alias("rows")).select(*keys, F.explode("rows").alias("r")).select(*keys, "r.label", "r.area_cm2")
+    sums = _interval_sums(faces.groupBy(*keys), intervals, F.col(value), weight)
+    return sums.select(*keys, F.explode("rows").alias("r")).select(*keys, "r.label", "r.area_cm2")
 
 
-def relative_areas(faces: DataFrame, intervals: DataFrame, stats: DataFrame) -> DataFrame:
+def relative_areas(faces: DataFrame, intervals: list[Interval], stats: DataFrame) -> DataFrame:
     """A5: intervals in percent of the map's largest value; stats(map_id, max_value)."""
-    edges = intervals.select("label", "lo", "hi").collect()
-    top = max((e["hi"] for e in edges), default=0.0)
     keyed = faces.join(stats.select("map_id", "max_value"), "map_id")
-    share = F.col("face_value") / F.col("max_value") * 100
-    keyed = keyed.withColumn("share", F.when(F.col("max_value") != 0, share))
-    v = F.col("share")
-    sums = [F.struct(F.lit(e["label"]).alias("label"), (F.coalesce(F.sum(F.when((v >= e["lo"]) & ((v <= e["hi"]) if e["hi"] == top else (v < e["hi"])), F.col("area"))), F.lit(0.0)) / 100).alias("area_cm2")) for e in edges]
-    return keyed.groupBy("map_id").agg(F.array(*sums).alias("rows")).select("map_id", F.explode("rows").alias("r")).select("map_id", "r.label", "r.area_cm2")
+    keyed = keyed.withColumn("share", F.when(F.col("max_value") != 0, F.col("face_value") / F.col("max_value") * 100))
+    return _interval_sums(keyed.groupBy("map_id"), intervals, F.col("share"), "area").select("map_id", F.explode("rows").alias("r")).select("map_id", "r.label", "r.area_cm2")
 
 
 def area_histogram(faces: DataFrame, lo: float, hi: float, step: float) -> DataFrame:

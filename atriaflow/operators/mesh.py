@@ -21,10 +21,10 @@ def with_corner_columns(triangles: DataFrame, vertices: DataFrame, cols: list[st
 
 def face_values(triangles: DataFrame, scalars: DataFrame, how: str = "available") -> DataFrame:
     """Face value = mean of its corners' values; ``available`` ignores missing ones, ``strict`` wants all three."""
-    met = corners(triangles).join(scalars.select("map_id", "vertex_id", "name", "value"), ["map_id", "vertex_id"])
+    corner = triangles.select("map_id", "tri_id", "area", F.explode(F.array("v0", "v1", "v2")).alias("vertex_id"))
+    met = corner.join(scalars.select("map_id", "vertex_id", "name", "value"), ["map_id", "vertex_id"])
     mean = F.avg("value") if how == "available" else F.when(F.count("value") == 3, F.avg("value"))
-    faces = met.groupBy("map_id", "tri_id", "name").agg(mean.alias("face_value"))
-    return faces.join(triangles.select("map_id", "tri_id", "area"), ["map_id", "tri_id"])
+    return met.groupBy("map_id", "tri_id", "name").agg(mean.alias("face_value"), F.max("area").alias("area"))
 
 
 def _cross(a: list[Column], b: list[Column]) -> list[Column]:

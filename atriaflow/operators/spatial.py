@@ -1,9 +1,12 @@
 """Nearest neighbours by grid cells, and what follows from them: map deltas, masks, interpolation, coverage.
 
-``nn_join`` never pairs all points of a map. Points fall into cubic cells of side h; a left point meets the right points of its
-27 surrounding cells in an equi-join on (keys, cell). A k-th distance of at most h is final. What is not final is tried again
-with a larger cell, only for the left points still open; bounded searches (max_distance) need one pass and are exact.
-Ties go to the lowest right id. Null and non-finite coordinates take no part.
+``nn_join`` never pairs all points of a map. Points fall into cubic cells of a side of their own for each map, from its extent and
+number of points; a left point meets the right points of its 27 surrounding cells in an equi-join on (keys, cell), and a k-th
+distance of at most the side is final. The other left points (far from the surface, or where it is thin) descend through boxes: of the boxes of
+a map's coarse cells those stay that can hold one of the k nearest, then those of the fine cells inside, then the points in these.
+Two passes whatever the distances; bounded searches (max_distance) need the first alone and are exact.
+Ties go to the lowest right id. Null and non-finite coordinates take no part. The k nearest are kept by a rank filter, which Spark
+applies in the tasks before the shuffle too.
 """
 
 from __future__ import annotations
@@ -15,9 +18,8 @@ from pyspark.sql import functions as F
 
 from atriaflow.functions.columns import finite
 
-#: Growth of the cell side from one pass to the next, and the passes of an unbounded search.
-GROWTH = 4.0
-MAX_PASSES = 24
+#: Coarse cells along an axis of a map's extent, and fine cells along an axis of a coarse one.
+COARSE, FINE = 8, 8
 
 
 def _clean(df: DataFrame) -> DataFrame:
@@ -28,13 +30,12 @@ def _cell(c: str, h: Column | float) -> Column:
     return F.floor(F.col(c) / h).cast("long")
 
 
-def _pass(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, k: int, h: float) -> DataFrame:
-    """For each left point the k nearest right points of its 27 cells."""
-    around = reduce(lambda a, c: a.withColumn(f"c{c}", F.explode(F.array(*[_cell(c, h) + F.lit(d) for d in (-1, 0, 1)]))), "xyz", left)
-    cells = right.select(*keys, F.col(right_id).alias("__rid"), *[F.col(c).alias(f"r{c}") for c in "xyz"], *[_cell(c, h).alias(f"c{c}") for c in "xyz"])
-    met = around.join(cells, [*keys, "cx", "cy", "cz"])
-    d2 = sum(((F.col(c) - F.col(f"r{c}")) * (F.col(c) - F.col(f"r{c}")) for c in "xyz"), F.lit(0.0))
-    met = met.withColumn("__d2", d2)
+def _squared(pairs: list[tuple[Column, Column]]) -> Column:
+    return reduce(lambda a, b: a + b, [(p - q) * (p - q) for p, q in pairs])
+
+
+def _ranked(met: DataFrame, keys: list[str], left_id: str, k: int) -> DataFrame:
+    """The k rows of least __d2 of each left point, with their rank."""
     if k == 1:
         best = met.groupBy(*keys, left_id).agg(F.min(F.struct("__d2", "__rid")).alias("b"))
         return best.select(*keys, left_id, F.col("b.__rid").alias("__rid"), F.sqrt("b.__d2").alias("distance"), F.lit(1).alias("rank"))
@@ -42,33 +43,68 @@ def _pass(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, righ
     return met.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k).select(*keys, left_id, "__rid", F.sqrt("__d2").alias("distance"), "rank")
 
 
-def nn_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str = "vertex_id", right_id: str = "vertex_id", k: int = 1, max_distance: float | None = None, cell: float | None = None) -> DataFrame:
+def _pass(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, k: int) -> DataFrame:
+    """For each left point the k nearest right points of its 27 cells of side __h."""
+    h = F.col("__h")
+    around = reduce(lambda a, c: a.withColumn(f"c{c}", F.explode(F.array(*[_cell(c, h) + F.lit(d) for d in (-1, 0, 1)]))), "xyz", left)
+    cells = right.select(*keys, "__rid", "rx", "ry", "rz", *[_cell(f"r{c}", h).alias(f"c{c}") for c in "xyz"])
+    met = around.join(cells, [*keys, "cx", "cy", "cz"])
+    return _ranked(met.withColumn("__d2", _squared([(F.col(c), F.col(f"r{c}")) for c in "xyz"])), keys, left_id, k)
+
+
+def _boxes(points: DataFrame, by: list[str]) -> DataFrame:
+    """Number and extent of the right points of each cell."""
+    return points.groupBy(*by).agg(F.count("*").alias("__n"), *[f(f"r{c}").alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+
+
+def _reachable(met: DataFrame, keys: list[str], left_id: str) -> DataFrame:
+    """Of the boxes that a left point met, those that can hold one of its __want nearest points.
+
+    The boxes whose farthest corners lie nearest hold enough points together: nothing beyond the last of these corners can be wanted.
+    """
+    nearest = _squared([(F.greatest(F.col(f"lo{c}"), F.least(F.col(f"hi{c}"), F.col(c))), F.col(c)) for c in "xyz"])
+    farthest = reduce(lambda a, b: a + b, [F.greatest(F.abs(F.col(c) - F.col(f"lo{c}")), F.abs(F.col(c) - F.col(f"hi{c}"))) ** 2 for c in "xyz"])
+    own = Window.partitionBy(*keys, left_id)
+    met = met.withColumns({"__near": nearest, "__far": farthest})
+    met = met.withColumn("__held", F.sum("__n").over(own.orderBy("__far").rowsBetween(Window.unboundedPreceding, 0)))
+    met = met.withColumn("__limit", F.min(F.when(F.col("__held") >= F.col("__want"), F.col("__far"))).over(own))
+    return met.filter(F.col("__near") <= F.col("__limit") * (1 + 1e-9) + 1e-12)
+
+
+def _descend(open_: DataFrame, right: DataFrame, keys: list[str], left_id: str, k: int) -> DataFrame:
+    """For each left point the k nearest right points, by way of the boxes of coarse and fine cells."""
+    n = COARSE * FINE
+    fine = {c: F.when(F.col("__side") > 0, F.least(F.floor((F.col(f"r{c}") - F.col(f"__o{c}")) / F.col("__side") * n), F.lit(n - 1))).otherwise(0).cast("int") for c in "xyz"}
+    number = lambda cell, per: reduce(lambda a, b: a * per + b, [cell[c] for c in "xyz"])
+    placed = right.select(*keys, "__rid", "rx", "ry", "rz", number({c: (fine[c] / FINE).cast("int") for c in "xyz"}, COARSE).alias("__coarse"), number(fine, n).alias("__fine"))
+    point = [*keys, left_id, "x", "y", "z", "__want"]
+    first = _reachable(open_.select(*point).join(_boxes(placed, [*keys, "__coarse"]), keys), keys, left_id).select(*point, "__coarse")
+    second = _reachable(first.join(_boxes(placed, [*keys, "__coarse", "__fine"]), [*keys, "__coarse"]), keys, left_id).select(*keys, left_id, "x", "y", "z", "__fine")
+    met = second.join(placed.drop("__coarse"), [*keys, "__fine"])
+    return _ranked(met.withColumn("__d2", _squared([(F.col(c), F.col(f"r{c}")) for c in "xyz"])), keys, left_id, k)
+
+
+def nn_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str = "vertex_id", right_id: str = "vertex_id", k: int = 1, max_distance: float | None = None) -> DataFrame:
     """The k nearest right points of each left point within its keys: keys, left_id, right_id (as ``near_id``), distance, rank.
 
     left(keys, left_id, x, y, z), right(keys, right_id, x, y, z). With max_distance, neighbours farther away are left out.
     """
-    left, right = _clean(left).select(*keys, left_id, *"xyz"), _clean(right).select(*keys, right_id, *"xyz")
+    left = _clean(left).select(*keys, left_id, *"xyz")
+    right = _clean(right).select(*keys, F.col(right_id).alias("__rid"), *[F.col(c).alias(f"r{c}") for c in "xyz"])
     if max_distance is not None:
-        found = _pass(left, right, keys, left_id, right_id, k, max(float(max_distance), 1e-9)).filter(F.col("distance") <= max_distance)
+        h = F.lit(max(float(max_distance), 1e-9))
+        found = _pass(left.withColumn("__h", h), right.withColumn("__h", h), keys, left_id, k).filter(F.col("distance") <= max_distance)
         return found.withColumnRenamed("__rid", "near_id")
-    spread = right.groupBy(*keys).agg(F.count("*").alias("n"), *[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
-    if cell is None:
-        # about two right points in a cell, if they fill their box evenly; the widest keys decide
-        side = F.greatest(*[F.col(f"hi{c}") - F.col(f"lo{c}") for c in "xyz"])
-        guess = spread.select(F.max(side / F.greatest(F.sqrt("n"), F.lit(1.0))).alias("h")).first()["h"]
-        cell = float(guess) * 1.5 if guess else 1.0
-    counts = spread.select(*keys, F.least("n", F.lit(k)).alias("want"))
-    open_, done, h = left.join(counts.select(*keys), keys, "left_semi"), [], cell or 1.0
-    for _ in range(MAX_PASSES):
-        got = _pass(open_, right, keys, left_id, right_id, k, h)
-        full = got.filter(F.col("distance") <= h).groupBy(*keys, left_id).agg(F.count("*").alias("have")).join(counts, keys).filter("have >= want").select(*keys, left_id)
-        got = got.join(full, [*keys, left_id], "left_semi").persist()
-        done.append(got)
-        open_ = open_.join(got.select(*keys, left_id).distinct(), [*keys, left_id], "left_anti").persist()
-        if open_.isEmpty():
-            break
-        h *= GROWTH
-    return reduce(DataFrame.unionByName, done).withColumnRenamed("__rid", "near_id")
+    side = F.greatest(*[F.max(f"r{c}") - F.min(f"r{c}") for c in "xyz"])
+    # on a surface, a ball of this radius holds some three times k points
+    h = side * F.sqrt(F.lit(1.7 * max(k, 2)) / F.count("*"))
+    maps = right.groupBy(*keys).agg(F.least(F.count("*"), F.lit(k)).alias("__want"), side.alias("__side"), F.when(h > 0, h).otherwise(1.0).alias("__h"), *[F.min(f"r{c}").alias(f"__o{c}") for c in "xyz"])
+    left, right = left.join(maps, keys), right.join(maps.drop("__want"), keys)
+    near = _pass(left, right, keys, left_id, k).join(maps.select(*keys, "__want", "__h"), keys)
+    near = near.withColumn("__have", F.count_if(F.col("distance") <= F.col("__h")).over(Window.partitionBy(*keys, left_id))).filter("__have >= __want")
+    near = near.select(*keys, left_id, "__rid", "distance", "rank")
+    open_ = left.join(near.select(*keys, left_id).distinct(), [*keys, left_id], "left_anti")
+    return near.unionByName(_descend(open_, right, keys, left_id, k)).withColumnRenamed("__rid", "near_id")
 
 
 def compare_maps(pairs: DataFrame, vertices: DataFrame, scalars: DataFrame, scalar_name: str, max_distance: float | None = None) -> DataFrame:
