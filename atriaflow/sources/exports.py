@@ -26,7 +26,7 @@ def read_mesh(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vertices, triangles and named colour columns of triangulated mesh texts.
 
     A section starts at ``[Name]`` (case ignored); the last comment line before its rows names the columns, or ``color_<n>`` do. Rows are ``id = numbers``.
-    -10000 in a colour is missing; triangles of negative groups are left out.
+    -10000 in a colour is missing; triangles of negative groups (the seventh number) are left out.
     """
     own = Window.partitionBy("file").orderBy("line_no")
     head = F.lower(F.regexp_extract("line", r"^\s*\[(\w+)\]", 1))
@@ -35,13 +35,24 @@ def read_mesh(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = lines.filter(F.col("line").rlike(r"^\s*\d+\s*=")).withColumn("id", F.regexp_extract("line", r"^\s*(\d+)\s*=", 1).cast("int")).withColumn("v", _cells(F.regexp_replace("line", r"^\s*\d+\s*=", "")))
     at = lambda i: F.get("v", F.lit(i))
     vertices = rows.filter("section = 'verticessection'").select("file", F.col("id").alias("vertex_id"), *[at(i).alias(c) for i, c in enumerate(("x", "y", "z", "nx", "ny", "nz"))])
-    triangles = rows.filter("section = 'trianglessection'").filter(F.coalesce(F.element_at("v", -1), F.lit(0.0)) >= 0).select("file", F.col("id").alias("tri_id"), *[at(i).cast("int").alias(f"v{i}") for i in range(3)])
+    triangles = rows.filter("section = 'trianglessection'").filter(F.coalesce(at(6), F.lit(0.0)) >= 0).select("file", F.col("id").alias("tri_id"), *[at(i).cast("int").alias(f"v{i}") for i in range(3)])
     colours = rows.filter("section = 'verticescolorssection'").withColumn("names", F.split(F.trim("names"), r"\s+"))
     colours = colours.select("file", F.col("id").alias("vertex_id"), "names", F.size("v").alias("n"), F.posexplode("v").alias("position", "value"))
     name = F.when(F.size("names") == F.col("n"), F.get("names", F.col("position"))).otherwise(F.concat(F.lit("color_"), F.col("position").cast("string")))
     return vertices, triangles, colours.select("file", "vertex_id", name.alias("column"), "position", F.when(F.col("value") != -10000, F.col("value")).alias("value"))
 
 
+def read_mesh_flags(files: DataFrame) -> DataFrame:
+    """The flags of the attributes section that are set (above 0): file, vertex_id, flag; the section's last comment names them, or ``flag_<n>`` do."""
+    own = Window.partitionBy("file").orderBy("line_no")
+    head = F.lower(F.regexp_extract("line", r"^\s*\[(\w+)\]", 1))
+    lines = lines_of(files).withColumn("section", F.last(F.when(head != "", head), ignorenulls=True).over(own)).filter("section = 'verticesattributessection'")
+    lines = lines.withColumn("names", F.last(F.when(F.col("line").rlike(r"^\s*;"), F.split(F.trim(F.regexp_replace("line", r"^\s*;\s*", "")), r"\s+")), ignorenulls=True).over(own))
+    rows = lines.filter(F.col("line").rlike(r"^\s*\d+\s*=")).withColumn("v", _cells(F.regexp_replace("line", r"^\s*\d+\s*=", "")))
+    each = rows.select("file", F.regexp_extract("line", r"^\s*(\d+)\s*=", 1).cast("int").alias("vertex_id"), "names", F.size("v").alias("n"), F.posexplode("v").alias("position", "value")).filter("value > 0")
+    return each.select("file", "vertex_id", F.when(F.size("names") == F.col("n"), F.get("names", F.col("position"))).otherwise(F.concat(F.lit("flag_"), F.col("position").cast("string"))).alias("flag"))
+
+
 def read_ecg_windows(files: DataFrame) -> DataFrame:
     """Samples in mV of window texts: version, gain, channel names, then integer rows; a short last row is dropped, another is an error."""
     lines = lines_of(files).filter(F.trim("line") != "")
@@ -103,15 +114,31 @@ def import_manifest(files: DataFrame) -> DataFrame:
     return files.groupBy("export").agg(F.count("*").alias("n_files"), F.count_if(F.lower("path").endswith(".mesh")).alias("n_meshes"), F.count_if(signal).alias("n_signal_files"), F.coalesce(F.sum(F.when(signal, F.col("length"))), F.lit(0)).alias("signal_bytes"))
 
 
+def plan_maps(maps: DataFrame, shapes: DataFrame, min_points: int = 5) -> DataFrame:
+    """maps(export, map_name, n_points) with whether they are taken (enough points), and what is wrong: files of differing vertex counts.
+
+    shapes(export, map_name, n_vertices): one row per file of a map.
+    """
+    n = shapes.groupBy("export", "map_name").agg(F.count_distinct("n_vertices").alias("n_shapes"))
+    issue = F.when(F.col("n_shapes") > 1, "files of different vertex counts")
+    return maps.join(n, ["export", "map_name"], "left").select("export", "map_name", "n_points", (F.col("n_points") >= min_points).alias("included"), issue.alias("issue"))
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Export (first folder below root), path and length of every file."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     return found.withColumn("export", F.regexp_extract("path", rf"{root.rstrip('/').rsplit('/', 1)[-1]}/([^/]+)/", 1))
 
 
-def export_points(points_long: DataFrame, names: list[str]) -> DataFrame:
-    """One row per point, one column per measurement present."""
-    return points_long.groupBy("map_id", "point_index").pivot("name", names).agg(F.first("value"))
+def export_points(points: DataFrame, points_long: DataFrame, names: list[str], annotations: list[str]) -> DataFrame:
+    """One row per point: a column per measurement, ``annotation_<k>`` columns, and its tags joined with ``;``.
+
+    points(map_id, point_index, annotations map, tags array), points_long(map_id, point_index, name, value).
+    """
+    wide = points_long.groupBy("map_id", "point_index").pivot("name", names).agg(F.first("value"))
+    notes = [F.try_element_at("annotations", F.lit(k)).alias(f"annotation_{k}") for k in annotations]
+    tags = F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ";").alias("tags")
+    return points.join(wide, ["map_id", "point_index"], "left").select("map_id", "point_index", *names, *notes, tags)
 
 
 def extract_meshes(ids: DataFrame, vertices: DataFrame) -> DataFrame:
