@@ -27,6 +27,39 @@ def stream_bundles(spark: SparkSession, drop_dir: str) -> DataFrame:
     return files.withColumn("path", F.regexp_replace("path", rf"^.*?{drop_dir.rstrip('/').rsplit('/', 1)[-1]}/", ""))
 
 
+def _version(spark: SparkSession, path: str, number: int, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/version={number}") if number >= 0 else spark.createDataFrame([], schema)
+
+
+def watch_bundles(spark: SparkSession, drop_dir: str, table_path: str, checkpoint: str, quiescence: float = 5.0, require_marker: bool = False):
+    """Takes what is new in the drop folder into a table of bundles, each ready one once; run it again and again.
+
+    A batch writes the files known so far and the bundles found ready as the next version below table_path, so one that runs twice changes nothing. A bundle
+    keeps the number of the batch (``taken``) in which it was ready first, whatever comes later. Returns the finished query.
+    """
+    kinds = "path string, modified timestamp"
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        own = batch.sparkSession
+        known = _version(own, f"{table_path}/files", epoch - 1, kinds).unionByName(batch.select("path", "modified"))
+        known = known.groupBy("path").agg(F.max("modified").alias("modified"))
+        known.write.mode("overwrite").parquet(f"{table_path}/files/version={epoch}")
+        files = _version(own, f"{table_path}/files", epoch, kinds).withColumn("seen", F.current_timestamp())
+        old = _version(own, f"{table_path}/bundles", epoch - 1, "bundle string, n_files long, taken long")
+        ready = bundle_state(files, quiescence, require_marker).filter("ready").select("bundle", "n_files", F.lit(epoch).cast("long").alias("taken"))
+        old.unionByName(ready.join(old.select("bundle"), "bundle", "left_anti")).write.mode("overwrite").parquet(f"{table_path}/bundles/version={epoch}")
+
+    query = stream_bundles(spark, drop_dir).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table that batches write as versions."""
+    every = spark.read.parquet(path)
+    return every.filter(F.col("version") == every.agg(F.max("version")).first()[0]).drop("version")
+
+
 #: States of an import job, in order.
 STATES = ["detected", "needs_review", "importing", "done", "error"]
 
@@ -38,14 +71,19 @@ def advance(jobs: DataFrame, events: DataFrame) -> DataFrame:
     return both.groupBy("path").agg(F.max(F.struct(order.alias("n"), "state", "message")).alias("s")).select("path", "s.state", "s.message")
 
 
+def require_store(events: DataFrame, store: str | None) -> DataFrame:
+    """events(path, state, message, with_signals): an import that wants signals, but has no store for them, is an error before anything is written."""
+    lacks = F.coalesce("with_signals", F.lit(False)) & (F.col("state") == "importing") & F.lit(store is None)
+    return events.withColumn("message", F.when(lacks, "signals were asked for, but there is no store for them").otherwise(F.col("message"))).withColumn("state", F.when(lacks, "error").otherwise(F.col("state"))).drop("with_signals")
+
+
 def run_jobs(events: DataFrame, table_path: str, checkpoint: str):
-    """A query that keeps the job table: each batch rewrites it as a new version, so a batch that runs twice changes nothing."""
+    """A query that keeps the job table: each batch writes it as a new version, so a batch that runs twice changes nothing."""
+    kinds = "path string, state string, message string"
 
     def step(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        target = f"{table_path}/version={epoch}"
-        old = spark.read.parquet(f"{table_path}/version={epoch - 1}") if epoch else spark.createDataFrame([], "path string, state string, message string")
-        advance(old, batch).write.mode("overwrite").parquet(target)
+        old = _version(batch.sparkSession, table_path, epoch - 1, kinds)
+        advance(old, batch).write.mode("overwrite").parquet(f"{table_path}/version={epoch}")
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -55,14 +93,20 @@ def commit_once(stream: DataFrame, keys: list[str], at: str, watermark: str) ->
     return stream.withWatermark(at, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_force_link(points: DataFrame, windows: DataFrame, watermark: str = "10 minutes", longest: str = "1 hour") -> DataFrame:
+def stream_force_link(points: DataFrame, windows: DataFrame, watermark: str = "10 minutes", longest: str = "1 hour", unmatched: bool = False) -> DataFrame:
     """T4: points(study_id, point_id, at) with the windows(study_id, data_uri, starts, ends) that hold them, as both arrive.
 
-    The state of a side ends with the watermark and the longest window. Uniqueness (J7) is counted downstream, per point.
+    The state of a side ends with the watermark and the longest window; points that come later are dropped, and counted in the query's progress
+    (`late_rows`). With `unmatched`, points without a window follow once none can come any more. Uniqueness (J7) is counted downstream, per point.
     """
     p = points.withWatermark("at", watermark).select(F.col("study_id").alias("p_study"), "point_id", "at")
     w = windows.withWatermark("starts", watermark)
-    return p.join(w, F.expr(f"p_study = study_id AND at >= starts AND at <= ends AND at <= starts + INTERVAL {longest}"))
+    return p.join(w, F.expr(f"p_study = study_id AND at >= starts AND at <= ends AND at <= starts + INTERVAL {longest}"), "left" if unmatched else "inner")
+
+
+def late_rows(query) -> int:
+    """Rows that a query dropped so far as later than its watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
 def stream_channel_stats(samples: DataFrame, window: str | None = None, slide: str | None = None, gap: str | None = None, watermark: str = "10 minutes") -> DataFrame:
@@ -70,3 +114,14 @@ def stream_channel_stats(samples: DataFrame, window: str | None = None, slide: s
     over = F.session_window("ts", gap) if gap else F.window("ts", window, slide) if slide else F.window("ts", window)
     out = samples.withWatermark("ts", watermark).groupBy(over.alias("w"), "data_uri", "channel")
     return out.agg(F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg("value").alias("mean_value"), F.count("*").alias("n")).select(F.col("w.start").alias("from_ts"), F.col("w.end").alias("to_ts"), "data_uri", "channel", "min_value", "max_value", "mean_value", "n")
+
+
+def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """What a stream gives for all that is there now, as a table at path: appended, or (complete, update) as its last result."""
+    sink = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        query = sink.format("parquet").start(path)
+    else:
+        query = sink.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
