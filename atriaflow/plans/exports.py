@@ -34,8 +34,9 @@ def _mesh_texts(spark, d):
     a = section(v, "vertex_id", F.concat(number("x", "y", "z"), F.lit(" 0 0 1 0"))).withColumnRenamed("rows", "a")
     b = section(t, "tri_id", F.concat(number("v0", "v1", "v2"), F.lit(" 0 0 1 "), F.when(F.col("tri_id") % 5 == 0, "-1").otherwise("0"))).withColumnRenamed("rows", "b")
     c = section(v, "vertex_id", F.concat(F.when(F.col("vertex_id") % 4 == 0, "-10000").otherwise(F.col("value").cast("string")), F.lit(" 1"))).withColumnRenamed("rows", "c")
-    text = F.concat(F.lit("#mesh\n[GeneralAttributes]\nMeshID = 1\n[VerticesSection]\n; X Y Z NormalX NormalY NormalZ GroupID\n"), "a", F.lit("\n\n[TrianglesSection]\n; V0 V1 V2 NX NY NZ GroupID\n"), "b", F.lit("\n\n[VerticesColorsSection]\n; Bipolar LAT\n"), "c", F.lit("\n"))
-    return a.join(b, "map_id").join(c, "map_id").select(F.col("map_id").cast("string").alias("file"), text.alias("value"))
+    e = section(v, "vertex_id", F.concat(F.when(F.col("vertex_id") % 9 == 0, "1").otherwise("0"), F.lit(" 0"))).withColumnRenamed("rows", "e")
+    text = F.concat(F.lit("#mesh\n[GeneralAttributes]\nMeshID = 1\n[VerticesSection]\n; X Y Z NormalX NormalY NormalZ GroupID\n"), "a", F.lit("\n\n[TrianglesSection]\n; V0 V1 V2 NX NY NZ GroupID\n"), "b", F.lit("\n\n[VerticesColorsSection]\n; Bipolar LAT\n"), "c", F.lit("\n\n[VerticesAttributesSection]\n; Scar Other\n"), "e", F.lit("\n"))
+    return a.join(b, "map_id").join(c, "map_id").join(e, "map_id").select(F.col("map_id").cast("string").alias("file"), text.alias("value"))
 
 
 @query("s1_mesh_vertices", f"WITH {GRID} SELECT map_id::VARCHAR AS file, vertex_id, x, y, round(z, 6) AS z FROM v WHERE map_id IN (SELECT map_id FROM t)")
@@ -48,9 +49,14 @@ def s1t(spark, d):
     return exports.read_mesh(_mesh_texts(spark, d))[1].select("file", "tri_id", "v0", "v1", "v2")
 
 
-@query("s1_mesh_colours", f"WITH {GRID} SELECT map_id::VARCHAR AS file, vertex_id, CASE WHEN vertex_id % 4 <> 0 THEN value END AS value FROM v WHERE map_id IN (SELECT map_id FROM t)")
+@query("s1_mesh_colours", f"WITH {GRID} SELECT map_id::VARCHAR AS file, vertex_id, c AS column, p AS position, CASE WHEN p = 1 THEN 1.0 WHEN vertex_id % 4 <> 0 THEN value END AS value FROM v, (VALUES ('Bipolar', 0), ('LAT', 1)) q(c, p) WHERE map_id IN (SELECT map_id FROM t)")
 def s1c(spark, d):
-    return exports.read_mesh(_mesh_texts(spark, d))[2].filter("column = 'Bipolar'").select("file", "vertex_id", "value")
+    return exports.read_mesh(_mesh_texts(spark, d))[2]
+
+
+@query("s1_mesh_flags", f"WITH {GRID} SELECT map_id::VARCHAR AS file, vertex_id, 'Scar' AS flag FROM v WHERE vertex_id % 9 = 0 AND map_id IN (SELECT map_id FROM t)")
+def s1f(spark, d):
+    return exports.read_mesh_flags(_mesh_texts(spark, d))
 
 
 def _window_texts(spark, d):
@@ -61,26 +67,42 @@ def _window_texts(spark, d):
     return rows.select(F.col("data_uri").alias("file"), F.concat(F.lit("ECG_Export_4.1\nRaw ECG to MV (gain) = 0.5\nM1(1) M2(2) V1(3)\n"), "rows", F.lit("\n12")).alias("value"))
 
 
-@query("s6_ecg_windows", f"""WITH {st.SIGNALS} SELECT data_uri AS file, sample_idx, 'M2(2)' AS channel, sample_idx * 0.5::DOUBLE AS value FROM s""")
+@query("s6_ecg_windows", f"""WITH {st.SIGNALS} SELECT data_uri AS file, sample_idx, c AS channel, CASE c WHEN 'M1(1)' THEN round(value * 10) WHEN 'M2(2)' THEN sample_idx ELSE 7 END * 0.5::DOUBLE AS value FROM s, (VALUES ('M1(1)'), ('M2(2)'), ('V1(3)')) q(c)""")
 def s6(spark, d):
-    return exports.read_ecg_windows(_window_texts(spark, d)).filter("channel = 'M2(2)'")
+    return exports.read_ecg_windows(_window_texts(spark, d))
 
 
-@query("s8_dws_matrix", f"WITH {st.SIGNALS} SELECT data_uri AS file, sample_idx, 'force' AS channel, value FROM s")
-def s8(spark, d):
+def _dws_texts(spark, d):
     s = st.samples(spark, d)
     row = F.concat_ws(",", F.col("sample_idx").cast("string"), F.lit("1"), F.col("value").cast("string"), F.lit("3"))
     rows = s.groupBy("data_uri").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", row.alias("s")))), lambda r: r["s"]), "\n").alias("rows"))
-    texts = rows.select(F.col("data_uri").alias("file"), F.concat(F.lit("Export: force\nStudy: x\n\nt_dws,t_ref,force,force_ds\n"), "rows", F.lit("\nEOF\n")).alias("value"))
-    return exports.read_dws(texts).select("file", "sample_idx", "channel", "value")
+    return rows.select(F.col("data_uri").alias("file"), F.concat(F.lit("Export: force\nStudy: x\n\nt_dws,t_ref,force,force_ds\n"), "rows", F.lit("\n,,,\nEOF\n")).alias("value"))
+
+
+@query("s8_dws_matrix", f"WITH {st.SIGNALS} SELECT data_uri AS file, sample_idx, sample_idx::DOUBLE AS t, 'force' AS channel, value FROM s")
+def s8(spark, d):
+    return exports.read_dws(_dws_texts(spark, d))
+
+
+@query("s8_dws_timeseries", f"WITH {st.SIGNALS} SELECT data_uri AS file, sample_idx, sample_idx::DOUBLE AS t, c AS channel, CASE c WHEN 'force' THEN value ELSE 3.0 END AS value FROM s, (VALUES ('force'), ('force_ds')) q(c)")
+def s8_series(spark, d):
+    return exports.read_dws(_dws_texts(spark, d), keep_derived=True)
+
+
+@query("s8_dws_preamble", "SELECT DISTINCT user_id::VARCHAR AS file, k AS key, v AS value FROM events, (VALUES ('Export', 'force'), ('Study', 'x')) q(k, v)")
+def s8_preamble(spark, d):
+    return exports.read_preamble(_dws_texts(spark, d))
 
 
-@query("s13_placed_points", "SELECT s_nationkey::VARCHAR AS file, count(*) AS n, round(sum(s_acctbal), 4) AS x FROM supplier WHERE s_suppkey % 6 <> 0 GROUP BY 1")
+@query("s13_placed_points", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS k FROM supplier)
+SELECT s_nationkey::VARCHAR AS file, k::INT AS placed_id, 'ablation' AS type, s_acctbal AS x, 1.5::DOUBLE AS y, 2.0::DOUBLE AS z, 'averageforce=30,siteindex=' || s_suppkey AS attributes FROM r WHERE s_suppkey % 6 <> 0""")
 def s13(spark, d):
     s = st.table(spark, d, "supplier")
     row = F.concat_ws("\t", F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 6 == 0, "bad").otherwise(F.col("s_acctbal").cast("string")), F.lit("1.5"), F.lit("2"), F.lit("30"))
-    texts = s.groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows")).select(F.col("s_nationkey").cast("string").alias("file"), F.concat(F.lit("Site Index\tX\tY\tZ\tAverage Force\n"), "rows", F.lit("\n\nsecond\tsection\n1\t2")).alias("value"))
-    return exports.read_placed_points(texts, "\t", "ablation").groupBy("file").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("x"))
+    rows = F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("s"))))
+    texts = s.groupBy("s_nationkey").agg(F.array_join(F.transform(rows, lambda r: r["s"]), "\n").alias("rows")).select(F.col("s_nationkey").cast("string").alias("file"), F.concat(F.lit("Site Index\tX\tY\tZ\tAverage Force\n"), "rows", F.lit("\n\nsecond\tsection\n1\t2")).alias("value"))
+    out = exports.read_placed_points(texts, "\t", "ablation")
+    return out.withColumn("attributes", F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","))
 
 
 @query("s15_detect_vendor", "SELECT c_nationkey::BIGINT AS export, CASE WHEN bool_or(c_mktsegment = 'BUILDING' AND c_custkey % 11 = 0) THEN 'carto' WHEN bool_or(c_custkey % 13 = 0) THEN 'ensite' ELSE 'unknown' END AS vendor FROM customer GROUP BY 1")
@@ -89,15 +111,26 @@ def s15(spark, d):
     return exports.detect_vendor(f)
 
 
-@query("s14_import_manifest", "SELECT c_nationkey::BIGINT AS export, count(*) AS n_files, count(*) FILTER (c_custkey % 7 = 0) AS n_meshes, count(*) FILTER (c_custkey % 7 <> 0) AS n_signal_files, coalesce(sum(c_custkey) FILTER (c_custkey % 7 <> 0), 0)::BIGINT AS signal_bytes FROM customer GROUP BY 1")
+@query("s14_import_manifest", """WITH f AS (SELECT c_nationkey::BIGINT AS export, CASE WHEN c_custkey % 7 = 0 THEN 'm' ELSE 's' END AS kind, c_custkey FROM customer), p AS (SELECT c_nationkey::BIGINT AS export, c_name AS map_name, count(o_orderkey) AS n, c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)
+SELECT f.export, count(*) AS n_files, count(*) FILTER (kind = 'm') AS n_meshes, count(*) FILTER (kind = 's') AS n_signal_files, coalesce(sum(c_custkey) FILTER (kind = 's'), 0)::BIGINT AS signal_bytes,
+(SELECT count(*) FROM p WHERE p.export = f.export AND n >= 5) AS n_included, (SELECT count(*) FROM p WHERE p.export = f.export AND n < 5) AS n_left_out, (SELECT count(*) FROM p WHERE p.export = f.export AND n > 0 AND c_custkey % 2 = 0) AS n_issues FROM f GROUP BY f.export""")
 def s14(spark, d):
-    f = st.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("export"), F.when(F.col("c_custkey") % 7 == 0, F.concat("c_name", F.lit(".mesh"))).otherwise(F.concat("c_name", F.lit("_ECG_1.txt"))).alias("path"), F.col("c_custkey").alias("length"))
-    return exports.import_manifest(f)
+    c = st.table(spark, d, "customer")
+    f = c.select(F.col("c_nationkey").cast("long").alias("export"), F.when(F.col("c_custkey") % 7 == 0, F.concat("c_name", F.lit(".mesh"))).otherwise(F.concat("c_name", F.lit("_ECG_1.txt"))).alias("path"), F.col("c_custkey").alias("length"))
+    n = st.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    maps = c.join(n, "c_custkey", "left").select(F.col("c_nationkey").cast("long").alias("export"), F.col("c_name").alias("map_name"), F.coalesce("n", F.lit(0)).alias("n_points"), "c_custkey")
+    shapes = maps.filter("n_points > 0").select("export", "map_name", F.explode(F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit(3), F.lit(4))).otherwise(F.array(F.lit(3), F.lit(3)))).alias("n_vertices"))
+    plan = exports.plan_maps(maps.drop("c_custkey"), shapes)
+    flags = plan.groupBy("export").agg(F.count_if("included").alias("n_included"), F.count_if(~F.col("included")).alias("n_left_out"), F.count_if(F.col("issue").isNotNull()).alias("n_issues"))
+    return exports.import_manifest(f).join(flags, "export", "left")
 
 
-@query("s20_export_points", f"WITH {LONG} SELECT map_id, point_index, max(value) FILTER (name = 'AF') AS AF, max(value) FILTER (name = 'NO') AS NO FROM m GROUP BY ALL")
+@query("s20_export_points", f"WITH {LONG} SELECT map_id, point_index, max(value) FILTER (name = 'AF') AS AF, max(value) FILTER (name = 'NO') AS NO, CASE WHEN point_index % 3 = 0 THEN (point_index % 100)::VARCHAR END AS annotation_map, CASE WHEN point_index % 2 = 0 THEN 'Scar;own' ELSE '' END AS tags FROM m GROUP BY ALL")
 def s20(spark, d):
-    return exports.export_points(st.measurements(spark, d), ["AF", "NO"])
+    long = st.measurements(spark, d)
+    key = F.col("point_index")
+    points = long.select("map_id", "point_index").distinct().select("map_id", "point_index", F.when(key % 3 == 0, F.create_map(F.lit("map"), (key % 100).cast("string"))).alias("annotations"), F.when(key % 2 == 0, F.array(F.lit("Scar"), F.lit("own"))).alias("tags"))
+    return exports.export_points(points, long, ["AF", "NO"], ["map"])
 
 
 @query("s23_mesh_summary", f"WITH {GRID}, a AS (SELECT map_id, count(*) AS n FROM t GROUP BY 1), b AS (SELECT map_id, count(*) AS n FROM v GROUP BY 1) SELECT b.map_id, b.n AS n_vertices, coalesce(a.n, 0) AS n_triangles, 'activation_time' AS fields FROM b LEFT JOIN a USING (map_id)")
@@ -124,8 +157,83 @@ def t2(spark, d):
     return streams.advance(e.filter("state = 'detected'"), e.filter("state <> 'detected'")).select("path", "state")
 
 
-@query("t5_channel_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS from_ts, user_id::VARCHAR AS data_uri, event_type AS channel, min(value) AS min_value, max(value) AS max_value, round(avg(value), 6) AS mean_value, count(*) AS n FROM events GROUP BY ALL")
-def t5(spark, d):
-    s = st.table(spark, d, "events").select(F.col("user_id").cast("string").alias("data_uri"), F.col("event_type").alias("channel"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    out = streams.stream_channel_stats(s, "1 day")
+# ---- streams over the events, drained as they are -----------------------------------------------------------
+
+
+def _event_stream(spark, d):
+    e = st.table(spark, d, "events")
+    # a pattern, as a stream takes a path without one for a folder
+    return spark.readStream.schema(e.schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _drained(spark, stream, name, mode="append"):
+    return streams.drained(stream, st.scratch(spark, name), st.scratch(spark, f"{name}-checkpoint"), mode)
+
+
+@query("t1_watch_bundles", "SELECT user_id::VARCHAR AS bundle, count(*) AS n_files FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_type <> 'signup') WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY 1")
+def t1_watch(spark, d):
+    """A drop folder with a bundle per user, a file per type of event and the marker for a signup, written by Spark and watched by a stream."""
+    drop, table = st.scratch(spark, "drop"), st.scratch(spark, "bundles")
+    e = st.table(spark, d, "events").select(F.col("user_id").cast("string").alias("bundle"), F.when(F.col("event_type") == "signup", ".done").otherwise(F.col("event_type")).alias("leaf")).distinct()
+    files = e.select(F.concat_ws("/", "bundle", "leaf").alias("path"), F.timestamp_micros(F.lit(0)).alias("modified"))
+    files.write.parquet(drop)
+    stream = spark.readStream.schema(files.schema).parquet(drop)
+
+    def step(batch, epoch):
+        streams.bundle_state(batch.withColumn("seen", F.current_timestamp()), require_marker=True).filter("ready").select("bundle", "n_files").write.mode("overwrite").parquet(f"{table}/version={epoch}")
+
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", st.scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(table).select("bundle", "n_files")
+
+
+@query("t2_job_stream", "SELECT user_id::VARCHAR AS path, CASE WHEN bool_or(event_type = 'error' OR (event_type = 'click' AND user_id % 4 = 0)) THEN 'error' WHEN bool_or(event_type = 'purchase') THEN 'done' WHEN bool_or(event_type = 'click') THEN 'importing' ELSE 'detected' END AS state FROM events GROUP BY 1")
+def t2_stream(spark, d):
+    kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "click", "importing").otherwise("detected")
+    events = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("path"), kind.alias("state"), F.lit("m").alias("message"), (F.col("user_id") % 4 == 0).alias("with_signals"))
+    table = st.scratch(spark, "jobs")
+    streams.run_jobs(streams.require_store(events, None), table, st.scratch(spark, "jobs-checkpoint")).awaitTermination()
+    return streams.newest(spark, table).select("path", "state")
+
+
+@query("t3_commit_once", "SELECT event_id, user_id FROM events")
+def t3(spark, d):
+    """Every event twice, as a rescan brings it."""
+    events = _event_stream(spark, d).select("event_id", "user_id", "ts")
+    return _drained(spark, streams.commit_once(events.unionByName(_event_stream(spark, d).select("event_id", "user_id", "ts")), ["event_id"], "ts", "1 day"), "once").select("event_id", "user_id")
+
+
+@query("t4_force_link", """SELECT p.user_id AS study_id, p.event_id AS point_id, w.event_id AS data_uri FROM events p JOIN events w ON p.user_id = w.user_id AND p.event_type = 'click' AND w.event_type = 'signup' AND p.ts >= w.ts AND p.ts <= w.ts + INTERVAL 6 HOUR""")
+def t4(spark, d):
+    e = lambda kind: _event_stream(spark, d).filter(F.col("event_type") == kind)
+    points = e("click").select(F.col("user_id").alias("study_id"), F.col("event_id").alias("point_id"), F.col("ts").alias("at"))
+    windows = e("signup").select(F.col("user_id").alias("study_id"), F.col("event_id").alias("data_uri"), F.col("ts").alias("starts"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("ends"))
+    return _drained(spark, streams.stream_force_link(points, windows, "1 day", "7 hours"), "links").select(F.col("p_study").alias("study_id"), "point_id", "data_uri")
+
+
+def _channel_samples(spark, d):
+    return _event_stream(spark, d).select(F.col("user_id").cast("string").alias("data_uri"), F.col("event_type").alias("channel"), "ts", "value")
+
+
+def _channel_windows(spark, d, **over):
+    out = _drained(spark, streams.stream_channel_stats(_channel_samples(spark, d), **over), "channels", "complete")
     return out.select(F.col("from_ts").cast("timestamp_ntz").alias("from_ts"), "data_uri", "channel", "min_value", "max_value", F.round("mean_value", 6).alias("mean_value"), "n")
+
+
+_STATS = "min(value) AS min_value, max(value) AS max_value, round(avg(value), 6) AS mean_value, count(*) AS n"
+
+
+@query("t5_channel_windows", f"SELECT time_bucket(INTERVAL 1 DAY, ts) AS from_ts, user_id::VARCHAR AS data_uri, event_type AS channel, {_STATS} FROM events GROUP BY ALL")
+def t5(spark, d):
+    return _channel_windows(spark, d, window="1 day")
+
+
+@query("t5_sliding_windows", f"SELECT time_bucket(INTERVAL 12 HOUR, ts) - k * INTERVAL 12 HOUR AS from_ts, user_id::VARCHAR AS data_uri, event_type AS channel, {_STATS} FROM events, (VALUES (0), (1)) q(k) GROUP BY ALL")
+def t5_sliding(spark, d):
+    return _channel_windows(spark, d, window="1 day", slide="12 hours")
+
+
+@query("t5_session_windows", f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS session FROM g)
+SELECT min(ts) AS from_ts, user_id::VARCHAR AS data_uri, event_type AS channel, {_STATS} FROM k GROUP BY user_id, event_type, session""")
+def t5_sessions(spark, d):
+    return _channel_windows(spark, d, gap="8 hours")

@@ -32,8 +32,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({f.name: F.round(f.name, digits) for f in df.schema if f.dataType.simpleString() == "double"})
 
 
-def intervals(spark, edges=EDGES) -> DataFrame:
-    return spark.createDataFrame([(f"{int(a)}..{int(b)}", a, b) for a, b in edges], "label string, lo double, hi double")
+def intervals(edges=EDGES) -> list:
+    return [(f"{int(a)}..{int(b)}", a, b) for a, b in edges]
 
 
 @query("j12_face_values", f"WITH {GRID} SELECT map_id, tri_id, round(face_value, 6) AS face_value, round(area, 6) AS area FROM t")
@@ -62,7 +62,7 @@ g AS (SELECT DISTINCT map_id FROM t)
 SELECT g.map_id, l.label, round(coalesce(sum(area), 0) / 100, 6) AS area_cm2 FROM g CROSS JOIN l LEFT JOIN k ON k.map_id = g.map_id AND k.label = l.label GROUP BY ALL""")
 def a4(spark, d):
     faces = mesh.face_values(st.grid_triangles(spark, d), st.grid_scalars(spark, d))
-    return rounded(measure.areas_for_intervals(faces, intervals(spark)))
+    return rounded(measure.areas_for_intervals(faces, intervals()))
 
 
 _REL = [(0.0, 25.0), (25.0, 50.0), (50.0, 100.0)]
@@ -76,7 +76,7 @@ FROM g CROSS JOIN l LEFT JOIN k ON k.map_id = g.map_id AND share >= lo AND (shar
 def a5(spark, d):
     s = st.grid_scalars(spark, d)
     faces = mesh.face_values(st.grid_triangles(spark, d), s)
-    return rounded(measure.relative_areas(faces, intervals(spark, _REL), measure.scalar_statistics(s)))
+    return rounded(measure.relative_areas(faces, intervals(_REL), measure.scalar_statistics(s)))
 
 
 @query("a6_area_histogram", f"""WITH {GRID}, b AS (SELECT map_id, CASE WHEN face_value BETWEEN -1000 AND 10000 THEN least(floor((face_value + 1000) / 1000), 10)::INT END AS bin, sum(area) AS area FROM t GROUP BY ALL),
@@ -274,10 +274,22 @@ def _sources(spark, d):
     return st.grid_vertices(spark, d).filter("vertex_id IN (0, 445)").select("map_id", "vertex_id")
 
 
-@query("m4_shortest_paths")
+def _paths_sql(sources: str, what: str) -> str:
+    """Relaxation until nothing changes, by recursion over one row per vertex."""
+    return f"""WITH RECURSIVE {GRID}, {_EDGE_SQL}, w AS (SELECT map_id, a, b, length FROM el UNION ALL SELECT map_id, b, a, length FROM el),
+d(map_id, vertex_id, distance, source) USING KEY (map_id, vertex_id) AS (
+  SELECT map_id, vertex_id, 0.0::DOUBLE, vertex_id FROM v WHERE {sources} AND map_id IN (SELECT map_id FROM t)
+  UNION
+  SELECT n.map_id, n.b, n.distance, n.source FROM (
+    SELECT d.map_id, w.b, min(d.distance + w.length) AS distance, arg_min(d.source, (d.distance + w.length, d.source)) AS source FROM d JOIN w ON w.map_id = d.map_id AND w.a = d.vertex_id GROUP BY d.map_id, w.b) n
+  LEFT JOIN recurring.d o ON o.map_id = n.map_id AND o.vertex_id = n.b WHERE o.distance IS NULL OR n.distance < o.distance - 1e-9)
+{what}"""
+
+
+@query("m4_shortest_paths", _paths_sql("vertex_id IN (0, 445)", "SELECT map_id, vertex_id, round(distance, 6) AS distance FROM d"))
 def m4(spark, d):
     edges = mesh.mesh_edges(st.grid_triangles(spark, d), st.grid_vertices(spark, d))
-    return rounded(geodesic.shortest_paths(edges, _sources(spark, d)))
+    return rounded(geodesic.shortest_paths(edges, _sources(spark, d))).select("map_id", "vertex_id", "distance")
 
 
 @query("m6_nearest_source")
@@ -303,7 +315,8 @@ def m10(spark, d):
     return rounded(geodesic.conduction_directions(st.grid_vertices(spark, d)), 4)
 
 
-@query("m5_geodesic_delta")
+@query("m5_geodesic_delta", _paths_sql("vertex_id % 13 = 4", """SELECT d.map_id, d.vertex_id, round(distance, 6) AS distance, round(CASE WHEN distance <= 6 THEN b.value * 0.5 END, 6) AS b_value, round(a.value - CASE WHEN distance <= 6 THEN b.value * 0.5 END, 6) AS delta
+FROM d JOIN v a ON a.map_id = d.map_id AND a.vertex_id = d.vertex_id JOIN v b ON b.map_id = d.map_id AND b.vertex_id = d.source"""))
 def m5(spark, d):
     v = st.grid_vertices(spark, d)
     edges = mesh.mesh_edges(st.grid_triangles(spark, d), v)
@@ -311,12 +324,29 @@ def m5(spark, d):
     return rounded(geodesic.geodesic_delta(edges, v.select("map_id", "vertex_id", F.col("value").alias("a_value")), b, 6.0))
 
 
-@query("a12_report_table", f"""WITH {GRID}, i AS (SELECT DISTINCT map_id * 2 AS map_id FROM v), a AS (SELECT map_id, sum(area) / 100 AS area_cm2, coalesce(sum(area) FILTER (face_value >= -1000 AND face_value < 2500), 0) / 100 AS low, coalesce(sum(area) FILTER (face_value BETWEEN 2500 AND 10000), 0) / 100 AS high FROM t GROUP BY map_id),
-s AS (SELECT map_id, avg(value) AS mean_value FROM v GROUP BY map_id)
-SELECT i.map_id, round(area_cm2, 4) AS area_cm2, round(mean_value, 4) AS mean_value, round(low, 4) AS low, round(high, 4) AS high, area_cm2 IS NOT NULL AS found FROM i LEFT JOIN a USING (map_id) LEFT JOIN s USING (map_id)""")
+@query("a12_report_table", f"""WITH {GRID}, i AS (SELECT DISTINCT map_id * 2 AS map_id FROM v), s AS (SELECT map_id, min(value) AS min_value, max(value) AS max_value, avg(value) AS mean_value, stddev_pop(value) AS std_value FROM v GROUP BY map_id),
+a AS (SELECT t.map_id, sum(area) / 100 AS area_cm2, coalesce(sum(area) FILTER (face_value >= -1000 AND face_value < 2500), 0) / 100 AS low, coalesce(sum(area) FILTER (face_value BETWEEN 2500 AND 10000), 0) / 100 AS high,
+  coalesce(sum(area) FILTER (face_value / max_value * 100 BETWEEN 0 AND 50), 0) / 100 AS half FROM t JOIN s USING (map_id) GROUP BY t.map_id)
+SELECT i.map_id, round(area_cm2, 4) AS area_cm2, round(min_value, 4) AS min_value, round(max_value, 4) AS max_value, round(mean_value, 4) AS mean_value, round(std_value, 4) AS std_value, round(low, 4) AS "low (abs)", round(high, 4) AS "high (abs)", round(half, 4) AS "half (rel)",
+CASE WHEN area_cm2 IS NOT NULL AND i.map_id % 3 = 0 THEN 'LA' END AS atrium, NULL::VARCHAR AS part, area_cm2 IS NOT NULL AS found FROM i LEFT JOIN a USING (map_id) LEFT JOIN s USING (map_id)""")
 def a12(spark, d):
     scalars, triangles = st.grid_scalars(spark, d), st.grid_triangles(spark, d)
-    edges = spark.createDataFrame([("low", -1000.0, 2500.0), ("high", 2500.0, 10000.0)], "label string, lo double, hi double")
-    areas = measure.areas_for_intervals(mesh.face_values(triangles, scalars), edges)
+    faces, stats = mesh.face_values(triangles, scalars), measure.scalar_statistics(scalars)
+    absolute = measure.areas_for_intervals(faces, [("low", -1000.0, 2500.0), ("high", 2500.0, 10000.0)])
+    relative = measure.relative_areas(faces, [("half", 0.0, 50.0)], stats)
+    attributes = scalars.select("map_id").distinct().filter("map_id % 3 = 0").select("map_id", F.create_map(F.lit("atrium"), F.lit("LA")).alias("attributes"))
     ids = scalars.select((F.col("map_id") * 2).alias("map_id"))
-    return report.report_table(ids, measure.surface_area(triangles), measure.mean_value(scalars).select("map_id", "mean_value"), areas, ["low", "high"])
+    return report.report_table(ids, measure.surface_area(triangles), stats, absolute, relative, ["low", "high"], ["half"], attributes, ["atrium", "part"])
+
+
+# ---- made surfaces, as many as there are suppliers ----------------------------------------------------------
+
+
+@query("m11_synthetic_maps", """WITH n AS (SELECT count(*) AS n FROM supplier), g AS (SELECT m AS map_id, k AS vertex_id, (k % 12) / 12.0 * 6.283185307179586 AS u, (k // 12 + 0.5) / 12.0 * 3.141592653589793 AS w FROM n, range(n) a(m), range(144) b(k)),
+s AS (SELECT map_id, 100 * exp(-((30 * cos(u) * sin(w))^2 + (25 * sin(u) * sin(w))^2 + (35 * cos(w) - 35)^2) / 450) AS v FROM g)
+SELECT map_id, count(*) AS n_vertices, 264::BIGINT AS n_triangles, round(max(v), 5) AS most, count(*) FILTER (v >= 50) AS n_high FROM s GROUP BY 1""")
+def m11(spark, d):
+    vertices, triangles, scalars = mesh.synthetic_maps(spark, st.table(spark, d, "supplier").count(), 12)
+    n = triangles.groupBy("map_id").agg(F.count("*").alias("n_triangles"))
+    values = scalars.groupBy("map_id").agg(F.count("*").alias("n_vertices"), F.round(F.max("value"), 5).alias("most"), F.count_if(F.col("value") >= 50).alias("n_high"))
+    return values.join(n, "map_id")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from atriaflow.plans import exports, meshes, tables
+from atriaflow.plans import exports, meshes, studies, tables
 
-MODULES: list = [meshes, tables, exports]
+MODULES: list = [meshes, tables, exports, studies]
 
 
 def queries() -> dict:
