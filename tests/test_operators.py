@@ -7,6 +7,7 @@ import pytest
 
 from atriaflow.functions import columns, vocab
 from atriaflow.operators import geodesic, link, measure, mesh, report, spatial
+from atriaflow.sources import studies
 from pyspark.sql import functions as F
 
 
@@ -24,7 +25,7 @@ def square(spark, n=11):
 
 def test_interval_edges(spark):
     faces = spark.createDataFrame([(1, 0.0, 0.5), (1, 1.0, 0.5), (1, 2.0, 0.5)], "map_id long, face_value double, area double")
-    iv = spark.createDataFrame([("high", 1.0, 2.0), ("low", 0.0, 1.0)], "label string, lo double, hi double")
+    iv = [("high", 1.0, 2.0), ("low", 0.0, 1.0)]
     got = {r["label"]: r["area_cm2"] for r in measure.areas_for_intervals(faces, iv).collect()}
     assert got == pytest.approx({"low": 0.005, "high": 0.010})
 
@@ -49,6 +50,24 @@ def test_nn_join_equals_brute_force(spark):
         assert [got[i][k] for k in (1, 2, 3)] == list(np.argsort(d[i])[:3])
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_nn_join_on_maps_of_other_sizes_and_far_clouds(spark, k):
+    """A small dense map, a wide sparse one, one point alone, and a cloud some 360 mm away from its surface."""
+    rng = np.random.default_rng(7)
+    sphere = lambda n, r: (lambda v: v / np.linalg.norm(v, axis=1)[:, None] * r)(rng.normal(size=(n, 3)))
+    surfaces = {1: sphere(400, 0.5), 2: sphere(60, 900.0), 3: np.array([[1.0, 2.0, 3.0]]), 4: sphere(500, 40.0)}
+    clouds = {1: sphere(50, 0.52), 2: sphere(50, 850.0), 3: rng.normal(size=(5, 3)), 4: np.vstack([sphere(60, 38.0) + [360, 0, 20], sphere(40, 41.0)])}
+    frame = lambda maps: spark.createDataFrame([(m, i, *map(float, p)) for m, x in maps.items() for i, p in enumerate(x)] + [(4, 9999, float("nan"), 0.0, 0.0)], "map_id long, vertex_id int, x double, y double, z double")
+    got = {}
+    for r in spatial.nn_join(frame(clouds), frame(surfaces), ["map_id"], k=k).collect():
+        got.setdefault((r["map_id"], r["vertex_id"]), {})[r["rank"]] = r["near_id"]
+    for m, x in clouds.items():
+        d = np.linalg.norm(x[:, None] - surfaces[m][None], axis=2)
+        for i in range(len(x)):
+            want = list(np.argsort(d[i], kind="stable")[:k])
+            assert [got[m, i][j + 1] for j in range(len(want))] == want and len(got[m, i]) == len(want)
+
+
 def test_same_map_has_no_delta(spark):
     v, _ = square(spark, 4)
     two = v.drop("map_id").withColumn("map_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
@@ -120,10 +139,51 @@ def test_force_window_must_be_one(spark):
 
 
 def test_signal_binding_is_unique(spark):
-    points = spark.createDataFrame([(1, "p", "bipolar", " cs 1-2"), (1, "p", "ecg", "V1")], "study_id long, point_id string, role string, wanted string")
-    channels = spark.createDataFrame([("w", 1, "p", "CS 1-2"), ("w", 1, "p", "V1"), ("x", 1, "p", "v1")], "data_uri string, study_id long, point_id string, channel string")
-    got = {r["role"]: (r["n"], r["channel"]) for r in link.bind_signals(points, channels).collect()}
-    assert got == {"bipolar": (1, "CS 1-2"), "ecg": (2, None)}
+    points = spark.createDataFrame([(1, "p", "g", "bipolar", " cs 1-2"), (1, "p", "g", "ecg", "V1"), (1, "p", "g", "reference", "R"), (1, "q", "h", "reference", "R")], "study_id long, point_id string, freeze_group string, role string, wanted string")
+    channels = spark.createDataFrame([("w", 1, "p", None, "CS 1-2"), ("w", 1, "p", None, "V1"), ("x", 1, "p", None, "v1"), ("r", 1, None, "g", "r")], "data_uri string, study_id long, point_id string, freeze_group string, channel string")
+    got = {(r["point_id"], r["role"]): (r["n"], r["channel"]) for r in link.bind_signals(points, channels).collect()}
+    assert got == {("p", "bipolar"): (1, "CS 1-2"), ("p", "ecg"): (2, None), ("p", "reference"): (1, "r")}
+
+
+def test_vectors_hold_every_point(spark):
+    long = spark.createDataFrame([(1, 5, "v", "k", "mV", 2.0), (1, 3, "v", "k", "mV", 1.0), (1, 3, "v", "k", "V", 7.0)], "map_id long, point_index int, name string, kind string, unit string, value double")
+    points = spark.createDataFrame([(1, 3), (1, 4), (1, 5), (2, 0)], "map_id long, point_index int")
+    got = {(r["map_id"], r["unit"]): r["vector"] for r in link.signal_properties(long, points).collect()}
+    assert got == {(1, "mV"): [1.0, None, 2.0], (1, "V"): [7.0, None, None]}
+
+
+def test_regions_leave_zero_coordinates_out(spark):
+    rows = [(1, 1, 20.0, 1.0, 1.0), (1, 1, 0.0, 9.0, 9.0), (1, 2, 0.0, 0.0, 0.0), (1, 3, 1.0, 6.0, 7.0), (1, 4, -12.0, 2.0, 1.0)]
+    points = spark.createDataFrame(rows, "study_id long, map_id long, x double, y double, z double")
+    ref = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "study_id long, rx double, ry double, rz double")
+    got = {r["map_id"]: r["region"] for r in report.centroid_region(points, ref).collect()}
+    assert got == {1: "lateral wall", 2: None, 3: "anterior wall", 4: None}
+
+
+def test_texts_lose_names_and_paths(spark):
+    rows = [(1, "Ann Lee and Ann", "/home/x", "n"), (2, "study/3", "plain", None), (3, "xAnnx", "a\\b", "n")]
+    df = spark.createDataFrame(rows, "id long, title string, extra string, notes string")
+    studies = spark.createDataFrame([(7, "Ann"), (8, "Ann Lee"), (9, "")], "study_id long, name string")
+    got = {r["id"]: (r["title"], r["extra"], r["notes"]) for r in report.deidentify(df, studies, ["id"], ["title", "extra"]).collect()}
+    assert got == {1: ("study/8 and study/7", "[redacted]", "[redacted]"), 2: ("study/3", "plain", None), 3: ("xstudy/7x", "[redacted]", "[redacted]")}
+    assert report.deidentify(df, studies, ["id"], ["title"], enabled=False).first()["mode"] == "open"
+
+
+def test_mann_whitney_tail(spark):
+    rows = [("r", i < 6, float(v)) for i, v in enumerate([9, 8, 7, 7, 6, 5, 4, 3, 2, 1])]
+    got = report.mann_whitney(spark.createDataFrame(rows, "region string, good boolean, v double"), ["region"], "good", "v").first()
+    assert got["u"] == 24 and got["p"] == pytest.approx(0.5 * math.erfc(got["z"] / math.sqrt(2)), abs=1e-12)
+
+
+@pytest.mark.parametrize(("a", "sigma", "b"), [(80, 9, 5), (100, 3, 0), (40, 25, 60)])
+def test_decay_fit_equals_a_fine_grid(spark, a, sigma, b):
+    d = np.arange(1, 40, 2.0)
+    y = a * np.exp(-(d**2) / (2 * sigma**2)) + b + 3 * np.sin(d)
+    got = report.fit_decay(spark.createDataFrame([(1, float(p), float(q), 5) for p, q in zip(d, y)], "map_id long, bin double, mean_score double, n long")).first()
+    fits = lambda s, x, z: ((x * np.exp(-(d**2) / (2 * s * s)) + z - y) ** 2).sum()
+    best = min(fits(s, x, z) for s in np.linspace(max(0.1, sigma - 4), min(40, sigma + 4), 41) for x in np.linspace(0, 100, 101) for z in np.linspace(0, 100, 101))
+    assert fits(got["sigma"], got["amplitude"], got["offset"]) <= best + 1e-9
+    assert 0 <= got["amplitude"] <= 100 and 0.1 <= got["sigma"] <= 40 and 0 <= got["offset"] <= 100
 
 
 def test_decay_fit(spark):
@@ -135,7 +195,48 @@ def test_decay_fit(spark):
 def test_report_has_a_row_for_missing_maps(spark):
     ids = spark.createDataFrame([(1,), (7,)], "map_id long")
     areas = spark.createDataFrame([(1, 2.123456)], "map_id long, area_cm2 double")
-    stats = spark.createDataFrame([(1, 0.5)], "map_id long, mean_value double")
+    stats = spark.createDataFrame([(1, 0.5, 1.0, 0.7, 0.1)], "map_id long, min_value double, max_value double, mean_value double, std_value double")
     iv = spark.createDataFrame([(1, "low", 1.0)], "map_id long, label string, area_cm2 double")
-    got = {r["map_id"]: r for r in report.report_table(ids, areas, stats, iv, ["low"]).collect()}
-    assert got[1]["area_cm2"] == 2.1235 and got[7]["found"] is False and got[7]["low"] is None
+    own = spark.createDataFrame([(1, {"atrium": "LA"})], "map_id long, attributes map<string,string>")
+    got = {r["map_id"]: r for r in report.report_table(ids, areas, stats, iv, iv, ["low"], ["low"], own, ["atrium"]).collect()}
+    assert got[1]["area_cm2"] == 2.1235 and got[1]["low (rel)"] == 1.0 and got[1]["atrium"] == "LA" and got[7]["found"] is False and got[7]["low (abs)"] is None
+
+
+def files(spark, *texts):
+    return spark.createDataFrame([(f"dir/{name}", value) for name, value in texts], "file string, value string")
+
+
+def test_signal_rows_that_are_wrong_are_errors(spark):
+    head = "Sample rate:,2\nTrace,(Point #),startTime (abs),0,1\n"
+    good = studies.read_dxl_waveforms(files(spark, ("wave_rov.csv", head + "a,7,1.5,3,\nEOF\nx"))).collect()
+    assert [(r["point_id"], r["sample_idx"], r["t"], r["value"]) for r in good] == [("7", 0, 0.0, 3.0), ("7", 1, 0.5, None)]
+    for text in ("Trace,(Point #),0,1\na,1,2,3", head + "a,7,1.5,3", "Sample rate:,2\nTrace,0,2\na,1,2", "Sample rate:,2\nWaveform samples exported:,3\nTrace,0,1\na,1,2"):
+        with pytest.raises(Exception, match="wave_rov"):
+            studies.read_dxl_waveforms(files(spark, ("wave_rov.csv", text))).collect()
+
+
+def test_study_trees_are_kept_once(spark, tmp_path):
+    def tree(names):
+        maps = spark.createDataFrame([(s, "carto", m) for s in names for m in ("a", "b")], "study_name string, vendor string, map_name string")
+        points = spark.createDataFrame([(s, "a", i, float(len(names))) for s in names for i in range(3)], "study_name string, map_name string, point_index int, x double")
+        return studies.study_tree(maps, points, spark.createDataFrame([(names[0], "label", 1)], "study_name string, type string, placed_no int"))
+
+    path = str(tmp_path / "store")
+    count = lambda name: spark.read.parquet(f"{path}/{name}").count()
+    studies.persist_study(tree(["s", "t"]), path)
+    studies.persist_study(tree(["s", "t", "u"]), path)
+    assert [count(n) for n in ("studies", "maps", "points", "placed_points")] == [3, 6, 9, 1]
+    studies.persist_study(tree(["t"]), path, replace=True)
+    xs = spark.read.parquet(f"{path}/points").groupBy("x").count().collect()
+    assert {r["x"]: r["count"] for r in xs} == {2.0: 3, 3.0: 3, 1.0: 3}
+
+
+def test_raw_components():
+    assert studies.raw_components(None) == set(studies.COMPONENTS) and studies.raw_components("") == set() == studies.raw_components([])
+    with pytest.raises(ValueError, match="odd"):
+        studies.raw_components("mesh, odd")
+
+
+def test_names_of_volumes_in_a_broken_file(spark):
+    got = studies.volume_names(files(spark, ("x.xml", '<DIF><Volume name=" a "><Vertices>1 2'), ("y.xml", "<DIF/>"))).collect()
+    assert [(r["file"], r["name"]) for r in got] == [("dir/x.xml", "a")]
