@@ -21,7 +21,7 @@ text one stays; empty tables give empty results; other columns pass through and
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,18 +48,19 @@ def _keys(df: DataFrame, regions: int, per_region: int) -> DataFrame:
     return df.withColumn("region", _word(1) % regions).withColumn("bucket", _word(8) % per_region)
 
 
-def _fill(group: pd.DataFrame) -> pd.DataFrame:
+def _fill(group: pa.Table) -> pa.Table:
     """Pilots and slots of one region, and the seed that they are of. A key's slot is (f1 + (pilot div m) * f2 + pilot) mod m."""
-    m, digests = len(group), group["digest"].tolist()
+    m, digests, bucket = len(group), group["digest"].to_pylist(), group["bucket"].to_numpy()
     words = [[np.array([int(d[a - 1 : a + 6], 16) for d in digests], dtype=np.int64) for a in at] for at in _HASH_AT]
-    order = np.argsort(group["bucket"].to_numpy(), kind="stable")
-    bounds = np.flatnonzero(np.r_[True, np.diff(group["bucket"].to_numpy()[order]) != 0, True])
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
     buckets = sorted((order[p:q] for p, q in zip(bounds[:-1], bounds[1:])), key=len, reverse=True)
     for seed in range(SEEDS):
         f1, f2 = ((low + seed * high) % m for low, high in words)
         if (placed := _place(f1, f2, buckets, m)) is not None:
-            pilot, slot = placed
-            return group.assign(slots=m, seed=seed, pilot=pilot, slot=slot)
+            for name, values in (("slots", np.full(m, m)), ("seed", np.full(m, seed)), ("pilot", placed[0]), ("slot", placed[1])):
+                group = group.append_column(name, pa.array(values, pa.int64()))
+            return group
     raise ValueError("the history repeats a digest")
 
 
@@ -117,7 +118,7 @@ def build_index(history: DataFrame, carried: list[str]) -> Index:
     per_region = max(1, REGION_KEYS // BUCKET_KEYS)
     keyed = _keys(history, regions, per_region)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
-    return Index(stored(keyed.groupBy("region").applyInPandas(_fill, f"{kinds}, slots long, seed long, pilot long, slot long"), "index"), regions, per_region, carried)
+    return Index(stored(keyed.groupBy("region").applyInArrow(_fill, f"{kinds}, slots long, seed long, pilot long, slot long"), "index"), regions, per_region, carried)
 
 
 def winners(rows: DataFrame) -> DataFrame:
