@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, n_words, stored
+from .common import documents, n_words, stored, unused
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -92,9 +92,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, c
 
 def keep_mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, cap: float = CAP) -> DataFrame:
     """docs as often as the mix takes them (0, 1 or 2 rows each); all columns are kept."""
-    keyed = docs.withColumn("__hash", row_hash())
-    times = mix(docs, weights, share, cap).filter("times > 0").groupBy(F.col("hash").alias("__hash")).agg(F.max("times").alias("__times"))
-    return keyed.join(times, "__hash").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    hash_, times, copy = unused(docs, 3)
+    keyed = docs.withColumn(hash_, row_hash())
+    taken = stored(mix(docs, weights, share, cap).filter("times > 0").groupBy(F.col("hash").alias(hash_)).agg(F.max("times").alias(times)), "taken")
+    return keyed.join(taken, hash_).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
