@@ -23,7 +23,8 @@ def bundle_state(files: DataFrame, quiescence: float = 5.0, require_marker: bool
 
 def stream_bundles(spark: SparkSession, drop_dir: str) -> DataFrame:
     """The files of a drop folder as a stream of (path, modified); contents are not read."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(drop_dir).select("path", F.col("modificationTime").alias("modified"))
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", "true").load(drop_dir).select("path", F.col("modificationTime").alias("modified"))
     return files.withColumn("path", F.regexp_replace("path", rf"^.*?{drop_dir.rstrip('/').rsplit('/', 1)[-1]}/", ""))
 
 
