@@ -68,6 +68,21 @@ def test_nn_join_on_maps_of_other_sizes_and_far_clouds(spark, k):
             assert [got[m, i][j + 1] for j in range(len(want))] == want and len(got[m, i]) == len(want)
 
 
+def test_region_spread_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(measure, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    maps = {1: rng.normal(size=(70, 3)) * 30, 2: rng.normal(size=(2, 3)), 3: rng.normal(size=(1, 3)), 4: np.zeros((5, 3))}
+    v = spark.createDataFrame([(m, i, *map(float, p)) for m, x in maps.items() for i, p in enumerate(x)], "map_id long, vertex_id int, x double, y double, z double")
+    scalars = v.select("map_id", "vertex_id", F.lit(1.0).alias("value")).unionByName(spark.createDataFrame([(9, 0, 5.0)], "map_id long, vertex_id int, value double"))
+    got = {r["map_id"]: tuple(r)[1:] for r in measure.region_spread(scalars, v, 0.0, 2.0).collect()}
+    for m, x in maps.items():
+        d = np.linalg.norm(x[:, None] - x[None], axis=2)
+        pairs = d[np.triu_indices(len(x), 1)]
+        want = (np.where(np.eye(len(x)), np.inf, d).min(axis=1).max(), pairs.max(), pairs.mean(), np.median(pairs)) if len(pairs) else (0, 0, 0, 0)
+        assert got[m] == pytest.approx(want, abs=1e-7)
+    assert got[9] == (0, 0, 0, 0)
+
+
 def test_same_map_has_no_delta(spark):
     v, _ = square(spark, 4)
     two = v.drop("map_id").withColumn("map_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
