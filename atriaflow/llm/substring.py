@@ -217,10 +217,13 @@ class Spans:
         shown = shown.join(self.firsts, "key").filter("rank = first_rank").select("rank", "key", F.explode("anchors").alias("anchor"))
         shown = stored(shown, "anchors")
         shared = shown.groupBy("anchor").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).filter("lo < hi").select("anchor")
+        shared = stored(shared, "shared")
         marked = shown.join(shared, "anchor").groupBy("rank", "key").agg(F.collect_list("anchor").alias("marked"))
         doubtful = stored(self.texts.join(marked, ["rank", "key"]).select("rank", "key", "text", "marked"), "doubtful")
         windows = stored(doubtful.mapInArrow(_doubtful, "hash long, rank long, key string, start int"), "windows")
         owners = windows.groupBy("hash").agg(F.min("rank").alias("owner"), F.max("rank").alias("other")).filter("owner < other").select("hash", "owner")
+        # a stored table on the other side, so that Spark can split the rows of a hot window
+        owners = stored(owners, "owners")
         placed = windows.join(owners, "hash").groupBy("rank", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("owner").alias("owners"))
         kinds = "owner long, rank long, key string, first int, words binary, n long"
         stretches = stored(doubtful.join(placed, ["rank", "key"]).select("rank", "key", "text", "starts", "owners").mapInArrow(_stretches, kinds), "stretches")
