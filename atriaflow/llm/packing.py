@@ -65,8 +65,10 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.kind = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
+        self.number = [i.to_bytes(int(self.kind[-1]), "little") for i in range(self.whole.get_vocab_size())]
         alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
+        self.endings: dict[str, bytes] = {}
         self.table = {c: "".join(p for p, _ in alphabet.pre_tokenize_str(chr(c))) for c in range(0x80, 0x250)}
 
     def _slow(self, word: str) -> bytes:
@@ -82,12 +84,23 @@ class WordTokenizer:
         letters = word[:signs]
         if letters and self._plain(letters):
             low = letters.lower()
-            ids = np.array([t.id for t in self.model.tokenize(low if low.isascii() else low.translate(self.table))], dtype=self.kind).tobytes()
+            ids = self.known.get(low) if signs < len(word) else None
+            if ids is None:
+                ids = b"".join([self.number[t.id] for t in self.model.tokenize(low if low.isascii() else low.translate(self.table))])
             if signs < len(word):
-                ids += self.known.get(word[signs:]) or self._slow(word[signs:])
+                self.known[low] = ids
+                ids += self._signs(word[signs:])
             return ids
         return self._slow(word)
 
+    def _signs(self, signs: str) -> bytes:
+        """The ids of signs after a word, of which there are few; longer runs are not remembered."""
+        if (ids := self.endings.get(signs)) is None:
+            ids = self._slow(signs)
+            if len(signs) < 8 and len(self.endings) < REMEMBERED:
+                self.endings[signs] = ids
+        return ids
+
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian numbers of 16 bits, or of 32 where the vocabulary needs them."""
         if any(c in text for c in "\x1c\x1d\x1e\x1f") or "<|" in text:
@@ -227,6 +240,9 @@ class Mixture:
 
     def pieces(self, source: int, start: int, n: int):
         """(window, offset there, tokens) of the n tokens of a source from position start on."""
+        if len(self.phases) == 1:
+            yield from self.phases[0][2].pieces(source, start, n)
+            return
         for at, (total, served, plan) in enumerate(self.phases):
             upto = self.phases[at + 1][1][source] if at + 1 < len(self.phases) else start + n
             take = min(start + n, upto) - start
