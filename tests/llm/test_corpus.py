@@ -5,8 +5,11 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from atriaflow.llm import chat, exact_dedup, langid, mixing, near_dedup, packing, quality, substring, syncmers, warc
 from atriaflow.llm.common import new_path
 
@@ -86,15 +89,13 @@ def test_perfect_hash_is_minimal(spark):
 
 
 def test_perfect_hash_takes_another_seed():
-    import pandas as pd
-
     made = [hashlib.sha256(bytes([i])).hexdigest() for i in range(40)]
     # two digests that differ, but agree in both hashes of the first seed
     made[1] = made[1][:21] + made[0][21:35] + made[1][35:]
-    got = exact_dedup._fill(pd.DataFrame({"digest": made, "bucket": [i // 4 for i in range(40)]}))
-    assert (got["seed"] > 0).all() and sorted(got["slot"]) == list(range(40))
+    got = exact_dedup._fill(pa.table({"digest": made, "bucket": [i // 4 for i in range(40)]}))
+    assert min(got["seed"].to_pylist()) > 0 and sorted(got["slot"].to_pylist()) == list(range(40))
     with pytest.raises(ValueError):
-        exact_dedup._fill(pd.DataFrame({"digest": [made[0]] * 2, "bucket": [0, 0]}))
+        exact_dedup._fill(pa.table({"digest": [made[0]] * 2, "bucket": [0, 0]}))
 
 
 def test_quality_ranks_held_out(spark):
@@ -571,3 +572,38 @@ def test_pipeline_runs(spark, tmp_path):
     docs(spark, rows).drop("label").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert out["doc_id"].isin(range(40, 80)).all() and len(out)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    clash = docs(spark, [(i, words(i, 60)) for i in range(12)]).withColumnRenamed("label", "__own0").withColumn("digest", F.lit("d")).withColumn("row", F.lit(1)).withColumn("hash", F.lit("h"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, clash, "").columns == clash.columns
+    docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixture_of_ties_and_repeats(spark):
+    rows = [(i % 3, "w w w", "en", "a") for i in range(60)] + [(i, "x " * 3, "en", "b") for i in range(60)] + [(7, "", "en", "c"), (8, None, "en", "c")]
+    got = mixing.mix(docs(spark, rows)).toPandas()
+    assert len(got) == len(rows) and got[got["source"] == "c"]["target"].eq(0).all()
+    same = got[got["source"] == "a"].groupby("doc_id")["times"].nunique()
+    assert (same == 1).all()  # rows that repeat id and text are taken together
+    b = got[got["source"] == "b"]
+    assert abs((b["size"] * b["times"]).sum() - b["target"].iloc[0]) <= 3
+
+
+def test_repeated_ids_of_other_texts(spark):
+    rows = [(1, words(1, 80)), (1, words(2, 80)), (1, words(1, 80)), (2, f"{words(2, 80)} end")]
+    got = substring.dedup_substrings(docs(spark, rows)).toPandas().sort_values(["doc_id", "n_removed"])
+    assert list(got["n_removed"]) == [0, 0, 0, 80]
+    packed = packing.pack(docs(spark, rows)).toPandas()
+    assert packed["length"].sum() == packed[packed["start"] == 0]["doc_tokens"].sum()
+
+
+def test_warc_columns_that_clash(spark):
+    pages = spark.createDataFrame([(1, "u", "a", "p", "d", 3), (2, "u", "a", "p", "d", 4)], "page_id long, url string, html string, payload string, digest string, refers_to int")
+    path = new_path(spark, "clash")
+    warc.write_warc(pages, path)
+    assert {r["page_id"]: r["refers_to"] for r in warc.read_warc(spark, path).collect()} == {1: None, 2: 1}
