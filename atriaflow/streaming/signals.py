@@ -32,27 +32,35 @@ def _version(spark: SparkSession, path: str, number: int, schema: str) -> DataFr
     return spark.read.schema(schema).parquet(f"{path}/version={number}") if number >= 0 else spark.createDataFrame([], schema)
 
 
-def watch_bundles(spark: SparkSession, drop_dir: str, table_path: str, checkpoint: str, quiescence: float = 5.0, require_marker: bool = False):
+def _markers(spark: SparkSession, drop_dir: str) -> DataFrame:
+    """The bundles with a ``.done`` marker: hidden files, which Spark's sources leave out, so the file system lists them."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{drop_dir.rstrip('/')}/*/.done")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return spark.createDataFrame([(f.getPath().getParent().getName(),) for f in found], "bundle string")
+
+
+def watch_bundles(spark: SparkSession, drop_dir: str, table_path: str, checkpoint: str, quiescence: float = 5.0, require_marker: bool = False) -> DataFrame:
     """Takes what is new in the drop folder into a table of bundles, each ready one once; run it again and again.
 
-    A batch writes the files known so far and the bundles found ready as the next version below table_path, so one that runs twice changes nothing. A bundle
-    keeps the number of the batch (``taken``) in which it was ready first, whatever comes later. Returns the finished query.
+    The stream's batches write the files known so far, each as the next version below table_path, so one that runs twice changes nothing. Then
+    the bundles that are ready and not in the table yet are added to it, with the number of the batch (``taken``) after which they were.
     """
-    kinds = "path string, modified timestamp"
+    kinds, out = "path string, modified timestamp", "bundle string, n_files long, taken long"
 
     def step(batch: DataFrame, epoch: int) -> None:
-        own = batch.sparkSession
-        known = _version(own, f"{table_path}/files", epoch - 1, kinds).unionByName(batch.select("path", "modified"))
-        known = known.groupBy("path").agg(F.max("modified").alias("modified"))
-        known.write.mode("overwrite").parquet(f"{table_path}/files/version={epoch}")
-        files = _version(own, f"{table_path}/files", epoch, kinds).withColumn("seen", F.current_timestamp())
-        old = _version(own, f"{table_path}/bundles", epoch - 1, "bundle string, n_files long, taken long")
-        ready = bundle_state(files, quiescence, require_marker).filter("ready").select("bundle", "n_files", F.lit(epoch).cast("long").alias("taken"))
-        old.unionByName(ready.join(old.select("bundle"), "bundle", "left_anti")).write.mode("overwrite").parquet(f"{table_path}/bundles/version={epoch}")
-
-    query = stream_bundles(spark, drop_dir).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+        known = _version(batch.sparkSession, f"{table_path}/files", epoch - 1, kinds).unionByName(batch.select("path", "modified"))
+        known.groupBy("path").agg(F.max("modified").alias("modified")).write.mode("overwrite").parquet(f"{table_path}/files/version={epoch}")
+
+    stream_bundles(spark, drop_dir).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    every = spark.read.schema(f"{kinds}, version long").parquet(f"{table_path}/files")
+    last = every.agg(F.max("version")).first()[0]
+    files = every.filter(F.col("version") == last).select("path", "modified").withColumn("seen", F.current_timestamp())
+    marks = _markers(spark, drop_dir).select(F.concat("bundle", F.lit("/.done")).alias("path"), F.lit(None).cast("timestamp").alias("modified"), F.current_timestamp().alias("seen"))
+    ready = bundle_state(files.unionByName(marks), quiescence, require_marker).filter("ready").select("bundle", "n_files", F.lit(last).cast("long").alias("taken"))
+    spark.createDataFrame([], out).write.mode("append").parquet(f"{table_path}/bundles")
+    taken = spark.read.schema(out).parquet(f"{table_path}/bundles")
+    ready.join(taken.select("bundle"), "bundle", "left_anti").write.mode("append").parquet(f"{table_path}/bundles")
+    return spark.read.schema(out).parquet(f"{table_path}/bundles")
 
 
 def newest(spark: SparkSession, path: str) -> DataFrame:
