@@ -34,22 +34,22 @@ def _squared(pairs: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda a, b: a + b, [(p - q) * (p - q) for p, q in pairs])
 
 
-def _ranked(met: DataFrame, keys: list[str], left_id: str, k: int) -> DataFrame:
-    """The k rows of least __d2 of each left point, with their rank."""
+def _ranked(met: DataFrame, keys: list[str], left_id: str, k: int, carried: list[str]) -> DataFrame:
+    """The k rows of least __d2 of each left point, with their rank, and the carried columns of the left point."""
     if k == 1:
-        best = met.groupBy(*keys, left_id).agg(F.min(F.struct("__d2", "__rid")).alias("b"))
-        return best.select(*keys, left_id, F.col("b.__rid").alias("__rid"), F.sqrt("b.__d2").alias("distance"), F.lit(1).alias("rank"))
+        best = met.groupBy(*keys, left_id).agg(F.min(F.struct("__d2", "__rid")).alias("b"), *[F.first(c).alias(c) for c in carried])
+        return best.select(*keys, left_id, F.col("b.__rid").alias("__rid"), F.sqrt("b.__d2").alias("distance"), F.lit(1).alias("rank"), *carried)
     near = Window.partitionBy(*keys, left_id).orderBy("__d2", "__rid")
-    return met.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k).select(*keys, left_id, "__rid", F.sqrt("__d2").alias("distance"), "rank")
+    return met.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k).select(*keys, left_id, "__rid", F.sqrt("__d2").alias("distance"), "rank", *carried)
 
 
-def _pass(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, k: int) -> DataFrame:
+def _pass(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, k: int, carried: list[str]) -> DataFrame:
     """For each left point the k nearest right points of its 27 cells of side __h."""
     h = F.col("__h")
     around = reduce(lambda a, c: a.withColumn(f"c{c}", F.explode(F.array(*[_cell(c, h) + F.lit(d) for d in (-1, 0, 1)]))), "xyz", left)
     cells = right.select(*keys, "__rid", "rx", "ry", "rz", *[_cell(f"r{c}", h).alias(f"c{c}") for c in "xyz"])
     met = around.join(cells, [*keys, "cx", "cy", "cz"])
-    return _ranked(met.withColumn("__d2", _squared([(F.col(c), F.col(f"r{c}")) for c in "xyz"])), keys, left_id, k)
+    return _ranked(met.withColumn("__d2", _squared([(F.col(c), F.col(f"r{c}")) for c in "xyz"])), keys, left_id, k, carried)
 
 
 def _boxes(points: DataFrame, by: list[str]) -> DataFrame:
@@ -81,7 +81,7 @@ def _descend(open_: DataFrame, right: DataFrame, keys: list[str], left_id: str,
     first = _reachable(open_.select(*point).join(_boxes(placed, [*keys, "__coarse"]), keys), keys, left_id).select(*point, "__coarse")
     second = _reachable(first.join(_boxes(placed, [*keys, "__coarse", "__fine"]), [*keys, "__coarse"]), keys, left_id).select(*keys, left_id, "x", "y", "z", "__fine")
     met = second.join(placed.drop("__coarse"), [*keys, "__fine"])
-    return _ranked(met.withColumn("__d2", _squared([(F.col(c), F.col(f"r{c}")) for c in "xyz"])), keys, left_id, k)
+    return _ranked(met.withColumn("__d2", _squared([(F.col(c), F.col(f"r{c}")) for c in "xyz"])), keys, left_id, k, [])
 
 
 def nn_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str = "vertex_id", right_id: str = "vertex_id", k: int = 1, max_distance: float | None = None) -> DataFrame:
@@ -93,17 +93,20 @@ def nn_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str = "
     right = _clean(right).select(*keys, F.col(right_id).alias("__rid"), *[F.col(c).alias(f"r{c}") for c in "xyz"])
     if max_distance is not None:
         h = F.lit(max(float(max_distance), 1e-9))
-        found = _pass(left.withColumn("__h", h), right.withColumn("__h", h), keys, left_id, k).filter(F.col("distance") <= max_distance)
+        found = _pass(left.withColumn("__h", h), right.withColumn("__h", h), keys, left_id, k, []).filter(F.col("distance") <= max_distance)
         return found.withColumnRenamed("__rid", "near_id")
     side = F.greatest(*[F.max(f"r{c}") - F.min(f"r{c}") for c in "xyz"])
     # on a surface, a ball of this radius holds some three times k points
     h = side * F.sqrt(F.lit(1.7 * max(k, 2)) / F.count("*"))
-    maps = right.groupBy(*keys).agg(F.least(F.count("*"), F.lit(k)).alias("__want"), side.alias("__side"), F.when(h > 0, h).otherwise(1.0).alias("__h"), *[F.min(f"r{c}").alias(f"__o{c}") for c in "xyz"])
+    maps = right.groupBy(*keys).agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("__want"), side.alias("__side"), F.when(h > 0, h).otherwise(1.0).alias("__h"), *[F.min(f"r{c}").alias(f"__o{c}") for c in "xyz"])
     left, right = left.join(maps, keys), right.join(maps.drop("__want"), keys)
-    near = _pass(left, right, keys, left_id, k).join(maps.select(*keys, "__want", "__h"), keys)
-    near = near.withColumn("__have", F.count_if(F.col("distance") <= F.col("__h")).over(Window.partitionBy(*keys, left_id))).filter("__have >= __want")
+    near = _pass(left, right.drop("__side", *[f"__o{c}" for c in "xyz"]), keys, left_id, k, ["__h", "__want"])
+    if k == 1:
+        near = near.filter(F.col("distance") <= F.col("__h"))
+    else:
+        near = near.withColumn("__have", F.count_if(F.col("distance") <= F.col("__h")).over(Window.partitionBy(*keys, left_id))).filter("__have >= __want")
     near = near.select(*keys, left_id, "__rid", "distance", "rank")
-    open_ = left.join(near.select(*keys, left_id).distinct(), [*keys, left_id], "left_anti")
+    open_ = left.join(near.select(*keys, left_id), [*keys, left_id], "left_anti")
     return near.unionByName(_descend(open_, right, keys, left_id, k)).withColumnRenamed("__rid", "near_id")
 
 
