@@ -28,6 +28,8 @@ ROUNDS = 300
 RIDGE = 1e-3
 #: Buckets of the hashed words, and of the hashed byte triples.
 HASHED = 96
+#: Standard deviation that hashed features are given, where the others have 1: each of them tells little.
+HASHED_SPREAD = 0.3
 
 _CLASSES = ["lower", "upper", "digit", "space", "newline", "stop", "comma", "exclaim", "pipe", "money", "at_slash", "other_sign", "high"]
 FEATURES = [*_CLASSES, "log_words", "log_lines", "word_length", "word_spread", "long_words", "short_words", "distinct_words", "commonest_word", "distinct_lines", "line_words", "upper_words", "sign_words", "same_neighbour", "repeated_triples", "no_text"]
@@ -176,6 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Ran
     if not y.any() or y.all():
         return Ranking(zero, zero + 1, zero, 0.0, 1.0)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    scale[len(FEATURES) :] /= HASHED_SPREAD
     z = np.clip((x - mean) / scale, -20, 20)
     w = _bradley_terry(z, y, PAIRS, ROUNDS)
     s = z @ w
