@@ -208,7 +208,7 @@ class Spans:
         text = F.coalesce(docs["text"].cast("string"), F.lit(""))
         self.texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).withColumn("rank", id_key()).withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
         self.survey = stored(self.texts.mapInArrow(_survey, "doc_id long, rank long, key string, n_words long, sha string, anchors array<long>"), "survey")
-        self.firsts = self.survey.groupBy("key").agg(F.min("rank").alias("first_rank"))
+        self.firsts = stored(self.survey.groupBy("key").agg(F.min("rank").alias("first_rank")), "firsts")
         self.spans = self._spans()
 
     def _spans(self) -> DataFrame:
