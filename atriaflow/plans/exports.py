@@ -49,12 +49,13 @@ def s1t(spark, d):
     return exports.read_mesh(_mesh_texts(spark, d))[1].select("file", "tri_id", "v0", "v1", "v2")
 
 
-@query("s1_mesh_colours", f"WITH {GRID} SELECT map_id::VARCHAR AS file, vertex_id, c AS column, p AS position, CASE WHEN p = 1 THEN 1.0 WHEN vertex_id % 4 <> 0 THEN value END AS value FROM v, (VALUES ('Bipolar', 0), ('LAT', 1)) q(c, p) WHERE map_id IN (SELECT map_id FROM t)")
+@query("s1_mesh_colours", f"""WITH {GRID} SELECT map_id::VARCHAR AS file, vertex_id, c AS column, p AS position, CASE WHEN p = 1 THEN 1.0 WHEN vertex_id % 4 <> 0 THEN value END AS
+value FROM v, (VALUES ('Bipolar', 0), ('LAT', 1)) q(c, p) WHERE map_id IN (SELECT map_id FROM t)""")
 def s1c(spark, d):
     return exports.read_mesh(_mesh_texts(spark, d))[2]
 
 
-@query("s1_mesh_flags", f"WITH {GRID} SELECT map_id::VARCHAR AS file, vertex_id, 'Scar' AS flag FROM v WHERE vertex_id % 9 = 0 AND map_id IN (SELECT map_id FROM t)")
+@query("s1_mesh_flags", f"""WITH {GRID} SELECT map_id::VARCHAR AS file, vertex_id, 'Scar' AS flag FROM v WHERE vertex_id % 9 = 0 AND map_id IN (SELECT map_id FROM t)""")
 def s1f(spark, d):
     return exports.read_mesh_flags(_mesh_texts(spark, d))
 
@@ -84,7 +85,8 @@ def s8(spark, d):
     return exports.read_dws(_dws_texts(spark, d))
 
 
-@query("s8_dws_timeseries", f"WITH {st.SIGNALS} SELECT data_uri AS file, sample_idx, sample_idx::DOUBLE AS t, c AS channel, CASE c WHEN 'force' THEN value ELSE 3.0 END AS value FROM s, (VALUES ('force'), ('force_ds')) q(c)")
+@query("s8_dws_timeseries", f"""WITH {st.SIGNALS} SELECT data_uri AS file, sample_idx, sample_idx::DOUBLE AS t, c AS channel, CASE c WHEN 'force' THEN value ELSE 3.0 END AS value
+FROM s, (VALUES ('force'), ('force_ds')) q(c)""")
 def s8_series(spark, d):
     return exports.read_dws(_dws_texts(spark, d), keep_derived=True)
 
@@ -95,7 +97,8 @@ def s8_preamble(spark, d):
 
 
 @query("s13_placed_points", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS k FROM supplier)
-SELECT s_nationkey::VARCHAR AS file, k::INT AS placed_id, 'ablation' AS type, s_acctbal AS x, 1.5::DOUBLE AS y, 2.0::DOUBLE AS z, 'averageforce=30,siteindex=' || s_suppkey AS attributes FROM r WHERE s_suppkey % 6 <> 0""")
+SELECT s_nationkey::VARCHAR AS file, k::INT AS placed_id, 'ablation' AS type, s_acctbal AS x, 1.5::DOUBLE AS y, 2.0::DOUBLE AS z,
+'averageforce=30,siteindex=' || s_suppkey AS attributes FROM r WHERE s_suppkey % 6 <> 0""")
 def s13(spark, d):
     s = st.table(spark, d, "supplier")
     row = F.concat_ws("\t", F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 6 == 0, "bad").otherwise(F.col("s_acctbal").cast("string")), F.lit("1.5"), F.lit("2"), F.lit("30"))
@@ -105,15 +108,20 @@ def s13(spark, d):
     return out.withColumn("attributes", F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","))
 
 
-@query("s15_detect_vendor", "SELECT c_nationkey::BIGINT AS export, CASE WHEN bool_or(c_mktsegment = 'BUILDING' AND c_custkey % 11 = 0) THEN 'carto' WHEN bool_or(c_custkey % 13 = 0) THEN 'ensite' ELSE 'unknown' END AS vendor FROM customer GROUP BY 1")
+@query("s15_detect_vendor", """SELECT c_nationkey::BIGINT AS export, CASE WHEN bool_or(c_mktsegment = 'BUILDING' AND c_custkey % 11 = 0) THEN 'carto' WHEN bool_or(c_custkey % 13 =
+0) THEN 'ensite' ELSE 'unknown' END AS vendor FROM customer GROUP BY 1""")
 def s15(spark, d):
     f = st.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("export"), F.concat("c_name", F.when((F.col("c_mktsegment") == "BUILDING") & (F.col("c_custkey") % 11 == 0), ".MESH").otherwise(".txt")).alias("path"), F.when(F.col("c_custkey") % 13 == 0, "Map type:,PP_bi").alias("head"))
     return exports.detect_vendor(f)
 
 
-@query("s14_import_manifest", """WITH f AS (SELECT c_nationkey::BIGINT AS export, CASE WHEN c_custkey % 7 = 0 THEN 'm' ELSE 's' END AS kind, c_custkey FROM customer), p AS (SELECT c_nationkey::BIGINT AS export, c_name AS map_name, count(o_orderkey) AS n, c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)
-SELECT f.export, count(*) AS n_files, count(*) FILTER (kind = 'm') AS n_meshes, count(*) FILTER (kind = 's') AS n_signal_files, coalesce(sum(c_custkey) FILTER (kind = 's'), 0)::BIGINT AS signal_bytes,
-(SELECT count(*) FROM p WHERE p.export = f.export AND n >= 5) AS n_included, (SELECT count(*) FROM p WHERE p.export = f.export AND n < 5) AS n_left_out, (SELECT count(*) FROM p WHERE p.export = f.export AND n > 0 AND c_custkey % 2 = 0) AS n_issues FROM f GROUP BY f.export""")
+@query("s14_import_manifest", """WITH f AS (SELECT c_nationkey::BIGINT AS export, CASE WHEN c_custkey % 7 = 0 THEN 'm' ELSE 's' END AS kind,
+c_custkey FROM customer), p AS (SELECT c_nationkey::BIGINT AS export, c_name AS map_name, count(o_orderkey) AS n, c_custkey FROM customer LEFT JOIN
+orders ON o_custkey = c_custkey GROUP BY ALL)
+SELECT f.export, count(*) AS n_files, count(*) FILTER (kind = 'm') AS n_meshes, count(*) FILTER (kind = 's') AS n_signal_files,
+coalesce(sum(c_custkey) FILTER (kind = 's'), 0)::BIGINT AS signal_bytes,
+(SELECT count(*) FROM p WHERE p.export = f.export AND n >= 5) AS n_included, (SELECT count(*) FROM p WHERE p.export = f.export AND n < 5) AS
+n_left_out, (SELECT count(*) FROM p WHERE p.export = f.export AND n > 0 AND c_custkey % 2 = 0) AS n_issues FROM f GROUP BY f.export""")
 def s14(spark, d):
     c = st.table(spark, d, "customer")
     f = c.select(F.col("c_nationkey").cast("long").alias("export"), F.when(F.col("c_custkey") % 7 == 0, F.concat("c_name", F.lit(".mesh"))).otherwise(F.concat("c_name", F.lit("_ECG_1.txt"))).alias("path"), F.col("c_custkey").alias("length"))
@@ -125,7 +133,8 @@ def s14(spark, d):
     return exports.import_manifest(f).join(flags, "export", "left")
 
 
-@query("s20_export_points", f"WITH {LONG} SELECT map_id, point_index, max(value) FILTER (name = 'AF') AS AF, max(value) FILTER (name = 'NO') AS NO, CASE WHEN point_index % 3 = 0 THEN (point_index % 100)::VARCHAR END AS annotation_map, CASE WHEN point_index % 2 = 0 THEN 'Scar;own' ELSE '' END AS tags FROM m GROUP BY ALL")
+@query("s20_export_points", f"""WITH {LONG} SELECT map_id, point_index, max(value) FILTER (name = 'AF') AS AF, max(value) FILTER (name = 'NO') AS NO, CASE WHEN point_index % 3 = 0
+THEN (point_index % 100)::VARCHAR END AS annotation_map, CASE WHEN point_index % 2 = 0 THEN 'Scar;own' ELSE '' END AS tags FROM m GROUP BY ALL""")
 def s20(spark, d):
     long = st.measurements(spark, d)
     key = F.col("point_index")
@@ -133,7 +142,8 @@ def s20(spark, d):
     return exports.export_points(points, long, ["AF", "NO"], ["map"])
 
 
-@query("s23_mesh_summary", f"WITH {GRID}, a AS (SELECT map_id, count(*) AS n FROM t GROUP BY 1), b AS (SELECT map_id, count(*) AS n FROM v GROUP BY 1) SELECT b.map_id, b.n AS n_vertices, coalesce(a.n, 0) AS n_triangles, 'activation_time' AS fields FROM b LEFT JOIN a USING (map_id)")
+@query("s23_mesh_summary", f"""WITH {GRID}, a AS (SELECT map_id, count(*) AS n FROM t GROUP BY 1), b AS (SELECT map_id, count(*) AS n FROM v GROUP BY 1) SELECT b.map_id, b.n AS
+n_vertices, coalesce(a.n, 0) AS n_triangles, 'activation_time' AS fields FROM b LEFT JOIN a USING (map_id)""")
 def s23(spark, d):
     return exports.mesh_summary(st.grid_vertices(spark, d), st.grid_triangles(spark, d), st.grid_scalars(spark, d))
 
@@ -144,14 +154,16 @@ def s22(spark, d):
     return exports.extract_meshes(v.select((F.col("map_id") * 2).alias("map_id")), v).select("map_id", "vertex_id")
 
 
-@query("t1_bundle_state", "SELECT user_id::VARCHAR AS bundle, count(*) FILTER (event_type <> 'signup') AS n_files, bool_or(event_type = 'signup') AS ready FROM events GROUP BY 1 HAVING count(*) FILTER (event_type <> 'signup') > 0")
+@query("t1_bundle_state", """SELECT user_id::VARCHAR AS bundle, count(*) FILTER (event_type <> 'signup') AS n_files, bool_or(event_type = 'signup') AS ready FROM events GROUP BY
+1 HAVING count(*) FILTER (event_type <> 'signup') > 0""")
 def t1(spark, d):
     e = st.table(spark, d, "events")
     f = e.select(F.concat(F.col("user_id").cast("string"), F.lit("/"), F.when(F.col("event_type") == "signup", ".done").otherwise(F.concat(F.lit("f"), F.col("event_id").cast("string")))).alias("path"), F.col("ts").cast("timestamp").alias("modified"), F.col("ts").cast("timestamp").alias("seen"))
     return streams.bundle_state(f, 5.0, True).select("bundle", "n_files", "ready")
 
 
-@query("t2_advance_jobs", "SELECT user_id::VARCHAR AS path, CASE WHEN bool_or(event_type = 'error') THEN 'error' WHEN bool_or(event_type = 'purchase') THEN 'done' ELSE 'detected' END AS state FROM events GROUP BY 1")
+@query("t2_advance_jobs", """SELECT user_id::VARCHAR AS path, CASE WHEN bool_or(event_type = 'error') THEN 'error' WHEN bool_or(event_type = 'purchase') THEN 'done' ELSE
+'detected' END AS state FROM events GROUP BY 1""")
 def t2(spark, d):
     e = st.table(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "done").otherwise("detected").alias("state"), F.lit("m").alias("message"))
     return streams.advance(e.filter("state = 'detected'"), e.filter("state <> 'detected'")).select("path", "state")
@@ -170,7 +182,8 @@ def _drained(spark, stream, name, mode="append"):
     return streams.drained(stream, st.scratch(spark, name), st.scratch(spark, f"{name}-checkpoint"), mode)
 
 
-@query("t1_watch_bundles", "SELECT user_id::VARCHAR AS bundle, count(*) AS n_files FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_type <> 'signup') WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY 1")
+@query("t1_watch_bundles", """SELECT user_id::VARCHAR AS bundle, count(*) AS n_files FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_type <> 'signup') WHERE
+user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY 1""")
 def t1_watch(spark, d):
     """A drop folder with a bundle per user, a file per type of event and the marker for a signup, written by Spark and watched by a stream."""
     drop, table = st.scratch(spark, "drop"), st.scratch(spark, "bundles")
@@ -186,7 +199,8 @@ def t1_watch(spark, d):
     return spark.read.parquet(table).select("bundle", "n_files")
 
 
-@query("t2_job_stream", "SELECT user_id::VARCHAR AS path, CASE WHEN bool_or(event_type = 'error' OR (event_type = 'click' AND user_id % 4 = 0)) THEN 'error' WHEN bool_or(event_type = 'purchase') THEN 'done' WHEN bool_or(event_type = 'click') THEN 'importing' ELSE 'detected' END AS state FROM events GROUP BY 1")
+@query("t2_job_stream", """SELECT user_id::VARCHAR AS path, CASE WHEN bool_or(event_type = 'error' OR (event_type = 'click' AND user_id % 4 = 0)) THEN 'error' WHEN
+bool_or(event_type = 'purchase') THEN 'done' WHEN bool_or(event_type = 'click') THEN 'importing' ELSE 'detected' END AS state FROM events GROUP BY 1""")
 def t2_stream(spark, d):
     kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "click", "importing").otherwise("detected")
     events = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("path"), kind.alias("state"), F.lit("m").alias("message"), (F.col("user_id") % 4 == 0).alias("with_signals"))
@@ -222,17 +236,19 @@ def _channel_windows(spark, d, **over):
 _STATS = "min(value) AS min_value, max(value) AS max_value, round(avg(value), 6) AS mean_value, count(*) AS n"
 
 
-@query("t5_channel_windows", f"SELECT time_bucket(INTERVAL 1 DAY, ts) AS from_ts, user_id::VARCHAR AS data_uri, event_type AS channel, {_STATS} FROM events GROUP BY ALL")
+@query("t5_channel_windows", f"""SELECT time_bucket(INTERVAL 1 DAY, ts) AS from_ts, user_id::VARCHAR AS data_uri, event_type AS channel, {_STATS} FROM events GROUP BY ALL""")
 def t5(spark, d):
     return _channel_windows(spark, d, window="1 day")
 
 
-@query("t5_sliding_windows", f"SELECT time_bucket(INTERVAL 12 HOUR, ts) - k * INTERVAL 12 HOUR AS from_ts, user_id::VARCHAR AS data_uri, event_type AS channel, {_STATS} FROM events, (VALUES (0), (1)) q(k) GROUP BY ALL")
+@query("t5_sliding_windows", f"""SELECT time_bucket(INTERVAL 12 HOUR, ts) - k * INTERVAL 12 HOUR AS from_ts, user_id::VARCHAR AS data_uri, event_type AS channel, {_STATS} FROM
+events, (VALUES (0), (1)) q(k) GROUP BY ALL""")
 def t5_sliding(spark, d):
     return _channel_windows(spark, d, window="1 day", slide="12 hours")
 
 
-@query("t5_session_windows", f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),
+@query("t5_session_windows", f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w
+AS (PARTITION BY user_id, event_type ORDER BY ts)),
 k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS session FROM g)
 SELECT min(ts) AS from_ts, user_id::VARCHAR AS data_uri, event_type AS channel, {_STATS} FROM k GROUP BY user_id, event_type, session""")
 def t5_sessions(spark, d):

@@ -51,22 +51,25 @@ def _volumes(spark, d):
     return whole.select(F.concat(F.lit("dif/"), F.col("map_id").cast("string")).alias("file"), value.alias("value"))
 
 
-@query("s2_dif_vertices", f"WITH {GRID} SELECT 'dif/' || map_id AS file, 0 AS volume, vertex_id, x, y, round(z, 6) AS z, value, vertex_id % 3 = 0 AS valid FROM v WHERE map_id IN (SELECT map_id FROM t)")
+@query("s2_dif_vertices", f"""WITH {GRID} SELECT 'dif/' || map_id AS file, 0 AS volume, vertex_id, x, y, round(z, 6) AS z, value, vertex_id % 3 = 0 AS valid FROM v WHERE map_id IN
+(SELECT map_id FROM t)""")
 def s2_vertices(spark, d):
     return studies.read_dif(_volumes(spark, d))[1].select("file", "volume", "vertex_id", "x", "y", F.round("z", 6).alias("z"), "value", "valid")
 
 
-@query("s2_dif_triangles", f"WITH {GRID}, r AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY tri_id) - 1 AS i FROM t) SELECT 'dif/' || map_id AS file, 0 AS volume, i::INT AS tri_id, v0::INT AS v0, v1::INT AS v1, v2::INT AS v2 FROM r")
+@query("s2_dif_triangles", f"""WITH {GRID}, r AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY tri_id) - 1 AS i FROM t) SELECT 'dif/' || map_id AS file, 0 AS volume,
+i::INT AS tri_id, v0::INT AS v0, v1::INT AS v1, v2::INT AS v2 FROM r""")
 def s2_triangles(spark, d):
     return studies.read_dif(_volumes(spark, d))[2]
 
 
-@query("s2_dif_volumes", f"WITH {GRID} SELECT DISTINCT 'dif/' || map_id AS file, 0 AS volume, 'chamber ' || map_id AS name, 'apex' AS labels, 2.0::DOUBLE AS shift_y FROM t")
+@query("s2_dif_volumes", f"""WITH {GRID} SELECT DISTINCT 'dif/' || map_id AS file, 0 AS volume, 'chamber ' || map_id AS name, 'apex' AS labels, 2.0::DOUBLE AS shift_y FROM t""")
 def s2_volumes(spark, d):
     return studies.read_dif(_volumes(spark, d))[0].select("file", "volume", "name", F.array_join("labels", ",").alias("labels"), F.get("translation", F.lit(1)).alias("shift_y"))
 
 
-@query("s2_dif_names", f"WITH {GRID}, m AS (SELECT DISTINCT map_id FROM t) SELECT 'dif/' || map_id AS file, k AS volume, CASE k WHEN 0 THEN 'chamber ' || map_id ELSE 'empty' END AS name FROM m, (VALUES (0), (1)) q(k)")
+@query("s2_dif_names", f"""WITH {GRID}, m AS (SELECT DISTINCT map_id FROM t) SELECT 'dif/' || map_id AS file, k AS volume, CASE k WHEN 0 THEN 'chamber ' || map_id ELSE 'empty'
+END AS name FROM m, (VALUES (0), (1)) q(k)""")
 def s2_names(spark, d):
     return studies.volume_names(_volumes(spark, d))
 
@@ -97,12 +100,14 @@ def _catalogues(spark, d):
     return whole.select(F.concat(F.lit("cat/"), F.col("study").cast("string"), F.lit(".xml")).alias("file"), value.alias("value"))
 
 
-@query("s3_catalogue_maps", f"WITH {_CATALOGUE_CTE} SELECT 'cat/' || study || '.xml' AS file, 'study ' || study AS study_name, map_name, map_name || '.mesh' AS mesh_file, count(*)::INT AS number_of_points FROM p GROUP BY ALL")
+@query("s3_catalogue_maps", f"""WITH {_CATALOGUE_CTE} SELECT 'cat/' || study || '.xml' AS file, 'study ' || study AS study_name, map_name, map_name || '.mesh' AS mesh_file,
+count(*)::INT AS number_of_points FROM p GROUP BY ALL""")
 def s3_maps(spark, d):
     return studies.read_catalogue(_catalogues(spark, d))[0]
 
 
-@query("s3_catalogue_points", f"""WITH {_CATALOGUE_CTE} SELECT 'cat/' || study || '.xml' AS file, map_name, point_index, (o_orderkey % 1000)::DOUBLE AS x, (o_orderkey % 77)::DOUBLE AS y, (o_custkey % 50)::DOUBLE AS z,
+@query("s3_catalogue_points", f"""WITH {_CATALOGUE_CTE} SELECT 'cat/' || study || '.xml' AS file, map_name, point_index, (o_orderkey % 1000)::DOUBLE
+AS x, (o_orderkey % 77)::DOUBLE AS y, (o_custkey % 50)::DOUBLE AS z,
 CASE WHEN o_orderkey % 3 = 0 THEN 'Scar;own;99' ELSE '' END AS tags FROM p""")
 def s3_points(spark, d):
     return studies.read_catalogue(_catalogues(spark, d))[1].withColumn("tags", F.array_join("tags", ";"))
@@ -129,9 +134,12 @@ def _point_texts(spark, d):
 
 
 @query("s4_points", f"""WITH {_CATALOGUE_CTE}, k AS (SELECT *, o_orderkey % 7 <> 0 AS there FROM p)
-SELECT map_name, point_index, o_orderkey AS source_id, CASE WHEN there THEN o_orderkey END AS start_time, CASE WHEN there THEN 2000.0::DOUBLE END AS reference_annotation, CASE WHEN there AND o_orderkey % 2 = 0 THEN (o_orderkey % 90)::DOUBLE END AS map_annotation,
-CASE WHEN there THEN -50.0::DOUBLE END AS woi_from, CASE WHEN there THEN 75.5::DOUBLE END AS woi_to, CASE WHEN there THEN 1.5::DOUBLE END AS unipolar_voltage, CASE WHEN there THEN price END AS bipolar_voltage,
-CASE WHEN NOT there THEN NULL WHEN o_orderkey % 4 = 0 THEN concat_ws(' ', o_orderkey % 1000, o_orderkey % 77, o_custkey % 50, o_custkey % 50, o_orderkey % 77, o_custkey % 50) WHEN o_orderkey % 4 = 1 THEN concat_ws(' ', o_orderkey % 77, o_orderkey % 77, o_custkey % 50) END AS cs,
+SELECT map_name, point_index, o_orderkey AS source_id, CASE WHEN there THEN o_orderkey END AS start_time, CASE WHEN there THEN 2000.0::DOUBLE END AS
+reference_annotation, CASE WHEN there AND o_orderkey % 2 = 0 THEN (o_orderkey % 90)::DOUBLE END AS map_annotation,
+CASE WHEN there THEN -50.0::DOUBLE END AS woi_from, CASE WHEN there THEN 75.5::DOUBLE END AS woi_to, CASE WHEN there THEN 1.5::DOUBLE END AS
+unipolar_voltage, CASE WHEN there THEN price END AS bipolar_voltage,
+CASE WHEN NOT there THEN NULL WHEN o_orderkey % 4 = 0 THEN concat_ws(' ', o_orderkey % 1000, o_orderkey % 77, o_custkey % 50, o_custkey % 50,
+o_orderkey % 77, o_custkey % 50) WHEN o_orderkey % 4 = 1 THEN concat_ws(' ', o_orderkey % 77, o_orderkey % 77, o_custkey % 50) END AS cs,
 CASE WHEN there AND o_orderkey % 4 < 2 THEN concat_ws(' ', o_orderkey % 77, o_orderkey % 77, o_custkey % 50) END AS roving,
 CASE WHEN NOT there THEN '' WHEN o_orderkey % 4 < 2 THEN 'CS_CONNECTOR,NAVISTAR_CONNECTOR' ELSE 'CS_CONNECTOR' END AS connectors FROM k""")
 def s4(spark, d):
@@ -141,7 +149,8 @@ def s4(spark, d):
 
 
 @query("s5_backfill_positions", f"""WITH {_CATALOGUE_CTE}, k AS (SELECT *, point_index % 4 = 0 AS own, point_index % 5 <> 4 AS known FROM p)
-SELECT map_name, point_index, CASE WHEN own THEN -1.0 ELSE (o_orderkey % 1000)::DOUBLE END AS x, CASE WHEN own THEN -2.0 ELSE (o_orderkey % 77)::DOUBLE END AS y, CASE WHEN known AND o_orderkey % 3 = 0 THEN 'Scar;own;99' WHEN known THEN '' END AS tags FROM k WHERE own OR known""")
+SELECT map_name, point_index, CASE WHEN own THEN -1.0 ELSE (o_orderkey % 1000)::DOUBLE END AS x, CASE WHEN own THEN -2.0 ELSE (o_orderkey %
+77)::DOUBLE END AS y, CASE WHEN known AND o_orderkey % 3 = 0 THEN 'Scar;own;99' WHEN known THEN '' END AS tags FROM k WHERE own OR known""")
 def s5(spark, d):
     catalogue = studies.read_catalogue(_catalogues(spark, d))[1]
     bare = [F.when(F.col("point_index") % 4 == 0, F.lit(v)).alias(c) for c, v in (("x", -1.0), ("y", -2.0), ("z", -3.0))]
@@ -161,12 +170,14 @@ def _force_texts(spark, d):
 
 
 @query("s7_force_samples", f"""WITH {SIGNALS}, c(channel, unit) AS (VALUES ('ForceValue', 'g'), ('AxialAngle', 'deg'), ('LateralAngle', 'deg'))
-SELECT data_uri AS file, sample_idx, (sample_idx * 20)::DOUBLE AS t, c.channel, CASE c.channel WHEN 'ForceValue' THEN value WHEN 'AxialAngle' THEN 1.5 ELSE -2.0 END AS value, unit FROM s, c""")
+SELECT data_uri AS file, sample_idx, (sample_idx * 20)::DOUBLE AS t, c.channel, CASE c.channel WHEN 'ForceValue' THEN value WHEN 'AxialAngle' THEN
+1.5 ELSE -2.0 END AS value, unit FROM s, c""")
 def s7(spark, d):
     return studies.read_force(_force_texts(spark, d))[1]
 
 
-@query("s7_force_windows", f"WITH {SIGNALS} SELECT data_uri AS file, CASE WHEN count(*) > 1 THEN 50.0::DOUBLE END AS sample_rate, 11.5::DOUBLE AS force, 12.0::DOUBLE AS axial_angle, 13.0::DOUBLE AS lateral_angle FROM s GROUP BY 1")
+@query("s7_force_windows", f"""WITH {SIGNALS} SELECT data_uri AS file, CASE WHEN count(*) > 1 THEN 50.0::DOUBLE END AS sample_rate, 11.5::DOUBLE AS force, 12.0::DOUBLE AS
+axial_angle, 13.0::DOUBLE AS lateral_angle FROM s GROUP BY 1""")
 def s7_windows(spark, d):
     return studies.read_force(_force_texts(spark, d))[0]
 
@@ -175,7 +186,8 @@ _PHASES = "CASE channel WHEN 'click' THEN 'Expiration' WHEN 'view' THEN 'UNKNOWN
 
 
 @query("s9_point_cloud", f"""WITH {SIGNALS}, k AS (SELECT *, sample_idx % 86400 AS sec FROM s)
-SELECT data_uri AS file, sample_idx, (sec - min(sec) OVER (PARTITION BY data_uri))::DOUBLE AS t, value AS trn_x, 1.0::DOUBLE AS trn_y, 2.0::DOUBLE AS trn_z, -value AS raw_x, NULL::DOUBLE AS raw_y, 5.0::DOUBLE AS raw_z,
+SELECT data_uri AS file, sample_idx, (sec - min(sec) OVER (PARTITION BY data_uri))::DOUBLE AS t, value AS trn_x, 1.0::DOUBLE AS trn_y, 2.0::DOUBLE AS
+trn_z, -value AS raw_x, NULL::DOUBLE AS raw_y, 5.0::DOUBLE AS raw_z,
 CASE channel WHEN 'click' THEN 1.0 WHEN 'view' THEN 0.0 WHEN 'error' THEN NULL ELSE 2.0 END::DOUBLE AS respiration FROM k""")
 def s9(spark, d):
     s = st.samples(spark, d)
@@ -187,8 +199,10 @@ def s9(spark, d):
 
 
 @query("s12_dxl_waveforms", f"""WITH {SIGNALS}, k AS (SELECT *, user_id % 2 = 0 AS ref FROM (SELECT *, data_uri::BIGINT AS user_id FROM s))
-SELECT CASE WHEN ref THEN 'dxl/' || data_uri || '/Wave_refs.csv' ELSE 'dxl/' || data_uri || '/wave_rov.csv' END AS file, (sample_idx + 1)::INT AS row_no, CASE WHEN ref THEN 'reference' ELSE 'bipolar' END AS role, channel, CASE WHEN NOT ref THEN sample_idx::VARCHAR END AS point_id,
-'g' || sample_idx % 3 AS freeze_group, sample_idx + 0.5 AS start_time, 4.0::DOUBLE AS sample_rate, i AS sample_idx, i / 4.0 AS t, CASE i WHEN 0 THEN value WHEN 2 THEN -1.0 END AS value FROM k, (VALUES (0), (1), (2)) q(i)""")
+SELECT CASE WHEN ref THEN 'dxl/' || data_uri || '/Wave_refs.csv' ELSE 'dxl/' || data_uri || '/wave_rov.csv' END AS file, (sample_idx + 1)::INT AS
+row_no, CASE WHEN ref THEN 'reference' ELSE 'bipolar' END AS role, channel, CASE WHEN NOT ref THEN sample_idx::VARCHAR END AS point_id,
+'g' || sample_idx % 3 AS freeze_group, sample_idx + 0.5 AS start_time, 4.0::DOUBLE AS sample_rate, i AS sample_idx, i / 4.0 AS t, CASE i WHEN 0 THEN
+value WHEN 2 THEN -1.0 END AS value FROM k, (VALUES (0), (1), (2)) q(i)""")
 def s12(spark, d):
     s = st.samples(spark, d)
     row = F.concat_ws(",", "channel", F.col("sample_idx").cast("string"), F.concat(F.lit("g"), (F.col("sample_idx") % 3).cast("string")), (F.col("sample_idx") + 0.5).cast("string"), F.col("value").cast("string"), F.lit(""), F.lit("-1"), F.lit(""))
@@ -210,9 +224,12 @@ def _items(spark, d):
     return st.table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
 
 
-@query("s10_dxl_points", f"""WITH {_ITEMS} SELECT 'dxl/' || l_suppkey || '/Map.csv' AS file, point_index, l_orderkey::VARCHAR AS source_id, l_quantity AS x, 1.0::DOUBLE AS y, l_tax AS z,
-CASE WHEN l_returnflag <> 'N' THEN CASE WHEN l_suppkey % 3 = 0 THEN 'voltage_unipolar' WHEN l_suppkey % 3 = 1 THEN 'cfe_mean_uni' ELSE 'New value' END || '=' || l_linenumber END AS value, CASE WHEN l_linenumber < 5 THEN l_linenumber::DOUBLE END AS adjusted,
-CASE WHEN l_linenumber > 2 THEN (l_linenumber - 3)::DOUBLE END AS force, CASE WHEN l_returnflag = 'A' THEN 'g1' END AS freeze_group, 'dxl/' || l_suppkey AS source_folder, 'D2' AS electrode FROM i WHERE l_returnflag <> 'R' OR l_linenumber <> 1""")
+@query("s10_dxl_points", f"""WITH {_ITEMS} SELECT 'dxl/' || l_suppkey || '/Map.csv' AS file, point_index, l_orderkey::VARCHAR AS source_id,
+l_quantity AS x, 1.0::DOUBLE AS y, l_tax AS z,
+CASE WHEN l_returnflag <> 'N' THEN CASE WHEN l_suppkey % 3 = 0 THEN 'voltage_unipolar' WHEN l_suppkey % 3 = 1 THEN 'cfe_mean_uni' ELSE 'New value'
+END || '=' || l_linenumber END AS value, CASE WHEN l_linenumber < 5 THEN l_linenumber::DOUBLE END AS adjusted,
+CASE WHEN l_linenumber > 2 THEN (l_linenumber - 3)::DOUBLE END AS force, CASE WHEN l_returnflag = 'A' THEN 'g1' END AS freeze_group, 'dxl/' ||
+l_suppkey AS source_folder, 'D2' AS electrode FROM i WHERE l_returnflag <> 'R' OR l_linenumber <> 1""")
 def s10(spark, d):
     n = F.col("l_linenumber")
     place = F.when((F.col("l_returnflag") == "R") & (n == 1), "").otherwise(F.col("l_quantity").cast("string"))
@@ -228,8 +245,10 @@ def s10(spark, d):
     return out.select("file", "point_index", "source_id", "x", "y", "z", F.concat(own["key"], F.lit("="), own["value"]["value"].cast("int").cast("string")).alias("value"), value("annotation_time").alias("adjusted"), value("contact_force").alias("force"), F.try_element_at("annotations", F.lit("freeze_group")).alias("freeze_group"), F.try_element_at("annotations", F.lit("source_folder")).alias("source_folder"), F.array_join(F.map_keys("electrodes"), ",").alias("electrode"))
 
 
-@query("s11_archive_points", f"""WITH {_ITEMS} SELECT l_suppkey::VARCHAR AS file, point_index, l_quantity AS x, l_tax AS y, 3.0::DOUBLE AS z, l_discount AS bipolar, CASE WHEN l_linenumber <> 2 THEN l_linenumber::DOUBLE END AS correlation,
-CASE WHEN l_returnflag <> 'A' THEN 12.5 END AS force, 'activation_time,' || CASE WHEN l_returnflag <> 'A' THEN 'contact_force,' ELSE '' END || CASE WHEN l_linenumber <> 2 THEN 'correlation,' ELSE '' END || 'voltage_bipolar' AS measured, l_tax AS electrode_y FROM i""")
+@query("s11_archive_points", f"""WITH {_ITEMS} SELECT l_suppkey::VARCHAR AS file, point_index, l_quantity AS x, l_tax AS y, 3.0::DOUBLE AS z,
+l_discount AS bipolar, CASE WHEN l_linenumber <> 2 THEN l_linenumber::DOUBLE END AS correlation,
+CASE WHEN l_returnflag <> 'A' THEN 12.5 END AS force, 'activation_time,' || CASE WHEN l_returnflag <> 'A' THEN 'contact_force,' ELSE '' END || CASE
+WHEN l_linenumber <> 2 THEN 'correlation,' ELSE '' END || 'voltage_bipolar' AS measured, l_tax AS electrode_y FROM i""")
 def s11(spark, d):
     row = F.concat_ws(",", F.col("l_quantity").cast("string"), F.col("l_tax").cast("string"), F.lit("3"), F.col("l_discount").cast("string"), F.lit("-5"), F.when(F.col("l_linenumber") != 2, F.col("l_linenumber").cast("string")).otherwise(""), F.when(F.col("l_returnflag") == "A", "-1").otherwise("12.5"), F.lit("1"), F.col("l_tax").cast("string"), F.lit("2"))
     rows = joined(_items(spark, d), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"], row)
@@ -243,7 +262,8 @@ def s11(spark, d):
 
 
 @query("s18_study_tree", f"""WITH {_CATALOGUE_CTE}, a AS (SELECT study, count(*) AS n_points, count(DISTINCT map_name) AS n_maps FROM p GROUP BY 1)
-SELECT 'study ' || study AS name, 'carto' AS vendor, n_maps, n_points, (SELECT count(*) FROM supplier WHERE s_nationkey = study) AS n_placed, n_points AS n_keys FROM a""")
+SELECT 'study ' || study AS name, 'carto' AS vendor, n_maps, n_points, (SELECT count(*) FROM supplier WHERE s_nationkey = study) AS n_placed,
+n_points AS n_keys FROM a""")
 def s18(spark, d):
     p = _named_points(spark, d).withColumn("study_name", F.concat(F.lit("study "), F.col("study").cast("string")))
     maps = p.select("study_name", F.lit("carto").alias("vendor"), "map_name").distinct()
@@ -256,8 +276,10 @@ def s18(spark, d):
 
 
 @query("s21_export_raw", f"""WITH {GRID}, w AS (SELECT DISTINCT user_id FROM events)
-SELECT v.map_id, count(*) AS n_vertices, (SELECT count(*) FROM t WHERE t.map_id = v.map_id) AS n_faces, round(sum(x + y), 3) AS place, round(sum(CASE WHEN vertex_id % 7 <> 0 THEN value END), 2) AS total, count(*) FILTER (vertex_id % 7 = 0) AS n_missing,
-(SELECT count(*) FROM w WHERE CASE WHEN user_id % 3 = 0 THEN user_id % 5 = v.map_id % 5 ELSE user_id = v.map_id END) AS n_windows, 'mesh,fields,waveforms' AS included FROM v GROUP BY v.map_id""")
+SELECT v.map_id, count(*) AS n_vertices, (SELECT count(*) FROM t WHERE t.map_id = v.map_id) AS n_faces, round(sum(x + y), 3) AS place, round(sum(CASE
+WHEN vertex_id % 7 <> 0 THEN value END), 2) AS total, count(*) FILTER (vertex_id % 7 = 0) AS n_missing,
+(SELECT count(*) FROM w WHERE CASE WHEN user_id % 3 = 0 THEN user_id % 5 = v.map_id % 5 ELSE user_id = v.map_id END) AS n_windows,
+'mesh,fields,waveforms' AS included FROM v GROUP BY v.map_id""")
 def s21(spark, d):
     v, t = st.grid_vertices(spark, d), st.grid_triangles(spark, d)
     maps = v.select("map_id").distinct().withColumns({"study_id": F.col("map_id") % 5, "map_name": F.concat(F.lit("m"), F.col("map_id").cast("string"))})

@@ -33,7 +33,8 @@ def _points(spark, d):
     return st.table(spark, d, "orders").select(F.col("o_custkey").alias("map_id"), F.col("o_orderkey").alias("point_index"), "o_totalprice")
 
 
-@query("a10_list_maps", "SELECT c_nationkey::BIGINT AS study_id, c_custkey AS map_id, c_name AS map_name, count(o_orderkey) AS n_points FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
+@query("a10_list_maps", """SELECT c_nationkey::BIGINT AS study_id, c_custkey AS map_id, c_name AS map_name, count(o_orderkey) AS n_points FROM customer LEFT JOIN orders ON
+o_custkey = c_custkey GROUP BY ALL""")
 def a10(spark, d):
     return report.list_maps(_maps(spark, d), _points(spark, d))
 
@@ -48,7 +49,7 @@ def a11(spark, d):
     return report.page_header(st.measurements(spark, d))
 
 
-@query("a11_signal_header", "SELECT user_id % 7 AS study_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS channels, 1::BIGINT AS n_rates FROM events GROUP BY 1")
+@query("a11_signal_header", """SELECT user_id % 7 AS study_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS channels, 1::BIGINT AS n_rates FROM events GROUP BY 1""")
 def a11s(spark, d):
     w = st.table(spark, d, "events").select((F.col("user_id") % 7).alias("study_id"), F.array("event_type").alias("channels"), F.lit(1000.0).alias("sample_rate"))
     return report.signal_header(w)
@@ -59,7 +60,8 @@ def p14(spark, d):
     return report.filter_by_attributes(st.table(spark, d, "events").withColumnRenamed("props", "attributes"), {"k": 7}).select("event_id")
 
 
-@query("p15_set_attributes", "SELECT c_custkey AS map_id, CASE WHEN c_custkey % 3 = 0 THEN 'VIP' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 3 = 0 THEN 'yes' END AS extra, 'none' AS note FROM customer")
+@query("p15_set_attributes", """SELECT c_custkey AS map_id, CASE WHEN c_custkey % 3 = 0 THEN 'VIP' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 3 = 0 THEN 'yes' END AS
+extra, 'none' AS note FROM customer""")
 def p15(spark, d):
     m = _maps(spark, d)
     old = m.select("map_id", F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("attributes"))
@@ -103,7 +105,7 @@ def _named(spark, d):
     return st.table(spark, d, "part").select(F.col("p_partkey").alias("map_id"), pick(0).alias("map_name"), pick(1).alias("study_name"), "p_size")
 
 
-@query("p17_tag_by_name", f"WITH {_NAMES_CTE} SELECT p_partkey AS map_id, name AS map_name, atrium, part, map_type FROM part JOIN w ON i = p_partkey % {len(_NAMES)}")
+@query("p17_tag_by_name", f"""WITH {_NAMES_CTE} SELECT p_partkey AS map_id, name AS map_name, atrium, part, map_type FROM part JOIN w ON i = p_partkey % {len(_NAMES)}""")
 def p17(spark, d):
     return vocab.tag_by_name(_named(spark, d)).select("map_id", "map_name", "atrium", "part", "map_type")
 
@@ -111,8 +113,10 @@ def p17(spark, d):
 _NO_PM = "map_type IN ('AFIB', 'flutter', 'VT', 'voltage', 'activation-SR')"
 
 
-@query("p24_build_attributes", f"""WITH {_NAMES_CTE}, k AS (SELECT p_partkey AS map_id, w.*, p_size % 2 = 0 AS data, name ILIKE 'vera%' AS vera, CASE WHEN p_size % 3 = 0 THEN 'roof' END AS place FROM part JOIN w ON i = p_partkey % {len(_NAMES)})
-SELECT map_id, atrium, CASE WHEN part = '' THEN 'full' WHEN part IS NOT NULL THEN part WHEN vera THEN place END AS part, CASE WHEN map_type = 'pacemapping' OR {_NO_PM} THEN map_type WHEN data AND NOT vera THEN 'pacemapping' ELSE map_type END AS type,
+@query("p24_build_attributes", f"""WITH {_NAMES_CTE}, k AS (SELECT p_partkey AS map_id, w.*, p_size % 2 = 0 AS data, name ILIKE 'vera%' AS vera, CASE
+WHEN p_size % 3 = 0 THEN 'roof' END AS place FROM part JOIN w ON i = p_partkey % {len(_NAMES)})
+SELECT map_id, atrium, CASE WHEN part = '' THEN 'full' WHEN part IS NOT NULL THEN part WHEN vera THEN place END AS part, CASE WHEN map_type =
+'pacemapping' OR {_NO_PM} THEN map_type WHEN data AND NOT vera THEN 'pacemapping' ELSE map_type END AS type,
 CASE WHEN map_type = 'pacemapping' THEN 'true' WHEN {_NO_PM} THEN 'false' WHEN data AND NOT vera THEN 'true' END AS pacemap FROM k""")
 def p24(spark, d):
     maps = _named(spark, d)
@@ -143,8 +147,10 @@ def p18(spark, d):
     return out.withColumn("type_tokens", F.array_join("type_tokens", ","))
 
 
-@query("p18_dxl_quantity", """WITH w(i, map_type, kind, name) AS (VALUES (0, 'PP_bi', 'voltage_bipolar', 'voltage_bipolar'), (1, 'PP_unipolar', 'voltage_unipolar', 'voltage_unipolar'), (2, 'CFEmean_bi', 'cfe_mean', 'cfe_mean'),
-(3, 'CFEmean-uni', 'cfe_mean', 'cfe_mean_uni'), (4, 'LAT', 'activation_time', 'activation_time'), (5, 'Odd_uni', 'unknown', 'column_uni'), (6, 'PP', 'unknown', 'column')) SELECT p_partkey, map_type, kind, name FROM part JOIN w ON i = p_partkey % 7""")
+@query("p18_dxl_quantity", """WITH w(i, map_type, kind, name) AS (VALUES (0, 'PP_bi', 'voltage_bipolar', 'voltage_bipolar'), (1, 'PP_unipolar',
+'voltage_unipolar', 'voltage_unipolar'), (2, 'CFEmean_bi', 'cfe_mean', 'cfe_mean'),
+(3, 'CFEmean-uni', 'cfe_mean', 'cfe_mean_uni'), (4, 'LAT', 'activation_time', 'activation_time'), (5, 'Odd_uni', 'unknown', 'column_uni'), (6, 'PP',
+'unknown', 'column')) SELECT p_partkey, map_type, kind, name FROM part JOIN w ON i = p_partkey % 7""")
 def p18_dxl(spark, d):
     types = ["PP_bi", "PP_unipolar", "CFEmean_bi", "CFEmean-uni", "LAT", "Odd_uni", "PP"]
     p = st.table(spark, d, "part").select("p_partkey", F.get(F.array(*map(F.lit, types)), (F.col("p_partkey") % 7).cast("int")).alias("map_type"))
@@ -152,8 +158,10 @@ def p18_dxl(spark, d):
     return p.select("p_partkey", "map_type", kind.alias("kind"), name.alias("name"))
 
 
-@query("p19_channels", """WITH w(i, raw, name, id, pair, unit) AS (VALUES (0, 'M1(11)', 'M1', '11', NULL, 'unknown'), (1, 'c12x', 'c12x', NULL, NULL, 'mm'), (2, 'CS 1-2', 'CS 1-2', NULL, 'CS 1,CS 2', 'unknown'), (3, 'totalForce_0', 'totalForce_0', NULL, NULL, 'g'),
-(4, 'c3_forceTimeIntegral', 'c3_forceTimeIntegral', NULL, NULL, 'g*s'), (5, 'totalForce_ds', 'totalForce_ds', NULL, NULL, 'unknown'), (6, 'tx_1', 'tx_1', NULL, NULL, 'mm'), (7, 'ablDuration', 'ablDuration', NULL, NULL, 's'), (8, 'odd force', 'odd force', NULL, NULL, 'unknown'))
+@query("p19_channels", """WITH w(i, raw, name, id, pair, unit) AS (VALUES (0, 'M1(11)', 'M1', '11', NULL, 'unknown'), (1, 'c12x', 'c12x', NULL, NULL,
+'mm'), (2, 'CS 1-2', 'CS 1-2', NULL, 'CS 1,CS 2', 'unknown'), (3, 'totalForce_0', 'totalForce_0', NULL, NULL, 'g'),
+(4, 'c3_forceTimeIntegral', 'c3_forceTimeIntegral', NULL, NULL, 'g*s'), (5, 'totalForce_ds', 'totalForce_ds', NULL, NULL, 'unknown'), (6, 'tx_1',
+'tx_1', NULL, NULL, 'mm'), (7, 'ablDuration', 'ablDuration', NULL, NULL, 's'), (8, 'odd force', 'odd force', NULL, NULL, 'unknown'))
 SELECT p_partkey, raw, name, id, pair, unit FROM part JOIN w ON i = p_partkey % 9""")
 def p19(spark, d):
     raws = ["M1(11)", "c12x", "CS 1-2", "totalForce_0", "c3_forceTimeIntegral", "totalForce_ds", "tx_1", "ablDuration", "odd force"]
@@ -185,9 +193,11 @@ def _mesh_lexicon(spark):
     return spark.createDataFrame([("mesh", "bipolar", "voltage_bipolar", "mV"), ("mesh", "paso", "pacemap_score", "%")], "domain string, token string, kind string, unit string")
 
 
-@query("p3_register_columns", """WITH c AS (SELECT l_suppkey AS map_id, l_orderkey * 10 + l_linenumber AS vertex_id, l_quantity AS q, l_discount * 100 AS s FROM lineitem), n(source, name, kind) AS (VALUES ('column:Bipolar', 'voltage_bipolar', 'voltage_bipolar'),
+@query("p3_register_columns", """WITH c AS (SELECT l_suppkey AS map_id, l_orderkey * 10 + l_linenumber AS vertex_id, l_quantity AS q, l_discount *
+100 AS s FROM lineitem), n(source, name, kind) AS (VALUES ('column:Bipolar', 'voltage_bipolar', 'voltage_bipolar'),
 ('column:LAT', 'LAT', 'unknown'), ('column:Paso', 'pacemap_score', 'pacemap_score'), ('column:bipolar', 'bipolar', 'voltage_bipolar'))
-SELECT map_id, name, kind, source, count(*) AS n, round(sum(CASE source WHEN 'column:Bipolar' THEN q WHEN 'column:LAT' THEN -q WHEN 'column:Paso' THEN s ELSE 1 END), 3) AS total FROM c, n GROUP BY ALL""")
+SELECT map_id, name, kind, source, count(*) AS n, round(sum(CASE source WHEN 'column:Bipolar' THEN q WHEN 'column:LAT' THEN -q WHEN 'column:Paso'
+THEN s ELSE 1 END), 3) AS total FROM c, n GROUP BY ALL""")
 def p3(spark, d):
     out = vocab.register_columns(_coloured(spark, d), _mesh_lexicon(spark), "mesh")
     return out.groupBy("map_id", "name", "kind", "source").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
@@ -209,25 +219,29 @@ def p5(spark, d):
     return vocab.legacy_scalar(_fields(spark, d), aliases, "act")
 
 
-@query("p6_primary_scalar", f"""WITH {_FIELDS_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY CASE kind WHEN 'activation_time' THEN 0 WHEN 'pacemap_score' THEN 1 WHEN 'voltage_bipolar' THEN 2 WHEN 'voltage_unipolar' THEN 3 ELSE 9 END, position) AS k FROM f)
+@query("p6_primary_scalar", f"""WITH {_FIELDS_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY CASE kind WHEN 'activation_time'
+THEN 0 WHEN 'pacemap_score' THEN 1 WHEN 'voltage_bipolar' THEN 2 WHEN 'voltage_unipolar' THEN 3 ELSE 9 END, position) AS k FROM f)
 SELECT map_id, 'f' || position AS name FROM r WHERE k = 1""")
 def p6(spark, d):
     return measure.primary_scalar(_fields(spark, d)).select("map_id", "name")
 
 
-@query("p4_resolve", "SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'voltage_bipolar' WHEN 'PROMO' THEN 'activation_time' ELSE 'unknown' END AS kind, CASE p_type WHEN 'ECONOMY' THEN 'voltage_bipolar' WHEN 'PROMO' THEN 'activation_time' ELSE p_type END AS field_name FROM part")
+@query("p4_resolve", """SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'voltage_bipolar' WHEN 'PROMO' THEN 'activation_time' ELSE 'unknown' END AS kind, CASE p_type WHEN
+'ECONOMY' THEN 'voltage_bipolar' WHEN 'PROMO' THEN 'activation_time' ELSE p_type END AS field_name FROM part""")
 def p4(spark, d):
     lex = spark.createDataFrame([("part", " economy", "voltage_bipolar", "mV"), ("part", "Promo", "activation_time", "ms")], "domain string, token string, kind string, unit string")
     return vocab.resolve(st.table(spark, d, "part"), "p_type", lex, "part").select("p_partkey", "kind", "field_name")
 
 
-@query("p7_measured_field", f"WITH {LONG}, f AS (SELECT map_id, point_index, coalesce(max(value) FILTER (name = 'AF'), arg_min(value, name) FILTER (kind = 'AF')) AS value FROM m GROUP BY ALL) SELECT * FROM f WHERE value IS NOT NULL")
+@query("p7_measured_field", f"""WITH {LONG}, f AS (SELECT map_id, point_index, coalesce(max(value) FILTER (name = 'AF'), arg_min(value, name) FILTER (kind = 'AF')) AS value FROM m
+GROUP BY ALL) SELECT * FROM f WHERE value IS NOT NULL""")
 def p7(spark, d):
     p = st.points_of(st.measurements(spark, d)).withColumns({c: F.lit(0.0) for c in "xyz"})
     return vocab.measured_field(p, "AF").select("map_id", "point_index", "value")
 
 
-@query("p10_standard_unit", f"WITH {LONG} SELECT map_id, point_index, name, CASE WHEN kind = 'activation_time' THEN NULL WHEN unit = 'V' THEN value * 1000 ELSE value END AS standard, CASE WHEN kind = 'activation_time' THEN 'unit not supported: ' || unit END AS note FROM m")
+@query("p10_standard_unit", f"""WITH {LONG} SELECT map_id, point_index, name, CASE WHEN kind = 'activation_time' THEN NULL WHEN unit = 'V' THEN value * 1000 ELSE value END AS
+standard, CASE WHEN kind = 'activation_time' THEN 'unit not supported: ' || unit END AS note FROM m""")
 def p10(spark, d):
     from atriaflow.schema import UNIT_FACTORS
 
@@ -235,7 +249,8 @@ def p10(spark, d):
     return columns.to_standard_unit(st.measurements(spark, d), factors, "value", "kind", "unit").select("map_id", "point_index", "name", "standard", "note")
 
 
-@query("p21_deidentify", """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '[redacted]' WHEN c_custkey % 4 = 1 THEN 'study/12' ELSE 'map of study/' || c_custkey || '.' END AS note, 'study/' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN '/x' ELSE '' END AS study_name,
+@query("p21_deidentify", """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '[redacted]' WHEN c_custkey % 4 = 1 THEN 'study/12' ELSE
+'map of study/' || c_custkey || '.' END AS note, 'study/' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN '/x' ELSE '' END AS study_name,
 CASE WHEN c_custkey % 2 = 0 THEN '[redacted]' END AS "operator", 'deidentified' AS mode FROM customer""")
 def p21(spark, d):
     c = st.table(spark, d, "customer")
@@ -251,7 +266,8 @@ def j14(spark, d):
     return link.new_studies(batch, st.table(spark, d, "supplier").select(F.col("s_suppkey").alias("study_id")), ["study_id"]).select("map_id")
 
 
-@query("j11_waveforms_for_maps", """WITH w AS (SELECT user_id AS w_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id END AS w_map, user_id % 25 AS w_study FROM (SELECT DISTINCT user_id FROM events))
+@query("j11_waveforms_for_maps", """WITH w AS (SELECT user_id AS w_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id END AS w_map, user_id % 25 AS
+w_study FROM (SELECT DISTINCT user_id FROM events))
 SELECT c_custkey AS map_id, w_id FROM customer JOIN w ON w_map = c_custkey OR (w_map IS NULL AND w_study = c_nationkey)""")
 def j11(spark, d):
     u = st.table(spark, d, "events").select("user_id").distinct()
@@ -268,7 +284,8 @@ def j15(spark, d):
     return merged.select(F.col("source_id").cast("long").alias("point_index"), text.alias("merged"))
 
 
-@query("j16_group_polarity", """WITH s AS (SELECT p_brand || '/' || p_type AS g, p_partkey AS f, p_size % 3 AS shape FROM part), c AS (SELECT g, count(DISTINCT shape) AS n FROM s GROUP BY g)
+@query("j16_group_polarity", """WITH s AS (SELECT p_brand || '/' || p_type AS g, p_partkey AS f, p_size % 3 AS shape FROM part), c AS (SELECT g,
+count(DISTINCT shape) AS n FROM s GROUP BY g)
 SELECT f AS file_id, CASE WHEN n = 1 THEN lower(g) ELSE lower(g) || '#' || f::VARCHAR END AS map_key FROM s JOIN c USING (g)""")
 def j16(spark, d):
     p = st.table(spark, d, "part")
@@ -277,19 +294,21 @@ def j16(spark, d):
     return link.group_polarity(files, shape).select("file_id", "map_key")
 
 
-@query("j17_operator_map_name", "SELECT p_brand AS map_key, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) ELSE min(p_name) END AS map_name FROM part GROUP BY p_brand")
+@query("j17_operator_map_name", """SELECT p_brand AS map_key, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) ELSE min(p_name) END AS map_name FROM part GROUP BY p_brand""")
 def j17(spark, d):
     return link.operator_map_name(st.table(spark, d, "part").select(F.col("p_brand").alias("map_key"), F.col("p_type").alias("declared"), F.col("p_name").alias("stem")))
 
 
-@query("j19_window_points", "SELECT 'w' || (l_suppkey % 50)::VARCHAR AS base_name, string_agg(l_orderkey::VARCHAR, ',' ORDER BY l_orderkey) AS points FROM (SELECT DISTINCT l_suppkey % 50 AS l_suppkey, l_orderkey FROM lineitem) GROUP BY 1")
+@query("j19_window_points", """SELECT 'w' || (l_suppkey % 50)::VARCHAR AS base_name, string_agg(l_orderkey::VARCHAR, ',' ORDER BY l_orderkey) AS points FROM (SELECT DISTINCT
+l_suppkey % 50 AS l_suppkey, l_orderkey FROM lineitem) GROUP BY 1""")
 def j19(spark, d):
     p = st.table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("w"), "l_orderkey").distinct()
     out = link.window_points(p.select(F.concat(F.lit("dir/w"), F.col("w").cast("string")).alias("file"), F.col("l_orderkey").cast("string").alias("point_id")))
     return out.select("base_name", F.array_join("points", ",").alias("points"))
 
 
-@query("j20_select_markers", "SELECT s_suppkey AS placed_id, s_nationkey::BIGINT AS study_id FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer) AND s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey % 3 = 0)")
+@query("j20_select_markers", """SELECT s_suppkey AS placed_id, s_nationkey::BIGINT AS study_id FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer) AND s_suppkey IN
+(SELECT l_suppkey FROM lineitem WHERE l_suppkey % 3 = 0)""")
 def j20(spark, d):
     placed = st.table(spark, d, "supplier").select(F.col("s_suppkey").alias("placed_id"), F.col("s_nationkey").cast("long").alias("study_id"))
     own = link.select_markers(placed, _maps(spark, d))
@@ -298,7 +317,8 @@ def j20(spark, d):
 
 
 @query("a13_signal_properties", f"""WITH {LONG}, k AS (SELECT DISTINCT map_id, name, kind, unit FROM m), p AS (SELECT DISTINCT map_id, point_index FROM m)
-SELECT k.map_id, k.name, count(*) AS n_points, count(m.value) AS n_values, round(sum(m.value), 4) AS total FROM k JOIN p ON k.map_id = p.map_id LEFT JOIN m ON m.map_id = p.map_id AND m.point_index = p.point_index AND m.name = k.name AND m.unit = k.unit GROUP BY ALL""")
+SELECT k.map_id, k.name, count(*) AS n_points, count(m.value) AS n_values, round(sum(m.value), 4) AS total FROM k JOIN p ON k.map_id = p.map_id LEFT
+JOIN m ON m.map_id = p.map_id AND m.point_index = p.point_index AND m.name = k.name AND m.unit = k.unit GROUP BY ALL""")
 def a13(spark, d):
     long = st.measurements(spark, d)
     out = link.signal_properties(long, long.select("map_id", "point_index").distinct())
@@ -311,25 +331,28 @@ def u2(spark, d):
     return report.unseen(st.table(spark, d, "orders").select("o_orderkey"), st.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
 
 
-@query("u3_with_missing", "SELECT DISTINCT o_custkey * 2 AS map_id, c_name AS name, c_name IS NOT NULL AS found FROM orders LEFT JOIN customer ON c_custkey = o_custkey * 2")
+@query("u3_with_missing", """SELECT DISTINCT o_custkey * 2 AS map_id, c_name AS name, c_name IS NOT NULL AS found FROM orders LEFT JOIN customer ON c_custkey = o_custkey * 2""")
 def u3(spark, d):
     ids = _points(spark, d).select((F.col("map_id") * 2).alias("map_id"))
     return report.with_missing(ids, _maps(spark, d).select("map_id", F.col("map_name").alias("name")))
 
 
-@query("u1_union_vendors", "SELECT 'a' AS vendor, c_custkey AS map_id, c_acctbal AS value, c_mktsegment AS segment FROM customer UNION ALL SELECT 'b', s_suppkey, s_acctbal, NULL FROM supplier")
+@query("u1_union_vendors", """SELECT 'a' AS vendor, c_custkey AS map_id, c_acctbal AS value, c_mktsegment AS segment FROM customer UNION ALL SELECT 'b', s_suppkey, s_acctbal, NULL
+FROM supplier""")
 def u1(spark, d):
     a = st.table(spark, d, "customer").select(F.lit("a").alias("vendor"), F.col("c_custkey").alias("map_id"), F.col("c_acctbal").alias("value"), F.col("c_mktsegment").alias("segment"))
     b = st.table(spark, d, "supplier").select(F.lit("b").alias("vendor"), F.col("s_suppkey").alias("map_id"), F.col("s_acctbal").alias("value"))
     return report.union_vendors(a, b)
 
 
-@query("a24_channel_stats", f"WITH {SIGNALS} SELECT data_uri, channel, min(value) AS min_value, max(value) AS max_value, round(avg(value), 6) AS mean_value, count(*) AS n FROM s GROUP BY ALL")
+@query("a24_channel_stats", f"""WITH {SIGNALS} SELECT data_uri, channel, min(value) AS min_value, max(value) AS max_value, round(avg(value), 6) AS mean_value, count(*) AS n FROM s
+GROUP BY ALL""")
 def a24(spark, d):
     return rounded(measure.channel_stats(st.samples(spark, d)))
 
 
-@query("w2_decimate", f"WITH {SIGNALS}, k AS (SELECT *, row_number() OVER (PARTITION BY data_uri, channel ORDER BY sample_idx) - 1 AS nth, ceil(count(*) OVER (PARTITION BY data_uri, channel) / 5.0)::INT AS step FROM s) SELECT data_uri, sample_idx, channel, round(value, 4) AS value FROM k WHERE nth % step = 0")
+@query("w2_decimate", f"""WITH {SIGNALS}, k AS (SELECT *, row_number() OVER (PARTITION BY data_uri, channel ORDER BY sample_idx) - 1 AS nth, ceil(count(*) OVER (PARTITION BY
+data_uri, channel) / 5.0)::INT AS step FROM s) SELECT data_uri, sample_idx, channel, round(value, 4) AS value FROM k WHERE nth % step = 0""")
 def w2(spark, d):
     return report.decimate(st.samples(spark, d), 5).select("data_uri", "sample_idx", "channel", "value")
 
@@ -341,22 +364,25 @@ def w3(spark, d):
     return report.slice_ms(s, w, 30.0, 120.0).select("data_uri", "sample_idx", "channel", "value")
 
 
-@query("s19_sample_rate", f"WITH {SIGNALS}, k AS (SELECT data_uri, sample_idx * 0.0017 - lag(sample_idx * 0.0017) OVER (PARTITION BY data_uri ORDER BY sample_idx) AS dt FROM s) SELECT data_uri, round(1 / median(dt)) AS sample_rate FROM k WHERE dt > 0 GROUP BY data_uri")
+@query("s19_sample_rate", f"""WITH {SIGNALS}, k AS (SELECT data_uri, sample_idx * 0.0017 - lag(sample_idx * 0.0017) OVER (PARTITION BY data_uri ORDER BY sample_idx) AS dt FROM s)
+SELECT data_uri, round(1 / median(dt)) AS sample_rate FROM k WHERE dt > 0 GROUP BY data_uri""")
 def s19(spark, d):
     from atriaflow.sources.signals import infer_sample_rate
 
     return infer_sample_rate(st.samples(spark, d).withColumn("t", F.col("sample_idx") * 0.0017))
 
 
-@query("s17_read_samples", f"WITH {SIGNALS} SELECT data_uri, sample_idx, channel, value FROM s WHERE channel IN ('click', 'view') AND t BETWEEN 100000 AND 900000")
+@query("s17_read_samples", f"""WITH {SIGNALS} SELECT data_uri, sample_idx, channel, value FROM s WHERE channel IN ('click', 'view') AND t BETWEEN 100000 AND 900000""")
 def s17(spark, d):
     from atriaflow.sources.signals import select_samples
 
     return select_samples(st.samples(spark, d), ["click", "view"], (100000.0, 900000.0)).select("data_uri", "sample_idx", "channel", "value")
 
 
-@query("j8_value_at", f"""WITH {SIGNALS}, k AS (SELECT data_uri, channel, sample_idx, value, row_number() OVER (PARTITION BY data_uri, channel ORDER BY abs(t - 1000000), sample_idx) AS r FROM s)
-SELECT data_uri AS point_id, channel, CASE WHEN channel = 'click' AND data_uri::BIGINT % 2 = 0 THEN -1.0 ELSE value END AS value, CASE WHEN channel = 'click' AND data_uri::BIGINT % 2 = 0 THEN NULL ELSE sample_idx END AS sample_idx FROM k WHERE r = 1""")
+@query("j8_value_at", f"""WITH {SIGNALS}, k AS (SELECT data_uri, channel, sample_idx, value, row_number() OVER (PARTITION BY data_uri, channel ORDER
+BY abs(t - 1000000), sample_idx) AS r FROM s)
+SELECT data_uri AS point_id, channel, CASE WHEN channel = 'click' AND data_uri::BIGINT % 2 = 0 THEN -1.0 ELSE value END AS value, CASE WHEN channel =
+'click' AND data_uri::BIGINT % 2 = 0 THEN NULL ELSE sample_idx END AS sample_idx FROM k WHERE r = 1""")
 def j8(spark, d):
     s = st.samples(spark, d)
     points = s.select("data_uri").distinct().select(F.col("data_uri").alias("point_id"), "data_uri", F.lit(1000000.0).alias("rel_t"))
@@ -364,7 +390,9 @@ def j8(spark, d):
     return link.value_at(points, s, declared)
 
 
-@query("j7_force_for_points", """WITH w AS (SELECT user_id % 20 AS study_id, event_id AS data_uri, epoch_us(ts) / 1e6 AS lo, epoch_us(ts) / 1e6 + 3600 AS hi FROM events WHERE event_type = 'signup'), p AS (SELECT user_id % 20 AS study_id, event_id AS point_id, epoch_us(ts) / 1e6 AS moment FROM events WHERE event_type = 'click'),
+@query("j7_force_for_points", """WITH w AS (SELECT user_id % 20 AS study_id, event_id AS data_uri, epoch_us(ts) / 1e6 AS lo, epoch_us(ts) / 1e6 +
+3600 AS hi FROM events WHERE event_type = 'signup'), p AS (SELECT user_id % 20 AS study_id, event_id AS point_id, epoch_us(ts) / 1e6 AS moment FROM
+events WHERE event_type = 'click'),
 m AS (SELECT p.study_id, point_id, count(*) AS n, min(data_uri) AS data_uri FROM p JOIN w ON p.study_id = w.study_id AND moment BETWEEN lo AND hi GROUP BY ALL)
 SELECT p.study_id, p.point_id, m.data_uri FROM p LEFT JOIN m ON m.point_id = p.point_id AND m.n = 1""")
 def j7(spark, d):
@@ -377,7 +405,8 @@ def j7(spark, d):
 _COHORT = "d AS (SELECT lang AS region, quality = 1 AS good, n_chars::DOUBLE AS v FROM documents JOIN labels USING (doc_id))"
 
 
-@query("a22_cohort_summary", f"WITH {_COHORT} SELECT region, good, count(*) AS n, median(v) AS median, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM d GROUP BY ROLLUP (region, good)")
+@query("a22_cohort_summary", f"""WITH {_COHORT} SELECT region, good, count(*) AS n, median(v) AS median, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM d GROUP BY
+ROLLUP (region, good)""")
 def a22(spark, d):
     return report.cohort_summary(_cohort(spark, d), ["region", "good"], "v").drop("level")
 
@@ -390,9 +419,12 @@ def _cohort(spark, d):
 _A23_TIES = "x AS (SELECT region, sum(t * t * t - t) AS ties FROM (SELECT region, v, count(*) AS t FROM d GROUP BY ALL) GROUP BY region)"
 
 
-@query("a23_mann_whitney", f"""WITH {_COHORT}, r AS (SELECT *, rank() OVER (PARTITION BY region ORDER BY v) + (count(*) OVER (PARTITION BY region, v) - 1) / 2.0 AS rk FROM d), {_A23_TIES},
-u AS (SELECT region, count(*) FILTER (good) AS n1, count(*) FILTER (NOT good) AS n2, sum(rk) FILTER (good) - (count(*) FILTER (good)) * (count(*) FILTER (good) + 1) / 2.0 AS u FROM r GROUP BY region)
-SELECT u.region, n1, n2, u, round((u - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z FROM u JOIN x ON u.region IS NOT DISTINCT FROM x.region WHERE n1 >= 2 AND n2 >= 2""")
+@query("a23_mann_whitney", f"""WITH {_COHORT}, r AS (SELECT *, rank() OVER (PARTITION BY region ORDER BY v) + (count(*) OVER (PARTITION BY region, v)
+- 1) / 2.0 AS rk FROM d), {_A23_TIES},
+u AS (SELECT region, count(*) FILTER (good) AS n1, count(*) FILTER (NOT good) AS n2, sum(rk) FILTER (good) - (count(*) FILTER (good)) * (count(*)
+FILTER (good) + 1) / 2.0 AS u FROM r GROUP BY region)
+SELECT u.region, n1, n2, u, round((u - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z FROM
+u JOIN x ON u.region IS NOT DISTINCT FROM x.region WHERE n1 >= 2 AND n2 >= 2""")
 def a23(spark, d):
     # p is the normal tail of z, which tests hold against its closed form
     return report.mann_whitney(_cohort(spark, d), ["region"], "good", "v").select("region", "n1", "n2", "u", F.round("z", 6).alias("z"))
@@ -401,7 +433,8 @@ def a23(spark, d):
 _PROFILE = "SELECT l_suppkey AS map_id, floor(l_quantity / 2) * 2 + 1 AS bin, round(avg(l_discount * 100), 6) AS mean_score, count(*) AS n FROM lineitem WHERE l_quantity <= 40 GROUP BY ALL HAVING count(*) >= 3"
 
 
-@query("a19_decay_profile", f"WITH b AS ({_PROFILE}), e AS (SELECT l_suppkey AS map_id FROM lineitem WHERE l_quantity <= 40 GROUP BY 1 HAVING count(*) >= 20), f AS (SELECT map_id FROM b GROUP BY 1 HAVING count(*) >= 4) SELECT * FROM b WHERE map_id IN (SELECT map_id FROM e) AND map_id IN (SELECT map_id FROM f)")
+@query("a19_decay_profile", f"""WITH b AS ({_PROFILE}), e AS (SELECT l_suppkey AS map_id FROM lineitem WHERE l_quantity <= 40 GROUP BY 1 HAVING count(*) >= 20), f AS (SELECT map_id
+FROM b GROUP BY 1 HAVING count(*) >= 4) SELECT * FROM b WHERE map_id IN (SELECT map_id FROM e) AND map_id IN (SELECT map_id FROM f)""")
 def a19(spark, d):
     return rounded(_profile(spark, d))
 
@@ -420,8 +453,10 @@ def a28(spark, d):
     return measure.point_summary(st.measurements(spark, d))
 
 
-@query("a16_detect_pacemap", """WITH k AS (SELECT l_suppkey AS map_id, CASE WHEN l_linenumber = 7 THEN -10000 WHEN l_suppkey % 4 = 0 THEN l_quantity WHEN l_suppkey % 4 = 1 THEN 1 - l_quantity WHEN l_suppkey % 4 = 2 THEN -l_quantity ELSE l_quantity + 9500 END AS v FROM lineitem),
-r AS (SELECT map_id, min(v) FILTER (v > -9999) AS lo, max(v) FILTER (v > -9999) AS hi FROM k GROUP BY 1), f AS (SELECT map_id, CASE WHEN hi < 0 THEN -hi ELSE lo END AS lo, CASE WHEN hi < 0 THEN -lo ELSE hi END AS hi FROM r)
+@query("a16_detect_pacemap", """WITH k AS (SELECT l_suppkey AS map_id, CASE WHEN l_linenumber = 7 THEN -10000 WHEN l_suppkey % 4 = 0 THEN l_quantity
+WHEN l_suppkey % 4 = 1 THEN 1 - l_quantity WHEN l_suppkey % 4 = 2 THEN -l_quantity ELSE l_quantity + 9500 END AS v FROM lineitem),
+r AS (SELECT map_id, min(v) FILTER (v > -9999) AS lo, max(v) FILTER (v > -9999) AS hi FROM k GROUP BY 1), f AS (SELECT map_id, CASE WHEN hi < 0 THEN
+-hi ELSE lo END AS lo, CASE WHEN hi < 0 THEN -lo ELSE hi END AS hi FROM r)
 SELECT map_id, CASE WHEN lo > 9000 THEN false ELSE lo >= 0 AND hi <= 100 END AS is_pacemap FROM f""")
 def a16(spark, d):
     # maps of 1..50, of -49..0 (its largest value is no negative one, so it stays), of -50..-1 and of sentinels
@@ -435,7 +470,7 @@ def p20(spark, d):
     return st.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", columns.ms_to_sample(F.col("l_quantity"), F.lit(500)).alias("sample"))
 
 
-@query("w6_first_by", "SELECT l_orderkey, min(l_linenumber) AS l_linenumber, arg_min(l_suppkey, (l_linenumber, l_suppkey)) AS l_suppkey FROM lineitem GROUP BY 1")
+@query("w6_first_by", """SELECT l_orderkey, min(l_linenumber) AS l_linenumber, arg_min(l_suppkey, (l_linenumber, l_suppkey)) AS l_suppkey FROM lineitem GROUP BY 1""")
 def w6(spark, d):
     return measure.first_by(st.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), ["l_orderkey"], ["l_linenumber"])
 
@@ -445,8 +480,11 @@ def p1(spark, d):
     return st.table(spark, d, "orders").select("o_orderkey", columns.mask_sentinels(F.col("o_totalprice"), 100000.0).alias("value"))
 
 
-@query("a21_check_rates", """WITH f AS (SELECT user_id AS map_id, event_type AS file, max(event_id % 3) AS k, count(DISTINCT event_id % 3) FILTER (event_id % 3 > 0) AS n FROM events GROUP BY ALL), c AS (SELECT user_id AS map_id, count(DISTINCT event_id % 3) FILTER (event_id % 3 > 0) AS n_rates FROM events GROUP BY 1),
-v AS (SELECT map_id, count(DISTINCT k) AS n_shapes FROM f GROUP BY 1) SELECT c.map_id, n_rates, n_shapes, concat_ws('; ', CASE WHEN n_rates > 1 THEN 'several sample rates' END, CASE WHEN n_shapes > 1 THEN 'files of different vertex counts' END) AS issues FROM c JOIN v ON v.map_id = c.map_id""")
+@query("a21_check_rates", """WITH f AS (SELECT user_id AS map_id, event_type AS file, max(event_id % 3) AS k, count(DISTINCT event_id % 3) FILTER
+(event_id % 3 > 0) AS n FROM events GROUP BY ALL), c AS (SELECT user_id AS map_id, count(DISTINCT event_id % 3) FILTER (event_id % 3 > 0) AS n_rates
+FROM events GROUP BY 1),
+v AS (SELECT map_id, count(DISTINCT k) AS n_shapes FROM f GROUP BY 1) SELECT c.map_id, n_rates, n_shapes, concat_ws('; ', CASE WHEN n_rates > 1 THEN
+'several sample rates' END, CASE WHEN n_shapes > 1 THEN 'files of different vertex counts' END) AS issues FROM c JOIN v ON v.map_id = c.map_id""")
 def a21(spark, d):
     e = st.table(spark, d, "events")
     windows = e.select(F.col("user_id").alias("map_id"), ((F.col("event_id") % 3) * 500.0).alias("sample_rate"))
@@ -454,7 +492,8 @@ def a21(spark, d):
     return link.check_rates(windows, files)
 
 
-@query("a27_ablation_table", "SELECT s_nationkey::BIGINT AS study_id, s_suppkey AS placed_id, s_acctbal AS x, s_acctbal AS duration, NULL::DOUBLE AS force FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 7 <> 0")
+@query("a27_ablation_table", """SELECT s_nationkey::BIGINT AS study_id, s_suppkey AS placed_id, s_acctbal AS x, s_acctbal AS duration, NULL::DOUBLE AS force FROM supplier WHERE
+s_suppkey % 3 <> 0 AND s_suppkey % 7 <> 0""")
 def a27(spark, d):
     key = F.col("s_suppkey")
     placed = st.table(spark, d, "supplier").select(
@@ -465,14 +504,15 @@ def a27(spark, d):
     return link.ablation_table(placed).select("study_id", "placed_id", "x", "duration", "force")
 
 
-@query("w4_beat_window", f"WITH {SIGNALS}, b AS (SELECT data_uri, t FROM s WHERE sample_idx = 5) SELECT s.data_uri, s.sample_idx, s.channel, round((s.t - b.t) * 1000, 3) AS rel_ms FROM s JOIN b ON b.data_uri = s.data_uri WHERE abs((s.t - b.t) * 1000) <= 86400000")
+@query("w4_beat_window", f"""WITH {SIGNALS}, b AS (SELECT data_uri, t FROM s WHERE sample_idx = 5) SELECT s.data_uri, s.sample_idx, s.channel, round((s.t - b.t) * 1000, 3) AS
+rel_ms FROM s JOIN b ON b.data_uri = s.data_uri WHERE abs((s.t - b.t) * 1000) <= 86400000""")
 def w4(spark, d):
     s = st.samples(spark, d)
     beats = s.filter("sample_idx = 5").select(F.col("data_uri").alias("point_id"), "data_uri", F.col("t").alias("reference_t"), (F.col("t") + 1).alias("map_t"))
     return report.beat_window(beats, s, 86400000.0).select("data_uri", "sample_idx", "channel", F.round("rel_ms", 3).alias("rel_ms"))
 
 
-@query("p15_get_attributes", "SELECT a.c_custkey * 2 AS map_id, b.c_mktsegment AS segment FROM customer a LEFT JOIN customer b ON b.c_custkey = a.c_custkey * 2")
+@query("p15_get_attributes", """SELECT a.c_custkey * 2 AS map_id, b.c_mktsegment AS segment FROM customer a LEFT JOIN customer b ON b.c_custkey = a.c_custkey * 2""")
 def p15g(spark, d):
     m = _maps(spark, d)
     kept = m.select("map_id", F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("name"), F.col("map_name")).alias("attributes"))
@@ -480,9 +520,11 @@ def p15g(spark, d):
     return out.select("map_id", F.try_element_at("attributes", F.lit("segment")).alias("segment"))
 
 
-@query("a17_centroid_region", f"""WITH {st.SPACE}, q AS (SELECT map_id % 3 AS study_id, map_id, vertex_id, CASE WHEN vertex_id % 5 = 0 THEN 0 ELSE x + (map_id % 4 - 2) * 12 END AS x, y + (map_id % 3 - 1) * 9 AS y, z - (vertex_id % 2) * 25 + CASE map_id % 3 WHEN 2 THEN 25 ELSE 0 END AS z FROM p),
+@query("a17_centroid_region", f"""WITH {st.SPACE}, q AS (SELECT map_id % 3 AS study_id, map_id, vertex_id, CASE WHEN vertex_id % 5 = 0 THEN 0 ELSE x
++ (map_id % 4 - 2) * 12 END AS x, y + (map_id % 3 - 1) * 9 AS y, z - (vertex_id % 2) * 25 + CASE map_id % 3 WHEN 2 THEN 25 ELSE 0 END AS z FROM p),
 c AS (SELECT study_id, map_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM q WHERE x <> 0 AND y <> 0 AND z <> 0 GROUP BY ALL)
-SELECT study_id, map_id, CASE WHEN x - 1 > 15 THEN 'lateral wall' WHEN x - 1 < -10 AND y > 5 THEN 'roof' WHEN x - 1 < -10 AND y < 0 THEN 'septal wall' WHEN y > 5 AND z > 5 THEN 'anterior wall' WHEN y < -5 AND z < -8 THEN 'posterior inferior wall' END AS region FROM c""")
+SELECT study_id, map_id, CASE WHEN x - 1 > 15 THEN 'lateral wall' WHEN x - 1 < -10 AND y > 5 THEN 'roof' WHEN x - 1 < -10 AND y < 0 THEN
+'septal wall' WHEN y > 5 AND z > 5 THEN 'anterior wall' WHEN y < -5 AND z < -8 THEN 'posterior inferior wall' END AS region FROM c""")
 def a17(spark, d):
     m, v = F.col("map_id"), F.col("vertex_id")
     p = st.space(spark, d).select((m % 3).alias("study_id"), "map_id", F.when(v % 5 == 0, 0.0).otherwise(F.col("x") + (m % 4 - 2) * 12).alias("x"), (F.col("y") + (m % 3 - 1) * 9).alias("y"), (F.col("z") - (v % 2) * 25 + F.when(m % 3 == 2, 25).otherwise(0)).alias("z"))
@@ -490,15 +532,18 @@ def a17(spark, d):
     return report.centroid_region(p, ref).select("study_id", "map_id", "region")
 
 
-@query("p8_point_annotations", """WITH r AS (SELECT o_custkey AS map_id, o_orderkey AS point_index, (o_orderkey % 250 - 100)::DOUBLE AS diff FROM orders), g AS (SELECT map_id, bool_or(diff < 0) AS negative FROM r GROUP BY map_id)
-SELECT r.map_id, point_index, CASE WHEN r.map_id % 2 = 0 THEN 'pacemap_score' ELSE 'activation_time' END AS kind, CASE WHEN r.map_id % 2 = 1 THEN diff WHEN NOT (negative AND diff > 0) AND abs(diff) <= 100 THEN abs(diff) END AS value FROM r JOIN g ON g.map_id = r.map_id""")
+@query("p8_point_annotations", """WITH r AS (SELECT o_custkey AS map_id, o_orderkey AS point_index, (o_orderkey % 250 - 100)::DOUBLE AS diff FROM
+orders), g AS (SELECT map_id, bool_or(diff < 0) AS negative FROM r GROUP BY map_id)
+SELECT r.map_id, point_index, CASE WHEN r.map_id % 2 = 0 THEN 'pacemap_score' ELSE 'activation_time' END AS kind, CASE WHEN r.map_id % 2 = 1 THEN
+diff WHEN NOT (negative AND diff > 0) AND abs(diff) <= 100 THEN abs(diff) END AS value FROM r JOIN g ON g.map_id = r.map_id""")
 def p8(spark, d):
     raw = _points(spark, d).select("map_id", "point_index", F.lit(100).alias("reference"), (F.col("point_index") % 250).alias("map_annotation"))
     verdicts = raw.select("map_id").distinct().withColumn("kind", F.when(F.col("map_id") % 2 == 0, "pacemap_score").otherwise("activation_time"))
     return vocab.decode_point_annotations(raw, verdicts)
 
 
-@query("p9_annotation_bag", "SELECT o_orderkey AS point_index, CASE WHEN o_custkey % 4 <> 0 THEN (o_orderkey % 250)::VARCHAR END AS reference, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey // 2)::VARCHAR ELSE (o_orderkey / 2.0)::DOUBLE::VARCHAR END AS woi FROM orders")
+@query("p9_annotation_bag", """SELECT o_orderkey AS point_index, CASE WHEN o_custkey % 4 <> 0 THEN (o_orderkey % 250)::VARCHAR END AS reference, CASE WHEN o_orderkey % 2 = 0 THEN
+(o_orderkey // 2)::VARCHAR ELSE (o_orderkey / 2.0)::DOUBLE::VARCHAR END AS woi FROM orders""")
 def p9(spark, d):
     key = F.col("point_index")
     bag = vocab.point_annotations(["reference", "woi"], F.when(F.col("map_id") % 4 == 0, -10000).otherwise(key % 250), key / 2.0)
@@ -522,13 +567,17 @@ def _wanted(spark, d):
     return points, own.unionByName(shared)
 
 
-@query("j9_bind_signals", """SELECT o_custkey % 20 AS study_id, o_orderkey AS point_id, 'bipolar' AS role, CASE o_orderkey % 3 WHEN 0 THEN 2 ELSE 1 END::BIGINT AS n, CASE o_orderkey % 3 WHEN 1 THEN 'w' || o_orderkey END AS data_uri, CASE o_orderkey % 3 WHEN 1 THEN 'M1 2' END AS channel FROM orders WHERE o_orderkey % 3 < 2
-UNION ALL SELECT o_custkey % 20, o_orderkey, 'reference', 1::BIGINT, 'ref-' || o_custkey % 20 || '-' || o_orderkey % 500, 'REF' FROM orders WHERE o_orderkey % 500 % 2 = 0""")
+@query("j9_bind_signals", """SELECT o_custkey % 20 AS study_id, o_orderkey AS point_id, 'bipolar' AS role, CASE o_orderkey % 3 WHEN 0 THEN 2 ELSE 1
+END::BIGINT AS n, CASE o_orderkey % 3 WHEN 1 THEN 'w' || o_orderkey END AS data_uri, CASE o_orderkey % 3 WHEN 1 THEN 'M1 2' END AS channel FROM
+orders WHERE o_orderkey % 3 < 2
+UNION ALL SELECT o_custkey % 20, o_orderkey, 'reference', 1::BIGINT, 'ref-' || o_custkey % 20 || '-' || o_orderkey % 500, 'REF' FROM orders WHERE
+o_orderkey % 500 % 2 = 0""")
 def j9(spark, d):
     return link.bind_signals(*_wanted(spark, d))
 
 
-@query("j10_signal_arrays", f"""WITH {SIGNALS}, c AS (SELECT data_uri, channel, count(*) AS n, string_agg(value::VARCHAR, ',' ORDER BY sample_idx) AS trace FROM s GROUP BY ALL)
+@query("j10_signal_arrays", f"""WITH {SIGNALS}, c AS (SELECT data_uri, channel, count(*) AS n, string_agg(value::VARCHAR, ',' ORDER BY sample_idx) AS
+trace FROM s GROUP BY ALL)
 SELECT data_uri AS point_id, channel AS role, trace FROM c WHERE channel <> 'error'""")
 def j10(spark, d):
     s = st.samples(spark, d).withColumn("value", F.col("value").cast("double"))
@@ -542,8 +591,10 @@ def j10(spark, d):
 
 
 @query("a14_surface_slots", """WITH f AS (SELECT c_custkey AS map_id, c_acctbal AS v, c_custkey % 5 AS k FROM customer)
-SELECT map_id, 0 AS vertex_id, CASE WHEN k = 1 THEN -abs(v) ELSE CASE WHEN k <> 4 THEN v * 1000 END END AS act, CASE WHEN k <> 2 THEN v / 1000 END AS bip, NULL::DOUBLE AS uni, CASE WHEN k = 3 THEN NULL ELSE v * 1000 END AS imp, NULL::DOUBLE AS frc,
-CASE k WHEN 4 THEN 'lat: unsupported unit ' || chr(39) || 'samples' || chr(39) ELSE '' END || CASE WHEN k = 4 THEN ';' ELSE '' END || 'no voltage_unipolar;no contact_force' AS notes, CASE WHEN k = 4 THEN 'corr,lat' ELSE 'corr' END AS rest FROM f""")
+SELECT map_id, 0 AS vertex_id, CASE WHEN k = 1 THEN -abs(v) ELSE CASE WHEN k <> 4 THEN v * 1000 END END AS act, CASE WHEN k <> 2 THEN v / 1000 END AS
+bip, NULL::DOUBLE AS uni, CASE WHEN k = 3 THEN NULL ELSE v * 1000 END AS imp, NULL::DOUBLE AS frc,
+CASE k WHEN 4 THEN 'lat: unsupported unit ' || chr(39) || 'samples' || chr(39) ELSE '' END || CASE WHEN k = 4 THEN ';' ELSE '' END ||
+'no voltage_unipolar;no contact_force' AS notes, CASE WHEN k = 4 THEN 'corr,lat' ELSE 'corr' END AS rest FROM f""")
 def a14(spark, d):
     c = st.table(spark, d, "customer")
     v, k = F.col("c_acctbal"), F.col("c_custkey") % 5
@@ -561,8 +612,10 @@ def _unit_factors(spark):
     return spark.createDataFrame(UNIT_FACTORS, "quantity string, unit string, factor double")
 
 
-@query("a15_electric_table", """SELECT o_custkey AS map_id, o_orderkey AS point_index, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS bipolar, 2.0::DOUBLE AS unipolar, CASE WHEN o_orderkey % 3 <> 0 THEN 2000.0::DOUBLE END AS reference,
-CASE WHEN o_orderkey % 4 = 0 THEN CASE WHEN o_orderkey % 3 <> 0 THEN 2000 ELSE 0 END - 35.0 ELSE 2010.0 END::DOUBLE AS map_annotation, -50.0::DOUBLE AS woi_from, NULL::DOUBLE AS woi_to, 'CS,ROVING' AS electrodes,
+@query("a15_electric_table", """SELECT o_custkey AS map_id, o_orderkey AS point_index, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS bipolar,
+2.0::DOUBLE AS unipolar, CASE WHEN o_orderkey % 3 <> 0 THEN 2000.0::DOUBLE END AS reference,
+CASE WHEN o_orderkey % 4 = 0 THEN CASE WHEN o_orderkey % 3 <> 0 THEN 2000 ELSE 0 END - 35.0 ELSE 2010.0 END::DOUBLE AS map_annotation, -50.0::DOUBLE
+AS woi_from, NULL::DOUBLE AS woi_to, 'CS,ROVING' AS electrodes,
 CASE WHEN o_orderkey % 4 <> 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 THEN 10.0::DOUBLE END AS lat_ms FROM orders""")
 def a15(spark, d):
     o = st.table(spark, d, "orders")
@@ -579,7 +632,8 @@ def w8(spark, d):
     return report.ordered(st.table(spark, d, "customer").select("c_nationkey", "c_name", "c_custkey"), ["c_nationkey", "c_name"])
 
 
-@query("s16_signal_store", f"WITH {SIGNALS} SELECT data_uri, channel, count(*) AS n, round(sum(value), 4) AS total FROM s WHERE channel IN ('click', 'view') AND t BETWEEN 1000 AND 1500000 GROUP BY ALL")
+@query("s16_signal_store", f"""WITH {SIGNALS} SELECT data_uri, channel, count(*) AS n, round(sum(value), 4) AS total FROM s WHERE channel IN ('click', 'view') AND t BETWEEN 1000
+AND 1500000 GROUP BY ALL""")
 def s16(spark, d):
     """Every sample twice, as a rescan brings them, written once and read back by channel and time."""
     from atriaflow.sources import signals
