@@ -139,7 +139,8 @@ class Ranking:
 
     def score(self, f: np.ndarray) -> np.ndarray:
         """Scores of feature rows: 0.5 at the cut."""
-        s = np.clip((f - self.mean) / self.scale, -20, 20) @ self.weights - self.cut
+        # summed row by row, as the rounding of a matrix product depends on the rows beside it
+        s = (np.clip((f - self.mean) / self.scale, -20, 20) * self.weights).sum(axis=1) - self.cut
         return 1 / (1 + np.exp(-np.clip(s / self.spread, -500, 500)))
 
 
