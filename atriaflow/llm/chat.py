@@ -106,9 +106,9 @@ s AS (
   FROM k JOIN p ON k.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (
   SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective ORDER BY place
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM s)
-SELECT conv_id, part, perspective, count(*) AS n_turns, min(at) AS starts_at, sum(length(head) + length(body))::BIGINT AS n_chars,
-  coalesce(string_agg(CASE WHEN mine THEN (at + length(head))::VARCHAR || ':' || (at + length(head) + length(body))::VARCHAR END, ',' ORDER BY place), '') AS mask,
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM s)
+SELECT conv_id, part, perspective, count(*) AS n_turns, min(pos) AS starts_at, sum(length(head) + length(body))::BIGINT AS n_chars,
+  coalesce(string_agg(CASE WHEN mine THEN (pos + length(head))::VARCHAR || ':' || (pos + length(head) + length(body))::VARCHAR END, ',' ORDER BY place), '') AS mask,
   sum(CASE WHEN mine THEN length(body) ELSE 0 END)::BIGINT AS n_masked,
   string_agg(head || body, '' ORDER BY place) AS rendered
 FROM o GROUP BY conv_id, part, perspective"""

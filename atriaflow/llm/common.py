@@ -53,6 +53,11 @@ def free(*tables: DataFrame) -> None:
             java.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(java, True)
 
 
+def renewed(df: DataFrame) -> DataFrame:
+    """df with columns of its own, for co-groups of two tables that come from one."""
+    return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns])
+
+
 def unused(df: DataFrame, n: int) -> list[str]:
     """n column names that df does not have."""
     taken, out, i = {c.lower() for c in df.columns}, [], 0

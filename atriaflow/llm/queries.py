@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, langid, mixing, near_dedup, packing, quality, substring, syncmers, warc
+from . import chat, divergence, exact_dedup, langid, maxscore, mixing, near_dedup, packing, quality, repair, substring, syncmers, warc
 
 _ALL = {
     "op1_warc_boundary_chain": (warc.op1, warc.ORACLE),
@@ -15,6 +15,9 @@ _ALL = {
     "op8_substring_automata": (substring.op8, substring.ORACLE),
     "op9_hash_threshold_mix": (mixing.op9, mixing.ORACLE),
     "op10_deficit_packing": (packing.op10, None),
+    "op11_maxscore_topk": (maxscore.op11, maxscore.ORACLE),
+    "op12_viterbi_repair": (repair.op12, repair.ORACLE),
+    "op13_source_divergence": (divergence.op13, divergence.ORACLE),
 }
 
 
