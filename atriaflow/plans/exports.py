@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from atriaflow.plans import standins as st
 from atriaflow.plans.standins import GRID, LONG
 from atriaflow.sources import exports
+from atriaflow.streaming import ingest
 from atriaflow.streaming import signals as streams
 
 QUERIES: dict = {}
@@ -154,19 +155,26 @@ def s22(spark, d):
     return exports.extract_meshes(v.select((F.col("map_id") * 2).alias("map_id")), v).select("map_id", "vertex_id")
 
 
-@query("t1_bundle_state", """SELECT user_id::VARCHAR AS bundle, count(*) FILTER (event_type <> 'signup') AS n_files, bool_or(event_type = 'signup') AS ready FROM events GROUP BY
-1 HAVING count(*) FILTER (event_type <> 'signup') > 0""")
+@query("t1_bundle_state", """WITH f AS (SELECT user_id % 500 AS b, CASE WHEN user_id % 7 = 0 THEN '.zip' WHEN user_id % 7 = 1 THEN '.txt' WHEN user_id % 7 = 2 THEN '' ELSE '/' END AS kind, event_type = 'signup' AS
+mark, epoch_us(ts) AS at, event_id FROM events),
+n AS (SELECT b || CASE kind WHEN '/' THEN '' ELSE kind END AS bundle, kind, mark, at, event_id FROM f),
+s AS (SELECT bundle, count(*) FILTER (NOT mark) AS n_files, sum(event_id) FILTER (NOT mark) AS n_bytes, max(at) FILTER (NOT mark) AS newest, bool_or(kind = '/' AND NOT mark) AS folder, max(at) AS seen FROM n GROUP BY 1)
+SELECT bundle, n_files, n_bytes::BIGINT AS n_bytes, (seen - newest) / 1e6 >= 3600 AS ready FROM s WHERE n_files > 0 AND (folder OR bundle LIKE '%.zip')""")
 def t1(spark, d):
-    e = st.table(spark, d, "events")
-    f = e.select(F.concat(F.col("user_id").cast("string"), F.lit("/"), F.when(F.col("event_type") == "signup", ".done").otherwise(F.concat(F.lit("f"), F.col("event_id").cast("string")))).alias("path"), F.col("ts").cast("timestamp").alias("modified"), F.col("ts").cast("timestamp").alias("seen"))
-    return streams.bundle_state(f, 5.0, True).select("bundle", "n_files", "ready")
+    """Folders, zip files, loose files and markers (which mean nothing here) by user; a bundle is ready an hour before its last marker."""
+    e, user = st.table(spark, d, "events"), F.col("user_id")
+    kind = F.when(user % 7 == 0, ".zip").when(user % 7 == 1, ".txt").when(user % 7 == 2, "").otherwise("/")
+    name = F.concat((user % 500).cast("string"), F.when(kind == "/", "").otherwise(kind))
+    path = F.when(F.col("event_type") == "signup", F.concat(name, F.lit(".done"))).when(kind == "/", F.concat_ws("/", name, F.lit("f"), F.col("event_id").cast("string"))).otherwise(name)
+    at = F.col("ts").cast("timestamp")
+    return ingest.bundle_state(e.select(path.alias("path"), at.alias("modified"), F.col("event_id").alias("length"), at.alias("seen")), 3600.0).select("bundle", "n_files", "n_bytes", "ready")
 
 
 @query("t2_advance_jobs", """SELECT user_id::VARCHAR AS path, CASE WHEN bool_or(event_type = 'error') THEN 'error' WHEN bool_or(event_type = 'purchase') THEN 'done' ELSE
 'detected' END AS state FROM events GROUP BY 1""")
 def t2(spark, d):
     e = st.table(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "done").otherwise("detected").alias("state"), F.lit("m").alias("message"))
-    return streams.advance(e.filter("state = 'detected'"), e.filter("state <> 'detected'")).select("path", "state")
+    return ingest.advance(e.filter("state = 'detected'"), e.filter("state <> 'detected'")).select("path", "state")
 
 
 # ---- streams over the events, drained as they are -----------------------------------------------------------
@@ -182,21 +190,18 @@ def _drained(spark, stream, name, mode="append"):
     return streams.drained(stream, st.scratch(spark, name), st.scratch(spark, f"{name}-checkpoint"), mode)
 
 
-@query("t1_watch_bundles", """SELECT user_id::VARCHAR AS bundle, count(*) AS n_files FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_type <> 'signup') WHERE
-user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY 1""")
+@query("t1_watch_bundles", """SELECT 'bundle=' || user_id % 40 || CASE WHEN user_id % 8 = 0 THEN '.zip' ELSE '' END AS bundle, sum(length(event_id::VARCHAR) + 1)::BIGINT AS n_bytes FROM events
+WHERE user_id % 40 IN (SELECT user_id % 40 FROM events WHERE event_type = 'signup' AND user_id % 40 < 30) GROUP BY 1""")
 def t1_watch(spark, d):
-    """A drop folder with a bundle per user, a file per type of event and the marker for a signup, written by Spark and watched by a stream."""
-    drop, table = st.scratch(spark, "drop"), st.scratch(spark, "bundles")
-    e = st.table(spark, d, "events").select(F.col("user_id").cast("string").alias("bundle"), F.when(F.col("event_type") == "signup", ".done").otherwise(F.col("event_type")).alias("leaf")).distinct()
-    files = e.select(F.concat_ws("/", "bundle", "leaf").alias("path"), F.timestamp_micros(F.lit(0)).alias("modified"))
-    files.write.parquet(drop)
-    stream = spark.readStream.schema(files.schema).parquet(drop)
-
-    def step(batch, epoch):
-        streams.bundle_state(batch.withColumn("seen", F.current_timestamp()), require_marker=True).filter("ready").select("bundle", "n_files").write.mode("overwrite").parquet(f"{table}/version={epoch}")
-
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", st.scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(table).select("bundle", "n_files")
+    """A drop folder that Spark writes, a bundle of real files for each part of the users, looked at before and after the markers come."""
+    drop, table, checkpoint = st.scratch(spark, "drop"), st.scratch(spark, "bundles"), st.scratch(spark, "checkpoint")
+    e, part = st.table(spark, d, "events"), F.col("user_id") % 40
+    name = F.concat(part.cast("string"), F.when(F.col("user_id") % 8 == 0, ".zip").otherwise(""))
+    e.select(name.alias("bundle"), F.col("event_id").cast("string").alias("value")).write.partitionBy("bundle").text(drop)
+    ingest.watch_bundles(spark, drop, table, checkpoint, require_marker=True)
+    marks = e.filter((F.col("event_type") == "signup") & (part < 30)).select(F.concat(name, F.lit(".done")).alias("bundle"), F.lit("x").alias("value")).distinct()
+    marks.write.mode("append").partitionBy("bundle").text(drop)
+    return ingest.watch_bundles(spark, drop, table, checkpoint, require_marker=True).select("bundle", "n_bytes")
 
 
 @query("t2_job_stream", """SELECT user_id::VARCHAR AS path, CASE WHEN bool_or(event_type = 'error' OR (event_type = 'click' AND user_id % 4 = 0)) THEN 'error' WHEN
@@ -205,8 +210,8 @@ def t2_stream(spark, d):
     kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "click", "importing").otherwise("detected")
     events = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("path"), kind.alias("state"), F.lit("m").alias("message"), (F.col("user_id") % 4 == 0).alias("with_signals"))
     table = st.scratch(spark, "jobs")
-    streams.run_jobs(streams.require_store(events, None), table, st.scratch(spark, "jobs-checkpoint")).awaitTermination()
-    return streams.newest(spark, table).select("path", "state")
+    ingest.run_jobs(ingest.require_store(events, None), table, st.scratch(spark, "jobs-checkpoint")).awaitTermination()
+    return ingest.job_table(spark, table).select("path", "state")
 
 
 @query("t3_commit_once", "SELECT event_id, user_id FROM events")

@@ -1,102 +1,11 @@
-"""Structured Streaming: drop folders, jobs, force links and running channel statistics."""
+"""Structured Streaming: commit once, force links and running channel statistics (T3-T5); `ingest` has T1 and T2."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bundle_state(files: DataFrame, quiescence: float = 5.0, require_marker: bool = False) -> DataFrame:
-    """Of files(path, modified timestamp, seen timestamp), the bundles (first folder below the root) that are ready.
-
-    path is relative to the drop folder. Loose files, hidden ones and markers themselves are no content. Ready: a ``.done`` marker, or
-    (unless a marker is required) nothing changed for `quiescence` seconds.
-    """
-    parts = F.split("path", "/")
-    named = files.withColumn("bundle", F.get(parts, F.lit(0))).withColumn("leaf", F.element_at(parts, -1)).filter(F.size(parts) > 1).filter(~F.col("bundle").startswith("."))
-    marker = F.col("leaf") == ".done"
-    state = named.groupBy("bundle").agg(F.max(marker).alias("done"), F.count_if(~marker & ~F.col("leaf").startswith(".")).alias("n_files"), F.max(F.when(~marker, F.col("modified"))).alias("last"), F.max("seen").alias("seen"))
-    quiet = (F.unix_micros("seen") - F.unix_micros("last")) / 1e6 >= quiescence
-    ready = F.col("done") if require_marker else F.col("done") | F.coalesce(quiet, F.lit(False))
-    return state.filter("n_files > 0").withColumn("ready", ready)
-
-
-def stream_bundles(spark: SparkSession, drop_dir: str) -> DataFrame:
-    """The files of a drop folder as a stream of (path, modified); contents are not read."""
-    kind = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", "true").load(drop_dir).select("path", F.col("modificationTime").alias("modified"))
-    return files.withColumn("path", F.regexp_replace("path", rf"^.*?{drop_dir.rstrip('/').rsplit('/', 1)[-1]}/", ""))
-
-
-def _version(spark: SparkSession, path: str, number: int, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{path}/version={number}") if number >= 0 else spark.createDataFrame([], schema)
-
-
-def _markers(spark: SparkSession, drop_dir: str) -> DataFrame:
-    """The bundles with a ``.done`` marker: hidden files, which Spark's sources leave out, so the file system lists them."""
-    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{drop_dir.rstrip('/')}/*/.done")
-    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
-    return spark.createDataFrame([(f.getPath().getParent().getName(),) for f in found], "bundle string")
-
-
-def watch_bundles(spark: SparkSession, drop_dir: str, table_path: str, checkpoint: str, quiescence: float = 5.0, require_marker: bool = False) -> DataFrame:
-    """Takes what is new in the drop folder into a table of bundles, each ready one once; run it again and again.
-
-    The stream's batches write the files known so far, each as the next version below table_path, so one that runs twice changes nothing. Then
-    the bundles that are ready and not in the table yet are added to it, with the number of the batch (``taken``) after which they were.
-    """
-    kinds, out = "path string, modified timestamp", "bundle string, n_files long, taken long"
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        known = _version(batch.sparkSession, f"{table_path}/files", epoch - 1, kinds).unionByName(batch.select("path", "modified"))
-        known.groupBy("path").agg(F.max("modified").alias("modified")).write.mode("overwrite").parquet(f"{table_path}/files/version={epoch}")
-
-    stream_bundles(spark, drop_dir).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    every = spark.read.schema(f"{kinds}, version long").parquet(f"{table_path}/files")
-    last = every.agg(F.max("version")).first()[0]
-    files = every.filter(F.col("version") == last).select("path", "modified").withColumn("seen", F.current_timestamp())
-    marks = _markers(spark, drop_dir).select(F.concat("bundle", F.lit("/.done")).alias("path"), F.lit(None).cast("timestamp").alias("modified"), F.current_timestamp().alias("seen"))
-    ready = bundle_state(files.unionByName(marks), quiescence, require_marker).filter("ready").select("bundle", "n_files", F.lit(last).cast("long").alias("taken"))
-    spark.createDataFrame([], out).write.mode("append").parquet(f"{table_path}/bundles")
-    taken = spark.read.schema(out).parquet(f"{table_path}/bundles")
-    ready.join(taken.select("bundle"), "bundle", "left_anti").write.mode("append").parquet(f"{table_path}/bundles")
-    return spark.read.schema(out).parquet(f"{table_path}/bundles")
-
-
-def newest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a table that batches write as versions."""
-    every = spark.read.parquet(path)
-    return every.filter(F.col("version") == every.agg(F.max("version")).first()[0]).drop("version")
-
-
-#: States of an import job, in order.
-STATES = ["detected", "needs_review", "importing", "done", "error"]
-
-
-def advance(jobs: DataFrame, events: DataFrame) -> DataFrame:
-    """jobs(path, state, message) after events(path, state, message): a job only moves forward; an error is final; new paths start."""
-    order: Column = F.array_position(F.array(*map(F.lit, STATES)), F.col("state"))
-    both = jobs.select("path", "state", "message").unionByName(events.select("path", "state", "message"))
-    return both.groupBy("path").agg(F.max(F.struct(order.alias("n"), "state", "message")).alias("s")).select("path", "s.state", "s.message")
-
-
-def require_store(events: DataFrame, store: str | None) -> DataFrame:
-    """events(path, state, message, with_signals): an import that wants signals, but has no store for them, is an error before anything is written."""
-    lacks = F.coalesce("with_signals", F.lit(False)) & (F.col("state") == "importing") & F.lit(store is None)
-    return events.withColumn("message", F.when(lacks, "signals were asked for, but there is no store for them").otherwise(F.col("message"))).withColumn("state", F.when(lacks, "error").otherwise(F.col("state"))).drop("with_signals")
-
-
-def run_jobs(events: DataFrame, table_path: str, checkpoint: str):
-    """A query that keeps the job table: each batch writes it as a new version, so a batch that runs twice changes nothing."""
-    kinds = "path string, state string, message string"
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        old = _version(batch.sparkSession, table_path, epoch - 1, kinds)
-        advance(old, batch).write.mode("overwrite").parquet(f"{table_path}/version={epoch}")
-
-    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def commit_once(stream: DataFrame, keys: list[str], at: str, watermark: str) -> DataFrame:
     """Each key once within the watermark, however often a rescan brings it."""
     return stream.withWatermark(at, watermark).dropDuplicatesWithinWatermark(keys)

@@ -1,10 +1,12 @@
 """Streams that run: drop folders, jobs, rescans, late points and windows, each with a restart from its checkpoint."""
 
 import os
+import time
 from datetime import datetime, timedelta
 
 import pytest
 
+from atriaflow.streaming import ingest
 from atriaflow.streaming import signals as streams
 
 T0 = datetime(2024, 5, 1, 12)
@@ -23,26 +25,78 @@ def file_in(folder, *parts):
     return path
 
 
-def test_watched_folder_takes_each_bundle_once(spark, tmp_path):
-    drop, table, checkpoint = (str(tmp_path / n) for n in ("drop", "table", "checkpoint"))
-    file_in(drop, "a", "m.mesh")
-    file_in(drop, "a", ".done")
-    file_in(drop, "b", "m.mesh")
-    file_in(drop, "loose.txt")
-    file_in(drop, ".hidden", "m.mesh")
-    run = lambda: {r["bundle"]: (r["n_files"], r["taken"]) for r in streams.watch_bundles(spark, drop, table, checkpoint, 3600).collect()}
-    assert run() == {"a": (1, 0)}
-    file_in(drop, "b", ".done")
-    file_in(drop, "a", "later.txt")  # a taken bundle is not taken again
-    file_in(drop, "c", "only.txt")
-    assert run() == {"a": (1, 0), "b": (1, 1)}
-    assert run() == {"a": (1, 0), "b": (1, 1)}
-
-
-def test_quiet_bundles_are_ready(spark):
-    rows = [("q/x", T0, T0 + timedelta(seconds=6)), ("n/x", T0 + timedelta(seconds=3), T0 + timedelta(seconds=6)), ("d/.done", T0, T0 + timedelta(seconds=6))]
-    files = spark.createDataFrame(rows, "path string, modified timestamp, seen timestamp")
-    assert {r["bundle"]: r["ready"] for r in streams.bundle_state(files).collect()} == {"q": True, "n": False}
+def aged(path, seconds):
+    """A file as if it had last changed so many seconds ago."""
+    then = time.time() - seconds
+    os.utime(path, (then, then))
+
+
+@pytest.fixture(params=["drop", "x.drop+1/a b/drop"])
+def folder(request, tmp_path):
+    drop = str(tmp_path / request.param)
+    os.makedirs(drop)
+    return drop
+
+
+def watched(spark, drop, tmp_path, **rules):
+    out = ingest.watch_bundles(spark, drop, str(tmp_path / "table"), str(tmp_path / "checkpoint"), **rules).collect()
+    assert len(out) == len({r["bundle"] for r in out})
+    return {r["bundle"]: r["n_files"] for r in out}
+
+
+def test_markers_stand_beside_bundles(spark, folder, tmp_path):
+    rules = {"require_marker": True}
+    aged(file_in(folder, "a", "deep", "m.mesh"), 9000)
+    file_in(folder, "a", ".done")  # inside is no marker
+    file_in(folder, "b", "drop", "m.mesh")
+    file_in(folder, "b.done")
+    file_in(folder, "c.zip")
+    file_in(folder, "c.zip.done")
+    file_in(folder, "loose.txt")
+    file_in(folder, "loose.txt.done")
+    file_in(folder, ".hidden", "m.mesh")
+    os.makedirs(os.path.join(folder, "empty"))
+    os.makedirs(os.path.join(folder, "empty.done"))  # whatever the marker is
+    assert watched(spark, folder, tmp_path, **rules) == {"b": 1, "c.zip": 1, "empty": 0}
+    file_in(folder, "a.done")
+    file_in(folder, "b", "later.txt")  # a taken bundle is not taken again
+    assert watched(spark, folder, tmp_path, **rules) == {"a": 1, "b": 1, "c.zip": 1, "empty": 0}
+    assert watched(spark, folder, tmp_path, **rules) == {"a": 1, "b": 1, "c.zip": 1, "empty": 0}
+
+
+def test_a_bundle_that_grows_waits(spark, tmp_path):
+    """Quiet bundles are taken; one whose file is appended to starts its quiet time anew, over restarts of the query."""
+    drop, rules = str(tmp_path / "drop"), {"quiescence": 600.0}
+    aged(file_in(drop, "old", "f.xml"), 700)
+    aged(file_in(drop, "export.ZIP"), 700)
+    growing = file_in(drop, "new", "f.xml")
+    aged(growing, 590)
+    file_in(drop, "new.done")  # means nothing without require_marker
+    assert watched(spark, drop, tmp_path, **rules) == {"old": 1, "export.ZIP": 1}
+    with open(growing, "a") as f:
+        f.write("more")
+    aged(growing, 100)
+    assert watched(spark, drop, tmp_path, **rules) == {"old": 1, "export.ZIP": 1}
+    aged(growing, 601)
+    aged(file_in(drop, "new", "g.xml"), 650)
+    assert watched(spark, drop, tmp_path, **rules) == {"old": 1, "export.ZIP": 1, "new": 2}
+
+
+def test_timers_end_quiet_times(spark, tmp_path):
+    """Reports of other bundles move the time on: a bundle that is not reported again is ready when its quiet time is over."""
+    inbox, out, checkpoint = (str(tmp_path / n) for n in ("inbox", "out", "checkpoint"))
+
+    def report(*rows):
+        put(spark, inbox, [(b, False, 1, 1, T0 + timedelta(seconds=m), T0 + timedelta(seconds=s)) for b, m, s in rows], ingest._SEEN)
+        with ingest._keyed_state(spark):
+            ingest.ready_bundles(spark.readStream.schema(ingest._SEEN).parquet(inbox), 10.0).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+        return {(r["bundle"], (r["ready_at"] - T0).total_seconds()) for r in spark.read.schema(ingest._READY).parquet(out).collect()}
+
+    assert report(("a", 0, 2), ("b", 0, 2)) == set()
+    assert report(("b", 8, 9)) == set()
+    assert report(("c", 14, 15)) == {("a", 10.0)}  # b was changed at 8
+    assert report(("b", 8, 19)) == {("a", 10.0), ("b", 19.0)}
+    assert report(("c", 14, 30)) == {("a", 10.0), ("b", 19.0), ("c", 30.0)}
 
 
 def test_jobs_move_forward_over_restarts(spark, tmp_path):
@@ -51,8 +105,8 @@ def test_jobs_move_forward_over_restarts(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(kind).parquet(folder)
-        streams.run_jobs(streams.require_store(stream, None), table, checkpoint).awaitTermination()
-        return {r["path"]: r["state"] for r in streams.newest(spark, table).collect()}
+        ingest.run_jobs(ingest.require_store(stream, None), table, checkpoint).awaitTermination()
+        return {r["path"]: r["state"] for r in ingest.job_table(spark, table).collect()}
 
     put(spark, folder, [("a", "detected", "", False), ("b", "detected", "", True), ("c", "importing", "", None)], kind)
     assert run() == {"a": "detected", "b": "detected", "c": "importing"}
@@ -63,6 +117,19 @@ def test_jobs_move_forward_over_restarts(spark, tmp_path):
     assert run() == {"a": "done", "b": "error", "c": "error"}
 
 
+def test_a_batch_writes_what_it_changes(spark, tmp_path, monkeypatch):
+    """Bytes of a batch do not grow with the jobs that are known, and folders that were put together go."""
+    monkeypatch.setattr(ingest, "MERGE", 2)
+    folder, table, checkpoint = (str(tmp_path / n) for n in ("events", "jobs", "checkpoint"))
+    for batch in range(5):
+        put(spark, folder, [(f"p{batch}-{i}", "detected", "m" * 50) for i in range(400 if batch == 0 else 3)], "path string, state string, message string")
+        ingest.run_jobs(spark.readStream.schema("path string, state string, message string").parquet(folder), table, checkpoint).awaitTermination()
+        assert ingest.job_table(spark, table).count() == 400 + 3 * batch
+    last = [n for n in os.listdir(f"{table}/level=0") if n.startswith("upto")]
+    assert last == ["upto=4"] and spark.read.parquet(f"{table}/level=0/upto=4").count() == 3
+    assert [n for n in os.listdir(f"{table}/level=2") if n.startswith("upto")] == ["upto=3"] and not [n for n in os.listdir(f"{table}/level=1") if n.startswith("upto")]
+
+
 def test_rescans_commit_once(spark, tmp_path):
     folder, out, checkpoint = (str(tmp_path / n) for n in ("events", "out", "checkpoint"))
     kind = "window string, at timestamp"
