@@ -11,17 +11,61 @@ from pyspark.sql import functions as F
 BUCKET_SECONDS = 10.0
 
 
+def _same(left: DataFrame, columns: dict[str, str]) -> Column:
+    """Equality of columns of left with others, nulls alike."""
+    return reduce(lambda x, y: x & y, [left[a].eqNullSafe(F.col(b)) for a, b in columns.items()])
+
+
 def force_for_points(points: DataFrame, windows: DataFrame, bucket: float = BUCKET_SECONDS) -> DataFrame:
-    """The one window of the study whose time range holds the point; points with several (or none) get none.
+    """The one force window of each point; points with several (or none) get none.
 
-    points(study_id, map_id, point_id, at), windows(study_id, map_id, data_uri, start_time, first, last). Windows are laid out in time buckets,
-    so that a point meets only windows of its own bucket. Windows of another map do not count; unmapped ones do.
+    points(study_id, map_id, point_id, at), windows(study_id, map_id, data_uri, start_time, first, last[, of_point]). A window that names a point
+    (``of_point``) is that point's, whatever its time; any other is a candidate when its time range holds the point. Windows of another map do not count; unmapped
+    ones do. Two equi-joins: by the point's id, and by time buckets, so that a point meets only windows of its own bucket.
+    Adds data_uri, start_time and ``direct`` (the window named the point: its samples are relative to it already).
     """
+    if "of_point" not in windows.columns:
+        windows = windows.withColumn("of_point", F.lit(None).cast("string"))
+    w = windows.select(F.col("study_id").alias("w_study"), F.col("map_id").alias("w_map"), "data_uri", "start_time", "first", "last", F.col("of_point").cast("string").alias("of_point"))
+    here = (points["study_id"] == F.col("w_study")) & (points["map_id"].eqNullSafe(F.col("w_map")) | F.col("w_map").isNull())
+    named = points.join(w.filter("of_point IS NOT NULL"), here & (points["point_id"].cast("string") == F.col("of_point"))).withColumn("direct", F.lit(True))
     lo, hi = F.col("start_time") + F.col("first"), F.col("start_time") + F.col("last")
-    spread = windows.select(F.col("study_id").alias("w_study"), F.col("map_id").alias("w_map"), "data_uri", "start_time", lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(F.floor(lo / bucket), F.floor(hi / bucket))).alias("slot"))
-    met = points.withColumn("slot", F.floor(F.col("at") / bucket)).join(spread, (F.col("study_id") == F.col("w_study")) & (points["map_id"].eqNullSafe(F.col("w_map")) | F.col("w_map").isNull()) & (F.col("at").between(F.col("lo"), F.col("hi"))) & (F.floor(F.col("at") / bucket) == spread["slot"]))
-    one = met.groupBy("study_id", "point_id").agg(F.count("*").alias("n"), F.min(F.struct("data_uri", "start_time")).alias("w")).filter("n = 1")
-    return points.join(one.select("study_id", "point_id", F.col("w.data_uri").alias("data_uri"), F.col("w.start_time").alias("start_time")), ["study_id", "point_id"], "left")
+    spread = w.filter("of_point IS NULL").withColumns({"lo": lo, "hi": hi}).withColumn("slot", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.col("hi") / bucket))))
+    timed = points.join(spread, here & points["at"].between(F.col("lo"), F.col("hi")) & (F.floor(points["at"] / bucket) == F.col("slot"))).withColumn("direct", F.lit(False))
+    found = ["study_id", "map_id", "point_id", "data_uri", "start_time", "direct"]
+    met = named.select(*found).unionByName(timed.select(*found))
+    one = met.groupBy("study_id", "map_id", "point_id").agg(F.count("*").alias("n"), F.min(F.struct("data_uri", "start_time", "direct")).alias("w")).filter("n = 1")
+    one = one.select(F.col("study_id").alias("s"), F.col("map_id").alias("m"), F.col("point_id").alias("p"), "w.*")
+    return points.join(one, _same(points, {"study_id": "s", "map_id": "m", "point_id": "p"}), "left").drop("s", "m", "p")
+
+
+#: Seconds of a trace that one task sorts.
+TRACE_SECONDS = 3600.0
+
+
+def nearest_samples(points: DataFrame, samples: DataFrame, seconds: float = TRACE_SECONDS) -> DataFrame:
+    """Per point and channel of its window the nearest sample in time, the first on a tie: point_id, data_uri, channel, sample_idx, value.
+
+    An as-of join: what each point asks of each channel and the samples are one table, sorted by time within stretches of a trace; each question takes the
+    last sample before it and the first after it. The last and first samples of the stretches, carried over those without, answer for what lies beyond. No sample
+    meets a point: rows are at most samples + questions.
+    """
+    slot = lambda c: F.floor(F.col(c) / seconds)
+    own = samples.select("data_uri", "channel", slot("t").alias("slot"), F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.col("t").cast("double").alias("t"), F.col("sample_idx").cast("long").alias("sample_idx"), "value", F.lit(False).alias("asks"))
+    asked = points.join(own.select("data_uri", "channel").distinct(), "data_uri").select("data_uri", "channel", slot("rel_t").alias("slot"), "point_id", F.col("rel_t").cast("double").alias("t"), F.lit(None).cast("long").alias("sample_idx"), F.lit(None).cast(own.schema["value"].dataType).alias("value"), F.lit(True).alias("asks"))
+    both = own.unionByName(asked)
+    key = ["data_uri", "channel"]
+    first = F.when(~F.col("asks"), F.struct("t", "sample_idx", "value"))
+    last = F.when(~F.col("asks"), F.struct("t", (-F.col("sample_idx")).alias("sample_idx"), "value"))
+    # samples at a point's own time come before it in both directions
+    up, down = (Window.partitionBy(*key, "slot").orderBy(t, "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow) for t in (F.col("t"), F.col("t").desc()))
+    held = both.withColumns({"before": F.max(last).over(up)}).withColumns({"after": F.min(first).over(down)}).filter("asks")
+    edges = both.groupBy(*key, "slot").agg(F.min(first).alias("first"), F.max(last).alias("last"))
+    back, on = (Window.partitionBy(*key).orderBy(s).rowsBetween(Window.unboundedPreceding, -1) for s in (F.col("slot"), F.col("slot").desc()))
+    edges = edges.select(*key, "slot", F.max("last").over(back).alias("earlier"), F.min("first").over(on).alias("later"))
+    near = lambda s, sign: F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col(f"{s}.t") - F.col("t")).alias("dt"), (sign * F.col(f"{s}.sample_idx")).alias("sample_idx"), F.col(f"{s}.value").alias("value")))
+    best = F.least(near("before", -1), near("after", 1), near("earlier", -1), near("later", 1))
+    return held.join(edges, [*key, "slot"]).select("point_id", "data_uri", "channel", best.alias("b")).select("point_id", "data_uri", "channel", F.col("b.sample_idx").alias("sample_idx"), "b.value")
 
 
 def value_at(points: DataFrame, samples: DataFrame, declared: DataFrame | None = None) -> DataFrame:
@@ -29,13 +73,12 @@ def value_at(points: DataFrame, samples: DataFrame, declared: DataFrame | None =
 
     points(point_id, data_uri, rel_t), samples(data_uri, sample_idx, t, channel, value), declared(data_uri, channel, value).
     """
-    met = points.join(samples, "data_uri")
-    best = met.groupBy("point_id", "data_uri", "channel").agg(F.min(F.struct(F.abs(F.col("t") - F.col("rel_t")).alias("dt"), "sample_idx", "value")).alias("b"))
+    best = nearest_samples(points, samples).withColumn("sample_idx", F.col("sample_idx").cast(samples.schema["sample_idx"].dataType))
     if declared is None:
-        return best.select("point_id", "channel", F.col("b.value").alias("value"), F.col("b.sample_idx").alias("sample_idx"))
+        return best.select("point_id", "channel", "value", "sample_idx")
     told = points.select("point_id", "data_uri").join(declared.withColumnRenamed("value", "told"), "data_uri")
     out = best.join(told.drop("data_uri"), ["point_id", "channel"], "full")
-    return out.select("point_id", "channel", F.coalesce("told", "b.value").alias("value"), F.when(F.col("told").isNull(), F.col("b.sample_idx")).alias("sample_idx"))
+    return out.select("point_id", "channel", F.coalesce("told", "value").alias("value"), F.when(F.col("told").isNull(), F.col("sample_idx")).alias("sample_idx"))
 
 
 def bind_signals(points: DataFrame, channels: DataFrame) -> DataFrame:
@@ -56,10 +99,17 @@ def bind_signals(points: DataFrame, channels: DataFrame) -> DataFrame:
 def signal_arrays(bindings: DataFrame, samples: DataFrame) -> DataFrame:
     """Per point and role the trace as an array in sample order; only windows of the primary window's rate, length and start (1e-6 s).
 
-    bindings(point_id, role, data_uri, channel, sample_rate, n_samples, start_time, primary boolean).
+    bindings(point_id, role, data_uri, channel, sample_rate, n_samples, start_time, primary boolean[, map_id]). All positive rates of a map (of the whole
+    table without map_id) have to be the same: mixed ones are an error when the traces are read. A point whose primary window has no positive rate has no traces; a window without
+    a start time fits no other window.
     """
-    first = bindings.filter("primary").groupBy("point_id").agg(F.min(F.struct("sample_rate", "n_samples", "start_time")).alias("p"))
-    fit = bindings.join(first, "point_id").filter("sample_rate = p.sample_rate AND n_samples = p.n_samples AND abs(start_time - p.start_time) <= 1e-6")
+    keys = ["map_id"] if "map_id" in bindings.columns else []
+    rates = bindings.filter("sample_rate > 0 AND NOT isnan(sample_rate) AND sample_rate < double('inf')").groupBy(*keys).agg(F.min("sample_rate").alias("rate"), F.max("sample_rate").alias("other"))
+    strict = F.when(F.col("rate") < F.col("other"), F.raise_error(F.concat(F.lit("mixed sample rates: "), F.col("rate").cast("string"), F.lit(" and "), F.col("other").cast("string")))).otherwise(F.col("rate"))
+    rates = F.broadcast(rates.select(strict.alias("rate"))) if not keys else rates.select(*keys, strict.alias("rate"))
+    first = bindings.filter("primary").groupBy("point_id").agg(F.min(F.struct("sample_rate", "n_samples", "start_time", "data_uri")).alias("p"))
+    rated = bindings.join(rates, keys) if keys else bindings.join(rates, F.col("sample_rate") == F.col("rate"))
+    fit = rated.join(first, "point_id").filter("sample_rate = rate AND p.sample_rate = rate AND n_samples = p.n_samples AND (data_uri = p.data_uri OR abs(start_time - p.start_time) < 1e-6)")
     traces = fit.select("point_id", "role", "data_uri", "channel").join(samples, ["data_uri", "channel"]).groupBy("point_id", "role").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))).alias("s"))
     return traces.select("point_id", "role", F.transform("s", lambda x: x["value"]).alias("trace"))
 

@@ -229,8 +229,14 @@ def slice_ms(samples: DataFrame, windows: DataFrame, start_ms: float, end_ms: fl
 
 
 def beat_window(points: DataFrame, samples: DataFrame, half_window_ms: float = 250.0) -> DataFrame:
-    """Samples around each point's reference annotation: t relative to it, |t| <= half window; points(point_id, data_uri, reference_t, map_t)."""
-    met = points.join(samples, "data_uri").withColumn("rel_ms", (F.col("t") - F.col("reference_t")) * 1000)
+    """Samples around each point's reference annotation: t relative to it, |t| <= half window; points(point_id, data_uri, reference_t, map_t).
+
+    Samples are laid out in time buckets as long as a window, so a point meets those of the two or three buckets that its window touches.
+    """
+    width = max(2 * half_window_ms / 1000, 1e-3)
+    edge = lambda sign: F.floor((F.col("reference_t") + sign * half_window_ms / 1000) / width + sign * 1e-6)
+    asked = points.withColumn("slot", F.explode(F.sequence(edge(-1), edge(1))))
+    met = asked.join(samples.withColumn("slot", F.floor(F.col("t") / width)), ["data_uri", "slot"]).drop("slot").withColumn("rel_ms", (F.col("t") - F.col("reference_t")) * 1000)
     return met.filter(F.abs("rel_ms") <= half_window_ms).withColumn("map_offset_ms", (F.col("map_t") - F.col("reference_t")) * 1000)
 
 

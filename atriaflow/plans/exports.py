@@ -156,9 +156,9 @@ def s22(spark, d):
 
 
 @query("t1_bundle_state", """WITH f AS (SELECT user_id % 500 AS b, CASE WHEN user_id % 7 = 0 THEN '.zip' WHEN user_id % 7 = 1 THEN '.txt' WHEN user_id % 7 = 2 THEN '' ELSE '/' END AS kind, event_type = 'signup' AS
-mark, epoch_us(ts) AS at, event_id FROM events),
-n AS (SELECT b || CASE kind WHEN '/' THEN '' ELSE kind END AS bundle, kind, mark, at, event_id FROM f),
-s AS (SELECT bundle, count(*) FILTER (NOT mark) AS n_files, sum(event_id) FILTER (NOT mark) AS n_bytes, max(at) FILTER (NOT mark) AS newest, bool_or(kind = '/' AND NOT mark) AS folder, max(at) AS seen FROM n GROUP BY 1)
+mark, epoch_us(ts) AS moment, event_id FROM events),
+n AS (SELECT b || CASE kind WHEN '/' THEN '' ELSE kind END AS bundle, kind, mark, moment, event_id FROM f),
+s AS (SELECT bundle, count(*) FILTER (NOT mark) AS n_files, sum(event_id) FILTER (NOT mark) AS n_bytes, max(moment) FILTER (NOT mark) AS newest, bool_or(kind = '/' AND NOT mark) AS folder, max(moment) AS seen FROM n GROUP BY 1)
 SELECT bundle, n_files, n_bytes::BIGINT AS n_bytes, (seen - newest) / 1e6 >= 3600 AS ready FROM s WHERE n_files > 0 AND (folder OR bundle LIKE '%.zip')""")
 def t1(spark, d):
     """Folders, zip files, loose files and markers (which mean nothing here) by user; a bundle is ready an hour before its last marker."""

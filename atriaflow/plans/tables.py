@@ -379,27 +379,33 @@ def s17(spark, d):
     return select_samples(st.samples(spark, d), ["click", "view"], (100000.0, 900000.0)).select("data_uri", "sample_idx", "channel", "value")
 
 
-@query("j8_value_at", f"""WITH {SIGNALS}, k AS (SELECT data_uri, channel, sample_idx, value, row_number() OVER (PARTITION BY data_uri, channel ORDER
-BY abs(t - 1000000), sample_idx) AS r FROM s)
-SELECT data_uri AS point_id, channel, CASE WHEN channel = 'click' AND data_uri::BIGINT % 2 = 0 THEN -1.0 ELSE value END AS value, CASE WHEN channel =
-'click' AND data_uri::BIGINT % 2 = 0 THEN NULL ELSE sample_idx END AS sample_idx FROM k WHERE r = 1""")
+@query("j8_value_at", f"""WITH {SIGNALS}, q AS (SELECT data_uri, data_uri || ':' || k AS point_id, k * 400000.0 AS rel_t FROM (SELECT DISTINCT data_uri FROM s), range(8) r(k)),
+k AS (SELECT point_id, q.data_uri, channel, sample_idx, value, row_number() OVER (PARTITION BY point_id, channel ORDER BY abs(t - rel_t), sample_idx) AS r FROM s JOIN q ON s.data_uri = q.data_uri)
+SELECT point_id, channel, CASE WHEN channel = 'click' AND data_uri::BIGINT % 2 = 0 THEN -1.0 ELSE value END AS value, CASE WHEN channel =
+'click' AND data_uri::BIGINT % 2 = 0 THEN NULL ELSE sample_idx END AS sample_idx FROM k WHERE r = 1
+UNION ALL
+SELECT point_id, 'click', -1.0, NULL FROM q WHERE data_uri::BIGINT % 2 = 0 AND data_uri NOT IN (SELECT data_uri FROM s WHERE channel = 'click')""")
 def j8(spark, d):
     s = st.samples(spark, d)
-    points = s.select("data_uri").distinct().select(F.col("data_uri").alias("point_id"), "data_uri", F.lit(1000000.0).alias("rel_t"))
-    declared = points.filter("cast(data_uri AS long) % 2 = 0").select("data_uri", F.lit("click").alias("channel"), F.lit(-1.0).alias("value"))
+    at = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")
+    points = s.select("data_uri").distinct().select("data_uri", at).select(F.concat_ws(":", "data_uri", F.col("k").cast("string")).alias("point_id"), "data_uri", (F.col("k") * 400000.0).alias("rel_t"))
+    declared = points.filter("cast(data_uri AS long) % 2 = 0").select("data_uri", F.lit("click").alias("channel"), F.lit(-1.0).alias("value")).distinct()
     return link.value_at(points, s, declared)
 
 
-@query("j7_force_for_points", """WITH w AS (SELECT user_id % 20 AS study_id, event_id AS data_uri, epoch_us(ts) / 1e6 AS lo, epoch_us(ts) / 1e6 +
-3600 AS hi FROM events WHERE event_type = 'signup'), p AS (SELECT user_id % 20 AS study_id, event_id AS point_id, epoch_us(ts) / 1e6 AS moment FROM
-events WHERE event_type = 'click'),
-m AS (SELECT p.study_id, point_id, count(*) AS n, min(data_uri) AS data_uri FROM p JOIN w ON p.study_id = w.study_id AND moment BETWEEN lo AND hi GROUP BY ALL)
-SELECT p.study_id, p.point_id, m.data_uri FROM p LEFT JOIN m ON m.point_id = p.point_id AND m.n = 1""")
+@query("j7_force_for_points", """WITH e AS (SELECT *, user_id % 20 AS study_id, user_id % 3 AS map_id, epoch_us(ts) / 1e6 AS moment FROM events),
+w AS (SELECT study_id, CASE WHEN user_id % 2 = 0 THEN map_id END AS map_id, event_id AS data_uri, moment AS lo, moment + 3600 AS hi, CASE WHEN event_type = 'view' THEN event_id + 1 END AS of_point FROM e
+WHERE event_type IN ('signup', 'view')), p AS (SELECT study_id, map_id, event_id AS point_id, moment FROM e WHERE event_type = 'click'),
+b AS (SELECT p.study_id, p.point_id, data_uri, of_point IS NOT NULL AS direct FROM p JOIN w ON p.study_id = w.study_id AND (w.map_id IS NULL OR w.map_id = p.map_id) AND
+  CASE WHEN of_point IS NULL THEN moment BETWEEN lo AND hi ELSE point_id = of_point END),
+m AS (SELECT study_id, point_id, count(*) AS n, min(data_uri) AS data_uri, bool_or(direct) AS direct FROM b GROUP BY ALL)
+SELECT p.study_id, p.map_id, p.point_id, m.data_uri, m.direct FROM p LEFT JOIN m ON m.point_id = p.point_id AND m.study_id = p.study_id AND m.n = 1""")
 def j7(spark, d):
-    e = st.table(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).withColumn("study_id", F.col("user_id") % 20)
-    w = e.filter("event_type = 'signup'").select("study_id", F.lit(None).cast("long").alias("map_id"), F.col("event_id").alias("data_uri"), F.col("at").alias("start_time"), F.lit(0.0).alias("first"), F.lit(3600.0).alias("last"))
-    p = e.filter("event_type = 'click'").select("study_id", F.lit(1).cast("long").alias("map_id"), F.col("event_id").alias("point_id"), "at")
-    return link.force_for_points(p, w, 600.0).select("study_id", "point_id", "data_uri")
+    """Windows of a stretch of time, and windows that name their point (the event before it, if both lie in one study)."""
+    e = st.table(spark, d, "events").withColumns({"at": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "study_id": F.col("user_id") % 20, "map_id": F.col("user_id") % 3})
+    w = e.filter("event_type IN ('signup', 'view')").select("study_id", F.when(F.col("user_id") % 2 == 0, F.col("map_id")).alias("map_id"), F.col("event_id").alias("data_uri"), F.col("at").alias("start_time"), F.lit(0.0).alias("first"), F.lit(3600.0).alias("last"), F.when(F.col("event_type") == "view", F.col("event_id") + 1).alias("of_point"))
+    p = e.filter("event_type = 'click'").select("study_id", "map_id", F.col("event_id").alias("point_id"), "at")
+    return link.force_for_points(p, w, 600.0).select("study_id", "map_id", "point_id", "data_uri", "direct")
 
 
 _COHORT = "d AS (SELECT lang AS region, quality = 1 AS good, n_chars::DOUBLE AS v FROM documents JOIN labels USING (doc_id))"
@@ -582,7 +588,7 @@ SELECT data_uri AS point_id, channel AS role, trace FROM c WHERE channel <> 'err
 def j10(spark, d):
     s = st.samples(spark, d).withColumn("value", F.col("value").cast("double"))
     b = s.select("data_uri", "channel").distinct()
-    rate = F.when(F.col("channel") == "error", 500.0).otherwise(1000.0)
+    rate = F.when(F.col("channel") != "error", 1000.0)
     bindings = b.select(F.col("data_uri").alias("point_id"), F.col("channel").alias("role"), "data_uri", "channel", rate.alias("sample_rate"), F.lit(10).alias("n_samples"), F.when(F.col("channel") == "view", 1e-7).otherwise(0.0).alias("start_time"), (F.col("channel") == F.lit("click")).alias("primary"))
     some = bindings.filter("primary").select("point_id").distinct()
     bindings = bindings.join(some, "point_id", "left_semi").unionByName(bindings.join(some, "point_id", "left_anti").withColumn("primary", F.col("channel") != "error"))

@@ -18,7 +18,7 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 @contextmanager
-def _keyed_state(spark: SparkSession):
+def keyed_state(spark: SparkSession):
     """The state store that keyed state with timers needs, for a query that starts inside."""
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -133,7 +133,7 @@ def watch_bundles(spark: SparkSession, drop_dir: str, table_path: str, checkpoin
     inbox, out = f"{table_path}/inbox", f"{table_path}/bundles"
     bundle_state(list_folder(spark, drop_dir), quiescence, require_marker).select(*[c.split()[0] for c in _SEEN.split(", ")]).write.mode("append").parquet(inbox)
     seen = spark.readStream.schema(_SEEN).option("cleanSource", "delete").parquet(inbox)
-    with _keyed_state(spark):
+    with keyed_state(spark):
         query = ready_bundles(seen, quiescence, require_marker).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
         query.awaitTermination()
     return spark.read.schema(_READY).parquet(out)
@@ -214,7 +214,7 @@ def run_jobs(events: DataFrame, table_path: str, checkpoint: str):
         batch.write.mode("overwrite").parquet(f"{table_path}/level=0/upto={epoch}")
         _merge(batch.sparkSession, table_path, epoch)
 
-    with _keyed_state(events.sparkSession):
+    with keyed_state(events.sparkSession):
         return job_changes(events).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

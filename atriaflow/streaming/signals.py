@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def commit_once(stream: DataFrame, keys: list[str], at: str, watermark: str) -> DataFrame:
@@ -15,11 +19,67 @@ def stream_force_link(points: DataFrame, windows: DataFrame, watermark: str = "1
     """T4: points(study_id, point_id, at) with the windows(study_id, data_uri, starts, ends) that hold them, as both arrive.
 
     The state of a side ends with the watermark and the longest window; points that come later are dropped, and counted in the query's progress
-    (`late_rows`). With `unmatched`, points without a window follow once none can come any more. Uniqueness (J7) is counted downstream, per point.
+    (`late_rows`). With `unmatched`, points without a window follow once none can come any more. `stream_one_force` keeps the one window of a point.
+    """
+    return _timed_links(points.withWatermark("at", watermark), windows.withWatermark("starts", watermark), longest, unmatched)
+
+
+def _timed_links(points: DataFrame, windows: DataFrame, longest: str, unmatched: bool) -> DataFrame:
+    p = points.select(F.col("study_id").alias("p_study"), "point_id", "at")
+    return p.join(windows, F.expr(f"p_study = study_id AND at >= starts AND at <= ends AND at <= starts + INTERVAL {longest}"), "left" if unmatched else "inner")
+
+
+_LINK = "study_id long, point_id string, at timestamp, n long, data_uri string"
+
+
+class _OneWindow(StatefulProcessor):
+    """One point: the windows that it met so far. When none can come any more, it goes out with the one it has, or with none."""
+
+    def __init__(self, longest: timedelta):
+        self.longest = longest
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("link", "at timestamp, n long, data_uri string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        at, n, uri = self.state.get() if self.state.exists() else (None, 0, None)
+        if at is None:
+            at = (first := next(rows))["at"]
+            n, uri = (0, None) if first["data_uri"] is None else (1, first["data_uri"])
+            self.handle.registerTimer(int((at + self.longest).timestamp() * 1000) + 1)
+        for r in rows:
+            if r["data_uri"] is not None:
+                n, uri = n + 1, r["data_uri"]
+        self.state.update((at, n, uri))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at, n, uri = self.state.get()
+        self.state.clear()
+        yield Row(study_id=key[0], point_id=key[1], at=at, n=n, data_uri=uri if n == 1 else None)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_one_force(points: DataFrame, windows: DataFrame, watermark: str = "10 minutes", longest: timedelta = timedelta(hours=1)) -> DataFrame:
+    """T4 with J7's rule: every point once, with its one window; those with none or several have no data_uri, and ``n`` says how many there were.
+
+    windows(study_id, data_uri, starts, ends[, of_point]): a window that names a point is its, if it starts within `longest` of it. Two stream joins meet in a state
+    per point, which ends (and lets the point go) once the watermark has passed the point by the longest window. Needs the keyed state of `ingest.keyed_state`.
     """
-    p = points.withWatermark("at", watermark).select(F.col("study_id").alias("p_study"), "point_id", "at")
-    w = windows.withWatermark("starts", watermark)
-    return p.join(w, F.expr(f"p_study = study_id AND at >= starts AND at <= ends AND at <= starts + INTERVAL {longest}"), "left" if unmatched else "inner")
+    if "of_point" not in windows.columns:
+        windows = windows.withColumn("of_point", F.lit(None).cast("string"))
+    span = f"{longest.total_seconds()} seconds"
+    # the time of all windows moves on, whichever of the two kinds comes
+    points, windows = points.withWatermark("at", watermark), windows.withWatermark("starts", watermark)
+    timed = _timed_links(points, windows.filter("of_point IS NULL"), span, True)
+    timed = timed.select(F.col("p_study").cast("long").alias("study_id"), F.col("point_id").cast("string").alias("point_id"), "at", F.col("data_uri").cast("string").alias("data_uri"))
+    p = points.select(F.col("study_id").alias("p_study"), "point_id", "at")
+    named = p.join(windows.filter("of_point IS NOT NULL"), F.expr(f"p_study = study_id AND cast(point_id AS string) = cast(of_point AS string) AND starts BETWEEN at - INTERVAL {span} AND at + INTERVAL {span}"))
+    named = named.select(F.col("p_study").cast("long").alias("study_id"), F.col("point_id").cast("string").alias("point_id"), "at", F.col("data_uri").cast("string").alias("data_uri"))
+    return timed.unionByName(named).groupBy("study_id", "point_id").transformWithState(_OneWindow(2 * longest), _LINK, "Append", "EventTime")
 
 
 def late_rows(query) -> int:

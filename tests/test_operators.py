@@ -153,6 +153,56 @@ def test_force_window_must_be_one(spark):
     assert got == {"a": "w1", "b": None}
 
 
+def test_windows_that_name_their_point(spark):
+    points = spark.createDataFrame([(1, 1, 7, 0.0), (1, 1, 8, 5.0), (1, 2, 7, 50.0), (2, None, 7, None), (1, 1, 9, 5.0)], "study_id long, map_id long, point_id long, at double")
+    windows = spark.createDataFrame(
+        [(1, 1, "d7", None, None, None, "7"), (1, None, "d8", None, None, None, "8"), (1, 1, "t", 4.0, 0.0, 2.0, None), (2, None, "x", None, None, None, "7"), (1, 3, "other", 0.0, 0.0, 99.0, None)],
+        "study_id long, map_id long, data_uri string, start_time double, first double, last double, of_point string",
+    )
+    got = {(r["study_id"], r["map_id"], r["point_id"]): (r["data_uri"], r["direct"]) for r in link.force_for_points(points, windows).collect()}
+    # point 8 is named by one window and lies in another: two candidates, so none
+    assert got == {(1, 1, 7): ("d7", True), (1, 1, 8): (None, None), (1, 2, 7): (None, None), (2, None, 7): ("x", True), (1, 1, 9): ("t", False)}
+
+
+@pytest.mark.parametrize("seconds", [0.7, 3.0, 1000.0])
+def test_nearest_samples(spark, seconds):
+    """The as-of join against all pairs: ties, points at, between, before and after samples, stretches without any."""
+    rng = np.random.default_rng(5)
+    samples = [(u, c, i, t, float(i)) for u in "ab" for c in "xy" for i, t in enumerate(np.sort(rng.choice(60, 25)) / 4.0) if not (c == "y" and 3 < t < 11)]
+    points = [(f"{u}{k}", u, float(k) / 8 - 4) for u in "abz" for k in range(200)]
+    df = spark.createDataFrame([(u, c, i, float(t), v) for u, c, i, t, v in samples], "data_uri string, channel string, sample_idx int, t double, value double")
+    near = link.nearest_samples(spark.createDataFrame(points, "point_id string, data_uri string, rel_t double"), df, seconds)
+    got = {(r["point_id"], r["channel"]): (r["sample_idx"], r["value"]) for r in near.collect()}
+    want = {}
+    for p, u, at in points:
+        for c in "xy":
+            own = [(abs(t - at), i, v) for w, k, i, t, v in samples if (w, k) == (u, c)]
+            if own:
+                want[p, c] = min(own)[1:]
+    assert got == want
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "rel_t" not in plan.split("Join")[0] or "Union" in plan
+
+
+def test_mixed_rates_are_an_error(spark):
+    kind = "point_id long, role string, data_uri string, channel string, sample_rate double, n_samples int, start_time double, primary boolean, map_id long"
+    samples = spark.createDataFrame([(u, "c", i, float(i)) for u in "abcd" for i in (1, 0)], "data_uri string, channel string, sample_idx int, value double")
+    own = [(1, "bipolar", "a", "c", 1000.0, 2, 0.0, True, 1), (1, "reference", "b", "c", 1000.0, 2, 5e-7, False, 1), (1, "ecg", "c", "c", 1000.0, 2, None, False, 1), (2, "bipolar", "d", "c", None, 2, 0.0, True, 2)]
+    rows = link.signal_arrays(spark.createDataFrame(own, kind), samples).collect()
+    assert {(r["point_id"], r["role"]): r["trace"] for r in rows} == {(1, "bipolar"): [0.0, 1.0], (1, "reference"): [0.0, 1.0]}
+    mixed = [*own, (3, "bipolar", "d", "c", 500.0, 2, 0.0, True, 1)]
+    for df in (spark.createDataFrame(mixed, kind), spark.createDataFrame(mixed, kind).drop("map_id")):
+        with pytest.raises(Exception, match="mixed sample rates"):
+            link.signal_arrays(df, samples).collect()
+
+
+def test_beat_windows(spark):
+    samples = spark.createDataFrame([("u", i, i / 100.0 - 3, "c", 0.0) for i in range(700)], "data_uri string, sample_idx int, t double, channel string, value double")
+    points = spark.createDataFrame([(k, "u", k / 7.0 - 2, 0.0) for k in range(30)], "point_id long, data_uri string, reference_t double, map_t double")
+    got = {(r["point_id"], r["sample_idx"]) for r in report.beat_window(points, samples, 250.0).collect()}
+    assert got == {(k, i) for k in range(30) for i in range(700) if abs((i / 100.0 - 3 - (k / 7.0 - 2)) * 1000) <= 250.0}
+
+
 def test_signal_binding_is_unique(spark):
     points = spark.createDataFrame([(1, "p", "g", "bipolar", " cs 1-2"), (1, "p", "g", "ecg", "V1"), (1, "p", "g", "reference", "R"), (1, "q", "h", "reference", "R")], "study_id long, point_id string, freeze_group string, role string, wanted string")
     channels = spark.createDataFrame([("w", 1, "p", None, "CS 1-2"), ("w", 1, "p", None, "V1"), ("x", 1, "p", None, "v1"), ("r", 1, None, "g", "r")], "data_uri string, study_id long, point_id string, freeze_group string, channel string")

@@ -88,7 +88,7 @@ def test_timers_end_quiet_times(spark, tmp_path):
 
     def report(*rows):
         put(spark, inbox, [(b, False, 1, 1, T0 + timedelta(seconds=m), T0 + timedelta(seconds=s)) for b, m, s in rows], ingest._SEEN)
-        with ingest._keyed_state(spark):
+        with ingest.keyed_state(spark):
             ingest.ready_bundles(spark.readStream.schema(ingest._SEEN).parquet(inbox), 10.0).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
         return {(r["bundle"], (r["ready_at"] - T0).total_seconds()) for r in spark.read.schema(ingest._READY).parquet(out).collect()}
 
@@ -169,6 +169,32 @@ def test_force_links_wait_for_late_points(spark, tmp_path):
     assert late == 1 and {(1, "f1"), (2, None), (3, None), (5, "f9")} <= got and not any(i == 6 for i, _ in got)
 
 
+def test_each_point_has_one_force_window(spark, tmp_path):
+    """By time or by name, counted in state over restarts; points with none or several go out without one."""
+    points, windows, out, checkpoint = (str(tmp_path / n) for n in ("points", "windows", "out", "checkpoint"))
+    at = lambda m: T0 + timedelta(minutes=m)
+    p, w = "study_id long, point_id long, at timestamp", "study_id long, data_uri string, starts timestamp, ends timestamp, of_point string"
+
+    def run():
+        stream = streams.stream_one_force(spark.readStream.schema(p).parquet(points), spark.readStream.schema(w).parquet(windows), "10 minutes", timedelta(hours=1))
+        with ingest.keyed_state(spark):
+            stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+        return sorted((r["point_id"], r["n"], r["data_uri"]) for r in spark.read.schema(stream.schema).parquet(out).collect())
+
+    put(spark, points, [(1, 1, at(3)), (1, 2, at(50)), (2, 3, at(3)), (2, 4, at(4)), (1, 5, at(30))], p)
+    put(spark, windows, [(1, "f1", at(0), at(5), None), (1, "f5", at(25), at(35), None), (2, "named", at(9), at(9), "3")], w)
+    assert run() == []
+    put(spark, windows, [(1, "f2", at(28), at(31), None)], w)  # a second one for point 5
+    put(spark, points, [(9, 90, at(20))], p)
+    assert run() == []
+    put(spark, points, [(9, 99, at(900))], p)
+    put(spark, windows, [(9, "late", at(900), at(901), None)], w)
+    run()
+    put(spark, points, [(9, 98, at(905))], p)
+    put(spark, windows, [(9, "later", at(906), at(907), None)], w)
+    assert run() == [("1", 1, "f1"), ("2", 0, None), ("3", 1, "named"), ("4", 0, None), ("5", 2, None), ("90", 0, None)]
+
+
 @pytest.mark.parametrize("over", [{"window": "1 hour"}, {"window": "1 hour", "slide": "30 minutes"}, {"gap": "20 minutes"}])
 def test_channel_windows_stream_as_they_batch(spark, tmp_path, over):
     folder, out, checkpoint = (str(tmp_path / n) for n in ("samples", "out", "checkpoint"))
