@@ -1,9 +1,7 @@
-"""Ranges, statistics and areas per map."""
+"""Ranges, statistics and areas per map."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,71 +80,6 @@ def delta_stats(delta: DataFrame, max_distance: float | None = None) -> DataFram
     return delta.groupBy("pair_id").agg(F.count(d).alias("n"), F.min(d).alias("min_delta"), F.max(d).alias("max_delta"), F.avg(d).alias("mean_delta"), F.median(d).alias("median_delta"), F.count_if(far).alias("n_masked"))
 
 
-#: Points of a block of a region, and parts into which a pass over the distances cuts an interval.
-BLOCK, PARTS = 1024, 2048
-
-
-def _block_distances(batch: pa.RecordBatch, i: int) -> np.ndarray:
-    """The distances of the pairs of row i: of two blocks all, of a block with itself each pair once."""
-    a, b = (np.array([batch[f"{side}_{c}"][i].values.to_numpy(zero_copy_only=False) for c in "xyz"]).T for side in "ab")
-    d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-    return d[np.triu_indices(len(a), 1)] if batch["same"][i].as_py() else d.ravel()
-
-
-def _block_sums(it):
-    for batch in it:
-        rows = [_block_distances(batch, i) for i in range(len(batch))]
-        yield pa.RecordBatch.from_pydict({"map_id": batch["map_id"], "n": pa.array([len(d) for d in rows], pa.int64()), "total": pa.array([float(d.sum()) for d in rows]), "most": pa.array([float(d.max()) if len(d) else 0.0 for d in rows])})
-
-
-def _block_counts(it):
-    """Numbers of distances in each of PARTS parts of [lo, hi) of the map's interval, and in part -1 those below it."""
-    for batch in it:
-        ids, starts, parts, counts = [], [], [], []
-        for i, (m, lo, hi) in enumerate(zip(batch["map_id"].to_pylist(), batch["lo"].to_pylist(), batch["hi"].to_pylist())):
-            d = _block_distances(batch, i)
-            part = np.floor((d - lo) / (hi - lo) * PARTS) if hi > lo else np.zeros(len(d))
-            part = np.where(d < lo, -1, part)
-            values, n = np.unique(part[part < PARTS].astype(np.int64), return_counts=True)
-            ids += [m] * len(values)
-            starts += [lo] * len(values)
-            parts += values.tolist()
-            counts += n.tolist()
-        yield pa.RecordBatch.from_pydict({"map_id": pa.array(ids, batch.schema.field("map_id").type), "lo": pa.array(starts, pa.float64()), "part": pa.array(parts, pa.int64()), "n": pa.array(counts, pa.int64())})
-
-
-def region_spread(scalars: DataFrame, vertices: DataFrame, lo: float, hi: float) -> DataFrame:
-    """Spread of the vertices whose own value lies in [lo, hi]: largest nearest-neighbour distance, and largest, mean and
-    median pairwise distance; zeros for a map with none (or one).
-
-    The region's points go to blocks of BLOCK; a row is a pair of blocks, whose distances are made and summed up inside the task, so no
-    pair of points becomes a row. The median is the middle of the interval that holds it after three passes, each of which keeps one of PARTS parts.
-    """
-    region = scalars.filter(F.col("value").between(lo, hi)).select("map_id", "vertex_id").join(vertices.select("map_id", "vertex_id", *"xyz"), ["map_id", "vertex_id"])
-    near = nn_join(region, region, ["map_id"], k=2).filter("near_id <> vertex_id").groupBy("map_id", "vertex_id").agg(F.min("distance").alias("nn")).groupBy("map_id").agg(F.max("nn").alias("max_nn"))
-    block = F.floor((F.row_number().over(Window.partitionBy("map_id").orderBy("vertex_id")) - 1) / BLOCK)
-    blocks = region.withColumn("block", block).groupBy("map_id", "block").agg(F.collect_list(F.struct(*"xyz")).alias("p")).select("map_id", "block", *[F.col(f"p.{c}").alias(c) for c in "xyz"])
-    side = lambda s: blocks.select(F.col("map_id").alias(f"{s}_map"), F.col("block").alias(f"{s}_block"), *[F.col(c).alias(f"{s}_{c}") for c in "xyz"])
-    pairs = side("a").join(side("b"), (F.col("a_map") == F.col("b_map")) & (F.col("a_block") <= F.col("b_block"))).withColumn("same", F.col("a_block") == F.col("b_block")).withColumnRenamed("a_map", "map_id").drop("b_map", "a_block", "b_block")
-    kind = scalars.schema["map_id"].dataType.simpleString()
-    sums = pairs.mapInArrow(_block_sums, f"map_id {kind}, n long, total double, most double").groupBy("map_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("most").alias("most")).filter("n > 0")
-    # the two middle ranks, each with the interval that holds it and its rank there
-    state = sums.select("map_id", F.explode(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))).alias("rank"), F.lit(0.0).alias("lo"), (F.col("most") * (1 + 1e-12)).alias("hi"))
-    for _ in range(3):
-        asked = state.select("map_id", "lo", "hi").distinct()
-        counts = pairs.join(asked, "map_id").mapInArrow(_block_counts, f"map_id {kind}, lo double, part long, n long").groupBy("map_id", "lo", "part").agg(F.sum("n").alias("n"))
-        upto = Window.partitionBy("map_id", "lo").orderBy("part")
-        counts = counts.withColumn("upto", F.sum("n").over(upto))
-        found = state.join(counts, ["map_id", "lo"]).filter((F.col("part") >= 0) & (F.col("upto") > F.col("rank"))).groupBy("map_id", "rank", "lo", "hi").agg(F.min("part").alias("part"))
-        step = (F.col("hi") - F.col("lo")) / PARTS
-        state = found.select("map_id", "rank", (F.col("lo") + F.col("part") * step).alias("lo"), (F.col("lo") + (F.col("part") + 1) * step).alias("hi"))
-    median = state.groupBy("map_id").agg(F.avg((F.col("lo") + F.col("hi")) / 2).alias("median_distance"))
-    zero = F.lit(0.0)
-    stats = sums.select("map_id", F.col("most").alias("max_distance"), (F.col("total") / F.col("n")).alias("mean_distance"))
-    out = scalars.select("map_id").distinct().join(stats, "map_id", "left").join(median, "map_id", "left").join(near, "map_id", "left")
-    return out.select("map_id", *[F.coalesce(c, zero).alias(c) for c in ("max_nn", "max_distance", "mean_distance", "median_distance")])
-
-
 def channel_stats(samples: DataFrame) -> DataFrame:
     """Least, largest and mean of the finite samples of each channel of each window."""
     v = finite(F.col("value"))

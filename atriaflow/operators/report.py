@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import math
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -54,15 +53,37 @@ def report_table(ids: DataFrame, areas: DataFrame, stats: DataFrame, absolute: D
     return out.withColumns({c: F.round(F.col(f"`{c}`"), 4) for c in numbers})
 
 
+def _holds(value: Column, want) -> Column:
+    """Whether a variant contains a JSON value: objects by key, lists when each wanted entry is in some entry, scalars when kind and value are the same."""
+    kind = F.schema_of_variant(value)
+    if isinstance(want, dict):
+        own = F.try_variant_get(value, "$", "map<string,variant>")
+        return reduce(lambda a, b: a & b, [_holds(F.try_element_at(own, F.lit(k)), v) for k, v in want.items()], own.isNotNull())
+    if isinstance(want, (list, tuple)):
+        own = F.try_variant_get(value, "$", "array<variant>")
+        has = lambda entry: F.exists(own, lambda x: F.coalesce(_holds(x, entry), F.lit(False)))
+        return reduce(lambda a, b: a & b, map(has, want), own.isNotNull())
+    if want is None:
+        return kind == "VOID"
+    if isinstance(want, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == F.lit(want))
+    if isinstance(want, (int, float)):
+        same = F.try_variant_get(value, "$", "double") == F.lit(float(want))
+        if isinstance(want, int) and abs(want) < 2**63:
+            same = same & (F.try_variant_get(value, "$", "bigint") == F.lit(want))
+        return ~kind.isin("STRING", "BOOLEAN", "VOID") & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY") & same
+    return (kind == "STRING") & (F.try_variant_get(value, "$", "string") == F.lit(want))
+
+
 def filter_by_attributes(maps: DataFrame, filters: dict) -> DataFrame:
-    """Maps whose JSON attributes contain all given values; "true"/"false" mean booleans; no filter means all maps."""
-    out = maps
-    for key, want in filters.items():
-        got = F.get_json_object("attributes", f"$.{key}")
-        if isinstance(want, str) and want.lower() in ("true", "false"):
-            want = want.lower() == "true"
-        out = out.filter(got == F.lit(json.dumps(want) if not isinstance(want, str) else want))
-    return out
+    """Maps whose JSON attributes contain the given ones: nested objects and lists too, numbers told apart from strings.
+
+    A filter's own "true"/"false" mean booleans (those inside nested values stay strings); no filter means all maps; attributes that are missing or no JSON match no other.
+    """
+    if not filters:
+        return maps
+    wanted = {k: v.lower() == "true" if isinstance(v, str) and v.lower() in ("true", "false") else v for k, v in filters.items()}
+    return maps.filter(F.coalesce(_holds(F.try_parse_json("attributes"), wanted), F.lit(False)))
 
 
 def set_attributes(maps: DataFrame, updates: DataFrame) -> DataFrame:
@@ -187,31 +208,90 @@ def fit_decay(profile: DataFrame) -> DataFrame:
     return profile.groupBy("map_id").applyInPandas(_fit_decay, "map_id long, amplitude double, sigma double, offset double, r2 double, n_bins int, n_vertices long")
 
 
-def cohort_summary(fits: DataFrame, by: list[str], value: str = "sigma") -> DataFrame:
-    """Per group and for all rows together: number, median and quartiles of a value."""
-    agg = [F.count("*").alias("n"), F.median(value).alias("median"), F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3")]
-    return fits.rollup(*by).agg(*agg, F.grouping_id().alias("level"))
+#: Atrium, what the part's name holds, and the label of the region.
+REGIONS = [("LA", "posterior", "LA post"), ("LA", "anterior", "LA ant"), ("RA", "posterior", "RA post"), ("RA", "lateral", "RA lat")]
+
+
+def region_label(atrium: str = "atrium", part: str = "part") -> Column:
+    """The region of a map; atrium and part themselves where no label fits."""
+    named = reduce(lambda w, r: w.when((F.col(atrium) == r[0]) & F.col(part).contains(r[1]), r[2]), REGIONS[1:], F.when((F.col(atrium) == REGIONS[0][0]) & F.col(part).contains(REGIONS[0][1]), REGIONS[0][2]))
+    return named.otherwise(F.concat_ws(" ", atrium, part))
+
+
+def cohort_summary(maps: DataFrame, least_distance: float = 5.0) -> DataFrame:
+    """Sigma of fitted maps by reference and region, with and without multifocal maps; also by reference, by region and over all.
+
+    maps(atrium, part, ref_catheters, is_multifocal, max_geodesic_dist, sigma): maps that reach less far than least_distance are fragments and do
+    not count. n counts maps, medians and quartiles (exact, linear) the sigmas that are there; delta is median of all - median of the focal ones. ``level`` tells
+    the grouping sets apart (0: reference and region, 1: reference, 2: region, 3: all).
+    """
+    sigma = finite(F.col("sigma").cast("double"))
+    whole = maps.filter(F.col("max_geodesic_dist") >= least_distance).select(F.col("ref_catheters"), region_label().alias("region"), F.coalesce("is_multifocal", F.lit(False)).alias("multi"), sigma.alias("sigma"))
+    focal = F.when(~F.col("multi"), F.col("sigma"))
+    quarter = lambda v, q: F.percentile(v, F.lit(q))
+    stats = [f(v, q).alias(f"{n}_{s}") for v, s in ((F.col("sigma"), "all"), (focal, "focal")) for f, q, n in ((quarter, 0.5, "median"), (quarter, 0.25, "q1"), (quarter, 0.75, "q3"))]
+    sets = whole.groupingSets([["ref_catheters", "region"], ["ref_catheters"], ["region"], []], "ref_catheters", "region")
+    out = sets.agg(F.count("*").alias("n_all"), F.count_if(~F.col("multi")).alias("n_focal"), F.count_if("multi").alias("n_excluded"), *stats, F.grouping_id().cast("int").alias("level"))
+    return out.withColumn("delta", F.col("median_all") - F.col("median_focal"))
+
+
+def _normal_tail(z: Column) -> Column:
+    """P(Z >= z) of the normal law: a power series near 0, a continued fraction beyond."""
+    size = F.abs(z)
+    density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    # sum of z^(2k+1) / (1 * 3 * ... * (2k+1))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(size.alias("term"), size.alias("sum")), lambda s, k: F.struct((s["term"] * z * z / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * z * z / (2 * k + 1)).alias("sum")), lambda s: s["sum"])
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), size, lambda s, k: size + k / s)
+    upper = F.when(size < 3, 0.5 - density * series).otherwise(density / fraction)
+    return F.when(z >= 0, upper).otherwise(1 - upper)
+
+
+@lru_cache(maxsize=64)
+def _rank_sums(n1: int, n2: int) -> np.ndarray:
+    """In how many ways U = 0, 1, ..., n1 n2 comes about: the coefficients of a product of quotients (1 - q^(n+i)) / (1 - q^i), in whole numbers."""
+    m, n = sorted((n1, n2))
+    ways = np.zeros(m * n + 1, dtype=object)
+    ways[0] = 1
+    for i in range(1, m + 1):
+        if n + i < len(ways):
+            ways[n + i :] = ways[n + i :] - ways[: -(n + i)]
+        for r in range(i):
+            ways[r::i] = np.cumsum(ways[r::i])
+    return ways
+
+
+def _exact_tail(n1: int, n2: int, u: int) -> float:
+    """P(U >= u) of two samples without ties."""
+    return float(sum(int(w) for w in _rank_sums(n1, n2)[u:]) / math.comb(n1 + n2, n1))
+
+
+#: The smaller sample up to which the law of U is counted out, if there are no ties.
+EXACT = 8
 
 
 def mann_whitney(values: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
-    """U of the rows with group = true over those with false ("greater"), and the normal approximation's p with tie correction.
+    """U of the rows with group = true over those with false ("greater") and its p; groups of at least 2 and 2; missing values do not count.
 
-    Ranks come from counts of equal values: one row per (by, value), so the window runs over distinct values.
+    p is exact when there are no ties and one of the samples has at most EXACT values, else that of the normal approximation with continuity and tie
+    correction. Ranks come from counts of equal values: one row per (by, value), so the window runs over distinct values.
     """
-    counts = values.groupBy(*by, value).agg(F.count("*").alias("t"), F.count_if(F.col(group)).alias("t1"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    v = finite(F.col(value).cast("double"))
+    counts = values.withColumn("__v", v).filter(F.col("__v").isNotNull() & F.col(group).isNotNull()).groupBy(*by, "__v").agg(F.count("*").alias("t"), F.count_if(F.col(group)).alias("t1"))
+    before = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.withColumn("rank", F.coalesce(F.sum("t").over(before), F.lit(0)) + (F.col("t") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum("t1").alias("n1"), F.sum(F.col("t") - F.col("t1")).alias("n2"), F.sum(F.col("rank") * F.col("t1")).alias("r1"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     out = sums.filter("n1 >= 2 AND n2 >= 2").withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
     n = F.col("n1") + F.col("n2")
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    out = out.withColumn("z", F.try_divide(F.col("u") - F.col("n1") * F.col("n2") / 2.0 - 0.5, sd))
+    out = out.withColumn("z", F.try_divide(F.col("u") - F.col("n1") * F.col("n2") / 2.0 - 0.5, sd)).withColumn("exact", (F.col("ties") == 0) & (F.least("n1", "n2") <= EXACT))
 
     @F.pandas_udf("double")
-    def upper_tail(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)), na_action="ignore")
+    def counted(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
+        # a group's law, for the few groups that ask for it
+        return pd.Series([None if a != a or a is None else _exact_tail(int(a), int(b), int(c)) for a, b, c in zip(n1, n2, u)], dtype="float64")
 
-    return out.select(*by, "n1", "n2", "u", "z", upper_tail("z").alias("p"))
+    asked = [F.when(F.col("exact"), F.col(c)) for c in ("n1", "n2", "u")]
+    return out.select(*by, "n1", "n2", "u", "z", "exact", F.when(F.col("exact"), counted(*asked)).otherwise(_normal_tail(F.col("z"))).alias("p"))
 
 
 def decimate(samples: DataFrame, max_samples: int = 400, keys: tuple = ("data_uri", "channel")) -> DataFrame:
@@ -267,11 +347,36 @@ REDACTED = "[redacted]"
 NAME_KEYS = ["study_name", "name"]
 
 
+def names_in(texts: DataFrame, names: DataFrame, row: list[str]) -> DataFrame:
+    """Of texts(row, t), the names(name, ...) that occur in each: row, t, name, ...; each once.
+
+    Seeds: every name is known by one part of fixed length, the one that fewest names have, and its place in the name. A text's parts of that length
+    (one row per place, whatever the lengths of names) meet the seeds in an equi-join, and where one is met the whole name is compared.
+    """
+    least = names.agg(F.min(F.length("name"))).first()[0]
+    if not least:
+        return texts.select(*row, "t", *[F.lit(None).cast(f.dataType).alias(f.name) for f in names.schema]).limit(0)
+    width = min(SEED, least)
+
+    def parts(c: str) -> Column:
+        return F.when(F.length(c) >= width, F.transform(F.sequence(F.lit(1), F.length(c) - width + 1), lambda i: F.substring(c, i, F.lit(width))))
+
+    each = names.select("name", F.posexplode(parts("name")).alias("offset", "seed"))
+    rare = each.join(each.groupBy("seed").agg(F.count_distinct("name").alias("names")), "seed")
+    seeds = rare.groupBy("name").agg(F.min(F.struct("names", "offset", "seed")).alias("s")).select("name", "s.offset", "s.seed")
+    places = texts.select(*row, "t", F.posexplode(parts("t")).alias("at", "seed"))
+    met = places.join(seeds, "seed").filter((F.col("at") >= F.col("offset")) & (F.substring("t", F.col("at") - F.col("offset") + 1, F.length("name")) == F.col("name")))
+    return met.select(*row, "t", "name").distinct().join(names, "name")
+
+
+#: Signs of a seed (fewer where a name is shorter).
+SEED = 8
+
+
 def deidentify(df: DataFrame, studies: DataFrame, key: list[str], text_cols: list[str], enabled: bool = True) -> DataFrame:
     """Redacted columns go, texts that look like a path (a slash or backslash) too, and known study names become ``study/<id>``; rows carry the mode.
 
-    studies(study_id, name) can be a large table: the parts of a text that are as long as some name are looked up by an equi-join (the
-    lengths of names that occur are on the driver), and a text is rewritten by the names it holds alone, longest first.
+    studies(study_id, name) can be a large table: names are found in texts by seeds (`names_in`), and a text is rewritten by the names it holds alone, longest first.
     key: columns that tell the rows of df apart.
     """
     if not enabled:
@@ -279,16 +384,8 @@ def deidentify(df: DataFrame, studies: DataFrame, key: list[str], text_cols: lis
     gone = [c for c in df.columns if c.strip().lower() in REDACTED_KEYS]
     texts = [c for c in text_cols if c not in gone]
     names = studies.filter("name <> ''").select("name", F.col("study_id").cast("string").alias("study_id")).distinct()
-    lengths = sorted(r[0] for r in names.select(F.length("name")).distinct().collect())
     each = df.select(*key, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("t")) for c in texts])).alias("x")).select(*key, "x.c", "x.t").filter("t IS NOT NULL")
-    none = F.array().cast("array<string>")
-
-    def parts_of(n: int) -> Column:
-        parts = F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substring("t", i, F.lit(n)))
-        return F.when(F.length("t") >= n, parts).otherwise(none)
-
-    parts = F.concat(*map(parts_of, lengths)) if lengths else none
-    held = each.select(*key, "c", "t", F.explode(F.array_distinct(parts)).alias("name")).join(names, "name")
+    held = names_in(each, names, [*key, "c"])
     found = held.groupBy(*key, "c", "t").agg(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("n"), "name", "study_id"))).alias("names"))
     clean = found.select(*key, "c", F.aggregate("names", F.col("t"), lambda text, x: F.replace(text, x["name"], F.concat(F.lit("study/"), x["study_id"]))).alias("clean"))
     wide = clean.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("c", "clean"))).alias("__clean"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atriaflow.functions import vocab
-from atriaflow.operators import geodesic, measure, mesh, report, spatial
+from atriaflow.operators import geodesic, measure, mesh, report, spatial, spread
 from atriaflow.plans import standins as st
 from atriaflow.plans.standins import GRID, SPACE
 
@@ -301,7 +301,7 @@ SELECT m.map_id, round(coalesce(nn, 0), 5) AS max_nn, round(coalesce(mx, 0), 5)
 round(coalesce(md, 0), 5) AS median_distance FROM (SELECT DISTINCT map_id FROM p) m LEFT JOIN s USING (map_id) LEFT JOIN n USING (map_id)""")
 def a9(spark, d):
     p = st.space(spark, d)
-    return rounded(measure.region_spread(p.select("map_id", "vertex_id", "value"), p, 0.05, 0.4), 5)
+    return rounded(spread.region_spread(p.select("map_id", "vertex_id", "value"), p, 0.05, 0.4), 5)
 
 
 # ---- solvers: no SQL form; tests/ holds them against closed forms -------------------------------------------

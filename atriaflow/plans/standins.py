@@ -6,27 +6,11 @@ embedding. Signals: events of a user in time order.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atriaflow.operators import mesh
-
-
-_own: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); for local masters without it, in a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = _own.setdefault(app, tempfile.mkdtemp(prefix="spark-atriaflow-"))
-    return f"{base.rstrip('/')}/atriaflow-{uuid.uuid4().hex}/{name}"
+from atriaflow.shared import scratch  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

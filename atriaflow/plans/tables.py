@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from atriaflow.functions import columns, vocab
@@ -55,9 +58,19 @@ def a11s(spark, d):
     return report.signal_header(w)
 
 
-@query("p14_filter_by_attributes", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '7'")
+_ATTRIBUTES = """'{"meta":' || props || ',"tags":["' || event_type || '",' || user_id % 5 || ',{"in":[' || user_id % 3 || ',"' || user_id % 2 || '"]}],"done":' ||
+CASE WHEN user_id % 2 = 0 THEN 'true' ELSE '"true"' END || ',"name":"7","none":null}'"""
+_WANTED = {"meta": {"k": 7}, "tags": [{"in": ["1"]}, "click"]}
+
+
+@query("p14_filter_by_attributes", f"""SELECT event_id, 'nested' AS filter FROM events WHERE json_contains({_ATTRIBUTES}, '{json.dumps(_WANTED)}')
+UNION ALL SELECT event_id, 'flag' FROM events WHERE json_contains({_ATTRIBUTES}, '{{"done": true, "none": null}}') UNION ALL SELECT event_id, 'kind' FROM events WHERE
+json_contains({_ATTRIBUTES}, '{{"tags": [2], "name": "7"}}')""")
 def p14(spark, d):
-    return report.filter_by_attributes(st.table(spark, d, "events").withColumnRenamed("props", "attributes"), {"k": 7}).select("event_id")
+    e = st.table(spark, d, "events").withColumn("attributes", F.expr(_ATTRIBUTES))
+    filters = {"nested": _WANTED, "flag": {"done": "TRUE", "none": None}, "kind": {"tags": [2], "name": "7"}, "neither": {"name": 7}}
+    parts = [report.filter_by_attributes(e, f).select("event_id", F.lit(n).alias("filter")) for n, f in filters.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("p15_set_attributes", """SELECT c_custkey AS map_id, CASE WHEN c_custkey % 3 = 0 THEN 'VIP' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 3 = 0 THEN 'yes' END AS
@@ -372,11 +385,16 @@ def s19(spark, d):
     return infer_sample_rate(st.samples(spark, d).withColumn("t", F.col("sample_idx") * 0.0017))
 
 
-@query("s17_read_samples", f"""WITH {SIGNALS} SELECT data_uri, sample_idx, channel, value FROM s WHERE channel IN ('click', 'view') AND t BETWEEN 100000 AND 900000""")
+@query("s17_read_samples", f"""WITH {SIGNALS} SELECT data_uri, sample_idx, channel, value FROM s WHERE channel IN ('click', 'view') AND t BETWEEN 100000 AND 900000
+UNION ALL SELECT data_uri, sample_idx, channel, value FROM s WHERE data_uri IN ('7', '11')""")
 def s17(spark, d):
-    from atriaflow.sources.signals import select_samples
+    """A store of all signals, read by channel and time, and by window."""
+    from atriaflow.sources import signals
 
-    return select_samples(st.samples(spark, d), ["click", "view"], (100000.0, 900000.0)).select("data_uri", "sample_idx", "channel", "value")
+    path = st.scratch(spark, "signals")
+    signals.write_samples(st.samples(spark, d), path)
+    by_time = signals.read_samples(spark, path, ["click", "view"], (100000.0, 900000.0))
+    return by_time.unionByName(signals.read_samples(spark, path, uris=["7", "11"])).select("data_uri", "sample_idx", "channel", "value")
 
 
 @query("j8_value_at", f"""WITH {SIGNALS}, q AS (SELECT data_uri, data_uri || ':' || k AS point_id, k * 400000.0 AS rel_t FROM (SELECT DISTINCT data_uri FROM s), range(8) r(k)),
@@ -411,10 +429,25 @@ def j7(spark, d):
 _COHORT = "d AS (SELECT lang AS region, quality = 1 AS good, n_chars::DOUBLE AS v FROM documents JOIN labels USING (doc_id))"
 
 
-@query("a22_cohort_summary", f"""WITH {_COHORT} SELECT region, good, count(*) AS n, median(v) AS median, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM d GROUP BY
-ROLLUP (region, good)""")
+_FITTED = """f AS (SELECT quality + 1 AS ref, CASE WHEN lang IN ('en', 'fr') THEN 'LA' ELSE 'RA' END AS atrium, CASE doc_id % 4 WHEN 0 THEN 'posterior wall' WHEN 1 THEN 'anterior wall' WHEN 2 THEN 'lateral wall'
+ELSE 'roof' END AS part, toxic = 1 AS multi, CASE WHEN n_chars % 7 > 0 THEN n_chars / 10.0 END AS sigma, n_chars % 50 AS reach FROM documents JOIN labels USING (doc_id)),
+d AS (SELECT ref, multi, sigma, CASE WHEN atrium = 'LA' AND part LIKE '%posterior%' THEN 'LA post' WHEN atrium = 'LA' AND part LIKE '%anterior%' THEN 'LA ant' WHEN atrium = 'RA' AND part LIKE
+'%posterior%' THEN 'RA post' WHEN atrium = 'RA' AND part LIKE '%lateral%' THEN 'RA lat' ELSE atrium || ' ' || part END AS region FROM f WHERE reach >= 5)"""
+
+
+@query("a22_cohort_summary", f"""WITH {_FITTED} SELECT ref AS ref_catheters, region, count(*) AS n_all, count(*) FILTER (NOT multi) AS n_focal, count(*) FILTER (multi) AS n_excluded,
+round(quantile_cont(sigma, 0.5), 6) AS median_all, round(quantile_cont(sigma, 0.25), 6) AS q1_all, round(quantile_cont(sigma, 0.75), 6) AS q3_all,
+round(quantile_cont(sigma, 0.5) FILTER (NOT multi), 6) AS median_focal, round(quantile_cont(sigma, 0.25) FILTER (NOT multi), 6) AS q1_focal, round(quantile_cont(sigma, 0.75) FILTER (NOT
+multi), 6) AS q3_focal, round(quantile_cont(sigma, 0.5) - quantile_cont(sigma, 0.5) FILTER (NOT multi), 6) AS delta, grouping(ref) * 2 + grouping(region) AS level
+FROM d GROUP BY GROUPING SETS ((ref, region), (ref), (region), ())""")
 def a22(spark, d):
-    return report.cohort_summary(_cohort(spark, d), ["region", "good"], "v").drop("level")
+    both = st.table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(st.table(spark, d, "labels"), "doc_id")
+    part = F.element_at(F.array(*map(F.lit, ("posterior wall", "anterior wall", "lateral wall", "roof"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    maps = both.select(
+        (F.col("quality") + 1).alias("ref_catheters"), F.when(F.col("lang").isin("en", "fr"), "LA").otherwise("RA").alias("atrium"), part.alias("part"), (F.col("toxic") == 1).alias("is_multifocal"),
+        F.when(F.col("n_chars") % 7 > 0, F.col("n_chars") / 10.0).alias("sigma"), (F.col("n_chars") % 50).alias("max_geodesic_dist"),
+    )
+    return rounded(report.cohort_summary(maps))
 
 
 def _cohort(spark, d):
@@ -422,18 +455,33 @@ def _cohort(spark, d):
     return both.select(F.col("lang").alias("region"), (F.col("quality") == 1).alias("good"), F.col("n_chars").cast("double").alias("v"))
 
 
-_A23_TIES = "x AS (SELECT region, sum(t * t * t - t) AS ties FROM (SELECT region, v, count(*) AS t FROM d GROUP BY ALL) GROUP BY region)"
+_A23 = """r AS (SELECT *, rank() OVER (PARTITION BY region ORDER BY v) + (count(*) OVER (PARTITION BY region, v) - 1) / 2.0 AS rk FROM d),
+x AS (SELECT region, sum(t * t * t - t) AS ties FROM (SELECT region, v, count(*) AS t FROM d GROUP BY ALL) GROUP BY region),
+s AS (SELECT region, count(*) FILTER (good) AS n1, count(*) FILTER (NOT good) AS n2, sum(rk) FILTER (good) - (count(*) FILTER (good)) * (count(*)
+FILTER (good) + 1) / 2.0 AS u FROM r GROUP BY region),
+z AS (SELECT s.*, ties, (u - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM s JOIN x ON s.region IS NOT DISTINCT FROM x.region
+WHERE n1 >= 2 AND n2 >= 2)"""
+#: The normal tail: a sum of rectangles in the middle of small steps.
+_TAIL = "list_sum([exp(-((z + (i + 0.5) / 2000) ** 2) / 2) FOR i IN range(0, 24000)]) / 2000 / sqrt(2 * pi())"
 
 
-@query("a23_mann_whitney", f"""WITH {_COHORT}, r AS (SELECT *, rank() OVER (PARTITION BY region ORDER BY v) + (count(*) OVER (PARTITION BY region, v)
-- 1) / 2.0 AS rk FROM d), {_A23_TIES},
-u AS (SELECT region, count(*) FILTER (good) AS n1, count(*) FILTER (NOT good) AS n2, sum(rk) FILTER (good) - (count(*) FILTER (good)) * (count(*)
-FILTER (good) + 1) / 2.0 AS u FROM r GROUP BY region)
-SELECT u.region, n1, n2, u, round((u - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z FROM
-u JOIN x ON u.region IS NOT DISTINCT FROM x.region WHERE n1 >= 2 AND n2 >= 2""")
+@query("a23_mann_whitney", f"""WITH {_COHORT}, {_A23} SELECT region, n1, n2, u, round(z, 6) AS z, round({_TAIL}, 6) AS p FROM z""")
 def a23(spark, d):
-    # p is the normal tail of z, which tests hold against its closed form
-    return report.mann_whitney(_cohort(spark, d), ["region"], "good", "v").select("region", "n1", "n2", "u", F.round("z", 6).alias("z"))
+    return report.mann_whitney(_cohort(spark, d), ["region"], "good", "v").select("region", "n1", "n2", "u", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"))
+
+
+@query("a23_small_samples", f"""WITH RECURSIVE d AS (SELECT lang || ':' || source AS region, quality = 1 AS good, n_chars::DOUBLE + doc_id % 97 / 100.0 AS v FROM documents JOIN labels USING (doc_id)), {_A23},
+w AS (SELECT DISTINCT n1, n2, 0 AS i, 0 AS k, 0 AS total, 1::HUGEINT AS ways FROM z WHERE ties = 0 AND least(n1, n2) <= 8
+  UNION ALL
+  SELECT n1, n2, i + 1, k + take, total + take * (i + 1), sum(ways)::HUGEINT FROM w, range(2) t(take) WHERE i < n1 + n2 AND k + take <= n1 AND n1 - k - take <= n1 + n2 - i - 1 GROUP BY ALL),
+c AS (SELECT n1, n2, total - n1 * (n1 + 1) / 2.0 AS reached, ways FROM w WHERE i = n1 + n2),
+e AS (SELECT region, sum(ways) FILTER (reached >= u) / sum(ways) AS p FROM z JOIN c ON z.n1 = c.n1 AND z.n2 = c.n2 GROUP BY region)
+SELECT z.region, n1, n2, u, ties = 0 AND least(n1, n2) <= 8 AS exact, round(coalesce(e.p, {_TAIL}), 6) AS p FROM z LEFT JOIN e ON z.region = e.region""")
+def a23_small(spark, d):
+    """Groups by language and source: most are small, and their law is counted out."""
+    both = st.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars").join(st.table(spark, d, "labels"), "doc_id")
+    rows = both.select(F.concat_ws(":", "lang", "source").alias("region"), (F.col("quality") == 1).alias("good"), (F.col("n_chars") + F.col("doc_id") % 97 / 100.0).alias("v")).filter("region IS NOT NULL")
+    return report.mann_whitney(rows, ["region"], "good", "v").select("region", "n1", "n2", "u", "exact", F.round("p", 6).alias("p"))
 
 
 _PROFILE = "SELECT l_suppkey AS map_id, floor(l_quantity / 2) * 2 + 1 AS bin, round(avg(l_discount * 100), 6) AS mean_score, count(*) AS n FROM lineitem WHERE l_quantity <= 40 GROUP BY ALL HAVING count(*) >= 3"
@@ -646,5 +694,5 @@ def s16(spark, d):
 
     s = st.samples(spark, d)
     path = st.scratch(spark, "signals")
-    signals.write_samples(s.unionByName(s), path, "channel")
+    signals.write_samples(s.unionByName(s), path)
     return signals.read_samples(spark, path, ["click", "view"], (1000.0, 1500000.0)).groupBy("data_uri", "channel").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from atriaflow.functions import columns, vocab
-from atriaflow.operators import geodesic, link, measure, mesh, report, spatial
+from atriaflow.operators import geodesic, link, measure, mesh, report, spatial, spread
 from atriaflow.sources import studies
 from pyspark.sql import functions as F
 
@@ -69,12 +69,13 @@ def test_nn_join_on_maps_of_other_sizes_and_far_clouds(spark, k):
 
 
 def test_region_spread_equals_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(measure, "BLOCK", 16)
+    monkeypatch.setattr(spread, "BLOCK", 16)
     rng = np.random.default_rng(2)
-    maps = {1: rng.normal(size=(70, 3)) * 30, 2: rng.normal(size=(2, 3)), 3: rng.normal(size=(1, 3)), 4: np.zeros((5, 3))}
+    grid = np.array([(i % 7, i // 7, 0) for i in range(49)], dtype=float)  # the same distance again and again
+    maps = {1: rng.normal(size=(70, 3)) * 30, 2: rng.normal(size=(2, 3)), 3: rng.normal(size=(1, 3)), 4: np.zeros((5, 3)), 5: grid}
     v = spark.createDataFrame([(m, i, *map(float, p)) for m, x in maps.items() for i, p in enumerate(x)], "map_id long, vertex_id int, x double, y double, z double")
     scalars = v.select("map_id", "vertex_id", F.lit(1.0).alias("value")).unionByName(spark.createDataFrame([(9, 0, 5.0)], "map_id long, vertex_id int, value double"))
-    got = {r["map_id"]: tuple(r)[1:] for r in measure.region_spread(scalars, v, 0.0, 2.0).collect()}
+    got = {r["map_id"]: tuple(r)[1:] for r in spread.region_spread(scalars, v, 0.0, 2.0).collect()}
     for m, x in maps.items():
         d = np.linalg.norm(x[:, None] - x[None], axis=2)
         pairs = d[np.triu_indices(len(x), 1)]
@@ -83,6 +84,99 @@ def test_region_spread_equals_all_pairs(spark, monkeypatch):
     assert got[9] == (0, 0, 0, 0)
 
 
+def test_nested_attribute_filters(spark):
+    texts = [
+        '{"a": {"k": 7, "x y": [1, {"b": "7"}, "s"]}, "n": null, "flag": true, "f": 7.0}', '{"a": {"k": "7"}, "n": 0, "flag": "true"}', '{"a": 7, "f": 7.5}', '{"a": [7, [8]], "s": "TRUE"}',
+        "no json", None, "[]", '{"a": {}, "big": 9007199254740993}',
+    ]
+    maps = spark.createDataFrame(list(enumerate(texts)), "map_id long, attributes string")
+    found = lambda f: sorted(r["map_id"] for r in report.filter_by_attributes(maps, f).collect())
+    assert found({}) == list(range(8))
+    assert found({"a": {"k": 7}}) == [0] and found({"a": {"k": "7"}}) == [1] and found({"a": 7}) == [2] and found({"a": {}}) == [0, 1, 7]
+    assert found({"a": {"x y": [{"b": "7"}]}}) == [0] and found({"a": {"x y": ["s", 1]}}) == [0] and found({"a": {"x y": [2]}}) == [] and found({"a": [[8]]}) == [3] and found({"a": [8]}) == []
+    assert found({"n": None}) == [0] and found({"flag": "True"}) == [0] and found({"flag": True}) == [0] and found({"a": {"k": "true"}}) == []
+    assert found({"f": 7}) == [0] and found({"f": 7.5}) == [2] and found({"missing": None}) == []
+    assert found({"big": 9007199254740993}) == [7] and found({"big": 9007199254740992}) == []
+
+
+def test_cohort_with_and_without_multifocal_maps(spark):
+    rng = np.random.default_rng(6)
+    parts = ["posterior wall", "anterior wall", "lateral wall", "roof"]
+    rows = [(str(rng.choice(["LA", "RA"])), str(rng.choice(parts)), int(rng.integers(1, 3)), bool(rng.random() < 0.3), float(rng.integers(3, 9)), float(rng.normal(10, 3)) if rng.random() < 0.9 else float("nan")) for _ in range(200)]
+    rows.append(("LA", "roof", 2, None, 9.0, None))
+    df = spark.createDataFrame(rows, "atrium string, part string, ref_catheters int, is_multifocal boolean, max_geodesic_dist double, sigma double")
+    got = {(r["ref_catheters"], r["region"], r["level"]): r for r in report.cohort_summary(df).collect()}
+    label = lambda a, p: {("LA", "posterior"): "LA post", ("LA", "anterior"): "LA ant", ("RA", "posterior"): "RA post", ("RA", "lateral"): "RA lat"}.get((a, p.split()[0]), f"{a} {p}")
+    kept = [(ref, label(a, p), bool(m), s) for a, p, ref, m, far, s in rows if far >= 5]
+    for key, r in got.items():
+        own = [x for x in kept if (key[0] is None or x[0] == key[0]) and (key[1] is None or x[1] == key[1])]
+        assert (r["n_all"], r["n_focal"], r["n_excluded"]) == (len(own), sum(not x[2] for x in own), sum(x[2] for x in own))
+        for name, some in (("all", own), ("focal", [x for x in own if not x[2]])):
+            v = [x[3] for x in some if x[3] is not None and not math.isnan(x[3])]
+            for stat, q in (("median", 50), ("q1", 25), ("q3", 75)):
+                assert r[f"{stat}_{name}"] == (pytest.approx(np.percentile(v, q)) if v else None)
+    assert {k[2] for k in got} == {0, 1, 2, 3} and (None, None, 3) in got
+
+
+def test_exact_rank_sum_law(spark):
+    from itertools import combinations
+
+    for n1, n2 in ((2, 2), (3, 5), (5, 3), (8, 4)):
+        us = [sum(c) - n1 * (n1 - 1) // 2 for c in combinations(range(n1 + n2), n1)]
+        assert [int(w) for w in report._rank_sums(n1, n2)] == [us.count(u) for u in range(n1 * n2 + 1)]
+    rows = [("small", i < 3, v) for i, v in enumerate([9.0, 7.0, 3.0, 1.0, 2.0, 8.0, 4.0])] + [("ties", i < 3, v) for i, v in enumerate([9.0, 7.0, 3.0, 3.0, 2.0, 8.0])]
+    rows += [("large", i % 2 == 0, float(i * i % 101) + i / 1000) for i in range(60)] + [("one", True, 1.0), ("one", False, 2.0), ("small", True, None), ("small", False, float("nan"))]
+    got = {r["region"]: r for r in report.mann_whitney(spark.createDataFrame(rows, "region string, good boolean, v double"), ["region"], "good", "v").collect()}
+    us = [sum(c) - 3 for c in combinations(range(7), 3)]
+    assert (got["small"]["u"], got["small"]["exact"]) == (9.0, True) and got["small"]["p"] == pytest.approx(sum(u >= 9 for u in us) / len(us))
+    assert not got["ties"]["exact"] and not got["large"]["exact"] and "one" not in got
+    for name in ("ties", "large"):
+        assert got[name]["p"] == pytest.approx(0.5 * math.erfc(got[name]["z"] / math.sqrt(2)), rel=1e-12)
+    z = spark.range(-400, 401).select((F.col("id") / 20.0).alias("z"))
+    for r in z.select("z", report._normal_tail(F.col("z")).alias("p")).collect():
+        assert r["p"] == pytest.approx(0.5 * math.erfc(r["z"] / math.sqrt(2)), rel=1e-9, abs=1e-300)
+
+
+def test_names_are_found_by_seeds(spark):
+    names = ["Customer#000000012", "Customer#000000123", "ab", "Customer", "aaaa", "xyzzy" * 9, ".*(", "ä–ß"]
+    texts = ["Customer#000000012 and Customer#000000123", "about", "aaaaaa", "no", "", "q" + "xyzzy" * 10, "a.*(b", "–ä–ß–", None, "A"]
+    n, t = spark.createDataFrame([(x, str(i)) for i, x in enumerate(names)], "name string, study_id string"), spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for kept in (names, [x for x in names if len(x) > 4]):
+        got = {(r["id"], r["name"]) for r in report.names_in(t, n.filter(F.col("name").isin(kept)), ["id"]).collect()}
+        assert got == {(i, x) for i, text in enumerate(texts) for x in kept if text and x in text}
+    assert report.names_in(t, n.limit(0), ["id"]).count() == 0
+
+
+def test_signal_store_prunes(spark, tmp_path, monkeypatch):
+    from atriaflow.sources import signals
+
+    monkeypatch.setattr(signals, "ROW_GROUP", 4 << 10)
+    df = spark.range(40000).select(F.concat(F.lit("u"), (F.col("id") % 4).cast("string")).alias("data_uri"), (F.col("id") / 4).cast("int").alias("sample_idx"), (F.floor(F.col("id") / 4) / 1000.0).alias("t"), F.lit("c").alias("channel"), (F.hash("id") % 1000 / 7.0).alias("value"))
+    path = str(tmp_path / "store")
+    signals.write_samples(df.unionByName(df), path, 6)
+    assert spark.read.parquet(f"{path}/samples").count() == 40000
+    some = signals.read_samples(spark, path, ["c"], (2.0, 2.25), ["u1"])
+    assert sorted(r["sample_idx"] for r in some.collect()) == list(range(2000, 2251))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(t,2.0)" in plan and "In(data_uri" in plan or "EqualTo(data_uri" in plan
+    assert "dynamicpruning" in plan.lower()
+    # row groups of the files: few can hold the range
+    import glob
+
+    import pyarrow.parquet as pq
+
+    groups = hit = 0
+    for f in glob.glob(f"{path}/samples/*/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        at = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
+        for g in range(meta.num_row_groups):
+            uri, t = (meta.row_group(g).column(at[c]).statistics for c in ("data_uri", "t"))
+            groups += 1
+            hit += uri.min <= "u1" <= uri.max and t.min <= 2.25 and t.max >= 2.0
+    assert groups > 30 and hit < groups / 10
+    assert signals.read_samples(spark, path).count() == 40000
+
+
 def test_same_map_has_no_delta(spark):
     v, _ = square(spark, 4)
     two = v.drop("map_id").withColumn("map_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
