@@ -36,7 +36,7 @@ def _mesh_texts(spark, d):
     b = section(t, "tri_id", F.concat(number("v0", "v1", "v2"), F.lit(" 0 0 1 "), F.when(F.col("tri_id") % 5 == 0, "-1").otherwise("0"))).withColumnRenamed("rows", "b")
     c = section(v, "vertex_id", F.concat(F.when(F.col("vertex_id") % 4 == 0, "-10000").otherwise(F.col("value").cast("string")), F.lit(" 1"))).withColumnRenamed("rows", "c")
     e = section(v, "vertex_id", F.concat(F.when(F.col("vertex_id") % 9 == 0, "1").otherwise("0"), F.lit(" 0"))).withColumnRenamed("rows", "e")
-    text = F.concat(F.lit("#mesh\n[GeneralAttributes]\nMeshID = 1\n[VerticesSection]\n; X Y Z NormalX NormalY NormalZ GroupID\n"), "a", F.lit("\n\n[TrianglesSection]\n; V0 V1 V2 NX NY NZ GroupID\n"), "b", F.lit("\n\n[VerticesColorsSection]\n; Bipolar LAT\n"), "c", F.lit("\n\n[VerticesAttributesSection]\n; Scar Other\n"), "e", F.lit("\n"))
+    text = F.concat(F.lit("#TriangulatedMeshVersion2.0\n[GeneralAttributes]\nMeshID = 1\n[VerticesSection]\n; X Y Z NormalX NormalY NormalZ GroupID\n"), "a", F.lit("\n\n[TrianglesSection]\n; V0 V1 V2 NX NY NZ GroupID\n"), "b", F.lit("\n\n[VerticesColorsSection]\n; Bipolar LAT\n"), "c", F.lit("\n\n[VerticesAttributesSection]\n; Scar Other\n"), "e", F.lit("\n"))
     return a.join(b, "map_id").join(c, "map_id").join(e, "map_id").select(F.col("map_id").cast("string").alias("file"), text.alias("value"))
 
 

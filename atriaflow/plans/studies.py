@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atriaflow.operators import link
 from atriaflow.plans import standins as st
 from atriaflow.plans.standins import GRID, SIGNALS
 from atriaflow.sources import exports, studies
@@ -211,7 +212,7 @@ def s12(spark, d):
     name = F.when(F.col("data_uri").cast("long") % 2 == 0, "/Wave_refs.csv").otherwise("/wave_rov.csv")
     texts = rows.select(F.concat(F.lit("dxl/"), "data_uri", name).alias("file"), F.concat(F.lit(head), "rows", F.lit("\nEOF\nafter,the,end")).alias("value"))
     none = rows.select(F.concat(F.lit("dxl/"), "data_uri", F.lit("/wave_refs2.csv")).alias("file"), F.lit("Waveform samples exported:,0\n").alias("value"))
-    return studies.read_dxl_waveforms(texts.unionByName(none))
+    return studies.read_dxl_waveforms(texts.unionByName(none)).drop("map_sample")
 
 
 # ---- S10, S11: a text per supplier, a point per line item ------------------------------------------------
@@ -245,6 +246,19 @@ def s10(spark, d):
     return out.select("file", "point_index", "source_id", "x", "y", "z", F.concat(own["key"], F.lit("="), own["value"]["value"].cast("int").cast("string")).alias("value"), value("annotation_time").alias("adjusted"), value("contact_force").alias("force"), F.try_element_at("annotations", F.lit("freeze_group")).alias("freeze_group"), F.try_element_at("annotations", F.lit("source_folder")).alias("source_folder"), F.array_join(F.map_keys("electrodes"), ",").alias("electrode"))
 
 
+@query("s10_map_names", """WITH f AS (SELECT p_brand AS map_key, p_partkey, CASE WHEN p_size % 10 > 0 THEN p_brand || CASE WHEN p_brand LIKE '%3' THEN '-' || p_size % 3 ELSE '' END END AS declared FROM part)
+SELECT map_key, CASE WHEN count(DISTINCT declared) = 1 THEN min(declared) ELSE min('p' || p_partkey) END AS map_name FROM f GROUP BY map_key""")
+def s10_names(spark, d):
+    """A point export for each part; the files of a brand are a map, which takes the name that they declare."""
+    p = st.table(spark, d, "part")
+    name = F.when(F.col("p_size") % 10 > 0, F.concat(F.lit("Map name:,VoXel\t "), "p_brand", F.when(F.col("p_brand").endswith("3"), F.concat(F.lit("-"), (F.col("p_size") % 3).cast("string"))).otherwise(""))).otherwise("Map name:,")
+    text = F.concat(F.lit("Export\nData starts in row,5\nMap type:,PP_bi\n"), name, F.lit("\nMap name:,late\n(Point #)\nMap name:,too late\n"))
+    files = p.select(F.concat_ws("/", F.lit("dxl"), "p_brand", F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".csv"))).alias("file"), text.alias("value"))
+    told = studies.read_map_names(files)
+    stem = F.regexp_replace(studies.base_name("file"), r"\.[^.]*$", "")
+    return link.operator_map_name(told.select(F.element_at(F.split("file", "/"), -2).alias("map_key"), F.col("map_name").alias("declared"), stem.alias("stem")))
+
+
 @query("s11_archive_points", f"""WITH {_ITEMS} SELECT l_suppkey::VARCHAR AS file, point_index, l_quantity AS x, l_tax AS y, 3.0::DOUBLE AS z,
 l_discount AS bipolar, CASE WHEN l_linenumber <> 2 THEN l_linenumber::DOUBLE END AS correlation,
 CASE WHEN l_returnflag <> 'A' THEN 12.5 END AS force, 'activation_time,' || CASE WHEN l_returnflag <> 'A' THEN 'contact_force,' ELSE '' END || CASE

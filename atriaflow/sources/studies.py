@@ -6,6 +6,7 @@ Readers take files(file, value) with the whole text of a file, as `exports.whole
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from atriaflow.functions.columns import finite
 from atriaflow.functions.vocab import dxl_quantity
-from atriaflow.sources.exports import lines_of
+from atriaflow.sources.lines import before, behind, comma_cells, file_lines, filled, first_index, first_of, last_index, strict
 
 
 def base_name(file: str | Column) -> Column:
@@ -107,7 +108,7 @@ _POINT = (
 
 def read_electrodes(files: DataFrame) -> DataFrame:
     """Base, coordinates (x, y, z of each electrode one after another) of electrode position texts; two header lines, then rows of five cells or more."""
-    rows = lines_of(files).filter("line_no >= 2").withColumn("c", F.split(F.trim("line"), "\t")).filter(F.size("c") >= 5)
+    rows = file_lines(files).select("file", F.posexplode(F.slice("lines", F.lit(3), F.size("lines"))).alias("line_no", "line")).withColumn("c", F.split(F.trim("line"), "\t")).filter(F.size("c") >= 5)
     xyz = F.array(*[F.get("c", F.lit(k)).cast("double") for k in (2, 3, 4)])
     both = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_no", xyz.alias("xyz")))).alias("rows"))
     return both.select(base_name("file").alias("base"), F.flatten(F.transform("rows", lambda r: r["xyz"])).alias("coordinates"))
@@ -163,23 +164,27 @@ def read_force(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Windows (file, sample_rate, instantaneous values) and samples (g, deg, deg) of contact-force texts; t is in ms.
 
     The rate is 1000 / median step, if every step is positive; the instantaneous values stand in the line after the last ``IntervalNonGraph``.
+    A text without the header or its columns, and rows that are not all numbers, are errors.
     """
-    lines = lines_of(files)
-    own = Window.partitionBy("file").orderBy("line_no")
-    is_header = F.lower(F.trim("line")).startswith("index\t")
-    lines = lines.withColumn("header", F.max(F.when(is_header, F.col("line"))).over(own)).withColumn("before", F.lag("line").over(own))
-    lines = lines.withColumn("names", F.transform(F.split(F.trim("header"), r"\s+"), F.lower)).withColumn("v", numbers("line"))
-    value = lambda name: F.get("v", (F.array_position("names", name) - 1).cast("int"))
-    rows = lines.filter(F.col("header").isNotNull() & ~is_header & (F.trim("line") != ""))
-    fits = F.when(F.size("v") == F.size("names"), F.col("v")).otherwise(F.raise_error(F.concat(F.lit("malformed force row in "), F.col("file"))))
-    rows = rows.withColumn("v", fits).withColumn("sample_idx", F.row_number().over(own) - 1).withColumn("t", value("time"))
-    step = rows.withColumn("dt", F.col("t") - F.lag("t").over(Window.partitionBy("file").orderBy("sample_idx")))
-    rate = step.groupBy("file").agg(F.when(F.min("dt") > 0, 1000 / F.median("dt")).alias("sample_rate"))
-    told = lines.filter(F.col("header").isNull() & F.col("before").startswith("IntervalNonGraph") & (F.size("v") >= 4))
-    told = told.groupBy("file").agg(F.max_by(F.slice("v", 2, 3), "line_no").alias("v")).select("file", *[F.get("v", F.lit(k)).alias(c) for k, c in enumerate(("force", "axial_angle", "lateral_angle"))])
-    channels = F.array(*[F.struct(F.lit(c).alias("channel"), value(c.lower()).alias("value"), F.lit(u).alias("unit")) for c, u in (("ForceValue", "g"), ("AxialAngle", "deg"), ("LateralAngle", "deg"))])
-    samples = rows.select("file", "sample_idx", "t", F.explode(channels).alias("c")).select("file", "sample_idx", "t", "c.*")
-    return rate.join(told, "file", "left"), samples
+    own = file_lines(files).withColumn("at", first_index("lines", lambda x: F.lower(F.trim(x)).startswith("index\t")))
+    own = own.withColumn("at", strict(F.col("at"), F.col("at").isNotNull(), "no force columns"))
+    own = own.select("file", F.transform(F.split(F.trim(F.get("lines", F.col("at"))), r"\s+"), F.lower).alias("names"), before("lines", F.col("at")).alias("top"), F.transform(filled(behind("lines", F.col("at"))), numbers).alias("rows"))
+    named = reduce(lambda a, b: a & b, [F.array_contains("names", c) for c in ("time", "forcevalue", "axialangle", "lateralangle")])
+    fits = F.forall("rows", lambda v: (F.size(v) == F.size("names")) & F.forall(v, lambda x: x.isNotNull()))
+    own = own.withColumn("rows", strict(F.col("rows"), named & fits & (F.size("rows") > 0), "malformed force rows"))
+    value = lambda v, name: F.get(v, (F.array_position("names", name) - 1).cast("int"))
+    times = F.transform("rows", lambda v: value(v, "time"))
+    own = own.withColumn("t", times).withColumn("steps", F.array_sort(F.zip_with(F.slice("t", F.lit(2), F.size("t")), F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), lambda b, a: b - a)))
+    n = F.size("steps")
+    median = (F.get("steps", F.floor((n - 1) / 2).cast("int")) + F.get("steps", F.floor(n / 2).cast("int"))) / 2
+    told = last_index("top", lambda x: x.startswith("IntervalNonGraph"))
+    told = numbers(F.get("top", told + 1))
+    told = F.when(F.size(told) >= 4, told)
+    windows = own.select("file", F.when(F.get("steps", F.lit(0)) > 0, 1000 / median).alias("sample_rate"), *[F.get(told, F.lit(k)).alias(c) for k, c in enumerate(("force", "axial_angle", "lateral_angle"), 1)])
+    rows = own.select("file", "names", F.posexplode("rows").alias("sample_idx", "v"))
+    channels = F.array(*[F.struct(F.lit(c).alias("channel"), value(F.col("v"), c.lower()).alias("value"), F.lit(u).alias("unit")) for c, u in (("ForceValue", "g"), ("AxialAngle", "deg"), ("LateralAngle", "deg"))])
+    samples = rows.select("file", "sample_idx", value(F.col("v"), "time").alias("t"), F.explode(channels).alias("c")).select("file", "sample_idx", "t", "c.*")
+    return windows, samples
 
 
 #: Phase of respiration, its code.
@@ -188,18 +193,18 @@ RESPIRATION = {"UNKNOWN": 0.0, "EXPIRATION": 1.0, "INSPIRATION": 2.0}
 
 def read_point_cloud(files: DataFrame) -> DataFrame:
     """Positions in both frames, seconds from the first position, and the code of the respiration phase (another text is null)."""
-    lines = lines_of(files)
-    own = Window.partitionBy("file").orderBy("line_no")
-    lines = lines.withColumn("header", F.max(F.when(F.col("line").startswith("Time,"), F.col("line"))).over(own))
-    rows = lines.filter("header IS NOT NULL AND NOT startswith(line, 'Time,') AND NOT line RLIKE '^\\\\s*(EOF.*)?$'")
-    rows = rows.select("file", "line_no", F.transform(F.split("header", ","), lambda x: F.trim(x)).alias("h"), F.split("line", ",").alias("c"))
-    clock = F.split(cell(F.col("c"), F.col("h"), "Time"), ":")
-    day = F.get(clock, F.lit(0)).try_cast("double") * 3600 + F.get(clock, F.lit(1)).try_cast("double") * 60 + F.get(clock, F.lit(2)).try_cast("double")
+    own = file_lines(files).withColumn("at", first_index("lines", lambda x: x.startswith("Time,"))).filter("at IS NOT NULL")
+    cells = F.transform(F.filter(behind("lines", F.col("at")), lambda x: ~x.rlike(r"^\s*(EOF.*)?$")), lambda x: F.split(x, ","))
+    own = own.select("file", F.transform(F.split(F.get("lines", F.col("at")), ","), lambda x: F.trim(x)).alias("h"), cells.alias("rows"))
+
+    def day(c: Column) -> Column:
+        clock = F.split(cell(c, F.col("h"), "Time"), ":")
+        return F.get(clock, F.lit(0)).try_cast("double") * 3600 + F.get(clock, F.lit(1)).try_cast("double") * 60 + F.get(clock, F.lit(2)).try_cast("double")
+
+    rows = own.withColumn("first", F.array_min(F.transform("rows", day))).select("file", "h", "first", F.posexplode("rows").alias("sample_idx", "c"))
     phases = F.create_map(*[F.lit(x) for kv in RESPIRATION.items() for x in kv])
     axes = [cell(F.col("c"), F.col("h"), f"{frame}_{a}").try_cast("double").alias(f"{frame}_{a}") for frame in ("trn", "raw") for a in "xyz"]
-    rows = rows.select("file", (F.row_number().over(own) - 1).alias("sample_idx"), day.alias("day"), *axes, F.try_element_at(phases, F.upper(cell(F.col("c"), F.col("h"), "respiration_phase"))).alias("respiration"))
-    first = rows.groupBy("file").agg(F.min("day").alias("first"))
-    return rows.join(first, "file").select("file", "sample_idx", (F.col("day") - F.col("first")).alias("t"), *[f"{frame}_{a}" for frame in ("trn", "raw") for a in "xyz"], "respiration")
+    return rows.select("file", "sample_idx", (day(F.col("c")) - F.col("first")).alias("t"), *axes, F.try_element_at(phases, F.upper(cell(F.col("c"), F.col("h"), "respiration_phase"))).alias("respiration"))
 
 
 def _entries(*items: tuple[Column | str, Column]) -> Column:
@@ -219,13 +224,12 @@ def read_dxl_points(files: DataFrame) -> DataFrame:
     ``Data starts in row,N`` names the header's row, ``Map type:`` the quantity. Values of 9000 and more in ms columns, negative forces and rows without a surface
     position count as missing; other columns are annotations.
     """
-    lines = lines_of(files)
-    whole = Window.partitionBy("file")
-    told = lambda key: F.when((F.col("line_no") < 80) & F.lower("line").startswith(key), F.trim(F.regexp_extract("line", r"^[^,]*,\s*([^,]*)", 1)))
-    lines = lines.withColumn("first_row", F.max(told("data starts in row")).over(whole).try_cast("int")).withColumn("map_type", F.coalesce(F.max(told("map type:")).over(whole), F.lit("")))
-    known = F.when(F.col("first_row").isNull(), F.raise_error(F.concat(F.lit("no row of data named in "), F.col("file")))).otherwise(F.col("first_row"))
-    lines = lines.withColumn("header", F.max(F.when(F.col("line_no") == known - 1, F.col("line"))).over(whole))
-    rows = lines.filter((F.col("line_no") >= F.col("first_row")) & (F.trim("line") != ""))
+    top = F.slice("lines", 1, 80)
+    told = lambda key: F.trim(F.regexp_extract(first_of(top, lambda x: F.lower(x).startswith(key)), r"^[^,]*,\s*([^,]*)", 1))
+    own = file_lines(files).withColumn("first_row", told("data starts in row").try_cast("int")).withColumn("map_type", F.coalesce(told("map type:"), F.lit("")))
+    own = own.withColumn("first_row", strict(F.col("first_row"), F.col("first_row").isNotNull(), "no row of data named"))
+    own = own.select("file", "first_row", "map_type", F.get("lines", F.col("first_row") - 1).alias("header"), F.slice("lines", F.col("first_row") + 1, F.size("lines")).alias("body"))
+    rows = own.select("file", "map_type", "header", F.posexplode("body").alias("point_index", "line")).filter(F.trim("line") != "")
     rows = rows.withColumn("h", F.transform(F.split("header", ","), lambda x: F.trim(x))).withColumn("c", F.split("line", ","))
     named = F.get(F.filter("h", lambda x: F.array_contains("h", F.concat(x, F.lit(" valid")))), F.lit(0))
     rows = rows.withColumn("value_column", F.coalesce(named, F.lit("P-P")))
@@ -250,24 +254,31 @@ def read_dxl_points(files: DataFrame) -> DataFrame:
     roving = F.array(*[number(f"roving {a}") for a in "xyz"])
     label = F.coalesce(text("Electrodes"), F.lit("rov"))
     electrodes = _entries((label, F.when(~F.exists(roving, lambda x: x.isNull()), roving)))
-    out = rows.select("file", (F.col("line_no") - F.col("first_row")).alias("point_index"), text("(Point #)").alias("source_id"), *[number(f"surface {a}").alias(a) for a in "xyz"], measured.alias("measurements"), electrodes.alias("electrodes"), annotations.alias("annotations"))
+    out = rows.select("file", "point_index", text("(Point #)").alias("source_id"), *[number(f"surface {a}").alias(a) for a in "xyz"], measured.alias("measurements"), electrodes.alias("electrodes"), annotations.alias("annotations"))
     return out.dropna(subset=["x", "y", "z"])
 
 
+def read_map_names(files: DataFrame) -> DataFrame:
+    """The operator's name of a point export's map (file, map_name): what follows the last tab of ``Map name:``, among the lines above the data; null without one."""
+    own = file_lines(files)
+    start = F.regexp_extract(first_of(F.slice("lines", 1, 80), lambda x: F.lower(x).startswith("data starts in row") & x.contains(",")), r"^[^,]*,\s*(\d+)\s*(?:,.*)?$", 1).try_cast("int")
+    line = first_of(before("lines", F.least(F.coalesce(start, F.size("lines")), F.lit(200))), lambda x: F.lower(x).startswith("map name:"))
+    return own.select("file", F.nullif(F.trim(F.element_at(F.split(F.trim(F.regexp_extract(line, r"^[^,]*,(.*)$", 1)), "\t"), -1)), F.lit("")).alias("map_name"))
+
+
 #: Column of an archive's point table, quantity.
 ARCHIVE_COLUMNS = {"pp": "voltage_bipolar", "unipoleMaxPP": "voltage_unipolar", "correctedLAT": "activation_time", "correlationCoefficient": "correlation", "snr": "snr"}
 
 
 def read_archive_points(files: DataFrame) -> DataFrame:
     """Points of an archive's point table: up to five measurements, a force that is not negative, and electrodes A, B and C."""
-    lines = lines_of(files)
-    header = F.transform(F.split(F.first("line").over(Window.partitionBy("file").orderBy("line_no")), ","), lambda x: F.trim(x))
-    rows = lines.withColumn("h", header).filter("line_no > 0 AND trim(line) <> ''").withColumn("c", F.split("line", ","))
+    own = file_lines(files).select("file", F.transform(F.split(F.get("lines", F.lit(0)), ","), lambda x: F.trim(x)).alias("h"), behind("lines", F.lit(0)).alias("body"))
+    rows = own.select("file", "h", F.posexplode("body").alias("point_index", "line")).filter("trim(line) <> ''").withColumn("c", F.split("line", ","))
     number = lambda name: finite(cell(F.col("c"), F.col("h"), name).try_cast("double"))
     measured = [(kind, _measured(number(c), kind, "")) for c, kind in ARCHIVE_COLUMNS.items()]
     measured.append(("contact_force", _measured(number("force"), "contact_force", "g", number("force") >= 0)))
     places = [(x, F.when(F.array_contains("h", f"locCh{x}_x"), F.array(*[number(f"locCh{x}_{a}") for a in "xyz"]))) for x in "ABC"]
-    return rows.select("file", (F.col("line_no") - 1).alias("point_index"), *[number(a).alias(a) for a in "xyz"], _entries(*measured).alias("measurements"), _entries(*places).alias("electrodes"))
+    return rows.select("file", "point_index", *[number(a).alias(a) for a in "xyz"], _entries(*measured).alias("measurements"), _entries(*places).alias("electrodes"))
 
 
 #: Stem of a signal file, role of its rows; stems that begin with wave_ecg are ecg.
@@ -275,38 +286,42 @@ WAVE_ROLES = {"wave_rov": "bipolar", "wave_uni_distal": "unipolar_1", "wave_uni_
 
 
 def read_dxl_waveforms(files: DataFrame) -> DataFrame:
-    """Samples of row-wise signal texts, one window a row: file, row_no, role, channel, point_id, freeze_group, start_time, sample_rate, sample_idx, t, value.
+    """Samples of row-wise signal texts, one window a row: file, row_no, role, channel, point_id, freeze_group, start_time, map_sample, sample_rate, sample_idx, t, value.
 
-    A declared number of samples of 0 means an empty file; a rate that is missing or not positive, sample columns that are not 0, 1, 2 and so on or not as many as
-    declared, and rows that end early are errors. Rows of references name no point.
+    A declared number of samples of 0 means an empty file. Errors: a rate that is missing or not positive, sample columns that are not 0, 1, 2 and so on or not as many as
+    declared, rows that end early, a start time or a sample that is no number (empty samples are missing). Rows of references name no point. map_sample is the
+    roving time in samples, if it lies within the row. Cells may be quoted.
     """
-    lines = lines_of(files).withColumn("c", F.transform(F.split("line", ","), lambda x: F.trim(x)))
-    whole = Window.partitionBy("file")
-    told = lambda key: F.max(F.when(F.lower(F.get("c", F.lit(0))) == key, F.get("c", F.lit(1)))).over(whole)
-    lines = lines.withColumn("rate", told("sample rate:").try_cast("double")).withColumn("declared", told("waveform samples exported:").try_cast("int"))
-    is_header = F.get("c", F.lit(0)) == "Trace"
-    lines = lines.withColumn("header_no", F.min(F.when(is_header, F.col("line_no"))).over(whole)).withColumn("header", F.min_by(F.when(is_header, F.col("c")), F.when(is_header, F.col("line_no"))).over(whole))
-    ended = F.min(F.when((F.get("c", F.lit(0)) == "EOF") & (F.col("line_no") > F.col("header_no")), F.col("line_no"))).over(whole)
-    lines = lines.withColumn("ended", ended).filter("declared IS NULL OR declared > 0")
-    first = F.array_position("header", "0").cast("int")
-    columns = F.slice("header", F.greatest(first, F.lit(1)), F.size("header"))
+    own = file_lines(files).select("file", F.transform("lines", comma_cells).alias("rows"))
+    key = lambda c: F.lower(F.get(c, F.lit(0)))
+    told = lambda name: F.get(F.element_at(F.filter("rows", lambda c: (key(c) == name) & (F.size(c) > 1)), -1), F.lit(1))
+    said = lambda name: F.when(F.exists("rows", lambda c: (key(c) == name) & (F.size(c) > 1)), told(name))
+    own = own.withColumns({"rate": said("sample rate:").try_cast("double"), "declared": said("waveform samples exported:").try_cast("int"), "at": first_index("rows", lambda c: F.get(c, F.lit(0)) == "Trace")})
+    own = own.filter("declared IS NULL OR declared > 0").withColumn("header", F.get("rows", F.col("at"))).withColumn("body", behind("rows", F.col("at")))
+    own = own.withColumn("first", F.array_position("header", "0").cast("int"))
+    columns = F.slice("header", F.greatest("first", F.lit(1)), F.size("header"))
     columns = F.when(F.element_at(columns, -1) == "", F.slice(columns, F.lit(1), F.size(columns) - 1)).otherwise(columns)
-    lines = lines.withColumn("first", first).withColumn("n", F.size(columns)).withColumn("counted", F.transform(F.sequence(F.lit(0), F.greatest(F.size(columns), F.lit(1)) - 1), lambda i: i.cast("string")) == columns)
-    wrong = (
-        F.when(F.coalesce(~(F.col("rate") > 0), F.lit(True)), "no valid sample rate")
-        .when(F.col("header_no").isNull() | (F.col("first") == 0) | ~F.col("counted"), "no sample columns from 0 on")
-        .when(F.coalesce(F.col("declared") != F.col("n"), F.lit(False)), "another number of samples than declared")
-    )
-    rows = lines.withColumn("wrong", wrong).filter("wrong IS NOT NULL OR (line_no > header_no AND (ended IS NULL OR line_no < ended) AND replace(line, ',', '') <> '')")
-    rows = rows.withColumn("wrong", F.coalesce("wrong", F.when(F.size("c") < F.col("first") - 1 + F.col("n"), "a signal row ends early")))
-    rows = rows.withColumn("c", F.when(F.col("wrong").isNotNull(), F.raise_error(F.concat("wrong", F.lit(": "), "file"))).otherwise(F.col("c")))
+    own = own.withColumn("columns", columns).withColumn("n", F.size("columns"))
+    counted = F.transform(F.sequence(F.lit(0), F.greatest("n", F.lit(1)) - 1), lambda i: i.cast("string")) == F.col("columns")
+    own = own.withColumn("body", strict(F.col("body"), (F.col("rate") > 0) & (F.col("rate") < float("inf")), "no valid sample rate"))
+    own = own.withColumn("body", strict(F.col("body"), F.col("at").isNotNull() & (F.col("first") > 0) & counted, "no sample columns from 0 on"))
+    own = own.withColumn("body", strict(F.col("body"), F.coalesce(F.col("declared") == F.col("n"), F.lit(True)), "another number of samples than declared"))
+    ended = F.coalesce(first_index("body", lambda c: F.get(c, F.lit(0)) == "EOF"), F.size("body"))
     stem = F.lower(F.regexp_replace(base_name("file"), r"\.[^.]*$", ""))
     role = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in WAVE_ROLES.items() for x in kv]), stem), F.when(stem.startswith("wave_ecg"), "ecg"), F.lit("unknown"))
+    own = own.select("file", role.alias("role"), "rate", "header", "first", "n", before("body", ended).alias("body"))
+    rows = own.select("file", "role", "rate", "header", "first", "n", F.posexplode("body").alias("row", "c")).filter(F.exists("c", lambda x: x != ""))
+    rows = rows.withColumn("c", strict(F.col("c"), F.size("c") >= F.col("first") - 1 + F.col("n"), "a signal row ends early"))
     text = lambda name: cell(F.col("c"), F.col("header"), name)
+    start = text("startTime (abs)").try_cast("double")
+    samples = F.slice("c", F.col("first"), F.col("n"))
+    right = start.isNotNull() & F.forall(samples, lambda x: (x == "") | x.try_cast("double").isNotNull())
+    tick = text("rovTime (wave samples)").try_cast("double")
     rows = rows.select(
-        "file", (F.col("line_no") - F.col("header_no")).alias("row_no"), role.alias("role"), text("Trace").alias("channel"), F.when(~role.startswith("reference"), text("(Point #)")).alias("point_id"),
-        text("Freeze Grp #").alias("freeze_group"), text("startTime (abs)").try_cast("double").alias("start_time"), F.col("rate").alias("sample_rate"), F.posexplode(F.slice("c", F.col("first"), F.col("n"))).alias("sample_idx", "s"),
+        "file", (F.col("row") + 1).alias("row_no"), "role", text("Trace").alias("channel"), F.when(~F.col("role").startswith("reference"), text("(Point #)")).alias("point_id"), text("Freeze Grp #").alias("freeze_group"),
+        start.alias("start_time"), F.when((tick >= 0) & (tick < F.col("n")), tick).alias("map_sample"), F.col("rate").alias("sample_rate"), strict(samples, right, "a start time or sample that is no number").alias("samples"),
     )
+    rows = rows.select(*[c for c in rows.columns if c != "samples"], F.posexplode("samples").alias("sample_idx", "s"))
     return rows.select("*", (F.col("sample_idx") / F.col("sample_rate")).alias("t"), F.col("s").try_cast("double").alias("value")).drop("s")
 
 

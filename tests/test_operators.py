@@ -137,6 +137,92 @@ def test_exact_rank_sum_law(spark):
         assert r["p"] == pytest.approx(0.5 * math.erfc(r["z"] / math.sqrt(2)), rel=1e-9, abs=1e-300)
 
 
+def test_readers_do_not_shuffle(spark):
+    from atriaflow.sources import exports
+
+    empty = files(spark, ("x", "y"))
+    plans = [*exports.read_mesh(empty), exports.read_mesh_flags(empty), exports.read_ecg_windows(empty), exports.read_dws(empty), exports.read_preamble(empty), exports.read_channel_map(empty), exports.read_placed_points(empty, ",", "k"), exports.read_marker_tables(empty)]
+    plans += [*studies.read_force(empty), studies.read_point_cloud(empty), studies.read_dxl_points(empty), studies.read_archive_points(empty), studies.read_dxl_waveforms(empty), studies.read_map_names(empty)]
+    for df in plans:
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def fails(df, message):
+    with pytest.raises(Exception, match=message):
+        df.collect()
+
+
+def test_meshes_by_sections(spark):
+    from atriaflow.sources import exports
+
+    text = "#TriangulatedMeshVersion2.0 \r\n[verticescolorssection]\n; a\n; B c\n0 = -10000 2\n1 = 3 4 5\n\n[VerticesSection]\n7 = 1 2 3 0 0 1\n[TrianglesSection]\n; x\n0 = 7 7 7 0 0 1 -1\n1 = 7 7 7 0 0 1 0"
+    v, t, c = exports.read_mesh(files(spark, ("m", text)))
+    assert [(r["vertex_id"], r["z"]) for r in v.collect()] == [(7, 3.0)] and [r["tri_id"] for r in t.collect()] == [1]
+    assert sorted((r["vertex_id"], r["column"], r["value"]) for r in c.collect() if r["value"]) == [(0, "c", 2.0), (1, "color_0", 3.0), (1, "color_1", 4.0), (1, "color_2", 5.0)]
+    assert exports.read_mesh_flags(files(spark, ("m", text))).count() == 0
+    fails(v.sparkSession.createDataFrame([("m", "#TriangulatedMeshVersion1.0\n")], "file string, value string").transform(lambda d: exports.read_mesh(d)[0]), "TriangulatedMeshVersion2.0")
+
+
+def test_windows_and_matrices(spark):
+    from atriaflow.sources import exports
+
+    head = "v\nRaw ECG to MV (gain) = 0.003\nM1(1) M2(2)\n"
+    assert [round(r["value"], 6) for r in exports.read_ecg_windows(files(spark, ("e", head + "1 2\n3 4\n5"))).orderBy("sample_idx", "channel").collect()] == [0.003, 0.006, 0.009, 0.012]
+    fails(exports.read_ecg_windows(files(spark, ("e", head + "1 2\n3\n5 6"))), "malformed row")
+    assert exports.read_ecg_windows(files(spark, ("e", head))).count() == 0
+    table = "Export: x: y\nCatheter[0]: no\nchannel,catheter name,electrode name,is visible\n0, CS,20A_1,1\n1,CS\nend,a,b\n2,CS,x,1\nt_dws,t_ref,c0,c0_ds\n0,1,5,6\n,,,\nEOF"
+    f = files(spark, ("d", table))
+    assert [tuple(r)[1:] for r in exports.read_channel_map(f).orderBy("channel").collect()] == [("0", "CS", "20A_1", True), ("1", "CS", None, None)]
+    assert [tuple(r)[1:] for r in exports.read_preamble(f).collect()] == [("Export", "x: y")]
+    assert [(r["sample_idx"], r["channel"], r["value"]) for r in exports.read_dws(f).collect()] == [(0, "c0", 5.0)]
+    fails(exports.read_dws(files(spark, ("d", "t: 1\nx,y"))), "no sample matrix")
+    kinds = spark.createDataFrame([(n,) for n in ("a/Contact_Force.csv", "Model_Point_Cloud_1.csv", "ECG_raw.csv", "Electrode_Locations.csv")], "file string").select(exports.dws_kind())
+    assert [r[0] for r in kinds.collect()] == ["timeseries", "point_cloud", "waveforms", "timeseries"]
+
+
+def test_marker_tables_by_file_name(spark):
+    from atriaflow.sources import exports
+
+    texts = (
+        ("s/AutoMark_Data.csv", "Export\n\nRF Episode,Lesion ID,NavX ABL-D X (mm),NavX ABL-D Y (mm),NavX ABL-D Z (mm),Max Power (W)\n1,L7,1,2,3,40,\n2,L8,,2,3,40\n3,L9,4,5,6,\n\nRF Episode,other\n9,9"),
+        ("s/Duo_AutoMarksSummaryList_VoXel.csv", "t_dws,a legend\nt_dws,t_secs,ID,AutoMark Location X,AutoMark Location Y,AutoMark Location Z,Average Force,Duration\n0,0,D1,1,1,bad,9,9\n0,0,D2,1,1,2,8,\nt_dws,t_secs,next\n1,2,3"),
+        ("s/Lesions.csv", 'Text,Type,Surface,x,y,z,R,G,B,Diameter,Annotation\n"a, b",dot,1,1,2,3,255,0.0,7,4,"said ""no"""\n,dot,1,4,5,6,1,2,,,'),
+        ("s/My_Labels.csv", "Text,Type,Surface,x,y,z\nHis,lm,1,1,2,3"), ("s/Other.csv", "Text,Type,Surface,x,y,z\nHis,lm,1,1,2,3"), ("s/Labels.csv", "Text;Type"),
+    )
+    got = {(r["type"], r["source_id"]): (r["x"], r["z"], r["label"], r["attributes"]) for r in exports.read_marker_tables(files(spark, *texts)).collect()}
+    assert got == {
+        ("ablation", "L7"): (1.0, 3.0, None, {"rf_episode": "1", "lesion_id": "L7", "power": "40"}), ("ablation", "L9"): (4.0, 6.0, None, {"rf_episode": "3", "lesion_id": "L9"}),
+        ("ablation_pfa", "D2"): (1.0, 2.0, None, {"avg_force": "8"}),
+        ("marker", "a, b"): (1.0, 3.0, "a, b", {"marker_type": "dot", "diameter": "4", "annotation": 'said "no"', "color": "255,0,7"}), ("marker", None): (4.0, 6.0, None, {"marker_type": "dot"}),
+        ("landmark", "His"): (1.0, 3.0, "His", {"marker_type": "lm"}),
+    }
+
+
+def test_strict_force_and_signal_texts(spark):
+    head = "x\nIntervalNonGraph\n0 1 2 3\nIndex\tTime\tForceValue\tAxialAngle\tLateralAngle\n"
+    windows, samples = studies.read_force(files(spark, ("f", head + "0 10 1 2 3\n1 30 4 5 6\n\n2 40 7 8 9")))
+    assert tuple(windows.first()) == ("dir/f", 1000 / 15, 1.0, 2.0, 3.0) and samples.count() == 9
+    assert studies.read_force(files(spark, ("f", head + "0 10 1 2 3\n1 10 4 5 6")))[0].first()["sample_rate"] is None
+    for text in (head + "0 10 1 2", head + "0 10 1 2 x", "no header", head, head.replace("Time", "Clock") + "0 10 1 2 3"):
+        fails(studies.read_force(files(spark, ("f", text)))[1], "malformed force rows|no force columns")
+    signal = 'Sample rate:,2\nTrace,startTime (abs),rovTime (wave samples),"(Point #)",0,1\n'
+    rows = studies.read_dxl_waveforms(files(spark, ("wave_rov.csv", signal + '"a, b",1.5,1,"p",3,\nc,2,2,q,4,5'))).orderBy("row_no", "sample_idx").collect()
+    assert [(r["channel"], r["point_id"], r["map_sample"], r["value"]) for r in rows] == [("a, b", "p", 1.0, 3.0), ("a, b", "p", 1.0, None), ("c", "q", None, 4.0), ("c", "q", None, 5.0)]
+    for row in ("a,,1,p,3,4", "a,x,1,p,3,4", "a,1,1,p,3,y"):
+        fails(studies.read_dxl_waveforms(files(spark, ("wave_rov.csv", signal + row))), "no number")
+
+
+def test_map_names_and_encodings(spark, tmp_path):
+    from atriaflow.sources import lines
+
+    texts = ["Data starts in row,3\nMap name:,VoXel\tREMAP - SR \nx", "Data starts in row,2\nx\nMap name:,late", "Map NAME:, plain", "Map name:,m\t", "nothing", "Data starts in row,x\nMap name:,a"]
+    got = {r["file"]: r["map_name"] for r in studies.read_map_names(files(spark, *[(str(i), t) for i, t in enumerate(texts)])).collect()}
+    assert got == {"dir/0": "REMAP - SR", "dir/1": None, "dir/2": "plain", "dir/3": None, "dir/4": None, "dir/5": "a"}
+    (tmp_path / "latin.txt").write_bytes("5 µV".encode("latin-1"))
+    (tmp_path / "utf.txt").write_bytes("5 µV".encode())
+    assert {r["value"] for r in lines.whole_files(spark, str(tmp_path)).collect()} == {"5 µV"}
+
+
 def test_names_are_found_by_seeds(spark):
     names = ["Customer#000000012", "Customer#000000123", "ab", "Customer", "aaaa", "xyzzy" * 9, ".*(", "ä–ß"]
     texts = ["Customer#000000012 and Customer#000000123", "about", "aaaaaa", "no", "", "q" + "xyzzy" * 10, "a.*(b", "–ä–ß–", None, "A"]
