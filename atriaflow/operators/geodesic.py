@@ -6,13 +6,16 @@ A map is the natural unit: Spark deals maps to tasks, and numpy helpers solve on
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from atriaflow.functions.columns import finite
 from atriaflow.operators.spatial import nn_join
+from atriaflow.shared import stored
 
 
 def _neighbours(a: np.ndarray, b: np.ndarray, length: np.ndarray, n: int):
@@ -56,28 +59,38 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return edges.groupBy("map_id").cogroup(sources.groupBy("map_id")).applyInPandas(_paths, "map_id long, vertex_id int, distance double, source int")
 
 
-def _labels(edges: pd.DataFrame, distances: pd.DataFrame) -> pd.DataFrame:
-    if edges.empty or distances.empty:
-        return pd.DataFrame(columns=["map_id", "vertex_id", "source"])
-    distances = distances.sort_values(["distance", "vertex_id"])
-    ids = np.sort(distances["vertex_id"].to_numpy())
-    at = np.searchsorted(ids, distances["vertex_id"].to_numpy())
-    bounds, to, w = _neighbours(np.searchsorted(ids, edges["a"]), np.searchsorted(ids, edges["b"]), edges["length"].to_numpy(), len(ids))
-    label = np.full(len(ids), -1)
-    for v, d, is_source in zip(at, distances["distance"], distances["is_source"]):
-        if is_source:
-            label[v] = ids[v]
-        elif np.isfinite(d):
-            near = [(w[k], int(to[k])) for k in range(bounds[v], bounds[v + 1]) if label[to[k]] >= 0]
-            if near:
-                label[v] = label[min(near)[1]]
-    return pd.DataFrame({"map_id": distances["map_id"].iloc[0], "vertex_id": ids, "source": label})
-
-
 def nearest_source(edges: DataFrame, distances: DataFrame, sources: DataFrame) -> DataFrame:
-    """M6: labels spread outward: in the order of distance each vertex takes the label of its closest labelled neighbour; -1 if none."""
-    marked = distances.join(sources.select("map_id", "vertex_id", F.lit(True).alias("is_source")), ["map_id", "vertex_id"], "left").withColumn("is_source", F.coalesce("is_source", F.lit(False)))
-    return edges.groupBy("map_id").cogroup(marked.groupBy("map_id")).applyInPandas(_labels, "map_id long, vertex_id int, source int")
+    """M6: labels spread outward: in the order of distance (then id) each vertex takes the label of that labelled neighbour which lies nearest to the
+    sources; -1 if it has none. Sources are labelled from the start.
+
+    edges(map_id, a, b), distances(map_id, vertex_id, distance), sources(map_id, vertex_id). Every vertex points to the neighbour that it takes its label from, as joins;
+    vertices without any leave, and those that pointed to them choose again, until all that are left point on; then pointers jump to their sources, in as many rounds as
+    the longest way has binary digits.
+    """
+    far = F.lit(float("inf"))
+    at = F.when(F.isnan("distance"), far).otherwise(F.coalesce("distance", far))
+    own = distances.groupBy("map_id", "vertex_id").agg(F.min(at).alias("d")).join(sources.select("map_id", "vertex_id", F.lit(True).alias("source")).distinct(), ["map_id", "vertex_id"], "left")
+    own = stored(own.withColumn("source", F.coalesce("source", F.lit(False))), "labels")
+    ways = edges.select("map_id", F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("map_id", "e.*")
+    v = own.filter("NOT source").select("map_id", F.col("vertex_id").alias("v"), F.col("d").alias("vd"))
+    w = own.filter(F.col("d") < far).select("map_id", F.col("vertex_id").alias("w"), F.col("d").alias("wd"), F.col("source").alias("ws"))
+    near = ways.join(v, ["map_id", "v"]).join(w, ["map_id", "w"])
+    near = stored(near.filter(F.col("ws") | (F.struct("wd", "w") < F.struct("vd", "v"))).select("map_id", "v", "w", "wd", "ws"), "near")
+    while True:
+        has = near.select("map_id", F.col("v").alias("w")).distinct().withColumn("has", F.lit(True))
+        kept = near.join(has, ["map_id", "w"], "left").withColumn("stays", F.col("ws") | F.col("has").isNotNull()).drop("has")
+        kept = stored(kept, "near")
+        if kept.filter("NOT stays").isEmpty():
+            break
+        near = kept.filter("stays").drop("stays")
+    roots = own.filter("source").select("map_id", F.col("vertex_id").alias("v"), F.col("vertex_id").alias("to"), F.lit(True).alias("done"))
+    best = F.min(F.struct("wd", "w", "ws"))
+    now = stored(near.groupBy("map_id", "v").agg(best.alias("p")).select("map_id", "v", F.col("p.w").alias("to"), F.col("p.ws").alias("done")).unionByName(roots), "pointers")
+    while not now.filter("NOT done").isEmpty():
+        on = now.select("map_id", F.col("v").alias("to"), F.col("to").alias("next"), F.col("done").alias("then"))
+        now = stored(now.join(on, ["map_id", "to"]).select("map_id", "v", F.when(F.col("done"), F.col("to")).otherwise(F.col("next")).alias("to"), (F.col("done") | F.col("then")).alias("done")), "pointers")
+    labels = now.select("map_id", F.col("v").alias("vertex_id"), F.col("to").alias("label"))
+    return own.select("map_id", "vertex_id").join(labels, ["map_id", "vertex_id"], "left").select("map_id", "vertex_id", F.coalesce("label", F.lit(-1)).cast("int").alias("source"))
 
 
 def geodesic_delta(edges: DataFrame, a: DataFrame, b: DataFrame, max_distance: float | None = None) -> DataFrame:
@@ -169,37 +182,50 @@ def heat_geodesic(vertices: DataFrame, triangles: DataFrame, sources: DataFrame,
     return marked.groupBy("map_id").cogroup(triangles.groupBy("map_id")).applyInPandas(lambda v, t: _heat(v, t, m), "map_id long, vertex_id int, distance double")
 
 
-def _diffuse(v: pd.DataFrame, t: pd.DataFrame, sigma: float, cycle: float | None) -> pd.DataFrame:
+def _diffuse(v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
     v = v.sort_values("vertex_id")
-    if t.empty or v["value"].notna().sum() == 0:
+    if t.empty or not (v["density"] > 0).any():
         return pd.DataFrame({"map_id": v["map_id"], "vertex_id": v["vertex_id"], "value": np.nan})
     ids, s = _arrays(v, t)
-    known, value = v["value"].notna().to_numpy(), v["value"].fillna(0.0).to_numpy(float)
     edge = np.linalg.norm(s.xyz[s.tri[:, 1]] - s.xyz[s.tri[:, 0]], axis=1).mean()
-    step = max(sigma * sigma / 2, edge * edge)
-    spread = lambda x: s.solve(1.0, step, np.where(known, x, 0.0))
-    density = spread(np.ones(len(ids)))
+    step = max(v["sigma"].max() ** 2 / 2, edge * edge)
+    spread = {c: s.solve(1.0, step, v[c].to_numpy(float)) for c in ("density", "total", "total_cos", "total_sin")}
+    cycle, lo = v["cycle"].max(), v["lo"].min()
     with np.errstate(all="ignore"):
-        lo = value[known].min()
-        if cycle is not None and cycle >= 0 and (cycle or np.ptp(value[known])) > 0:
-            cycle = cycle or float(np.ptp(value[known]))
-            angle = (value - lo) / cycle * 2 * np.pi
-            out = lo + (np.arctan2(spread(np.sin(angle)), spread(np.cos(angle))) / (2 * np.pi) % 1.0) * cycle
+        if cycle > 0:
+            out = lo + (np.arctan2(spread["total_sin"], spread["total_cos"]) / (2 * np.pi) % 1.0) * cycle
         else:
-            out = spread(value) / density
-    out = np.where(density > 1e-6 * density.max(), out, np.nan)
+            out = spread["total"] / spread["density"]
+    out = np.where(spread["density"] > 1e-6 * spread["density"].max(), out, np.nan)
     return pd.DataFrame({"map_id": v["map_id"].iloc[0], "vertex_id": ids, "value": out})
 
 
-def heat_interpolate(vertices: DataFrame, triangles: DataFrame, field: DataFrame, sigma: float, distance_threshold: float | None = None, cycle_length: float | None = None) -> DataFrame:
-    """M9: values spread along the surface: diffuse values and their density, divide; where hardly any density comes, or beyond the
-    threshold along the surface, null. field(map_id, vertex_id, value); several values of a vertex are averaged."""
-    means = field.groupBy("map_id", "vertex_id").agg(F.avg("value").alias("value"))
-    placed = vertices.select("map_id", "vertex_id", "x", "y", "z").join(means, ["map_id", "vertex_id"], "left")
-    out = placed.groupBy("map_id").cogroup(triangles.groupBy("map_id")).applyInPandas(lambda v, t: _diffuse(v, t, sigma, cycle_length), "map_id long, vertex_id int, value double")
+def heat_interpolate(vertices: DataFrame, triangles: DataFrame, field: DataFrame, sigma: float | None = None, distance_threshold: float | None = None, cycle_length: float | None = None) -> DataFrame:
+    """M9: values spread along the surface: diffuse the measurements and their number, divide; where hardly any of it comes, or beyond the
+    threshold along the surface, null.
+
+    field(map_id, vertex_id, value): one row per measurement; each counts, those of one vertex too; values that are not finite do not. Without sigma it is the median distance
+    between nearest measured vertices (A7). With a cycle length values are averaged on the circle, and lie from the least measurement on; 0 takes the range of
+    the measurements for it, and none is left where that is 0.
+    """
+    rows = field.select("map_id", "vertex_id", finite(F.col("value").cast("double")).alias("value")).filter("value IS NOT NULL")
+    cycle = F.lit(None).cast("double") if cycle_length is None else F.max("value") - F.min("value") if cycle_length == 0 else F.lit(float(cycle_length))
+    maps = rows.groupBy("map_id").agg(F.min("value").alias("lo"), F.when(cycle > 0, cycle).otherwise(0.0).alias("cycle"))
+    if sigma:
+        maps = maps.withColumn("sigma", F.lit(float(sigma)))
+    else:
+        at = rows.join(vertices.select("map_id", "vertex_id", "x", "y", "z"), ["map_id", "vertex_id"]).groupBy("map_id", "vertex_id", "x", "y", "z").agg(F.count("*").alias("n"))
+        # a vertex measured twice has another measurement at distance 0, which does not count
+        near = nn_join(at.filter("n = 1"), at, ["map_id"], k=2).filter("near_id <> vertex_id AND distance > 0").groupBy("map_id", "vertex_id").agg(F.min("distance").alias("near"))
+        maps = maps.join(near.groupBy("map_id").agg(F.median("near").alias("sigma")), "map_id", "left").withColumn("sigma", F.coalesce("sigma", F.lit(1.0)))
+    angle = (F.col("value") - F.col("lo")) / F.when(F.col("cycle") > 0, F.col("cycle")) * (2 * math.pi)
+    sums = [F.count("*").cast("double").alias("density"), F.sum("value").alias("total"), F.sum(F.coalesce(F.cos(angle), F.lit(0.0))).alias("total_cos"), F.sum(F.coalesce(F.sin(angle), F.lit(0.0))).alias("total_sin")]
+    held = rows.join(maps, "map_id").groupBy("map_id", "vertex_id").agg(*sums)
+    placed = vertices.select("map_id", "vertex_id", "x", "y", "z").join(held, ["map_id", "vertex_id"], "left").join(maps, "map_id", "left").fillna(0.0, ["density", "total", "total_cos", "total_sin", "cycle", "lo", "sigma"])
+    out = placed.groupBy("map_id").cogroup(triangles.groupBy("map_id")).applyInPandas(_diffuse, "map_id long, vertex_id int, value double")
     out = out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     if distance_threshold is not None:
-        near = heat_geodesic(vertices, triangles, means)
+        near = heat_geodesic(vertices, triangles, rows.select("map_id", "vertex_id").distinct())
         out = out.join(near, ["map_id", "vertex_id"]).withColumn("value", F.when(F.col("distance") <= distance_threshold, F.col("value"))).drop("distance")
     return out
 

@@ -330,10 +330,14 @@ def m4(spark, d):
     return rounded(geodesic.shortest_paths(edges, _sources(spark, d))).select("map_id", "vertex_id", "distance")
 
 
-@query("m6_nearest_source")
+@query("m6_nearest_source", _paths_sql("vertex_id IN (0, 445)", """, dq AS (SELECT map_id, vertex_id, round(distance, 6) AS dist, vertex_id IN (0, 445) AS source FROM d),
+up AS (SELECT a.map_id, a.vertex_id, arg_min(b.vertex_id, (b.dist, b.vertex_id)) AS parent FROM dq a JOIN w ON w.map_id = a.map_id AND w.a = a.vertex_id JOIN dq b ON b.map_id = w.map_id AND b.vertex_id = w.b
+  WHERE NOT a.source AND (b.source OR (b.dist, b.vertex_id) < (a.dist, a.vertex_id)) GROUP BY ALL),
+lab AS (SELECT map_id, vertex_id, vertex_id AS source FROM dq WHERE source UNION ALL SELECT up.map_id, up.vertex_id, lab.source FROM lab JOIN up ON up.map_id = lab.map_id AND up.parent = lab.vertex_id)
+SELECT map_id, vertex_id, source FROM lab"""))
 def m6(spark, d):
     edges = mesh.mesh_edges(st.grid_triangles(spark, d), st.grid_vertices(spark, d))
-    return geodesic.nearest_source(edges, geodesic.shortest_paths(edges, _sources(spark, d)).select("map_id", "vertex_id", "distance"), _sources(spark, d))
+    return geodesic.nearest_source(edges, rounded(geodesic.shortest_paths(edges, _sources(spark, d)).select("map_id", "vertex_id", "distance")), _sources(spark, d))
 
 
 @query("m7_heat_geodesic")
@@ -345,7 +349,8 @@ def m7(spark, d):
 def m9(spark, d):
     v = st.grid_vertices(spark, d)
     field = v.filter("vertex_id % 11 = 3").select("map_id", "vertex_id", "value")
-    return rounded(geodesic.heat_interpolate(v, st.grid_triangles(spark, d), field, 2.0), 4)
+    field = field.unionByName(field.filter("vertex_id % 2 = 0").withColumn("value", F.col("value") + 5))
+    return rounded(geodesic.heat_interpolate(v, st.grid_triangles(spark, d), field), 4)
 
 
 @query("m10_conduction_directions")

@@ -303,14 +303,17 @@ def read_dxl_waveforms(files: DataFrame) -> DataFrame:
     columns = F.when(F.element_at(columns, -1) == "", F.slice(columns, F.lit(1), F.size(columns) - 1)).otherwise(columns)
     own = own.withColumn("columns", columns).withColumn("n", F.size("columns"))
     counted = F.transform(F.sequence(F.lit(0), F.greatest("n", F.lit(1)) - 1), lambda i: i.cast("string")) == F.col("columns")
-    own = own.withColumn("body", strict(F.col("body"), (F.col("rate") > 0) & (F.col("rate") < float("inf")), "no valid sample rate"))
-    own = own.withColumn("body", strict(F.col("body"), F.col("at").isNotNull() & (F.col("first") > 0) & counted, "no sample columns from 0 on"))
-    own = own.withColumn("body", strict(F.col("body"), F.coalesce(F.col("declared") == F.col("n"), F.lit(True)), "another number of samples than declared"))
+    # files that declare no samples are no errors, whichever of the conditions Spark looks at first
+    none = F.coalesce(F.col("declared") <= 0, F.lit(False))
+    own = own.withColumn("body", strict(F.col("body"), none | F.coalesce((F.col("rate") > 0) & (F.col("rate") < float("inf")), F.lit(False)), "no valid sample rate"))
+    own = own.withColumn("body", strict(F.col("body"), none | F.coalesce(F.col("at").isNotNull() & (F.col("first") > 0) & counted, F.lit(False)), "no sample columns from 0 on"))
+    own = own.withColumn("body", strict(F.col("body"), none | F.coalesce(F.col("declared") == F.col("n"), F.lit(True)), "another number of samples than declared"))
     ended = F.coalesce(first_index("body", lambda c: F.get(c, F.lit(0)) == "EOF"), F.size("body"))
     stem = F.lower(F.regexp_replace(base_name("file"), r"\.[^.]*$", ""))
     role = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in WAVE_ROLES.items() for x in kv]), stem), F.when(stem.startswith("wave_ecg"), "ecg"), F.lit("unknown"))
     own = own.select("file", role.alias("role"), "rate", "header", "first", "n", before("body", ended).alias("body"))
-    rows = own.select("file", "role", "rate", "header", "first", "n", F.posexplode("body").alias("row", "c")).filter(F.exists("c", lambda x: x != ""))
+    # outer, so that no filter on the array is pushed down and makes all that leads to it once more
+    rows = own.select("file", "role", "rate", "header", "first", "n", F.posexplode_outer("body").alias("row", "c")).filter(F.exists("c", lambda x: x != ""))
     rows = rows.withColumn("c", strict(F.col("c"), F.size("c") >= F.col("first") - 1 + F.col("n"), "a signal row ends early"))
     text = lambda name: cell(F.col("c"), F.col("header"), name)
     start = text("startTime (abs)").try_cast("double")
@@ -321,7 +324,7 @@ def read_dxl_waveforms(files: DataFrame) -> DataFrame:
         "file", (F.col("row") + 1).alias("row_no"), "role", text("Trace").alias("channel"), F.when(~F.col("role").startswith("reference"), text("(Point #)")).alias("point_id"), text("Freeze Grp #").alias("freeze_group"),
         start.alias("start_time"), F.when((tick >= 0) & (tick < F.col("n")), tick).alias("map_sample"), F.col("rate").alias("sample_rate"), strict(samples, right, "a start time or sample that is no number").alias("samples"),
     )
-    rows = rows.select(*[c for c in rows.columns if c != "samples"], F.posexplode("samples").alias("sample_idx", "s"))
+    rows = rows.select(*[c for c in rows.columns if c != "samples"], F.posexplode_outer("samples").alias("sample_idx", "s"))
     return rows.select("*", (F.col("sample_idx") / F.col("sample_rate")).alias("t"), F.col("s").try_cast("double").alias("value")).drop("s")
 
 

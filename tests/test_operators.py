@@ -137,6 +137,80 @@ def test_exact_rank_sum_law(spark):
         assert r["p"] == pytest.approx(0.5 * math.erfc(r["z"] / math.sqrt(2)), rel=1e-9, abs=1e-300)
 
 
+def uneven(spark, n=7):
+    """A bent square mesh with edges of many lengths: vertices, triangles as arrays and as tables."""
+    rng = np.random.default_rng(8)
+    xyz = np.array([(i % n, i // n, 0) for i in range(n * n)], float) + rng.uniform(-0.4, 0.4, (n * n, 3))
+    tri = np.array([t for r in range(n - 1) for c in range(n - 1) for a in (r * n + c,) for t in ((a, a + 1, a + n), (a + 1, a + n + 1, a + n))])
+    v = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(xyz)], "map_id long, vertex_id int, x double, y double, z double")
+    t = spark.createDataFrame([(1, i, *map(int, x)) for i, x in enumerate(tri)], "map_id long, tri_id int, v0 int, v1 int, v2 int")
+    return xyz, tri, v, t
+
+
+def test_labels_follow_the_neighbour_nearest_to_the_sources(spark):
+    xyz, tri, v, t = uneven(spark)
+    n = len(xyz)
+    near = [set() for _ in range(n + 1)]
+    for a, b in [e for x in tri for e in ((x[0], x[1]), (x[1], x[2]), (x[2], x[0]))]:
+        near[a].add(b)
+        near[b].add(a)
+    rng = np.random.default_rng(9)
+    # distances that fit no path: with local minima that are no sources, ties and a vertex that is out of reach
+    d = np.round(rng.uniform(1, 5, n), 1)
+    d[[3, 40]] = 0.0
+    d[17], d[25] = np.inf, 2.0
+    label = {3: 3, 40: 40}
+    for i in sorted(range(n), key=lambda i: (d[i], i)):
+        if i not in label:
+            best = min(((d[w], w) for w in near[i] if w in label and d[w] < np.inf), default=None)
+            if best:
+                label[i] = label[best[1]]
+    distances = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(d)] + [(1, n, 0.5)], "map_id long, vertex_id int, distance double")
+    edges = mesh.mesh_edges(t, v)
+    sources = spark.createDataFrame([(1, 3), (1, 40)], "map_id long, vertex_id int")
+    got = {r["vertex_id"]: r["source"] for r in geodesic.nearest_source(edges, distances, sources).collect()}
+    assert got == {i: label.get(i, -1) for i in range(n + 1)}
+
+
+@pytest.mark.parametrize("cycle", [None, 0.0, 30.0, -1.0])
+def test_heat_interpolation_counts_every_measurement(spark, cycle):
+    xyz, tri, v, t = uneven(spark)
+    n = len(xyz)
+    rows = [(1, 8, 10.0), (1, 8, 12.0), (1, 8, 17.0), (1, 30, 2.0), (1, 44, 31.0), (1, 44, float("nan")), (1, 12, None)]
+    field = spark.createDataFrame(rows, "map_id long, vertex_id int, value double")
+    # cotangent weights and lumped areas, solved densely
+    stiff, mass = np.zeros((n, n)), np.zeros(n)
+    for x in tri:
+        area = np.linalg.norm(np.cross(xyz[x[1]] - xyz[x[0]], xyz[x[2]] - xyz[x[0]])) / 2
+        for k in range(3):
+            o, a, b = x[k], x[(k + 1) % 3], x[(k + 2) % 3]
+            mass[o] += area / 3
+            e, f = xyz[a] - xyz[o], xyz[b] - xyz[o]
+            w = e @ f / np.linalg.norm(np.cross(e, f)) / 2
+            stiff[a, b] -= w
+            stiff[b, a] -= w
+            stiff[a, a] += w
+            stiff[b, b] += w
+    measured = [(i, x) for _, i, x in rows if x is not None and not math.isnan(x)]
+    # vertices measured once: the distances to their nearest measured neighbours
+    places = sorted({i for i, _ in measured})
+    single = [i for i in places if sum(j == i for j, _ in measured) == 1]
+    sigma = np.median([min(np.linalg.norm(xyz[i] - xyz[j]) for j in places if j != i) for i in single])
+    edge = np.mean([np.linalg.norm(xyz[x[0]] - xyz[x[1]]) for x in tri])
+    solve = lambda r: np.linalg.solve(np.diag(mass) + max(sigma**2 / 2, edge**2) * stiff, r)
+    put = lambda f: np.bincount([i for i, _ in measured], [f(x) for _, x in measured], n)
+    lo, length = 2.0, {None: None, 0.0: 29.0, 30.0: 30.0, -1.0: None}[cycle]
+    weight = solve(put(lambda x: 1.0))
+    if length:
+        turn = np.arctan2(solve(put(lambda x: math.sin(2 * math.pi * x / length))), solve(put(lambda x: math.cos(2 * math.pi * x / length)))) / (2 * math.pi) * length
+        want = lo + (turn - lo) % length
+    else:
+        want = solve(put(lambda x: x)) / weight
+    got = {r["vertex_id"]: r["value"] for r in geodesic.heat_interpolate(v, t, field, cycle_length=cycle).collect()}
+    for i in range(n):
+        assert got[i] == (pytest.approx(want[i], abs=1e-5) if weight[i] > 1e-6 * weight.max() else None)
+
+
 def test_readers_do_not_shuffle(spark):
     from atriaflow.sources import exports
 
