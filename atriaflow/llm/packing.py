@@ -8,9 +8,9 @@ differ from the exact share by less than one token, and every window is full. So
 follow from its position in its queue: no task needs another's state, deficits carry over windows and partitions alike, and
 only the very last sequence of the corpus is short.
 
-A quantum must be at least one token for the closed form to be monotone; sources whose share of a window is below one token
-share queue 0. What this queue is served is dealt to its sources by the same closed form, over windows GROWTH times as large; sources
-below one token there share the queue 0 of the next level, until none is left. The totals of the sources are on the driver.
+A queue must be served at least one token a window for the closed form to be monotone, and `quantum` tokens so that documents are not cut into crumbs; sources whose
+share of a window is less share queue 0. What this queue is served is dealt to its sources by the same closed form, over windows GROWTH times as large; sources
+below the quantum there share the queue 0 of the next level, until none is left. The totals of the sources are on the driver.
 
 A mixture may be asked for by `proportions`; without, it is each source's share of all tokens. Where a source runs dry before the
 others, a phase ends there and the rest go on in their proportions to one another: within a phase the shares are those of its
@@ -40,6 +40,8 @@ from .common import documents, stored
 WINDOW = 2048
 #: How many times as large the windows of a level are as those of the one above.
 GROWTH = 2
+#: Tokens that op10 and the pipeline serve at once at least.
+QUANTUM = 256
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a Python worker remembers with their ids, over all its tasks.
@@ -183,18 +185,18 @@ class Schedule:
 class Plan:
     """Schedules by level for the tokens of each source: queue 0 of a level is what the next level deals out."""
 
-    def __init__(self, sizes: list[int], window: int):
+    def __init__(self, sizes: list[int], window: int, quantum: int = 1):
         self.levels: list[Schedule] = []
         #: level and queue there, by source
         self.places: list[tuple[int, int]] = [(0, 0)] * len(sizes)
         left, size = [i for i, n in enumerate(sizes) if n], window
         while left:
             total = sum(sizes[i] for i in left)
-            large = [i for i in left if sizes[i] * size >= total]
+            large = sorted((i for i in left if sizes[i] * size >= quantum * total), key=lambda i: (-sizes[i], i))
             rest = total - sum(sizes[i] for i in large)
-            if 0 < rest and rest * size < total:  # the rest alone is owed less than a token a window
-                large.remove(least := min(large, key=lambda i: sizes[i]))
-                rest += sizes[least]
+            while large and 0 < rest and rest * size < quantum * total:  # the rest alone is owed less than that
+                rest += sizes[large.pop()]
+            large.sort()
             for k, i in enumerate(large, 1):
                 self.places[i] = len(self.levels), k
             self.levels.append(Schedule([rest, *(sizes[i] for i in large)], size))
@@ -216,7 +218,7 @@ class Plan:
 class Mixture:
     """Plans by phase: in each, the sources that have tokens left are served in their proportions until one runs dry."""
 
-    def __init__(self, sizes: list[int], window: int, proportions: list[float] | None = None):
+    def __init__(self, sizes: list[int], window: int, proportions: list[float] | None = None, quantum: int = 1):
         self.window = window
         #: for each phase: tokens before it, tokens of each source before it, plan
         self.phases: list[tuple[int, list[int], Plan]] = []
@@ -233,7 +235,7 @@ class Mixture:
                     part[i] = left[i] if i == first else min(left[i], int(rounds * shares[i]))
             else:
                 part = list(left)
-            self.phases.append((total, list(served), Plan(part, window)))
+            self.phases.append((total, list(served), Plan(part, window, quantum)))
             total += sum(part)
             served = [a + b for a, b in zip(served, part)]
             left = [a - b for a, b in zip(left, part)]
@@ -259,15 +261,17 @@ class Mixture:
                 return
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, proportions: dict[str | None, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, proportions: dict[str | None, float] | None = None, quantum: int = 1) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, queue.
 
     proportions: weights of the sources in every window, as long as each has tokens; those not named come after all others.
+    quantum: the least number of tokens that a queue is served at once. A source that is owed less of a window is served that much, or up to twice as much, every so many windows:
+    fewer pieces a document, and proportions that hold over these windows.
     """
     tokens = tokenized(docs, vocabulary or vocabulary_path())
     sums = stored(tokens.groupBy("task", "source").agg(F.sum("n_tokens").alias("tokens")), "task_sums")
     totals = sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy(F.col("source").isNull(), "source").collect()
-    plan = Mixture([r["tokens"] for r in totals], window, proportions and [proportions.get(r["source"], 0) for r in totals])
+    plan = Mixture([r["tokens"] for r in totals], window, proportions and [proportions.get(r["source"], 0) for r in totals], quantum)
     named = docs.sparkSession.createDataFrame([(r["source"], i) for i, r in enumerate(totals)], "source string, queue int")
     keyed = sums.withColumnRenamed("source", "s").join(F.broadcast(named), F.col("s").eqNullSafe(F.col("source"))).drop("s")
     base = keyed.withColumn("base", F.coalesce(F.sum("tokens").over(Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -292,6 +296,6 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, p
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return pack(documents(spark, sf_dir).select("doc_id", "text", "source"), quantum=QUANTUM)
 
 

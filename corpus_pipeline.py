@@ -28,7 +28,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, quantum=packing.QUANTUM)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("mix", mixed), ("pack", packed)]

@@ -247,3 +247,42 @@ def test_oracles_run(name):
     except duckdb.IOException:
         pytest.skip("the given tables are not there")
     assert con.sql(queries.oracle_sql()[name]).fetchall()
+
+
+# ---- packing with a quantum, sparse scoring -------------------------------------------------------------
+
+
+@pytest.mark.parametrize("sizes", [[3000] * 2048, [30_000] * 100, [900_000, *[2000] * 300, 5], [400] * 7, [100_000, 90]])
+def test_a_quantum_keeps_documents_together(sizes):
+    from atriaflow.llm import packing
+
+    quantum, total = packing.QUANTUM, sum(sizes)
+    plan = packing.Plan(sizes, 2048, quantum)
+    taken, pieces, documents = np.zeros(total, dtype=np.int64), 0, 0
+    for i, n in enumerate(sizes):
+        for start in range(0, n, 300):
+            length, documents = min(300, n - start), documents + 1
+            for w, offset, take in plan.pieces(i, start, length):
+                assert offset + take <= 2048
+                taken[w * 2048 + offset : w * 2048 + offset + take] += 1
+                pieces += 1
+    assert (taken == 1).all()  # every window but the last is full
+    assert pieces <= 2.6 * documents
+    # over a round of its level, a source has its share to within a quantum or two
+    for i in (0, len(sizes) - 1):
+        level, k = plan.places[i]
+        if level == 0 and sizes[i] * 2048 >= quantum * total:
+            served = [plan.levels[0]._exact(k, w + 1) - plan.levels[0]._exact(k, w) for w in range(total // 2048)]
+            assert all(abs(x - sizes[i] * 2048 / total) < 1 for x in served)
+
+
+def test_sparse_scores_equal_the_product():
+    from atriaflow.llm import langid
+
+    rng = np.random.default_rng(11)
+    texts = ["", "a", "ÄÖ ß", "x" * 5, *("".join(rng.choice(list("abc é日"), int(rng.integers(0, 400)))) for _ in range(40))]
+    for n in (1, 3, 40):
+        logp = np.log(rng.dirichlet(np.ones(256), n)).astype(np.float32)
+        got, grams = langid.Model([str(i) for i in range(n)], logp).log_likelihoods(texts)
+        counts = langid.count_ngrams(texts, 256)
+        assert np.allclose(got, counts @ logp.T.astype(float)) and (grams == counts.sum(axis=1)).all()
