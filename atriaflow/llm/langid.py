@@ -3,8 +3,8 @@
 Training counts n-grams (n of NGRAMS, hashed) of about TRAIN_DOCS documents per language, drawn by a hash of id and text, so
 that the model is bounded at every corpus size. The counts are partial sums per task, added up by Spark; the smoothed
 log-probability matrix (buckets x languages) is the broadcast. It has at most MATRIX_CELLS cells: every language is
-learned, and with very many of them there are fewer buckets for each. Scoring counts the hashed n-grams of a run of whole texts
-(numpy) and multiplies the counts with the matrix.
+learned, and with very many of them there are fewer buckets for each. Scoring is sparse: the hashed n-grams of a run of whole texts name rows of the
+matrix, which are gathered and added up by text (numpy).
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; an empty training set makes every text ``und``;
 the n-grams of very long texts are counted piece by piece; ties go to the language first in code-point order; repeated rows get equal
@@ -13,9 +13,9 @@ results; an empty table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +28,8 @@ TRAIN_DOCS = 2000
 MATRIX_CELLS = 1 << 24
 #: Code points that the numpy steps take at once, and texts whose counts they hold.
 STEP_CHARS, STEP_TEXTS = 1 << 17, 32
+#: Cells of the matrix that are gathered at once; up to FEW_LANGS languages are added up one by one (the same sums, sooner).
+GATHERED, FEW_LANGS = 1 << 22, 16
 #: Evidence of neighbouring n-grams overlaps; a document's log-likelihoods are divided by the root of its n-grams times this.
 TEMPER = 0.25
 UND = "und"
@@ -62,19 +64,24 @@ def _runs(texts: list[str]):
         yield first, run
 
 
-def count_ngrams(texts: list[str], buckets: int) -> np.ndarray:
-    """Hashed n-gram counts (texts x buckets)."""
+def _grams(texts: list[str], buckets: int):
+    """Hashed n-grams of texts, some at a time: their rows (ascending) and buckets."""
     codes, bounds = _codes(texts)
-    out = np.zeros(len(texts) * buckets, dtype=np.int64)
+    row = np.repeat(np.arange(len(texts)), np.diff(bounds))
     for lo in range(0, len(codes), STEP_CHARS):
-        keys = []
         for n in NGRAMS:
             h = _hashed(codes[lo : lo + STEP_CHARS + n - 1], n, buckets)
-            at = lo + np.arange(len(h))
-            row = np.searchsorted(bounds, at, side="right") - 1
-            inside = at + n <= bounds[row + 1]
-            keys.append((row * buckets + h)[inside])
-        out += np.bincount(np.concatenate(keys), minlength=len(out))
+            own = row[lo : lo + len(h)]
+            inside = own == row[lo + n - 1 : lo + n - 1 + len(h)]
+            if inside.any():
+                yield own[inside], h[inside]
+
+
+def count_ngrams(texts: list[str], buckets: int) -> np.ndarray:
+    """Hashed n-gram counts (texts x buckets)."""
+    out = np.zeros(len(texts) * buckets, dtype=np.int64)
+    for rows, h in _grams(texts, buckets):
+        out += np.bincount(rows * buckets + h, minlength=len(out))
     return out.reshape(len(texts), buckets)
 
 
@@ -94,15 +101,27 @@ def _counter(buckets: int):
 
 
 class Model:
-    """Languages and their log-probabilities (languages x buckets)."""
+    """Languages and their log-probabilities (buckets x languages, so that an n-gram's are side by side)."""
 
     def __init__(self, langs: list[str], logp: np.ndarray):
-        self.langs, self.logp = langs, np.ascontiguousarray(logp, dtype=np.float32)
+        self.langs, self.logp = langs, np.ascontiguousarray(logp.T, dtype=np.float32)
 
     def log_likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood of each text under each language, and its number of n-grams."""
-        counts = count_ngrams(texts, self.logp.shape[1])
-        return counts.astype(np.float64) @ self.logp.T.astype(np.float64), counts.sum(axis=1)
+        """Log-likelihood of each text under each language, and its number of n-grams: the rows of the matrix that its n-grams name, added up."""
+        total, n_grams = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=np.int64)
+        few = len(self.langs) <= FEW_LANGS
+        for rows, h in _grams(texts, len(self.logp)):
+            n_grams += np.bincount(rows, minlength=len(texts))
+            step = len(h) if few else max(1, GATHERED // len(self.langs))
+            for lo in range(0, len(h), step):
+                r, own = rows[lo : lo + step], self.logp[h[lo : lo + step]]
+                if few:
+                    for k in range(len(self.langs)):
+                        total[:, k] += np.bincount(r, weights=own[:, k], minlength=len(texts))
+                else:
+                    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+                    total[r[starts]] += np.add.reduceat(own, starts, axis=0, dtype=np.float64)
+        return total, n_grams
 
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         names, scores = [UND] * len(texts), [0.0] * len(texts)
@@ -136,8 +155,8 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     table = np.zeros((len(langs), buckets))
     rows = counted.toArrow()  # at most MATRIX_CELLS rows
     if rows.num_rows:
-        at = {lang: k for k, lang in enumerate(langs)}
-        np.add.at(table, (np.array([at[x] for x in rows["lang"].to_pylist()]), rows["bucket"].to_numpy()), rows["n"].to_numpy())
+        at = pc.index_in(rows["lang"], value_set=pa.array(langs, rows["lang"].type)).to_numpy()
+        table[at, rows["bucket"].to_numpy()] = rows["n"].to_numpy()  # one row for each language and bucket
     seen = table.sum(axis=1) > 0
     langs, table = [x for x, s in zip(langs, seen) if s], table[seen]
     return Model(langs, np.log((table + 0.5) / (table + 0.5).sum(axis=1, keepdims=True)))
