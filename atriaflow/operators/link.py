@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atriaflow.functions.columns import finite
+
 #: Seconds of a time bucket of the interval join.
 BUCKET_SECONDS = 10.0
 
@@ -249,11 +251,36 @@ def electric_table(points: DataFrame) -> DataFrame:
     )
 
 
-#: Columns of an ablation marker's attributes.
-ABLATION = ["duration", "force", "temperature", "power", "impedance", "fti"]
+#: Column of the ablation table, attribute of a marker.
+ABLATION = {
+    "duration": "duration_s", "force": "average_force_g", "temperature": "max_temperature_c", "power": "max_power_w", "base_impedance": "base_impedance_ohm", "impedance_drop": "impedance_drop_ohm",
+    "fti": "force_time_integral",
+}
+#: Attributes that hold an index; each is a family of its own.
+INDEX_FAMILIES = ["rf_index", "ablation_index", "lesion_index"]
+
+
+def _ablated(placed: DataFrame) -> Column:
+    return (F.col("type") == "ablation") & reduce(lambda a, b: a & b, [finite(F.col(c)).isNotNull() for c in "xyz"])
 
 
 def ablation_table(placed: DataFrame) -> DataFrame:
-    """RF markers with a finite position and their numbers; others are left out."""
-    fine: Column = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in "xyz"])
-    return placed.filter((F.col("type") == "ablation") & fine).select("study_id", "placed_id", "x", "y", "z", *[F.try_element_at("attributes", F.lit(c)).try_cast("double").alias(c) for c in ABLATION])
+    """RF markers with a finite position and their numbers; others are left out.
+
+    placed(study_id, placed_id, type, x, y, z, attributes map). The index of one vendor is not that of another: ``index_name`` and ``index`` are there only if the study's markers
+    hold exactly one family.
+    """
+    own = placed.filter(_ablated(placed))
+    number = lambda c: finite(F.try_element_at("attributes", F.lit(c)).try_cast("double"))
+    held = [F.max(F.map_contains_key("attributes", F.lit(f))).alias(f) for f in INDEX_FAMILIES]
+    studies = own.groupBy("study_id").agg(*held).select(F.col("study_id").alias("s"), F.array_compact(F.array(*[F.when(F.col(f), F.lit(f)) for f in INDEX_FAMILIES])).alias("families"))
+    met = own.join(studies, F.col("study_id").eqNullSafe(F.col("s")), "left").withColumn("index_name", F.when(F.size("families") == 1, F.get("families", F.lit(0))))
+    value = reduce(lambda w, f: w.when(F.col("index_name") == f, number(f)), INDEX_FAMILIES, F)
+    return met.select("study_id", "placed_id", "x", "y", "z", *[number(key).alias(c) for c, key in ABLATION.items()], "index_name", value.alias("index"))
+
+
+def ablation_counts(placed: DataFrame) -> DataFrame:
+    """Per study the markers of the ablation table, those that are left out (other types, PFA among them, and positions that are not finite), and its families of indices."""
+    families = F.array_compact(F.array(*[F.when(F.max(_ablated(placed) & F.coalesce(F.map_contains_key("attributes", F.lit(f)), F.lit(False))), F.lit(f)) for f in INDEX_FAMILIES]))
+    taken = F.coalesce(_ablated(placed), F.lit(False))
+    return placed.groupBy("study_id").agg(F.count_if(taken).alias("n_markers"), F.count_if(~taken).alias("n_excluded"), F.array_join(families, ",").alias("families"))

@@ -19,17 +19,27 @@ def list_maps(maps: DataFrame, points: DataFrame) -> DataFrame:
     return maps.join(n, "map_id", "left").select("study_id", "map_id", "map_name", F.coalesce("n_points", F.lit(0)).alias("n_points"))
 
 
+def list_studies_and_maps(studies: DataFrame, maps: DataFrame, attributes: DataFrame) -> DataFrame:
+    """A10: every map that has attributes, with its study, in order of study and map: studies(study_id, study_name), maps(map_id, study_id, map_name), attributes(map_id)."""
+    own = maps.join(attributes.select("map_id").distinct(), "map_id", "left_semi").join(studies.select("study_id", "study_name"), "study_id")
+    return own.select("study_id", "study_name", "map_id", "map_name").orderBy("study_id", "map_id")
+
+
 def page(df: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:
     """One page in order; limit 0 means all."""
     out = df.orderBy(*order).offset(offset)
     return out.limit(limit) if limit else out
 
 
-def page_header(points_long: DataFrame) -> DataFrame:
-    """Per map the number of points, and for each measurement name its first unit by point."""
+def page_header(points_long: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """For each measurement name of a map its first unit by point and number of values, and (with points) the number of all points of the map.
+
+    Maps without measurements keep a row without a name."""
     unit = F.min(F.struct("point_index", "unit"))
-    names = points_long.groupBy("map_id", "name").agg(unit.alias("u"), F.count("*").alias("n_values"))
-    return names.select("map_id", "name", F.col("u.unit").alias("unit"), "n_values")
+    names = points_long.groupBy("map_id", "name").agg(unit.alias("u"), F.count("*").alias("n_values")).select("map_id", "name", F.col("u.unit").alias("unit"), "n_values")
+    if points is None:
+        return names
+    return points.groupBy("map_id").agg(F.count("*").alias("n_points")).join(names, "map_id", "left").withColumn("n_values", F.coalesce("n_values", F.lit(0)))
 
 
 def signal_header(waveforms: DataFrame) -> DataFrame:
@@ -294,8 +304,21 @@ def mann_whitney(values: DataFrame, by: list[str], group: str, value: str) -> Da
     return out.select(*by, "n1", "n2", "u", "z", "exact", F.when(F.col("exact"), counted(*asked)).otherwise(_normal_tail(F.col("z"))).alias("p"))
 
 
-def decimate(samples: DataFrame, max_samples: int = 400, keys: tuple = ("data_uri", "channel")) -> DataFrame:
-    """Every step-th sample of each trace, step = ceil(n / max_samples), values to 4 decimals."""
+def annotated_channels(points: DataFrame) -> DataFrame:
+    """The channels that the points of a window name, each once: points(data_uri, mapping_channels map<role, channel>)."""
+    each = points.select("data_uri", F.explode(F.map_values("mapping_channels")).alias("channel"))
+    return each.filter("channel <> ''").distinct()
+
+
+def decimate(samples: DataFrame, max_samples: int = 400, keys: tuple = ("data_uri", "channel"), points: DataFrame | None = None, channels: list[str] | None = None) -> DataFrame:
+    """Every step-th sample of each trace, step = ceil(n / max_samples), values to 4 decimals.
+
+    Only the named channels; without names, those that the windows' points name (`annotated_channels`), if points are given; else all.
+    """
+    if channels:
+        samples = samples.filter(F.col("channel").isin(channels))
+    elif points is not None:
+        samples = samples.join(annotated_channels(points), ["data_uri", "channel"], "left_semi")
     n = samples.groupBy(*keys).agg(F.ceil(F.count("*") / max_samples).alias("step"))
     at = F.row_number().over(Window.partitionBy(*keys).orderBy("sample_idx")) - 1
     return samples.withColumn("at", at).join(n, list(keys)).filter("at % step = 0").select(*samples.columns).withColumn("value", F.round("value", 4))

@@ -42,14 +42,24 @@ def a10(spark, d):
     return report.list_maps(_maps(spark, d), _points(spark, d))
 
 
+@query("a10_studies_and_maps", """SELECT n_nationkey::BIGINT AS study_id, n_name AS study_name, c_custkey AS map_id, c_name AS map_name FROM customer JOIN nation ON c_nationkey = n_nationkey
+WHERE c_custkey IN (SELECT o_custkey FROM orders)""")
+def a10_all(spark, d):
+    n = st.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("study_id"), F.col("n_name").alias("study_name"))
+    return report.list_studies_and_maps(n, _maps(spark, d), _points(spark, d))
+
+
 @query("w1_page", "SELECT o_custkey AS map_id, o_orderkey AS point_index FROM orders ORDER BY o_custkey, o_orderkey LIMIT 200 OFFSET 100")
 def w1(spark, d):
     return report.page(_points(spark, d).select("map_id", "point_index"), ["map_id", "point_index"], 200, 100)
 
 
-@query("a11_page_header", f"WITH {LONG} SELECT map_id, name, arg_min(unit, (point_index, unit)) AS unit, count(*) AS n_values FROM m GROUP BY ALL")
+@query("a11_page_header", f"""WITH {LONG}, n AS (SELECT map_id, name, arg_min(unit, (point_index, unit)) AS unit, count(*) AS n_values FROM m WHERE point_index % 2 = 0 AND map_id % 10 > 0 GROUP BY ALL)
+SELECT p.map_id, n_points, name, unit, coalesce(n_values, 0) AS n_values FROM (SELECT map_id, count(DISTINCT point_index) AS n_points FROM m GROUP BY map_id) p LEFT JOIN n USING (map_id)""")
 def a11(spark, d):
-    return report.page_header(st.measurements(spark, d))
+    """Measurements of every second point, none of every tenth map."""
+    long = st.measurements(spark, d)
+    return report.page_header(long.filter("point_index % 2 = 0 AND map_id % 10 > 0"), long.select("map_id", "point_index").distinct())
 
 
 @query("a11_signal_header", """SELECT user_id % 7 AS study_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS channels, 1::BIGINT AS n_rates FROM events GROUP BY 1""")
@@ -370,6 +380,15 @@ def w2(spark, d):
     return report.decimate(st.samples(spark, d), 5).select("data_uri", "sample_idx", "channel", "value")
 
 
+@query("w2_annotated_channels", f"""WITH {SIGNALS}, k AS (SELECT *, row_number() OVER (PARTITION BY data_uri, channel ORDER BY sample_idx) - 1 AS nth, ceil(count(*) OVER (PARTITION BY
+data_uri, channel) / 5.0)::INT AS step FROM s) SELECT data_uri, sample_idx, channel, round(value, 4) AS value FROM k WHERE nth % step = 0 AND (channel = 'click' OR (channel = 'view' AND data_uri::BIGINT % 2 = 0))""")
+def w2_annotated(spark, d):
+    """Points that name the channel click, and in every second window view too."""
+    s = st.samples(spark, d)
+    points = s.select("data_uri", F.create_map(F.lit("map"), F.lit("click"), F.lit("reference"), F.when(F.col("data_uri").cast("long") % 2 == 0, "view").otherwise("")).alias("mapping_channels"))
+    return report.decimate(s, 5, points=points).select("data_uri", "sample_idx", "channel", "value")
+
+
 @query("w3_slice_ms", f"WITH {SIGNALS} SELECT data_uri, sample_idx, channel, value FROM s WHERE sample_idx >= 3 AND sample_idx < 12")
 def w3(spark, d):
     s = st.samples(spark, d)
@@ -546,16 +565,20 @@ def a21(spark, d):
     return link.check_rates(windows, files)
 
 
-@query("a27_ablation_table", """SELECT s_nationkey::BIGINT AS study_id, s_suppkey AS placed_id, s_acctbal AS x, s_acctbal AS duration, NULL::DOUBLE AS force FROM supplier WHERE
-s_suppkey % 3 <> 0 AND s_suppkey % 7 <> 0""")
+@query("a27_ablation_table", """WITH k AS (SELECT *, s_nationkey % 3 AS kind FROM supplier)
+SELECT s_nationkey::BIGINT AS study_id, s_suppkey AS placed_id, s_acctbal AS x, s_acctbal AS duration, NULL::DOUBLE AS force, CASE kind WHEN 0 THEN 'lesion_index' END AS index_name,
+CASE kind WHEN 0 THEN s_suppkey / 2.0 END AS index FROM k WHERE s_suppkey % 3 <> 0 AND s_suppkey % 7 <> 0""")
 def a27(spark, d):
-    key = F.col("s_suppkey")
+    """Studies with one family of indices, with two, with none."""
+    key, kind = F.col("s_suppkey"), F.col("s_nationkey") % 3
+    numbers = F.create_map(F.lit("duration_s"), F.col("s_acctbal").cast("string"), F.lit("average_force_g"), F.lit("bad"))
+    lesion, rf = F.create_map(F.lit("lesion_index"), (key / 2).cast("string")), F.create_map(F.lit("rf_index"), F.lit("1"))
+    attributes = F.when(kind == 0, F.map_concat(numbers, lesion)).when(kind == 1, F.map_concat(numbers, lesion, rf)).otherwise(numbers)
     placed = st.table(spark, d, "supplier").select(
         F.col("s_nationkey").cast("long").alias("study_id"), key.alias("placed_id"), F.when(key % 3 == 0, "label").otherwise("ablation").alias("type"),
-        F.col("s_acctbal").alias("x"), F.lit(1.0).alias("y"), F.when(key % 7 != 0, F.lit(2.0)).alias("z"),
-        F.create_map(F.lit("duration"), F.col("s_acctbal").cast("string"), F.lit("force"), F.lit("bad")).alias("attributes"),
+        F.col("s_acctbal").alias("x"), F.lit(1.0).alias("y"), F.when(key % 7 != 0, F.lit(2.0)).alias("z"), attributes.alias("attributes"),
     )
-    return link.ablation_table(placed).select("study_id", "placed_id", "x", "duration", "force")
+    return link.ablation_table(placed).select("study_id", "placed_id", "x", "duration", "force", "index_name", "index")
 
 
 @query("w4_beat_window", f"""WITH {SIGNALS}, b AS (SELECT data_uri, t FROM s WHERE sample_idx = 5) SELECT s.data_uri, s.sample_idx, s.channel, round((s.t - b.t) * 1000, 3) AS

@@ -191,11 +191,12 @@ def import_manifest(files: DataFrame) -> DataFrame:
 def plan_maps(maps: DataFrame, shapes: DataFrame, min_points: int = 5) -> DataFrame:
     """maps(export, map_name, n_points) with whether they are taken (enough points), and what is wrong: files of differing vertex counts.
 
-    shapes(export, map_name, n_vertices): one row per file of a map.
+    shapes(export, map_name, n_vertices[, path]): one row per file of a map; with paths, the map's ``files`` in order and their vertex counts.
     """
-    n = shapes.groupBy("export", "map_name").agg(F.count_distinct("n_vertices").alias("n_shapes"))
+    told = [F.array_sort(F.collect_list(F.struct("path", "n_vertices"))).alias("files")] if "path" in shapes.columns else []
+    n = shapes.groupBy("export", "map_name").agg(F.count_distinct("n_vertices").alias("n_shapes"), *told)
     issue = F.when(F.col("n_shapes") > 1, "files of different vertex counts")
-    return maps.join(n, ["export", "map_name"], "left").select("export", "map_name", "n_points", (F.col("n_points") >= min_points).alias("included"), issue.alias("issue"))
+    return maps.join(n, ["export", "map_name"], "left").select("export", "map_name", "n_points", (F.col("n_points") >= min_points).alias("included"), issue.alias("issue"), *(["files"] if told else []))
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:

@@ -211,6 +211,28 @@ def test_heat_interpolation_counts_every_measurement(spark, cycle):
         assert got[i] == (pytest.approx(want[i], abs=1e-5) if weight[i] > 1e-6 * weight.max() else None)
 
 
+def test_ablation_indices_keep_their_family(spark):
+    kind = "study_id long, placed_id long, type string, x double, y double, z double, attributes map<string,string>"
+    rows = [
+        (1, 1, "ablation", 0.0, 0.0, 0.0, {"rf_index": "3.5", "max_power_w": "40"}), (1, 2, "ablation", 0.0, 0.0, 0.0, {}), (1, 3, "ablation_pfa", 0.0, 0.0, 0.0, {"lesion_index": "9"}),
+        (1, 4, "ablation", float("nan"), 0.0, 0.0, {"lesion_index": "9"}), (2, 5, "ablation", 0.0, 0.0, 0.0, {"rf_index": "1"}), (2, 6, "ablation", 0.0, 0.0, 0.0, {"ablation_index": "2"}), (None, 7, "ablation", 0.0, 0.0, 0.0, None),
+    ]
+    placed = spark.createDataFrame(rows, kind)
+    got = {r["placed_id"]: (r["power"], r["index_name"], r["index"]) for r in link.ablation_table(placed).collect()}
+    assert got == {1: (40.0, "rf_index", 3.5), 2: (None, "rf_index", None), 5: (None, None, None), 6: (None, None, None), 7: (None, None, None)}
+    counts = {r["study_id"]: (r["n_markers"], r["n_excluded"], r["families"]) for r in link.ablation_counts(placed).collect()}
+    assert counts == {1: (2, 2, "rf_index"), 2: (2, 0, "rf_index,ablation_index"), None: (1, 0, "")}
+
+
+def test_maps_are_planned_with_their_files(spark):
+    from atriaflow.sources import exports
+
+    maps = spark.createDataFrame([("e", "a", 5), ("e", "b", 4), ("e", "c", 9)], "export string, map_name string, n_points int")
+    shapes = spark.createDataFrame([("e", "a", 3, "y"), ("e", "a", 3, "x"), ("e", "c", 3, "p"), ("e", "c", 4, "q")], "export string, map_name string, n_vertices int, path string")
+    got = {r["map_name"]: (r["included"], r["issue"], r["files"] and [tuple(f) for f in r["files"]]) for r in exports.plan_maps(maps, shapes).collect()}
+    assert got == {"a": (True, None, [("x", 3), ("y", 3)]), "b": (False, None, None), "c": (True, "files of different vertex counts", [("p", 3), ("q", 4)])}
+
+
 def test_readers_do_not_shuffle(spark):
     from atriaflow.sources import exports
 
