@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from atriaflow.plans import standins as st
@@ -229,6 +231,26 @@ def t4(spark, d):
     return _drained(spark, streams.stream_force_link(points, windows, "1 day", "7 hours"), "links").select(F.col("p_study").alias("study_id"), "point_id", "data_uri")
 
 
+@query("t4_one_force_window", """WITH e AS (SELECT *, user_id % 20 AS study_id FROM events), p AS (SELECT study_id, event_id AS point_id, ts FROM e WHERE event_type = 'click'),
+m AS (SELECT p.study_id, point_id, w.event_id AS data_uri FROM p JOIN e w ON p.study_id = w.study_id AND (
+  (w.event_type = 'signup' AND p.ts BETWEEN w.ts AND w.ts + INTERVAL 6 HOUR) OR
+  (w.event_type = 'view' AND w.event_id + 1 = point_id AND w.ts BETWEEN p.ts - INTERVAL 6 HOUR AND p.ts + INTERVAL 6 HOUR)))
+SELECT p.study_id, p.point_id::VARCHAR AS point_id, count(m.data_uri) AS n, CASE WHEN count(m.data_uri) = 1 THEN min(m.data_uri)::VARCHAR END AS data_uri FROM p LEFT JOIN m ON m.study_id = p.study_id AND m.point_id =
+p.point_id GROUP BY p.study_id, p.point_id""")
+def t4_one(spark, d):
+    """Windows of six hours, and windows that name the event after theirs. One late row on each side lets the time of the streams pass all points."""
+    events = st.table(spark, d, "events")
+    last, folder = F.lit("2100-01-01").cast("timestamp_ntz"), st.scratch(spark, "closing")
+    events.limit(1).select(*[(last if c == "ts" else F.lit(-1) if c == "event_id" else F.col(c)).cast(events.schema[c].dataType).alias(c) for c in events.columns]).write.parquet(folder)
+    closing = spark.readStream.schema(events.schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    e = lambda kinds: _event_stream(spark, d).filter(F.col("event_type").isin(kinds)).unionByName(closing).withColumn("study_id", F.col("user_id") % 20)
+    points = e(["click"]).select("study_id", F.col("event_id").alias("point_id"), F.col("ts").alias("at"))
+    windows = e(["signup", "view"]).select("study_id", F.col("event_id").alias("data_uri"), F.col("ts").alias("starts"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("ends"), F.when(F.col("event_type") == "view", (F.col("event_id") + 1).cast("string")).alias("of_point"))
+    with ingest.keyed_state(spark):
+        out = _drained(spark, streams.stream_one_force(points, windows, "1 day", timedelta(hours=6)), "one-force")
+    return out.filter("point_id <> '-1'").select("study_id", "point_id", "n", "data_uri")
+
+
 def _channel_samples(spark, d):
     return _event_stream(spark, d).select(F.col("user_id").cast("string").alias("data_uri"), F.col("event_type").alias("channel"), "ts", "value")
 
