@@ -53,8 +53,15 @@ def nearest_samples(points: DataFrame, samples: DataFrame, seconds: float = TRAC
     meets a point: rows are at most samples + questions.
     """
     slot = lambda c: F.floor(F.col(c) / seconds)
-    own = samples.select("data_uri", "channel", slot("t").alias("slot"), F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.col("t").cast("double").alias("t"), F.col("sample_idx").cast("long").alias("sample_idx"), "value", F.lit(False).alias("asks"))
-    asked = points.join(own.select("data_uri", "channel").distinct(), "data_uri").select("data_uri", "channel", slot("rel_t").alias("slot"), "point_id", F.col("rel_t").cast("double").alias("t"), F.lit(None).cast("long").alias("sample_idx"), F.lit(None).cast(own.schema["value"].dataType).alias("value"), F.lit(True).alias("asks"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    own = samples.select(
+        "data_uri", "channel", slot("t").alias("slot"), none(points.schema["point_id"].dataType, "point_id"), F.col("t").cast("double").alias("t"),
+        F.col("sample_idx").cast("long").alias("sample_idx"), "value", F.lit(False).alias("asks"),
+    )
+    asked = points.join(own.select("data_uri", "channel").distinct(), "data_uri").select(
+        "data_uri", "channel", slot("rel_t").alias("slot"), "point_id", F.col("rel_t").cast("double").alias("t"),
+        none("long", "sample_idx"), none(own.schema["value"].dataType, "value"), F.lit(True).alias("asks"),
+    )
     both = own.unionByName(asked)
     key = ["data_uri", "channel"]
     first = F.when(~F.col("asks"), F.struct("t", "sample_idx", "value"))
@@ -65,7 +72,11 @@ def nearest_samples(points: DataFrame, samples: DataFrame, seconds: float = TRAC
     edges = both.groupBy(*key, "slot").agg(F.min(first).alias("first"), F.max(last).alias("last"))
     back, on = (Window.partitionBy(*key).orderBy(s).rowsBetween(Window.unboundedPreceding, -1) for s in (F.col("slot"), F.col("slot").desc()))
     edges = edges.select(*key, "slot", F.max("last").over(back).alias("earlier"), F.min("first").over(on).alias("later"))
-    near = lambda s, sign: F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col(f"{s}.t") - F.col("t")).alias("dt"), (sign * F.col(f"{s}.sample_idx")).alias("sample_idx"), F.col(f"{s}.value").alias("value")))
+
+    def near(s: str, sign: int) -> Column:
+        at, place, value = (F.col(f"{s}.{c}") for c in ("t", "sample_idx", "value"))
+        return F.when(F.col(s).isNotNull(), F.struct(F.abs(at - F.col("t")).alias("dt"), (sign * place).alias("sample_idx"), value.alias("value")))
+
     best = F.least(near("before", -1), near("after", 1), near("earlier", -1), near("later", 1))
     return held.join(edges, [*key, "slot"]).select("point_id", "data_uri", "channel", best.alias("b")).select("point_id", "data_uri", "channel", F.col("b.sample_idx").alias("sample_idx"), "b.value")
 
@@ -107,12 +118,14 @@ def signal_arrays(bindings: DataFrame, samples: DataFrame) -> DataFrame:
     """
     keys = ["map_id"] if "map_id" in bindings.columns else []
     rates = bindings.filter("sample_rate > 0 AND NOT isnan(sample_rate) AND sample_rate < double('inf')").groupBy(*keys).agg(F.min("sample_rate").alias("rate"), F.max("sample_rate").alias("other"))
-    strict = F.when(F.col("rate") < F.col("other"), F.raise_error(F.concat(F.lit("mixed sample rates: "), F.col("rate").cast("string"), F.lit(" and "), F.col("other").cast("string")))).otherwise(F.col("rate"))
+    mixed = F.concat(F.lit("mixed sample rates: "), F.col("rate").cast("string"), F.lit(" and "), F.col("other").cast("string"))
+    strict = F.when(F.col("rate") < F.col("other"), F.raise_error(mixed)).otherwise(F.col("rate"))
     rates = F.broadcast(rates.select(strict.alias("rate"))) if not keys else rates.select(*keys, strict.alias("rate"))
     first = bindings.filter("primary").groupBy("point_id").agg(F.min(F.struct("sample_rate", "n_samples", "start_time", "data_uri")).alias("p"))
     rated = bindings.join(rates, keys) if keys else bindings.join(rates, F.col("sample_rate") == F.col("rate"))
     fit = rated.join(first, "point_id").filter("sample_rate = rate AND p.sample_rate = rate AND n_samples = p.n_samples AND (data_uri = p.data_uri OR abs(start_time - p.start_time) < 1e-6)")
-    traces = fit.select("point_id", "role", "data_uri", "channel").join(samples, ["data_uri", "channel"]).groupBy("point_id", "role").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))).alias("s"))
+    traces = fit.select("point_id", "role", "data_uri", "channel").join(samples, ["data_uri", "channel"]).groupBy("point_id", "role")
+    traces = traces.agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))).alias("s"))
     return traces.select("point_id", "role", F.transform("s", lambda x: x["value"]).alias("trace"))
 
 

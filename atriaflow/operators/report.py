@@ -224,7 +224,7 @@ REGIONS = [("LA", "posterior", "LA post"), ("LA", "anterior", "LA ant"), ("RA",
 
 def region_label(atrium: str = "atrium", part: str = "part") -> Column:
     """The region of a map; atrium and part themselves where no label fits."""
-    named = reduce(lambda w, r: w.when((F.col(atrium) == r[0]) & F.col(part).contains(r[1]), r[2]), REGIONS[1:], F.when((F.col(atrium) == REGIONS[0][0]) & F.col(part).contains(REGIONS[0][1]), REGIONS[0][2]))
+    named = reduce(lambda w, r: w.when((F.col(atrium) == r[0]) & F.col(part).contains(r[1]), r[2]), REGIONS, F)
     return named.otherwise(F.concat_ws(" ", atrium, part))
 
 
@@ -236,7 +236,8 @@ def cohort_summary(maps: DataFrame, least_distance: float = 5.0) -> DataFrame:
     the grouping sets apart (0: reference and region, 1: reference, 2: region, 3: all).
     """
     sigma = finite(F.col("sigma").cast("double"))
-    whole = maps.filter(F.col("max_geodesic_dist") >= least_distance).select(F.col("ref_catheters"), region_label().alias("region"), F.coalesce("is_multifocal", F.lit(False)).alias("multi"), sigma.alias("sigma"))
+    multi = F.coalesce("is_multifocal", F.lit(False)).alias("multi")
+    whole = maps.filter(F.col("max_geodesic_dist") >= least_distance).select("ref_catheters", region_label().alias("region"), multi, sigma.alias("sigma"))
     focal = F.when(~F.col("multi"), F.col("sigma"))
     quarter = lambda v, q: F.percentile(v, F.lit(q))
     stats = [f(v, q).alias(f"{n}_{s}") for v, s in ((F.col("sigma"), "all"), (focal, "focal")) for f, q, n in ((quarter, 0.5, "median"), (quarter, 0.25, "q1"), (quarter, 0.75, "q3"))]
@@ -250,7 +251,9 @@ def _normal_tail(z: Column) -> Column:
     size = F.abs(z)
     density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
     # sum of z^(2k+1) / (1 * 3 * ... * (2k+1))
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(size.alias("term"), size.alias("sum")), lambda s, k: F.struct((s["term"] * z * z / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * z * z / (2 * k + 1)).alias("sum")), lambda s: s["sum"])
+    term = lambda s, k: s["term"] * z * z / (2 * k + 1)
+    add = lambda s, k: F.struct(term(s, k).alias("term"), (s["sum"] + term(s, k)).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(size.alias("term"), size.alias("sum")), add, lambda s: s["sum"])
     fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), size, lambda s, k: size + k / s)
     upper = F.when(size < 3, 0.5 - density * series).otherwise(density / fraction)
     return F.when(z >= 0, upper).otherwise(1 - upper)
@@ -289,7 +292,8 @@ def mann_whitney(values: DataFrame, by: list[str], group: str, value: str) -> Da
     counts = values.withColumn("__v", v).filter(F.col("__v").isNotNull() & F.col(group).isNotNull()).groupBy(*by, "__v").agg(F.count("*").alias("t"), F.count_if(F.col(group)).alias("t1"))
     before = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.withColumn("rank", F.coalesce(F.sum("t").over(before), F.lit(0)) + (F.col("t") + 1) / 2)
-    sums = ranked.groupBy(*by).agg(F.sum("t1").alias("n1"), F.sum(F.col("t") - F.col("t1")).alias("n2"), F.sum(F.col("rank") * F.col("t1")).alias("r1"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    t, t1 = F.col("t"), F.col("t1")
+    sums = ranked.groupBy(*by).agg(F.sum(t1).alias("n1"), F.sum(t - t1).alias("n2"), F.sum(F.col("rank") * t1).alias("r1"), F.sum(t * t * t - t).alias("ties"))
     out = sums.filter("n1 >= 2 AND n2 >= 2").withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
     n = F.col("n1") + F.col("n2")
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))

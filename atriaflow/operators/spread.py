@@ -82,7 +82,10 @@ def _survey(batches):
             most.append(m)
             parts.append(at)
             counts.append(n[at])
-        yield pa.RecordBatch.from_pydict({"map_id": batch["map_id"], "total": pa.array(total), "most": pa.array(most), "parts": pa.array(parts, pa.list_(pa.int64())), "counts": pa.array(counts, pa.list_(pa.int64()))})
+        whole = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_pydict({
+            "map_id": batch["map_id"], "total": pa.array(total), "most": pa.array(most), "parts": pa.array(parts, whole), "counts": pa.array(counts, whole),
+        })
 
 
 def _inside(values: bool):
@@ -126,13 +129,16 @@ def region_spread(scalars: DataFrame, vertices: DataFrame, lo: float, hi: float)
     and counted by parts inside the task; pairs of points never are rows. The median is exact: the counts name the part of the distances that holds it, and
     only pairs of blocks whose boxes allow such a distance are looked at again, for the parts of that part, and for the values in the last one.
     """
-    region = scalars.filter(F.col("value").between(lo, hi)).select("map_id", "vertex_id").join(vertices.select("map_id", "vertex_id", *[F.col(c).cast("double").alias(c) for c in "xyz"]), ["map_id", "vertex_id"])
-    region = stored(region, "region")
+    placed = vertices.select("map_id", "vertex_id", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    inside = scalars.filter(F.col("value").between(lo, hi)).select("map_id", "vertex_id")
+    region = stored(inside.join(placed, ["map_id", "vertex_id"]), "region")
     near = nn_join(region, region, ["map_id"], k=2).filter("near_id <> vertex_id").groupBy("map_id", "vertex_id").agg(F.min("distance").alias("nn")).groupBy("map_id").agg(F.max("nn").alias("max_nn"))
     extent = region.groupBy("map_id").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).filter("n > 1")
     wide = F.greatest(*[F.col(f"hi{c}") - F.col(f"lo{c}") for c in "xyz"])
     diagonal = F.sqrt(sum(((F.col(f"hi{c}") - F.col(f"lo{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
-    extent = stored(extent.select("map_id", "n", *[f"lo{c}" for c in "xyz"], F.when(wide > 0, wide).otherwise(1.0).alias("wide"), F.when(diagonal > 0, diagonal * (1 + 1e-9)).otherwise(1.0).alias("reach")), "extent")
+    reach = F.when(diagonal > 0, diagonal * (1 + 1e-9)).otherwise(1.0).alias("reach")
+    extent = extent.select("map_id", "n", *[f"lo{c}" for c in "xyz"], F.when(wide > 0, wide).otherwise(1.0).alias("wide"), reach)
+    extent = stored(extent, "extent")
     curve = _along_curve({c: (F.col(c) - F.col(f"lo{c}")) / F.col("wide") for c in "xyz"})
     block = F.floor((F.row_number().over(Window.partitionBy("map_id").orderBy(curve, "vertex_id")) - 1) / BLOCK)
     blocks = region.join(extent, "map_id").withColumn("block", block).groupBy("map_id", "block")
@@ -161,7 +167,9 @@ def region_spread(scalars: DataFrame, vertices: DataFrame, lo: float, hi: float)
         """state(rank within keys) with the part that holds the rank, and the rank within that part."""
         upto = F.sum("n").over(Window.partitionBy(*keys).orderBy(part))
         placed = counts.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
-        return state.join(placed, keys).filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto"))).select(*[c for c in state.columns if c != "rank"], (F.col("rank") - F.col("before")).alias("rank"), F.col(part).alias(name))
+        held = state.join(placed, keys).filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
+        kept = [c for c in state.columns if c != "rank"]
+        return held.select(*kept, (F.col("rank") - F.col("before")).alias("rank"), F.col(part).alias(name))
 
     ranks = sums.select("map_id", F.posexplode(F.array(F.floor((F.col("n_pairs") - 1) / 2), F.floor(F.col("n_pairs") / 2))).alias("which", "rank"))
     parts = survey.select("map_id", F.explode(F.arrays_zip("parts", "counts")).alias("p")).groupBy("map_id", F.col("p.parts").alias("part")).agg(F.sum("p.counts").alias("n"))
@@ -175,10 +183,12 @@ def region_spread(scalars: DataFrame, vertices: DataFrame, lo: float, hi: float)
         return with_points(met.filter((F.col("least") <= F.col("high")) & (F.col("most") >= F.col("low"))))
 
     step = F.col("reach") / PARTS
-    counts = straddling(["p1"], F.col("p1") * step, (F.col("p1") + 1) * step).mapInArrow(_inside(False), f"map_id {kind}, p1 long, key double, n long").groupBy("map_id", "p1", "key").agg(F.sum("n").alias("n"))
+    counts = straddling(["p1"], F.col("p1") * step, (F.col("p1") + 1) * step).mapInArrow(_inside(False), f"map_id {kind}, p1 long, key double, n long")
+    counts = counts.groupBy("map_id", "p1", "key").agg(F.sum("n").alias("n"))
     state = stored(middle(counts, state, ["map_id", "p1"], "key", "p2").withColumn("p2", F.col("p2").cast("long")), "second")
     low = (F.col("p1") + F.col("p2") / PARTS) * step
-    values = straddling(["p1", "p2"], low, low + step / PARTS).mapInArrow(_inside(True), f"map_id {kind}, p1 long, p2 long, key double, n long").groupBy("map_id", "p1", "p2", "key").agg(F.sum("n").alias("n"))
+    values = straddling(["p1", "p2"], low, low + step / PARTS).mapInArrow(_inside(True), f"map_id {kind}, p1 long, p2 long, key double, n long")
+    values = values.groupBy("map_id", "p1", "p2", "key").agg(F.sum("n").alias("n"))
     median = middle(values, state, ["map_id", "p1", "p2"], "key", "distance").groupBy("map_id").agg(F.avg("distance").alias("median_distance"))
 
     out = scalars.select("map_id").distinct().join(sums, "map_id", "left").join(median, "map_id", "left").join(near, "map_id", "left")
