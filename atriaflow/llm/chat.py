@@ -4,10 +4,10 @@ For every participant of a conversation (every role but ``system``) the whole di
 assistant, the others as named users, and system turns as system. The mask is the list of character spans [start:end) of the
 assistant's contents with their end marks: what a loss may count. Spans and offsets count over the whole dialogue.
 
-A dialogue of more than PART_TURNS turns is delivered in rows of that many turns each (`part`, by the place of a turn in its
-conversation, never by its number): put together in order, their texts are the dialogue and their masks its mask. So no row
-or group grows with a conversation. Places and offsets come from running sums within the partitions of a range partitioning by
-conversation and turn, plus the sums of the partitions before, so one hot conversation is spread over many tasks.
+A dialogue and perspective is one row, whatever its length. A caller who has very long dialogues can ask for parts: rows of `part_turns` turns each (`part`, by the
+place of a turn in its conversation, never by its number), which put together in order are the dialogue and its mask; then no row or group grows with a
+conversation. Places and offsets come from running sums within the partitions of a range partitioning by conversation and turn, plus the sums of the
+partitions before, so one hot conversation is spread over many tasks until its rows are put together.
 
 In texts and names `<|im_` is written as `<\\|im_`, and line ends in names as blanks, so that no content can forge a turn.
 
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-PART_TURNS = 256
 START, END = "<|im_start|>", "<|im_end|>\n"
 _ASSISTANT = f"{START}assistant\n"
 
@@ -60,9 +59,10 @@ def _placed(turns: DataFrame) -> DataFrame:
     return both.select("conv_id", "role", "head", "body", "chars", (F.col("place") + F.col("n_before")).alias("place"), (F.col("at") + F.col("sum_before")).alias("at"))
 
 
-def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """turns(conv_id, turn, role, text) -> conv_id, part, perspective, n_turns, starts_at, n_chars, mask, n_masked, rendered."""
-    own = stored(_placed(turns).withColumn("part", F.floor(F.col("place") / part_turns)), "placed")
+def rotate(turns: DataFrame, part_turns: int | None = None) -> DataFrame:
+    """turns(conv_id, turn, role, text) -> conv_id, part, perspective, n_turns, starts_at, n_chars, mask, n_masked, rendered; whole dialogues (part 0) unless part_turns is given."""
+    part = F.lit(0).cast("long") if part_turns is None else F.floor(F.col("place") / part_turns)
+    own = stored(_placed(turns).withColumn("part", part), "placed")
     parts = own.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("place", "role", "head", "body", "at"))).alias("turns"), F.sum("chars").alias("chars"), F.min("at").alias("starts_at"))
     # how often each speaker spoke before each part
     spoken = stored(own.filter("role <> 'system'").groupBy("conv_id", "part", "role").agg(F.count("*").alias("n")), "spoken")
@@ -99,7 +99,7 @@ WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown')
 k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place FROM t),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
 s AS (
-  SELECT k.conv_id, place // 256 AS part, place, perspective, role = perspective AS mine,
+  SELECT k.conv_id, 0::BIGINT AS part, place, perspective, role = perspective AS mine,
     CASE WHEN role = perspective THEN '<|im_start|>assistant' || chr(10) WHEN role = 'system' THEN '<|im_start|>system' || chr(10)
       ELSE '<|im_start|>user name=' || replace(translate(role, chr(13) || chr(10), '  '), '<|im_', '<\|im_') || chr(10) END AS head,
     replace(text, '<|im_', '<\|im_') || '<|im_end|>' || chr(10) AS body
