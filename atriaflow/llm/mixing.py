@@ -47,10 +47,9 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHA
     before = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").isNull(), F.encode("source", "UTF-8")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(1))
     level = (F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    # the level that holds is the first that does not reach the next source's cap
+    # the level rises while sources are capped that are above their caps, and falls with the first that is not, ties among them too
     ranked = ranked.withColumn("level", level)
-    holds = F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct(F.col("most") / F.col("weight"), "level"))).over(every)["level"]
-    return ranked.withColumn("target", F.least(F.col("most"), F.coalesce(holds, F.lit(float("inf"))) * F.col("weight"))).select("source", "source_size", "target")
+    return ranked.withColumn("target", F.least(F.col("most"), F.max("level").over(every) * F.col("weight"))).select("source", "source_size", "target")
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:

@@ -286,3 +286,65 @@ def test_sparse_scores_equal_the_product():
         got, grams = langid.Model([str(i) for i in range(n)], logp).log_likelihoods(texts)
         counts = langid.count_ngrams(texts, 256)
         assert np.allclose(got, counts @ logp.T.astype(float)) and (grams == counts.sum(axis=1)).all()
+
+
+# ---- the pipeline, stage by stage, against plain Python and SQL ------------------------------------------
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from atriaflow.llm import mixing, packing
+
+    rng = np.random.default_rng(12)
+
+    def text(letters, n):
+        return ["".join(rng.choice(list(letters), 4)) for _ in range(n)]
+
+    rows = []
+    for i in range(60):
+        own = text("abcdefgh" if i % 2 else "стуфхцчш", 90)
+        edited = list(own)
+        edited[40] = "zz" if i % 2 else "яя"
+        lang, source = ("aa", "bb")[i % 2], f"s{i % 4}" if i % 5 else None
+        rows.append((10 * i, " ".join(own), lang, source))
+        if i % 3 == 0:
+            rows += [(10 * i + 1, " ".join(own), lang, "s9"), (10 * i + 2, " ".join(edited), lang, source)]
+    rows += [(2000, None, "aa", "s0"), (2001, "12 34", "aa", "s0"), (2002, "", "bb", "s1"), (2003, "одно", "aa", "s1"), (2004, "cab", "bb", "s1")]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], kinds).coalesce(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+
+    # language: two alphabets leave no doubt, so only texts without a letter go
+    stays = {i: (t, s) for i, t, _, s in rows if t and any(map(str.isalpha, t))}
+    # exact copies: the largest id of each text
+    largest = {}
+    for i, (t, _) in stays.items():
+        largest[t] = max(i, largest.get(t, i))
+    stays = {i: (t, s) for i, (t, s) in stays.items() if largest[t] == i}
+    # near copies: components of pairs, the least id of each
+    windows = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, (t, _) in stays.items()}
+    group = {i: i for i in stays}
+    for i in sorted(stays):
+        for j in sorted(stays):
+            if i < j and len(windows[i] & windows[j]) / len(windows[i] | windows[j]) >= 0.8:
+                group = {k: min(group[i], group[j]) if g in (group[i], group[j]) else g for k, g in group.items()}
+    stays = {i: x for i, x in stays.items() if group[i] == i}
+    # the mix, by the SQL that op9 is held against
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(i, t, s) for i, (t, s) in stays.items()])
+    result = con.sql(mixing.ORACLE)
+    taken = {r["doc_id"]: r["taken"] // r["size"] for r in (dict(zip(result.columns, x)) for x in result.fetchall())}
+    assert set(taken.values()) >= {1, 2} and set(got["doc_id"]) == {i for i, n in taken.items() if n}
+    # packing: each copy's ids once, in full windows
+    encode = Tokenizer.from_file(packing.vocabulary_path())
+    for i, pieces in got.groupby("doc_id"):
+        ids = np.array([*encode.encode(stays[i][0], add_special_tokens=False).ids, 1], dtype="<u4")
+        assert Counter(p for r in pieces.itertuples() for p in range(r.start, r.start + r.length)) == Counter(dict.fromkeys(range(len(ids)), taken[i]))
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids) for r in pieces.itertuples())
+    ordered = got.sort_values(["sequence_id", "offset"])
+    assert (ordered.groupby("sequence_id")["length"].cumsum() - ordered["length"] == ordered["offset"]).all()
+    assert (ordered.groupby("sequence_id")["length"].sum().iloc[:-1] == packing.WINDOW).all()
