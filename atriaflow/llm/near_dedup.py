@@ -19,9 +19,13 @@ Candidates, never all pairs of a group:
    texts, those of one component are counted out, and texts that keep too few for any link go. A link needs a common window
    among the rarest fifth of each. A window of at most RARE texts compares all of different components, a more
    frequent one every text with two hubs of different components.
+3. What those leave of the more frequent windows goes on in rounds, until no window has texts of two components: in each round a
+   window has up to FANOUT times as many hubs, every text of another component meets them, and the hubs go. A pair is aligned only
+   if the bits of its windows (a signature for each text) leave enough of them in common; so no pair is written that cannot be
+   alike, and none that can is passed over.
 
-So a pair is lost if no sketch meets (chance above) or if neither text links to a hub in any common bucket and all their common
-windows among the rarest are in more than RARE texts; README gives the recall that was measured.
+So a pair of different components is lost only if its texts share no sketch (chance above), or only sketches whose buckets have no
+second component besides the hub; README gives the recall that was measured.
 
 Components come from min-label propagation with pointer jumping over stored tables; links and labels never reach the driver.
 
@@ -47,6 +51,8 @@ THRESHOLD = 0.8
 SHORT = 24
 #: Texts with a window up to which all of different components are compared through it.
 RARE = 16
+#: By how much the hubs of a more frequent window grow from round to round, and the longs of a text's signature.
+FANOUT, SIGNATURE = 16, 16
 
 
 # ---- sketches --------------------------------------------------------------------------------------------
@@ -368,8 +374,37 @@ def _windows(it):
             yield pa.RecordBatch.from_pydict({c: batch[c].take(at) for c in ("id", "label", "n")} | {"w": pa.array(labelled_rows(x, row).view(np.int64))})
 
 
-def _rare_pairs(open_: DataFrame) -> DataFrame:
-    """Pairs (a, b) of open_(id, label, n, text), of different components, by the rarest windows that components share."""
+def _sign(it):
+    """The id of texts(id, label, n, text) and s0, s1, ...: a bit for each labelled window, as its hash tells."""
+    for batch in it:
+        raw, offs = text_arrays(batch["text"])
+        bits = np.zeros((len(offs) - 1, SIGNATURE), dtype=np.uint64)
+        for lo, hi in steps(offs):
+            w = Words(raw, offs, lo, hi)
+            x, row = shingle_rows(w.hashes(), w.bounds)
+            at = mix64(labelled_rows(x, row)) % np.uint64(64 * SIGNATURE)
+            np.bitwise_or.at(bits, (row + lo, (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+        columns = {f"s{i}": pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in range(SIGNATURE)}
+        yield pa.RecordBatch.from_pydict({"id": batch["id"]} | columns)
+
+
+def signatures(texts: DataFrame) -> DataFrame:
+    """id and signature of texts(id, label, n, text)."""
+    return texts.mapInArrow(_sign, "id long, " + ", ".join(f"s{i} long" for i in range(SIGNATURE)))
+
+
+def _may_match(a: DataFrame, b: DataFrame) -> Column:
+    """Whether texts of a and b, of n windows and with signatures, can have the threshold in common: windows whose bit the other lacks are not matched."""
+    least = F.ceil((a["n"] + b["n"]) * (THRESHOLD / (1 + THRESHOLD)) - 1e-6)
+
+    def lacking(x: DataFrame, y: DataFrame) -> Column:
+        return sum(F.bit_count(x[f"s{i}"].bitwiseAND(F.bitwise_not(y[f"s{i}"]))) for i in range(SIGNATURE))
+
+    return (lacking(a, b) <= a["n"] - least) & (lacking(b, a) <= b["n"] - least)
+
+
+def _rare_pairs(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of open_(id, label, n, text): pairs (a, b) of different components by the rarest windows that components share, and the more frequent windows (w, id, n)."""
     each = open_.mapInArrow(_windows, "id long, label long, n int, w long")
     shared = stored(each.groupBy("w").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("texts")).filter("lo <> hi").select("w", "texts"), "shared")
     ranked = each.join(shared, "w").groupBy("id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "w"))).alias("ranked"))
@@ -384,7 +419,30 @@ def _rare_pairs(open_: DataFrame) -> DataFrame:
     hub = met.filter(F.col("size") > RARE).select("id", "label", "n", F.explode(F.array("x", "y")).alias("other"))
     own = first.join(rare, "w").select("id", "label", "n", F.explode("others").alias("other"))
     apart = own.unionByName(hub).filter((F.col("label") != F.col("other.label")) & _alike("n", "other.n"))
-    return apart.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
+    pairs = apart.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
+    return pairs, met.filter(F.col("size") > RARE).select("w", "id", "n")
+
+
+def try_frequent(found: Links, members: DataFrame, signed: DataFrame) -> None:
+    """Compare all texts of different components that share a window of members(w, id, n), in rounds of more and more hubs; signed has their signatures."""
+    left, hubs = members.join(signed, "id"), FANOUT
+    while True:
+        own = found.labelled(left, "id", "label")
+        mixed = own.groupBy("w").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("w")
+        now = stored(own.join(mixed, "w", "left_semi"), "frequent")
+        free(left)
+        if now.isEmpty():
+            free(now)
+            return
+        slot = F.pmod(F.xxhash64("id"), F.lit(hubs))
+        chosen = stored(now.groupBy("w", slot.alias("slot")).agg(F.min("id").alias("id")).select("w", "id"), "chosen")
+        hub = stored(now.join(chosen, ["w", "id"], "left_semi").select(*(F.col(c).alias(c) for c in now.columns)), "hub")
+        meet = now.join(hub, (now["w"] == hub["w"]) & (now["label"] != hub["label"]) & _may_match(now, hub))
+        pairs = meet.select(F.least(now["id"], hub["id"]).alias("a"), F.greatest(now["id"], hub["id"]).alias("b")).distinct()
+        found.try_pairs(found.untried(pairs))
+        left = stored(now.drop("label").join(chosen, ["w", "id"], "left_anti"), "rest")
+        free(now, chosen, hub)
+        hubs *= FANOUT
 
 
 def link_texts(sketched: DataFrame, texts_of) -> Links:
@@ -400,7 +458,10 @@ def link_texts(sketched: DataFrame, texts_of) -> Links:
     open_ = stored(besides.join(mixed, "bucket").select("id", "label", "n").distinct(), "open")
     free(led, pairs, besides, mixed)
     if not open_.isEmpty():
-        found.try_pairs(found.untried(_rare_pairs(open_.join(found.texts, "id"))))
+        texts = open_.join(found.texts, "id")
+        pairs, frequent = _rare_pairs(texts)
+        found.try_pairs(found.untried(pairs))
+        try_frequent(found, frequent, signatures(texts.join(frequent.select("id").distinct(), "id", "left_semi")))
     return found
 
 

@@ -287,6 +287,47 @@ def test_near_groups_of_many_copies(spark):
     assert all(cls[1000 + 2 * i] == cls[1001 + 2 * i] == 1000 + 2 * i for i in range(100))
 
 
+def frequent_window(spark, monkeypatch, rows, fanout):
+    """The links found among texts that all share one window, and how often pairs were aligned."""
+    monkeypatch.setattr(near_dedup, "FANOUT", fanout)
+    texts = near_dedup.stored(spark.createDataFrame([(i, t, len(t.split()) - 4) for i, t in rows], "id long, text string, n int"), "texts")
+    found = near_dedup.Links(texts.select("id", "text"))
+    found.try_pairs(spark.createDataFrame([], "a long, b long"))
+    signed = near_dedup.signatures(texts.select("id", F.col("id").alias("label"), "n", "text"))
+    near_dedup.try_frequent(found, texts.select(F.lit(7).cast("long").alias("w"), "id", "n"), signed)
+    return {(r["a"], r["b"]) for r in found.links().collect()}, sum(t.count() for t in found.tried), len(found.tried)
+
+
+@pytest.mark.parametrize("fanout", [2, 16])
+def test_frequent_windows_lose_no_pair(spark, monkeypatch, fanout):
+    rows = []
+    for i in range(30):
+        w = words(100 + i, 60).split()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:-1], "other"]))]
+    links, aligned, rounds = frequent_window(spark, monkeypatch, rows, fanout)
+    # no two texts but these pairs can be alike, and the signatures tell without an alignment
+    assert links == {(2 * i, 2 * i + 1) for i in range(30)} and aligned == 30 and rounds > 1
+
+
+def test_signatures_pass_every_pair_that_is_linked(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(6):
+        w = words(200 + i, int(rng.integers(40, 1500))).split()
+        for _ in range(12):
+            v = list(w)
+            for at in rng.integers(0, len(v), int(rng.integers(0, max(2, len(v) // 30)))):
+                v[at] = "zz"
+            rows.append((len(rows), " ".join(v[int(rng.integers(0, 4)) :])))
+    table = spark.createDataFrame([(i, i, len(t.split()) - 4, t) for i, t in rows], "id long, label long, n int, text string")
+    both = near_dedup.stored(table.join(near_dedup.signatures(table), "id"), "signed")
+    other = near_dedup.stored(both, "signed")
+    passed = {(r[0], r[1]) for r in both.join(other, (both["id"] < other["id"]) & near_dedup._may_match(both, other)).select(both["id"], other["id"]).collect()}
+    pairs = spark.createDataFrame([(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows))], "a long, b long")
+    linked = {(r["a"], r["b"]) for r in near_dedup.verified(pairs, table.select("id", "text")).filter("linked").collect()}
+    assert len(linked) > 50 and linked <= passed and len(passed) < len(rows) * (len(rows) - 1) // 4
+
+
 def test_order_minhash_is_the_sample_in_text_order():
     r = np.random.default_rng(2)
     texts = [r.integers(0, 9, n).astype(np.uint64) for n in (20, 21, 24, 25, 300, 40, 5000, 3, 0, 22)]
@@ -470,6 +511,18 @@ def test_substrings_equal_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_substrings_keep_columns_that_clash(spark):
+    p, q = words(1, 70), words(5, 60)
+    rows = [(2, f"{p}  {q}"), (5, f"{words(3, 30)} {p} end"), (7, f"{p}  {q}"), (1, words(7, 49)), (None, None), (8, "")]
+    names = ["__own0", "__r", "__k", "__rank", "__key", "__same", "__first", "__kept", "key", "rank", "kept"]
+    table = docs(spark, rows).withColumns({n: F.coalesce(F.length("text"), F.lit(-1)) for n in names})
+    got = substring.keep_substrings(table)
+    assert got.columns == table.columns
+    left = {r["doc_id"]: (r["text"], {r[n] for n in names}) for r in got.collect()}
+    assert left == {i: (w, {-1 if t is None else len(t)}) for (i, t), w in zip(rows, [rows[0][1], f"{words(3, 30)} end", "", rows[3][1], None, ""])}
+    assert substring.keep_substrings(table.limit(0)).count() == 0
+
+
 def test_mixture_meets_targets(spark):
     rows = [(i, "w " * (1 + i % 7), "en", ["a", "b", None][i % 3]) for i in range(900)] + [(None, None, "en", "c")]
     got = mixing.mix(docs(spark, rows)).toPandas()
