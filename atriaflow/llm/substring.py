@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, documents, grams, id_key, sliding_min, steps, stored, text_arrays
+from .common import WORD, Words, documents, grams, id_key, sliding_min, steps, stored, text_arrays, unused
 
 WINDOW = 50
 GRAM = 8
@@ -267,12 +267,13 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 def keep_substrings(docs: DataFrame) -> DataFrame:
     """docs with the words that stay, joined by one space where words went; all columns are kept."""
     found = Spans(docs)
-    cut = found.remaining().groupBy(F.col("rank").alias("__rank"), F.col("key").alias("__key")).agg(F.first("kept").alias("__kept"))
-    firsts = found.firsts.select(F.col("key").alias("__same"), F.col("first_rank").alias("__first"))
-    keyed = docs.withColumn("__r", id_key()).withColumn("__k", F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"), 256))
-    both = keyed.join(firsts, keyed["__k"] == firsts["__same"]).join(cut, (F.col("__r") == F.col("__rank")) & (F.col("__k") == F.col("__key")), "left")
-    gone = (F.col("__r") > F.col("__first")) & (F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= WINDOW)
-    text = F.when(gone, F.lit("")).when(F.col("__kept").isNotNull(), F.col("__kept")).otherwise(F.col("text"))
+    rank, key, cut_rank, cut_key, kept, same, first = unused(docs, 7)
+    cut = found.remaining().groupBy(F.col("rank").alias(cut_rank), F.col("key").alias(cut_key)).agg(F.first("kept").alias(kept))
+    firsts = found.firsts.select(F.col("key").alias(same), F.col("first_rank").alias(first))
+    keyed = docs.withColumn(rank, id_key()).withColumn(key, F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"), 256))
+    both = keyed.join(firsts, F.col(key) == F.col(same)).join(cut, (F.col(rank) == F.col(cut_rank)) & (F.col(key) == F.col(cut_key)), "left")
+    gone = (F.col(rank) > F.col(first)) & (F.regexp_count("text", F.lit(WORD)) >= WINDOW)
+    text = F.when(gone, F.lit("")).when(F.col(kept).isNotNull(), F.col(kept)).otherwise(F.col("text"))
     return both.withColumn("text", text).select(*docs.columns)
 
 
