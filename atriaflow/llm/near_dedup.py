@@ -12,20 +12,17 @@ threshold allows, matches so many windows of K words that their Jaccard similari
 decides alone: texts that have the same windows in another order are not linked.
 
 Candidates, never all pairs of a group:
-1. In a bucket (the texts of one key) every member meets the bucket's hub: the member that meets most texts in all its buckets,
-   which is the original where others are edited from it. First each text meets only the hub of most of its buckets; then
-   the other hubs, where components still differ.
-2. Buckets with members of two components or more besides the hub go on by their texts' rarest windows. Of all windows of these
-   texts, those of one component are counted out, and texts that keep too few for any link go. A link needs a common window
-   among the rarest fifth of each. A window of at most RARE texts compares all of different components, a more
-   frequent one every text with two hubs of different components.
-3. What those leave of the more frequent windows goes on in rounds, until no window has texts of two components: in each round a
-   window has up to FANOUT times as many hubs, every text of another component meets them, and the hubs go. A pair is aligned only
-   if the bits of its windows (a signature for each text) leave enough of them in common; so no pair is written that cannot be
-   alike, and none that can is passed over.
-
-So a pair of different components is lost only if its texts share no sketch (chance above), or only sketches whose buckets have no
-second component besides the hub; README gives the recall that was measured.
+1. In a bucket (the texts of one key) the hub is the member that meets most texts in all its buckets, which is the original where
+   others are edited from it. Each text meets the hub of most of its buckets.
+2. Buckets with members of two components or more go on by their texts' rarest windows. Of all windows of these
+   texts, those of one component are counted out, those that the same texts have are taken together, and texts that keep too few
+   for any link go. A link needs a common window among the rarest fifth of each. All texts of different components that share such
+   a window, however frequent, are compared through it: a pair is written at the first window that it has in common, if from there
+   on both texts have enough shared windows, and the bits of their windows (a signature for each text) leave enough in common. So
+   no pair is written that cannot be alike, and none that can is passed over.
+
+So a pair of different components is lost only if its texts share no sketch (chance above); README gives the recall that was
+measured.
 
 Components come from min-label propagation with pointer jumping over stored tables; links and labels never reach the driver.
 
@@ -38,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Words, documents, free, grams, id_key, mix64, steps, stored, text_arrays, unused
@@ -49,10 +46,10 @@ TUPLE = 4
 THRESHOLD = 0.8
 #: Shingles up to which a text has exact run keys; from 0.8 of it on texts have sketches.
 SHORT = 24
-#: Texts with a window up to which all of different components are compared through it.
-RARE = 16
-#: By how much the hubs of a more frequent window grow from round to round, and the longs of a text's signature.
-FANOUT, SIGNATURE = 16, 16
+#: The texts of a window are dealt to one more slot for each FANOUT^2 of them, so that no task compares all texts of a frequent one.
+FANOUT = 16
+#: Longs of a text's signature, and windows by which a pair is known to have met ahead of a window.
+SIGNATURE, AHEAD = 16, 16
 
 
 # ---- sketches --------------------------------------------------------------------------------------------
@@ -333,10 +330,6 @@ class Links:
         labels = self.labels.select(F.col("id").alias("__of"), F.col("label").alias("__label"))
         return df.join(labels, df[column] == labels["__of"], "left").withColumn(name, F.coalesce("__label", column)).drop("__of", "__label")
 
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """The pairs(a, b) whose texts are of different components."""
-        return self.labelled(self.labelled(pairs, "a", "a_label"), "b", "b_label").filter("a_label <> b_label").drop("a_label", "b_label")
-
     def untried(self, pairs: DataFrame) -> DataFrame:
         for tried in self.tried:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
@@ -393,9 +386,14 @@ def signatures(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_sign, "id long, " + ", ".join(f"s{i} long" for i in range(SIGNATURE)))
 
 
+def _least_common(a: DataFrame, b: DataFrame) -> Column:
+    """Windows that texts of a and b, of n windows, have in common at the threshold."""
+    return F.ceil((a["n"] + b["n"]) * (THRESHOLD / (1 + THRESHOLD)) - 1e-6)
+
+
 def _may_match(a: DataFrame, b: DataFrame) -> Column:
     """Whether texts of a and b, of n windows and with signatures, can have the threshold in common: windows whose bit the other lacks are not matched."""
-    least = F.ceil((a["n"] + b["n"]) * (THRESHOLD / (1 + THRESHOLD)) - 1e-6)
+    least = _least_common(a, b)
 
     def lacking(x: DataFrame, y: DataFrame) -> Column:
         return sum(F.bit_count(x[f"s{i}"].bitwiseAND(F.bitwise_not(y[f"s{i}"]))) for i in range(SIGNATURE))
@@ -403,65 +401,79 @@ def _may_match(a: DataFrame, b: DataFrame) -> Column:
     return (lacking(a, b) <= a["n"] - least) & (lacking(b, a) <= b["n"] - least)
 
 
-def _rare_pairs(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of open_(id, label, n, text): pairs (a, b) of different components by the rarest windows that components share, and the more frequent windows (w, id, n)."""
+def _first_windows(open_: DataFrame) -> DataFrame:
+    """Of open_(id, label, n, text): members (w, id, n, rest, before), the rarest windows that a text shares with other components.
+
+    Windows that the same texts have count as one, the least of them, with their number. rest is the number of shared windows of the
+    text from this one on, before has the AHEAD ones ahead of it.
+    """
     each = open_.mapInArrow(_windows, "id long, label long, n int, w long")
-    shared = stored(each.groupBy("w").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("texts")).filter("lo <> hi").select("w", "texts"), "shared")
-    ranked = each.join(shared, "w").groupBy("id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "w"))).alias("ranked"))
-    # a link has common windows for THRESHOLD of the text's, all of them shared, so it has one among the first of these
-    most = F.size("ranked") - F.ceil(F.col("n") * THRESHOLD - 1e-6).cast("int") + 1
-    first = ranked.filter(most > 0).select("id", "label", "n", F.explode(F.slice("ranked", F.lit(1), most)).alias("x")).select("id", "label", "n", "x.w")
-    first = stored(first, "first")
-    ends = [F.min(F.struct("label", "id", "n")).alias("x"), F.max(F.struct("label", "id", "n")).alias("y")]
-    groups = stored(first.groupBy("w").agg(*ends, F.count("*").alias("size")).filter("x.label <> y.label"), "groups")
-    met = first.join(groups, "w")
-    rare = met.filter(F.col("size") <= RARE).groupBy("w").agg(F.collect_list(F.struct("label", "id", "n")).alias("others"))
-    hub = met.filter(F.col("size") > RARE).select("id", "label", "n", F.explode(F.array("x", "y")).alias("other"))
-    own = first.join(rare, "w").select("id", "label", "n", F.explode("others").alias("other"))
-    apart = own.unionByName(hub).filter((F.col("label") != F.col("other.label")) & _alike("n", "other.n"))
-    pairs = apart.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
-    return pairs, met.filter(F.col("size") > RARE).select("w", "id", "n")
+    same = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"set{i}") for i in range(2)]
+    shared = each.groupBy("w").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("texts"), *same).filter("lo <> hi")
+    passages = stored(shared.groupBy("texts", "set0", "set1").agg(F.min("w").alias("w"), F.count("*").alias("windows")).select("w", "texts", "windows"), "passages")
+    own = Window.partitionBy("id")
+    ranked = own.orderBy("texts", "w")
+    placed = each.join(passages, "w").select(
+        "w", "id", "n",
+        (F.sum("windows").over(own) - F.sum("windows").over(ranked.rowsBetween(Window.unboundedPreceding, 0)) + F.col("windows")).alias("rest"),
+        F.collect_list("w").over(ranked.rowsBetween(-AHEAD, -1)).alias("before"),
+    )
+    # a link has common windows for THRESHOLD of the text's, all of them shared: its first is followed by the others
+    members = stored(placed.filter(F.col("rest") >= F.ceil(F.col("n") * THRESHOLD - 1e-6)), "members")
+    free(passages)
+    return members
+
+
+def _meetings(found: Links, members: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that may be linked of texts of different components that share a window of members(w, id, n, rest, before), and the stored table behind them; signed has their signatures.
+
+    Without rest and before (as in `_first_windows`) no pair is passed over at a window for them.
+    """
+    for c, whole in (("rest", F.col("n").cast("long")), ("before", F.array().cast("array<long>"))):
+        if c not in members.columns:
+            members = members.withColumn(c, whole)
+    own = found.labelled(members, "id", "label")
+    mixed = own.groupBy("w").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
+    slots = (1 + F.floor(F.col("size") / FANOUT**2)).alias("slots")
+    # texts that can be alike are of one band of sizes, or of two that follow one another
+    band = F.floor(F.log("n") / F.log(F.lit(1.01 / THRESHOLD))).alias("band")
+    now = stored(own.join(mixed.select("w", slots), "w").join(signed, "id").select("*", band), "frequent")
+    less = now.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
+    more = now.withColumn("slot", F.pmod(F.xxhash64("id"), "slots")).withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
+    more = more.select(*(F.col(c).alias(c) for c in more.columns))
+    met = (less["w"] == more["w"]) & (less["band"] == more["band"]) & (less["slot"] == more["slot"])
+    ahead = (less["n"] < more["n"]) | ((less["n"] == more["n"]) & (less["id"] < more["id"]))
+    enough = F.least(less["rest"], more["rest"]) >= _least_common(less, more)
+    # a pair that has a window ahead of this one in common meets there
+    first = ~F.arrays_overlap(less["before"], more["before"])
+    meet = less.join(more, met & (less["label"] != more["label"]) & ahead & enough & _may_match(less, more) & first)
+    return meet.select(F.least(less["id"], more["id"]).alias("a"), F.greatest(less["id"], more["id"]).alias("b")), now
 
 
 def try_frequent(found: Links, members: DataFrame, signed: DataFrame) -> None:
-    """Compare all texts of different components that share a window of members(w, id, n), in rounds of more and more hubs; signed has their signatures."""
-    left, hubs = members.join(signed, "id"), FANOUT
-    while True:
-        own = found.labelled(left, "id", "label")
-        mixed = own.groupBy("w").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("w")
-        now = stored(own.join(mixed, "w", "left_semi"), "frequent")
-        free(left)
-        if now.isEmpty():
-            free(now)
-            return
-        slot = F.pmod(F.xxhash64("id"), F.lit(hubs))
-        chosen = stored(now.groupBy("w", slot.alias("slot")).agg(F.min("id").alias("id")).select("w", "id"), "chosen")
-        hub = stored(now.join(chosen, ["w", "id"], "left_semi").select(*(F.col(c).alias(c) for c in now.columns)), "hub")
-        meet = now.join(hub, (now["w"] == hub["w"]) & (now["label"] != hub["label"]) & _may_match(now, hub))
-        pairs = meet.select(F.least(now["id"], hub["id"]).alias("a"), F.greatest(now["id"], hub["id"]).alias("b")).distinct()
-        found.try_pairs(found.untried(pairs))
-        left = stored(now.drop("label").join(chosen, ["w", "id"], "left_anti"), "rest")
-        free(now, chosen, hub)
-        hubs *= FANOUT
+    """Align the pairs of `_meetings` that were not aligned before."""
+    pairs, now = _meetings(found, members, signed)
+    found.try_pairs(found.untried(pairs.distinct()))
+    free(now)
 
 
 def link_texts(sketched: DataFrame, texts_of) -> Links:
     """sketched(id, n, keys) -> Links; texts_of(ids) gives the table (id, text) of some ids."""
     led, pairs = _hubs(sketched)
-    found = Links(stored(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts"))
+    # of all texts in buckets: two that are alike may have hubs of other sizes only
+    found = Links(stored(texts_of(led.select("id").distinct()), "texts"))
     best = pairs.groupBy("text").agg(F.max(F.struct("common", (-F.col("hub")).alias("hub"))).alias("best")).select("text", (-F.col("best.hub")).alias("hub"))
     found.try_pairs(best.select(F.least("text", "hub").alias("a"), F.greatest("text", "hub").alias("b")).distinct())
-    found.try_pairs(found.untried(found.apart(pairs.select("a", "b").distinct())))
-    # buckets that have texts of several components besides the hub
-    besides = stored(found.labelled(led.filter("id <> hub").select("bucket", "id", "n"), "id", "label"), "besides")
-    mixed = stored(besides.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket"), "mixed")
-    open_ = stored(besides.join(mixed, "bucket").select("id", "label", "n").distinct(), "open")
-    free(led, pairs, besides, mixed)
+    # buckets that have texts of several components
+    each = stored(found.labelled(led.select("bucket", "id", "n"), "id", "label"), "each")
+    mixed = stored(each.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket"), "mixed")
+    open_ = stored(each.join(mixed, "bucket").select("id", "label", "n").distinct(), "open")
+    free(led, pairs, each, mixed)
     if not open_.isEmpty():
         texts = open_.join(found.texts, "id")
-        pairs, frequent = _rare_pairs(texts)
-        found.try_pairs(found.untried(pairs))
-        try_frequent(found, frequent, signatures(texts.join(frequent.select("id").distinct(), "id", "left_semi")))
+        members = _first_windows(texts)
+        try_frequent(found, members, signatures(texts.join(members.select("id").distinct(), "id", "left_semi")))
+        free(members)
     return found
 
 

@@ -328,6 +328,32 @@ def test_signatures_pass_every_pair_that_is_linked(spark):
     assert len(linked) > 50 and linked <= passed and len(passed) < len(rows) * (len(rows) - 1) // 4
 
 
+def test_pairs_meet_at_one_window(spark):
+    """Texts with a long form in common meet once, however many windows of it they share."""
+    form, rows = words(5, 300).split(), []
+    for i in range(24):
+        own = words(900 + i, 70).split()
+        rows += [(2 * i, " ".join(form + own)), (2 * i + 1, " ".join([*form[:-40], *own, "zz"]))]
+    texts = near_dedup.stored(spark.createDataFrame([(i, t, len(t.split()) - 4) for i, t in rows], "id long, text string, n int"), "texts")
+    found = near_dedup.Links(texts.select("id", "text"))
+    open_ = texts.select("id", F.col("id").alias("label"), "n", "text")
+    members = near_dedup._first_windows(open_)
+    met = near_dedup._meetings(found, members, near_dedup.signatures(open_))[0].collect()
+    assert len(met) == len(set(met))
+    everyone = spark.createDataFrame([(i, j) for i in range(48) for j in range(i + 1, 48)], "a long, b long")
+    linked = {(r["a"], r["b"]) for r in near_dedup.verified(everyone, texts.select("id", "text")).filter("linked").collect()}
+    assert len(linked) > 20 and linked <= {tuple(r) for r in met}
+
+
+def test_texts_meet_beside_hubs_of_other_sizes(spark):
+    x = words(1, 100).split()
+    texts = {1: x, 2: [*x[:-1], "zz"], 3: [*x, *words(2, 100).split()], 4: words(3, 200).split()}
+    sketched = spark.createDataFrame([(i, len(t) - 4, k) for (i, t), k in zip(texts.items(), ([1], [1], [1, 2], [2]))], "id long, n int, keys array<long>")
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string")
+    found = near_dedup.link_texts(sketched, lambda ids: table.join(ids, "id"))
+    assert [tuple(r) for r in found.links().collect()] == [(1, 2)]
+
+
 def test_order_minhash_is_the_sample_in_text_order():
     r = np.random.default_rng(2)
     texts = [r.integers(0, 9, n).astype(np.uint64) for n in (20, 21, 24, 25, 300, 40, 5000, 3, 0, 22)]
