@@ -1,11 +1,14 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of code points is a closed syncmer if the least of its inner s-mers (by hash) is its first or last. Whether a k-mer is
-chosen depends on itself alone, so texts that share a stretch of k code points share the anchors in it, wherever it stands. The
-fingerprint of a text keeps the syncmers whose hash is below a fixed threshold (one in DENSITY, so anchors grow with the text), and
-in short texts at least those of the LEAST least hashes, with all their positions, as "hash:position" pairs by position. The sample is
-coordinated: below the lower of two texts' thresholds both fingerprints hold every anchor. Two fingerprints are matched by position:
-of the anchors below that threshold, the longest chain that keeps its order in both texts counts, over the anchors of either.
+chosen depends on itself alone, so texts that share a stretch of k code points share the anchors in it, wherever it stands. Of
+k - s + 1 k-mers in a row one is a syncmer, so every code point is in an anchor, but for at most k - s at either end. The fingerprint
+of a text keeps all its syncmers by position, 16 hex digits each: 10 of the hash, 6 of the distance from the one before. Two
+fingerprints are matched by position: the longest chain of anchors that keeps its order in both texts counts, over the anchors of either.
+
+A caller may ask for a sample of one in `density` anchors: those whose hash is below a fixed threshold (so anchors grow with the
+text), and in short texts at least those of the LEAST least hashes, with all their positions. The sample is coordinated: below the
+lower of two texts' thresholds both fingerprints hold every anchor, and these are compared. The query asks for all.
 
 The text that follows a document (descending doc_id) is found without a global window. Rows drawn by a sample, and the very first, bound the
 ranges of the order (id, hash of text); a row goes to its range, and a row that bounds a range goes to the range before too, where it
@@ -26,14 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, sliding_min
+from .common import documents, mix64, sliding_min, steps, text_arrays
 
 K, S = 12, 5
-#: One syncmer in DENSITY is an anchor.
-DENSITY = 16
-#: Distinct anchors that short texts have at least, where they have so many.
+#: Distinct anchors that short texts have at least in a sample, where they have so many.
 LEAST = 48
-_BELOW = np.uint64(2**64 // DENSITY)
 _ALL = np.uint64(2**64 - 1)
 #: Code points that the numpy steps take at once.
 STEP_CHARS = 1 << 18
@@ -65,20 +65,30 @@ def _syncmers(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Fingerprint:
     """Anchors by position: hashes and positions, and the threshold up to which the text has no others."""
 
-    def __init__(self, h: np.ndarray, at: np.ndarray):
-        """Of the hashes h at the places `at` (ascending), those below the threshold."""
-        self.limit = _BELOW
-        if np.count_nonzero(h <= _BELOW) < 2 * LEAST:
-            values = np.unique(h)
-            self.limit = max(_BELOW, values[LEAST - 1]) if len(values) >= LEAST else _ALL
+    def __init__(self, h: np.ndarray, at: np.ndarray, density: int = 1):
+        """Of the hashes h at the places `at` (ascending), all, or those below the threshold of a sample of one in `density`."""
+        self.limit = _ALL
+        if density > 1:
+            below = np.uint64(2**64 // density)
+            values = np.unique(h) if np.count_nonzero(h <= below) < 2 * LEAST else h
+            self.limit = below if values is h else max(below, values[LEAST - 1]) if len(values) >= LEAST else _ALL
         drawn = h <= self.limit
         self.h, self.at = h[drawn], at[drawn]
+        self._own: tuple[np.ndarray, np.ndarray] | None = None
 
     def __str__(self) -> str:
-        return " ".join([f"{h:012x}:{p:x}" for h, p in zip((self.h >> np.uint64(16)).tolist(), self.at.tolist())])
+        gaps = np.diff(self.at, prepend=0).astype(np.uint64) & np.uint64(0xFFFFFF)
+        return ((self.h >> np.uint64(24) << np.uint64(24)) | gaps).astype(">u8").tobytes().hex()
 
     def _upto(self, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         """Hashes up to the limit mixed with their occurrence number, and positions, by hash."""
+        if limit == self.limit:
+            if self._own is None:
+                self._own = self._by_hash(limit)
+            return self._own
+        return self._by_hash(limit)
+
+    def _by_hash(self, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         keep = self.h <= limit
         h, at = self.h[keep], self.at[keep]
         order = np.argsort(h, kind="stable")
@@ -92,16 +102,18 @@ class Fingerprint:
         limit = min(self.limit, other.limit)
         (h, at), (other_h, other_at) = self._upto(limit), other._upto(limit)
         _, mine, theirs = np.intersect1d(h, other_h, return_indices=True)
-        order = np.argsort(at[mine])
-        chain: list[int] = []
-        for p in other_at[theirs][order].tolist():
+        places = other_at[theirs][np.argsort(at[mine])]
+        # what ascends from the start, or is all, needs no search
+        falls = np.flatnonzero(places[1:] < places[:-1])
+        chain: list[int] = places[: falls[0] + 1 if len(falls) else len(places)].tolist()
+        for p in places[len(chain) :].tolist():
             i = bisect_left(chain, p)
             chain[i : i + 1] = [p]
         drawn = len(h) + len(other_h) - len(mine)
         return len(chain) / drawn if drawn else 0.0
 
 
-def fingerprints(texts: list[str]) -> list[Fingerprint]:
+def fingerprints(texts: list[str], density: int = 1) -> list[Fingerprint]:
     out: list[Fingerprint] = []
     run: list[str] = []
     size = 0
@@ -109,12 +121,12 @@ def fingerprints(texts: list[str]) -> list[Fingerprint]:
         run.append(t)
         size += len(t)
         if size >= STEP_CHARS or i + 1 == len(texts):
-            out += _step(run)
+            out += _step(run, density)
             run, size = [], 0
     return out
 
 
-def _step(texts: list[str]) -> list[Fingerprint]:
+def _step(texts: list[str], density: int) -> list[Fingerprint]:
     bounds = np.cumsum([0, *map(len, texts)])
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
     at, h = _syncmers(codes)
@@ -125,7 +137,7 @@ def _step(texts: list[str]) -> list[Fingerprint]:
     out = []
     for i, t in enumerate(texts):
         if lo[i] < lo[i + 1]:
-            out.append(Fingerprint(h[lo[i] : lo[i + 1]], at[lo[i] : lo[i + 1]] - bounds[i]))
+            out.append(Fingerprint(h[lo[i] : lo[i + 1]], at[lo[i] : lo[i + 1]] - bounds[i], density))
         else:
             # no k-mer, or none with the least inner part at an edge: the text is its own anchor
             own = [int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")] if t else []
@@ -166,7 +178,8 @@ def _rows(columns: dict) -> pa.RecordBatch:
 def _stream(it):
     """Sorted rows of whole ranges: each row is finished by the next of its range, the last by the one that only follows."""
     held = None
-    for batch in it:
+    # few rows at a time, as their fingerprints are larger than their texts
+    for batch in (b.slice(lo, hi - lo) for b in it for lo, hi in steps(text_arrays(b["text"])[1])):
         ids, texts, follows = batch["doc_id"].to_pylist(), [t or "" for t in batch["text"].to_pylist()], batch["follows"].to_pylist()
         prints = fingerprints(texts)
         own = ([held] if held else []) + list(zip(ids, texts, prints, follows))

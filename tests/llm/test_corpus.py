@@ -175,6 +175,20 @@ def test_fingerprints_hold_all_anchors_below_the_threshold():
     assert [str(f) == "" for f in syncmers.fingerprints(texts)] == [False] * 4 + [True]
 
 
+def test_every_window_is_looked_at():
+    """One other letter anywhere but at the ends shows in the fingerprint and in the likeness; samples are coordinated as before."""
+    text = words(4, 600)
+    own = syncmers.fingerprints([text])[0]
+    gap = syncmers.K - syncmers.S
+    for at in range(gap, len(text) - gap, 37):
+        other = syncmers.fingerprints([text[:at] + "#" + text[at + 1 :]])[0]
+        assert str(other) != str(own) and 0.9 < own.likeness(other) < 1
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    assert own.at.tolist() == syncmers._syncmers(codes)[0].tolist() and np.diff(own.at).max() <= gap + 1
+    sample = syncmers.fingerprints([words(2, 3000)], 16)[0]
+    assert 150 < len(sample.at) < len(syncmers.fingerprints([words(2, 3000)])[0].at) / 8 and sample.limit == 2**64 // 16
+
+
 def test_likeness_is_the_longest_common_chain():
     r = np.random.default_rng(8)
 
