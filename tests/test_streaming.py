@@ -5,7 +5,9 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from atriaflow.plans import registry
 from atriaflow.streaming import ingest
 from atriaflow.streaming import signals as streams
 
@@ -195,6 +197,34 @@ def test_each_point_has_one_force_window(spark, tmp_path):
     assert run() == [("1", 1, "f1"), ("2", 0, None), ("3", 1, "named"), ("4", 0, None), ("5", 2, None), ("90", 0, None)]
 
 
+def test_windows_of_crowded_studies_are_counted_without_pairs(spark, tmp_path):
+    """2,000 points and as many windows within hours of one study: no join, the counts of all pairs; points without a time have no window."""
+    points, windows, out, checkpoint = (str(tmp_path / n) for n in ("points", "windows", "out", "checkpoint"))
+    at = lambda m: T0 + timedelta(minutes=m)
+    own = [(1, i, at(i * 7919 % 300)) for i in range(2000)]
+    held = [(1, f"f{i}", at(i * 104729 % 290), at(i * 104729 % 290 + i % 90 - 1), f"{i * 31}" if i % 3 == 0 else None) for i in range(2000)]
+    put(spark, points, [*own, (1, 9000, None), (2, 9999, at(5000))], "study_id long, point_id long, at timestamp")
+    put(spark, windows, [*held, (2, "last", at(5000), at(5001), None)], "study_id long, data_uri string, starts timestamp, ends timestamp, of_point string")
+    stream = streams.stream_one_force(spark.readStream.schema("study_id long, point_id long, at timestamp").parquet(points), spark.readStream.schema("study_id long, data_uri string, starts timestamp, ends timestamp, of_point string").parquet(windows), "10 minutes", timedelta(hours=1))
+    assert "Join" not in stream._jdf.queryExecution().analyzed().toString()
+    with ingest.keyed_state(spark):
+        got = {int(r["point_id"]): (r["n"], r["data_uri"]) for r in streams.drained(stream, out, checkpoint).collect()}
+    hour, want = timedelta(hours=1), {9000: (0, None)}
+    for _, i, t in own:
+        met = [uri for _, uri, lo, hi, name in held if (lo <= t <= min(hi, lo + hour) if name is None else name == str(i) and abs(lo - t) <= hour)]
+        want[i] = (len(met), met[0] if len(met) == 1 else None)
+    assert got == want and len({n for n, _ in want.values()}) > 3
+
+
+def test_repeated_points_count_as_in_sql(spark, tmp_path):
+    """Two rows of one point: every row counts the windows of both, as the SQL of the query has it."""
+    at = lambda m: T0.replace(hour=0) + timedelta(minutes=m)
+    rows = [(1, at(30), 20, "click", 0.0, ""), (1, at(30), 20, "click", 0.0, ""), (2, at(30), 40, "click", 0.0, ""), (3, at(10), 20, "signup", 0.0, "")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = registry.queries()["t4_one_force_window"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == [(0, "1", 4, None), (0, "2", 1, "3")]
+
+
 @pytest.mark.parametrize("over", [{"window": "1 hour"}, {"window": "1 hour", "slide": "30 minutes"}, {"gap": "20 minutes"}])
 def test_channel_windows_stream_as_they_batch(spark, tmp_path, over):
     folder, out, checkpoint = (str(tmp_path / n) for n in ("samples", "out", "checkpoint"))
