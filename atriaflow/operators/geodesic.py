@@ -231,6 +231,7 @@ def heat_interpolate(vertices: DataFrame, triangles: DataFrame, field: DataFrame
 
 
 def _plane(g: pd.DataFrame) -> pd.DataFrame:
+    g = g.sort_values("vertex_id")  # sums in one order, whatever order the rows come in
     x = g[["x", "y", "z"]].to_numpy(float)
     centre = x.mean(axis=0)
     _, axes = np.linalg.eigh(np.cov((x - centre).T, bias=True) if len(x) > 1 else np.eye(3))
@@ -247,13 +248,14 @@ def _plane(g: pd.DataFrame) -> pd.DataFrame:
 def conduction_directions(vertices: DataFrame, k: int = 5) -> DataFrame:
     """Unit direction of the activation gradient: neighbours in the map's main plane (itself included), least squares, back in space.
 
-    vertices(map_id, vertex_id, x, y, z, value). A flat field gives the zero vector.
+    vertices(map_id, vertex_id, x, y, z, value). A flat field gives the zero vector. The flat maps are stored, as the search reads them many times. Joins of vertices ask
+    for shuffles, as in `nn_join`.
     """
     kinds = "map_id long, vertex_id int, value double, px double, py double, pz double, " + ", ".join(f"{n}{c} double" for n in "ab" for c in "xyz")
-    flat = vertices.select("map_id", "vertex_id", "x", "y", "z", "value").groupBy("map_id").applyInPandas(_plane, kinds)
+    flat = stored(vertices.select("map_id", "vertex_id", "x", "y", "z", "value").groupBy("map_id").applyInPandas(_plane, kinds), "flat")
     own = flat.select("map_id", "vertex_id", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"))
     near = nn_join(own, own, ["map_id"], k=k).select("map_id", "vertex_id", "near_id")
-    met = near.join(flat.select("map_id", F.col("vertex_id").alias("near_id"), "px", "py", "value"), ["map_id", "near_id"])
+    met = near.join(flat.select("map_id", F.col("vertex_id").alias("near_id"), "px", "py", "value").hint("merge"), ["map_id", "near_id"])
     p, q, v = (F.col(c) - F.avg(c).over(Window.partitionBy("map_id", "vertex_id")) for c in ("px", "py", "value"))
     sums = met.withColumns({"p": p, "q": q, "v": v}).groupBy("map_id", "vertex_id").agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for a, b in (("p", "p"), ("p", "q"), ("q", "q"), ("p", "v"), ("q", "v"))])
     det = F.col("pp") * F.col("qq") - F.col("pq") * F.col("pq")
@@ -262,4 +264,4 @@ def conduction_directions(vertices: DataFrame, k: int = 5) -> DataFrame:
     sums = sums.withColumns({"gx": gx, "gy": gy}).withColumn("size", F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2))
     axes = flat.select("map_id", "vertex_id", *[f"{n}{c}" for n in "ab" for c in "xyz"])
     unit = lambda c: F.when(F.col("size") > 0, (F.col("gx") * F.col(f"a{c}") + F.col("gy") * F.col(f"b{c}")) / F.col("size")).otherwise(F.lit(0.0)).alias(f"d{c}")
-    return sums.join(axes, ["map_id", "vertex_id"]).select("map_id", "vertex_id", *[unit(c) for c in "xyz"])
+    return sums.join(axes.hint("merge"), ["map_id", "vertex_id"]).select("map_id", "vertex_id", *[unit(c) for c in "xyz"])

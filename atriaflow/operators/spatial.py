@@ -6,7 +6,8 @@ distance of at most the side is final. The other left points (far from the surfa
 a map's coarse cells those stay that can hold one of the k nearest, then those of the fine cells inside, then the points in these.
 Two passes whatever the distances; bounded searches (max_distance) need the first alone and are exact.
 Ties go to the lowest right id. Null and non-finite coordinates take no part. The k nearest are kept by a rank filter, which Spark
-applies in the tasks before the shuffle too.
+applies in the tasks before the shuffle too. Joins of points ask for shuffles: Spark takes sizes from compressed files and would else
+send points of many times that size through the driver.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def _pass(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, k: i
     h = F.col("__h")
     around = reduce(lambda a, c: a.withColumn(f"c{c}", F.explode(F.array(*[_cell(c, h) + F.lit(d) for d in (-1, 0, 1)]))), "xyz", left)
     cells = right.select(*keys, "__rid", "rx", "ry", "rz", *[_cell(f"r{c}", h).alias(f"c{c}") for c in "xyz"])
-    met = around.join(cells, [*keys, "cx", "cy", "cz"])
+    met = around.join(cells.hint("merge"), [*keys, "cx", "cy", "cz"])
     return _ranked(met.withColumn("__d2", _squared([(F.col(c), F.col(f"r{c}")) for c in "xyz"])), keys, left_id, k, carried)
 
 
@@ -78,9 +79,9 @@ def _descend(open_: DataFrame, right: DataFrame, keys: list[str], left_id: str,
     number = lambda cell, per: reduce(lambda a, b: a * per + b, [cell[c] for c in "xyz"])
     placed = right.select(*keys, "__rid", "rx", "ry", "rz", number({c: (fine[c] / FINE).cast("int") for c in "xyz"}, COARSE).alias("__coarse"), number(fine, n).alias("__fine"))
     point = [*keys, left_id, "x", "y", "z", "__want"]
-    first = _reachable(open_.select(*point).join(_boxes(placed, [*keys, "__coarse"]), keys), keys, left_id).select(*point, "__coarse")
-    second = _reachable(first.join(_boxes(placed, [*keys, "__coarse", "__fine"]), [*keys, "__coarse"]), keys, left_id).select(*keys, left_id, "x", "y", "z", "__fine")
-    met = second.join(placed.drop("__coarse"), [*keys, "__fine"])
+    first = _reachable(open_.select(*point).join(_boxes(placed, [*keys, "__coarse"]).hint("merge"), keys), keys, left_id).select(*point, "__coarse")
+    second = _reachable(first.join(_boxes(placed, [*keys, "__coarse", "__fine"]).hint("merge"), [*keys, "__coarse"]), keys, left_id).select(*keys, left_id, "x", "y", "z", "__fine")
+    met = second.join(placed.drop("__coarse").hint("merge"), [*keys, "__fine"])
     return _ranked(met.withColumn("__d2", _squared([(F.col(c), F.col(f"r{c}")) for c in "xyz"])), keys, left_id, k, [])
 
 
@@ -99,14 +100,14 @@ def nn_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str = "
     # on a surface, a ball of this radius holds some three times k points
     h = side * F.sqrt(F.lit(1.7 * max(k, 2)) / F.count("*"))
     maps = right.groupBy(*keys).agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("__want"), side.alias("__side"), F.when(h > 0, h).otherwise(1.0).alias("__h"), *[F.min(f"r{c}").alias(f"__o{c}") for c in "xyz"])
-    left, right = left.join(maps, keys), right.join(maps.drop("__want"), keys)
+    left, right = left.join(maps.hint("shuffle_hash"), keys), right.join(maps.drop("__want").hint("shuffle_hash"), keys)
     near = _pass(left, right.drop("__side", *[f"__o{c}" for c in "xyz"]), keys, left_id, k, ["__h", "__want"])
     if k == 1:
         near = near.filter(F.col("distance") <= F.col("__h"))
     else:
         near = near.withColumn("__have", F.count_if(F.col("distance") <= F.col("__h")).over(Window.partitionBy(*keys, left_id))).filter("__have >= __want")
     near = near.select(*keys, left_id, "__rid", "distance", "rank")
-    open_ = left.join(near.select(*keys, left_id), [*keys, left_id], "left_anti")
+    open_ = left.join(near.select(*keys, left_id).hint("merge"), [*keys, left_id], "left_anti")
     return near.unionByName(_descend(open_, right, keys, left_id, k)).withColumnRenamed("__rid", "near_id")
 
 

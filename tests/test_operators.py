@@ -400,6 +400,15 @@ def test_conduction_follows_the_gradient(spark):
     assert all(abs(r["dx"] - 1) < 1e-6 and abs(r["dy"]) < 1e-6 for r in got)
 
 
+def test_conduction_sends_no_points_through_the_driver(spark, tmp_path):
+    """Files look small when compressed; a map is laid flat once, and no vertices are broadcast."""
+    square(spark, 6)[0].withColumn("value", F.col("y") * 4).write.parquet(str(tmp_path / "v"))
+    got = geodesic.conduction_directions(spark.read.parquet(str(tmp_path / "v")))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "FlatMapGroups" not in plan
+    assert all(abs(r["dx"]) < 1e-6 and abs(r["dy"] - 1) < 1e-6 for r in got.collect())
+
+
 def test_cyclic_mean_wraps(spark):
     v = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0)], "map_id long, vertex_id int, x double, y double, z double")
     f = spark.createDataFrame([(0, 0, -1.0, 0.0, 0.0, 5.0), (0, 1, 1.0, 0.0, 0.0, 295.0)], "map_id long, point_index int, x double, y double, z double, value double")
