@@ -26,8 +26,8 @@ def query(name: str, sql: str | None = None):
 
 def joined(df: DataFrame, keys: list[str], order: list[str], line: Column, sep: str = "\n") -> DataFrame:
     """The lines of each key in order, as one text ``rows``."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, line.alias("__line"))))
-    return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["__line"]), sep).alias("rows"))
+    rows = F.sort_array(F.collect_list(F.struct(*order, line.alias("__line"))))
+    return df.groupBy(*keys).agg(F.array_join(rows["__line"], sep).alias("rows"))
 
 
 def text(*cols: str | Column, sep: str = " ") -> Column:

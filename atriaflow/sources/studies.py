@@ -207,10 +207,17 @@ def read_point_cloud(files: DataFrame) -> DataFrame:
     return rows.select("file", "sample_idx", (day(F.col("c")) - F.col("first")).alias("t"), *axes, F.try_element_at(phases, F.upper(cell(F.col("c"), F.col("h"), "respiration_phase"))).alias("respiration"))
 
 
-def _entries(*items: tuple[Column | str, Column]) -> Column:
+def _items(*items: tuple[Column | str, Column]) -> Column:
+    return F.array(*[F.struct((F.lit(k) if isinstance(k, str) else k).alias("k"), v.alias("v")) for k, v in items])
+
+
+def _mapped(items: str | Column) -> Column:
     """A map of the items (key, value) whose value is there."""
-    kept = F.filter(F.array(*[F.struct((F.lit(k) if isinstance(k, str) else k).alias("k"), v.alias("v")) for k, v in items]), lambda e: e["v"].isNotNull())
-    return F.map_from_entries(kept)
+    return F.map_from_entries(F.filter(items, lambda e: e["v"].isNotNull()))
+
+
+def _entries(*items: tuple[Column | str, Column]) -> Column:
+    return _mapped(_items(*items))
 
 
 def _measured(value: Column, kind: Column | str, unit: str, there: Column | None = None) -> Column:
@@ -218,44 +225,61 @@ def _measured(value: Column, kind: Column | str, unit: str, there: Column | None
     return F.when(there, F.struct(value.alias("value"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), F.lit(unit).alias("unit")))
 
 
+#: Columns of a point export that are read by name, beside the value column and its valid flag.
+_DXL_TEXTS = ["(Point #)", "Freeze Grp #", "Rov trace", "Ref trace", "Ref2 trace", "Electrodes"]
+_DXL_NUMBERS = [*[f"{of} {a}" for of in ("surface", "roving") for a in "xyz"], "adjTime (ms)", "force (g)", "refTime (abs)", "Ref Tick", "left curtain (ms)", "right curtain (ms)"]
+
+
 def read_dxl_points(files: DataFrame) -> DataFrame:
     """Points of point exports: the value column is the one with a ``<name> valid`` sibling and counts where that is set.
 
     ``Data starts in row,N`` names the header's row, ``Map type:`` the quantity. Values of 9000 and more in ms columns, negative forces and rows without a surface
-    position count as missing; other columns are annotations.
+    position count as missing; other columns are annotations. What the header says (places of columns, quantity) is found once a file; then the cells, the numbers
+    and the maps of a row are three steps, each of which reads what the one before it has made.
     """
     top = F.slice("lines", 1, 80)
     told = lambda key: F.trim(F.regexp_extract(first_of(top, lambda x: F.lower(x).startswith(key)), r"^[^,]*,\s*([^,]*)", 1))
     own = file_lines(files).withColumn("first_row", told("data starts in row").try_cast("int")).withColumn("map_type", F.coalesce(told("map type:"), F.lit("")))
     own = own.withColumn("first_row", strict(F.col("first_row"), F.col("first_row").isNotNull(), "no row of data named"))
     own = own.select("file", "first_row", "map_type", F.get("lines", F.col("first_row") - 1).alias("header"), F.slice("lines", F.col("first_row") + 1, F.size("lines")).alias("body"))
-    rows = own.select("file", "map_type", "header", F.posexplode("body").alias("point_index", "line")).filter(F.trim("line") != "")
-    rows = rows.withColumn("h", F.transform(F.split("header", ","), lambda x: F.trim(x))).withColumn("c", F.split("line", ","))
+    own = own.withColumn("h", F.transform(F.split("header", ","), lambda x: F.trim(x)))
     named = F.get(F.filter("h", lambda x: F.array_contains("h", F.concat(x, F.lit(" valid")))), F.lit(0))
-    rows = rows.withColumn("value_column", F.coalesce(named, F.lit("P-P")))
-    text = lambda name: cell(F.col("c"), F.col("h"), name)
-    number = lambda name: finite(text(name).try_cast("double"))
+    own = own.withColumn("value_column", F.coalesce(named, F.lit("P-P")))
     kind, name = dxl_quantity(F.col("map_type"), F.col("value_column"))
-    valid_name = F.concat("value_column", F.lit(" valid"))
-    valid = ~F.array_contains("h", valid_name) | F.coalesce(text(valid_name).isin("1", "1.0"), F.lit(False))
-    ms = lambda c: F.when(F.abs(number(c)) < 9000, number(c))
-    at, tick = F.when(number("refTime (abs)") > 0, number("refTime (abs)")), F.when(number("Ref Tick") >= 0, number("Ref Tick"))
-    measured = _entries(
-        (name, _measured(number(F.col("value_column")), kind, "", valid)),
+    column = {c: f"c{i}" for i, c in enumerate([*_DXL_TEXTS, *_DXL_NUMBERS])}
+    place = lambda c: F.nullif(F.array_position("h", F.lit(c) if isinstance(c, str) else c), F.lit(0)).cast("int") - 1
+    places = {**{column[c]: place(c) for c in column}, "value": place(F.col("value_column")), "valid": place(F.concat("value_column", F.lit(" valid")))}
+    own = own.select("file", "body", name.alias("name"), kind.alias("kind"), F.regexp_extract("file", r"^(.*)[/\\]", 1).alias("folder"), *[at.alias(f"at_{c}") for c, at in places.items()])
+
+    rows = own.select(*[c for c in own.columns if c != "body"], F.posexplode("body").alias("point_index", "line")).filter(F.trim("line") != "")
+    kept = ["file", "point_index", "name", "kind", "folder"]
+    rows = rows.select(*kept, *[f"at_{c}" for c in places], F.split("line", ",").alias("c"))
+    cells = rows.select(*kept, F.col("at_valid").isNull().alias("all_valid"), *[F.trim(F.get("c", F.col(f"at_{c}"))).alias(c) for c in places])
+    numeric = {*[column[c] for c in _DXL_NUMBERS], "value"}
+    there = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
+    cells = cells.select(*kept, (F.col("all_valid") | F.coalesce(F.col("valid").isin("1", "1.0"), F.lit(False))).alias("valid"), *[F.col(c).try_cast("double").alias(c) if c in numeric else there(c) for c in places if c != "valid"])
+    cells = cells.select(*kept, "valid", *[finite(F.col(c)).alias(c) if c in numeric else F.col(c) for c in places if c != "valid"])
+
+    of = lambda c: F.col(column[c])
+    ms = lambda c: F.when(F.abs(of(c)) < 9000, of(c))
+    at, tick = F.when(of("refTime (abs)") > 0, of("refTime (abs)")), F.when(of("Ref Tick") >= 0, of("Ref Tick"))
+    measured = _items(
+        (F.col("name"), _measured(F.col("value"), F.col("kind"), "", F.col("valid"))),
         ("annotation_time", _measured(ms("adjTime (ms)"), "activation_time", "ms")),
-        ("contact_force", _measured(number("force (g)"), "contact_force", "g", number("force (g)") >= 0)),
+        ("contact_force", _measured(of("force (g)"), "contact_force", "g", of("force (g)") >= 0)),
     )
-    annotations = _entries(
+    annotations = _items(
         ("reference_adjustment_ms", ms("adjTime (ms)").cast("string")), ("start_time", at.cast("string")), ("reference_time", at.cast("string")),
         ("woi_from", ms("left curtain (ms)").cast("string")), ("woi_to", ms("right curtain (ms)").cast("string")),
-        ("freeze_group", text("Freeze Grp #")), ("bipolar_channel", text("Rov trace")), ("reference_channel", text("Ref trace")), ("reference_2_channel", text("Ref2 trace")),
-        ("reference_sample_zero_based", tick.cast("string")), ("source_folder", F.regexp_extract("file", r"^(.*)[/\\]", 1)),
+        ("freeze_group", of("Freeze Grp #")), ("bipolar_channel", of("Rov trace")), ("reference_channel", of("Ref trace")), ("reference_2_channel", of("Ref2 trace")),
+        ("reference_sample_zero_based", tick.cast("string")), ("source_folder", F.col("folder")),
     )
-    roving = F.array(*[number(f"roving {a}") for a in "xyz"])
-    label = F.coalesce(text("Electrodes"), F.lit("rov"))
-    electrodes = _entries((label, F.when(~F.exists(roving, lambda x: x.isNull()), roving)))
-    out = rows.select("file", "point_index", text("(Point #)").alias("source_id"), *[number(f"surface {a}").alias(a) for a in "xyz"], measured.alias("measurements"), electrodes.alias("electrodes"), annotations.alias("annotations"))
-    return out.dropna(subset=["x", "y", "z"])
+    roving = [of(f"roving {a}") for a in "xyz"]
+    electrodes = _items((F.coalesce(of("Electrodes"), F.lit("rov")), F.when(reduce(lambda a, b: a & b, [r.isNotNull() for r in roving]), F.array(*roving))))
+    made = F.struct(of("(Point #)").alias("source_id"), *[of(f"surface {a}").alias(a) for a in "xyz"], measured.alias("measurements"), electrodes.alias("electrodes"), annotations.alias("annotations"))
+    # as a generator's row: a filter does not go below it, where it would split and read the line again for each of its terms
+    out = cells.select("file", "point_index", F.inline(F.array(made))).dropna(subset=["x", "y", "z"])
+    return out.select("file", "point_index", "source_id", "x", "y", "z", *[_mapped(c).alias(c) for c in ("measurements", "electrodes", "annotations")])
 
 
 def read_map_names(files: DataFrame) -> DataFrame:

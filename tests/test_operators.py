@@ -243,6 +243,22 @@ def test_readers_do_not_shuffle(spark):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_point_exports_are_looked_up_once(spark):
+    """Columns are found once a file, each line is split once; odd cells, a second column of a name, a value column that is not valid."""
+    head = "Export\nData starts in row,4\nMap type:,CFEmean_uni\n(Point #),surface x, surface y,surface z,surface x,New valid,New,adjTime (ms),force (g),roving x,roving y,roving z,Electrodes,Freeze Grp #\n"
+    lines = ["7,1,2,3,9,1.0,4.5,9000,-1,1,2,3,D2, g1", "8,1,2,NaN,9,1,4,1,1,1,2,3,D2,g", "", "9,1,2,3,,0,4,-8999,0,1,,3,,", "10,-1e1,2, 3 "]
+    out = studies.read_dxl_points(files(spark, ("a/b.csv", head + "\n".join(lines))))
+    above, below = out._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")
+    assert above.count("split(") <= 1 and "array_position" not in above and "rlike" not in above.lower() and "array_position" in below
+    got = {r["source_id"]: ((r["point_index"], r["x"], r["z"]), {k: tuple(v) for k, v in r["measurements"].items()}, r["electrodes"], r["annotations"]) for r in out.collect()}
+    folder = {"source_folder": "dir/a"}
+    assert got == {
+        "7": ((0, 1.0, 3.0), {"cfe_mean_uni": (4.5, "cfe_mean", "")}, {"D2": [1.0, 2.0, 3.0]}, {"freeze_group": "g1", **folder}),
+        "9": ((3, 1.0, 3.0), {"annotation_time": (-8999.0, "activation_time", "ms"), "contact_force": (0.0, "contact_force", "g")}, {}, {"reference_adjustment_ms": "-8999.0", **folder}),
+        "10": ((4, -10.0, 3.0), {}, {}, folder),
+    }
+
+
 def fails(df, message):
     with pytest.raises(Exception, match=message):
         df.collect()
